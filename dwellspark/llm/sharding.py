@@ -36,11 +36,12 @@ def rendezvous(key: Column, weights: Sequence[float], seed: int = SEED) -> Colum
     return (-best["shard"]).cast("int")
 
 
-def slots(df: DataFrame, group: str, order: Sequence[str], buckets: int | None = None) -> DataFrame:
+def slots(df: DataFrame, group: str, order: Sequence[str], groups: int) -> DataFrame:
     """Number the rows of each group from 0, gapless, as column slot. A group may hold any share of the rows: each
     is cut into buckets by a hash of the order columns, numbered there, and moved by the counts of the buckets
-    before. The counts that are broadcast are groups x buckets rows, whatever the number of records."""
-    buckets = buckets or 4 * partitions(df.sparkSession)
+    before. groups: how many groups there are, about. The counts that are broadcast are four rows for each shuffle
+    partition, or 16 for each group if that is more, whatever the number of records."""
+    buckets = max(16, 4 * partitions(df.sparkSession) // groups)
     cut = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(SEED), *order), F.lit(buckets)).cast("int"))
     counts = cut.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
@@ -62,7 +63,7 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float], id_
         rendezvous(F.col(id_col), grown).alias("grown_shard"),
     )
     # Repeated ids fall into one bucket together; the other columns then settle their order.
-    return slots(rows, "shard", ["doc_id", "size", "text_crc32"]).select(
+    return slots(rows, "shard", ["doc_id", "size", "text_crc32"], len(weights)).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
 
