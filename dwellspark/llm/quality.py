@@ -82,13 +82,15 @@ class Scorer:
         return out
 
 
-def _sample(labelled: DataFrame) -> list[tuple[str, int]]:
-    """At most SAMPLE_ROWS rows of either class, by a hash of the text, so that repeated and reordered rows change nothing."""
-    rows: list[tuple[str, int]] = []
-    short = labelled.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", "label", F.xxhash64("text").alias("at"))
-    for label in (0, 1):
-        rows += [(r.text, r.label) for r in short.where(F.col("label") == label).orderBy("at").limit(SAMPLE_ROWS).collect()]
-    return rows
+def _sample(documents: DataFrame, known: DataFrame) -> list[tuple[str, int]]:
+    """Texts of at most SAMPLE_ROWS ids of either class, by a hash of the id. Only ids are sorted; texts are read for
+    the chosen ones alone. Of rows that repeat an id, the least text counts."""
+    at = F.xxhash64("doc_id")
+    chosen = [known.where(F.col("label") == c).orderBy(at, "doc_id").limit(SAMPLE_ROWS) for c in (0, 1)]
+    short = texts(documents).where(F.length("text").between(1, SAMPLE_CHARS))
+    # Broadcast: two times SAMPLE_ROWS rows of an id and a label.
+    rows = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return [(r.text, r.label) for r in sorted(rows.select("text", "label", at.alias("at")).collect(), key=lambda r: (r.at, r.text))]
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -108,10 +110,10 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return (*map(float, slopes), float(w[-1] - slopes @ mean))
 
 
-def fit(labelled: DataFrame) -> Model:
-    """labelled: text, label (0 or 1). Null texts, null labels and empty texts teach nothing. Without rows of both
+def fit(documents: DataFrame, known: DataFrame) -> Model:
+    """documents: doc_id, text. known: doc_id (once each), label (0 or 1). Null texts, null labels and empty texts teach nothing. Without rows of both
     classes there is nothing to tell apart: every score is then the smoothed share of label 1."""
-    rows = _sample(labelled)
+    rows = _sample(documents, known)
     # Every other row of a class, in the hash's order: one part for the dictionaries, one for the calibration.
     taught, rest = [{c: [t for t, y in rows if y == c][part::2] for c in (0, 1)} for part in (0, 1)]
     raw = {c: [t.encode("utf-8", "surrogatepass") for t in taught[c]] for c in (0, 1)}
@@ -161,7 +163,7 @@ def fit_on_tables(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows that aren't held out. Labels of a repeated doc_id count once; differing ones, not at all."""
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most"))
     known = known.where(F.col("label") == F.col("most")).select("doc_id", "label")
-    return fit(texts(documents).join(known, "doc_id").select("text", "label"))
+    return fit(documents, known)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
