@@ -198,6 +198,7 @@ def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, id_col: str = "doc_i
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counted = [F.size(F.filter("kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    counted = [F.size(F.array_remove(F.col("kinds"), kind)) for kind in KINDS]
+    counted = [(F.size("kinds") - n).cast("long").alias(f"n_{kind}") for n, kind in zip(counted, KINDS)]
     spans = F.zip_with("kinds", F.arrays_zip("starts", "ends"), lambda k, x: F.concat_ws(":", k, x["starts"].cast("string"), x["ends"].cast("string")))
     return found.select("doc_id", F.size("kinds").cast("long").alias("n_found"), *counted, F.array_join(spans, ",").alias("spans"), "text")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dwellspark.llm.bpe import op3_bpe
 from dwellspark.llm.media_ogg import op10_ogg
+from dwellspark.llm.packing import op5_packing
 from dwellspark.llm.pii import op4_pii
 from dwellspark.llm.quality import op1_quality
 from dwellspark.llm.secrets_scan import op6_secrets
@@ -10,7 +12,9 @@ from dwellspark.llm.sharding import op8_shards
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
+    "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
     "op8_shards": op8_shards,
     "op10_ogg": op10_ogg,
