@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dwellspark.llm import jaccard, substrings
 from dwellspark.llm.bpe import op3_bpe
 from dwellspark.llm.media_ogg import op10_ogg
 from dwellspark.llm.packing import op5_packing
@@ -12,12 +13,14 @@ from dwellspark.llm.sharding import op8_shards
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_substrings": substrings.op2_substrings,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
     "op8_shards": op8_shards,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_ogg": op10_ogg,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_substrings": substrings.ORACLE, "op9_jaccard": jaccard.ORACLE}
