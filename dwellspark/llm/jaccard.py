@@ -34,7 +34,7 @@ SHINGLE = 4
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Shingles that a task gathers before it sends them, and sets that a region may have in one task.
-GATHERED, LARGEST = 4_000_000, 4_000
+GATHERED, LARGEST = 2_000_000, 4_000
 #: Pivots of a region, about, and how often regions are split by pivots.
 PIVOTS, ROUNDS = 16, 2
 _NONE = np.iinfo(np.int64).min
@@ -93,15 +93,17 @@ def _undealt(rows: list[tuple[bytes, bytes]], *kinds: tuple[str, int]) -> list[n
 
 
 def _send_shingles(buckets: int):
-    """Pass over stored sets' documents: each distinct set of a batch once, its shingles by hash, its size by name."""
+    """Each distinct set that a task has gathered once: its shingles by hash, its size by name; and its documents."""
 
-    def send(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+    def send(held: dict[int, np.ndarray], documents: list[tuple[int, int, int]]) -> pa.RecordBatch:
         name = np.fromiter(held, np.int64, len(held))
         size = np.fromiter(map(len, held.values()), np.int64, len(held))
         values, of = np.concatenate([*held.values(), np.empty(0, np.uint64)]), np.repeat(name, size)
         out = [(b, 0, s, p) for b, s, p in _dealt(values, of, (values % np.uint64(buckets)).astype(np.int64))]
         sized = (name.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
         out += [(b, 1, s, p) for b, s, p in _dealt(size.astype(np.uint64), name, sized)]
+        doc, of, n = (np.array([d[i] for d in documents], k) for i, (k, _) in enumerate(_DOCUMENT))
+        out.append((int(mixed(of[:1].view(np.uint64))[0] % np.uint64(buckets)), 2, b"", packed(doc, of, n)))
         return pa.RecordBatch.from_pylist([dict(zip(_SENT.names, r)) for r in out], schema=_SENT)
 
     return send
@@ -112,7 +114,7 @@ def _shared(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(table["kind"].to_pylist(), table["sets"].to_pylist(), table["payload"].to_pylist()))
-        out = [(table["bucket"][i].as_py(), 1, s, p) for i, (k, s, p) in enumerate(rows) if k == 1]
+        out = [(table["bucket"][i].as_py(), k, s, p) for i, (k, s, p) in enumerate(rows) if k]
         name, value = _undealt([(s, p) for k, s, p in rows if k == 0], ("<u8", 1))
         order = np.lexsort((name, value))
         name, value = name[order], value[order]
@@ -128,12 +130,13 @@ def _shared(buckets: int):
     return run
 
 
-_POINT = pa.schema([("name", pa.int64()), ("n", pa.int64()), ("members", pa.binary()), ("counts", pa.binary())])
-_POINT_SQL = "name long, n long, members binary, counts binary"
+_POINT = pa.schema([("name", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("members", pa.binary()), ("counts", pa.binary())])
+_POINT_SQL = "name long, n long, doc_id long, members binary, counts binary"
+_DOCUMENT = (("<i8", 1), ("<i8", 1), ("<i4", 1))
 
 
 def _points(percent: int):
-    """Sets of which enough is shared, with their shared shingles, and with how many sets."""
+    """Sets of which enough is shared, with their shared shingles, and with how many sets; and the rows of documents."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(table["kind"].to_pylist(), table["sets"].to_pylist(), table["payload"].to_pylist()))
@@ -146,8 +149,13 @@ def _points(percent: int):
         for s, e in _runs(name):
             n = int(size[first[np.searchsorted(known, name[s])]])
             if 100 * (e - s) >= percent * n:
-                out.append({"name": int(name[s]), "n": n, "members": value[s:e].tobytes(), "counts": count[s:e].tobytes()})
-        return pa.Table.from_pylist(out, schema=_POINT)
+                out.append((int(name[s]), n, None, value[s:e].tobytes(), count[s:e].tobytes()))
+        tables = [pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_POINT)], schema=_POINT)]
+        for _, _, payload in (r for r in rows if r[0] == 2):
+            doc, name, n = unpacked(payload, *_DOCUMENT)
+            empty = pa.nulls(len(doc), pa.binary())
+            tables.append(pa.table([pa.array(name), pa.array(n.astype("<i8")), pa.array(doc), empty, empty], schema=_POINT))
+        return pa.concat_tables(tables).combine_chunks()
 
     return run
 
@@ -158,7 +166,7 @@ def _rarest(buckets: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, names = [], []
-            for name, n, members, counts in zip(*(batch.column(c).to_pylist() for c in _POINT.names)):
+            for name, n, members, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 value, count = np.frombuffer(members, "<u8"), np.frombuffer(counts, "<i4")
                 # In the order of rarity, those that no other set has come first; they meet nobody.
                 some = n - int(_least(np.int64(n), percent)) + 1 - (n - len(value))
@@ -338,37 +346,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     repeat an id are one document with several texts: each row has its own size, and all are in one component."""
     spark = docs.sparkSession
     short_batches(spark)
-    buckets, send = partitions(spark), _send_shingles(partitions(spark))
+    # Two for each partition: a bucket of shingles is the most that a task holds at once.
+    buckets = 2 * partitions(spark)
+    send = _send_shingles(buckets)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc_id"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents (doc_id, name, n), and rows that carry shingles."""
-        held, gathered = {}, 0
-
-        def sent() -> pa.RecordBatch:
-            rows = send(held)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64())] * 3 + rows.columns, schema=schema)
-
-        schema = pa.schema([("doc_id", pa.int64()), ("name", pa.int64()), ("n", pa.int64()), *_SENT])
+        held, documents, gathered = {}, [], 0
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            names = [named(s) if len(s) else None for s in sets]
-            for name, s in zip(names, sets):
-                if name is not None and name not in held:
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingles(text, size)
+                name = named(s) if len(s) else 0
+                documents.append((doc, name, len(s)))
+                if len(s) and name not in held:
                     held[name] = s
                     gathered += len(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.nulls(len(sets), f.type) for f in _SENT)], schema=schema)
-            if gathered >= GATHERED:
-                yield sent()
-                held, gathered = {}, 0
-        if held:
-            yield sent()
-
-    both = stored(rows.mapInArrow(cut, f"doc_id long, name long, n long, {_SENT_SQL}"))
-    documents = both.where(F.col("bucket").isNull()).select("doc_id", "name", "n")
-    sent = both.where(F.col("bucket").isNotNull()).select("bucket", "kind", "sets", "payload")
-    points = sent.groupBy("bucket").applyInArrow(_shared(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_points(percent), _POINT_SQL)
-    points = stored(points)
+            if gathered >= GATHERED or len(documents) >= GATHERED:
+                yield send(held, documents)
+                held, documents, gathered = {}, [], 0
+        if documents:
+            yield send(held, documents)
+
+    sent = rows.mapInArrow(cut, _SENT_SQL)
+    both = stored(sent.groupBy("bucket").applyInArrow(_shared(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_points(percent), _POINT_SQL))
+    documents = both.where(F.col("members").isNull()).select("doc_id", F.when(F.col("n") > 0, F.col("name")).alias("name"), "n")
+    points = both.where(F.col("members").isNotNull()).select("name", "n", "members", "counts")
     met = points.mapInArrow(_rarest(buckets, percent), _SENT_SQL).groupBy("bucket").applyInArrow(_met, "a long, b long")
     family = components(met).select(F.col("vertex").alias("name"), F.col("component").alias("region"))
     regions = stored(points.join(family, "name").select("region", "name", "n", "members"))

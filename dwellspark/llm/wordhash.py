@@ -15,7 +15,7 @@ class _Known(dict):
     """Hashes of words seen by this worker, forgotten when there are too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found
