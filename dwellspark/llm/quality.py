@@ -127,21 +127,33 @@ def fit(documents: DataFrame, known: DataFrame) -> Model:
     return Model(content[1], content[0], _calibrated(x, y))
 
 
+def _score(model: Model, text: str | None) -> float:
+    scorer, (*slopes, offset) = _scorer(model), model.weights
+    logit = offset + (sum(w * f for w, f in zip(slopes, scorer.features(text or ""))) if scorer else 0.0)
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for every row of docs, in any order. A null text is scored as an empty one."""
 
     def run(batch: pa.RecordBatch):
-        scorer, (*slopes, offset) = _scorer(model), model.weights
-        values = []
-        for t in batch.column(1).to_pylist():
-            logit = offset + (sum(w * f for w, f in zip(slopes, scorer.features(t or ""))) if scorer else 0.0)
-            values.append(1 / (1 + math.exp(-max(-500.0, min(500.0, logit)))))
+        values = [_score(model, t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
 
     rows = texts(docs, id_col, text_col)
     return by_batch(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is at least threshold, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch):
+        yield batch.filter(pa.array([_score(model, t) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return by_batch(docs, run, docs.schema)
+
+
 _HELD: dict = {}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dwellspark.llm import jaccard, substrings
+from dwellspark.llm import jaccard, substrings, vectors
 from dwellspark.llm.bpe import op3_bpe
 from dwellspark.llm.media_ogg import op10_ogg
 from dwellspark.llm.packing import op5_packing
@@ -18,9 +18,10 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
+    "op7_vectors": vectors.op7_vectors,
     "op8_shards": op8_shards,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_ogg": op10_ogg,
 }
 
-ORACLES: dict[str, str] = {"op2_substrings": substrings.ORACLE, "op9_jaccard": jaccard.ORACLE}
+ORACLES: dict[str, str] = {"op2_substrings": substrings.ORACLE, "op7_vectors": vectors.ORACLE, "op9_jaccard": jaccard.ORACLE}

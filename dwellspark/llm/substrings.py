@@ -18,7 +18,7 @@ Documents of equal texts are found first by their hash; only the first of them t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -279,14 +279,15 @@ def _cut(digests: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, *rest = (c.to_pylist() for c in batch.columns)
-            yield _rows([batch.column(0), *zip(*[one(*r) for r in zip(*rest)])] if batch.num_rows else [[]] * 4, names, [pa.int64(), pa.int64(), pa.int64(), pa.string()])
+            found = [one(*r) for r in zip(*(c.to_pylist() for c in batch.columns[1:4]))]
+            made = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[4:]], names + batch.schema.names[4:])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept for each row: kept is the text without its repeated words (null stays null), or
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept, and a struct carried of the columns to carry, for each row: kept is the text without its repeated words (null stays null), or
     with digests the SHA-256 of its kept words joined by one space. id_col is a whole number; a null id comes before
     all others. Rows that repeat an id with another text are documents of their own, in the order of a hash; rows
     that repeat both are one document, seen several times."""
@@ -294,7 +295,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short_batches(spark)
     buckets = partitions(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("sub"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("sub"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     # Copies: all but the first id of each text. Hashes and ids alone are shuffled.
     known = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("of"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("of_sub"), F.md5(text.cast("binary")).alias("md5"))
     known = stored(known.groupBy("md5", "of", "of_sub").agg(F.lit(True).alias("copy")))
@@ -311,8 +312,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     starts = grown.groupBy("bucket").applyInArrow(_repeated, "of long, of_sub int, starts binary")
     told = starts.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("starts", F.lit(None).cast("binary")))
     told = told.groupBy("of", "of_sub").agg(F.collect_list("starts").alias("starts"), F.max("copy").alias("copy"))
-    last = meet(told, "left").select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return last.mapInArrow(_cut(digests), "doc_id long, n_words long, n_removed long, kept string")
+    last = meet(told, "left").select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"), *(["carried"] if carry else []))
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    return last.mapInArrow(_cut(digests), f"{schema}, carried {rows.schema['carried'].dataType.simpleString()}" if carry else schema)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
