@@ -1,7 +1,389 @@
-"""The library's queries by name, and DuckDB SQL for those that SQL expresses."""
+"""The library's queries by name, and DuckDB SQL for those that SQL expresses.
+
+Doubles are rounded on both sides, so that the order of a sum doesn't show."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dwellspark.functions import theory
+from dwellspark.operators import distributions as dist
+from dwellspark.operators import frames, lags, loci, moments, waits
+from dwellspark.sources import tables
+from dwellspark.sources.tables import FLAT, MOVIE, SIM, TRACK
+
 FLAGSHIP = "movie_to_waits"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+KEY = ["traj"]
+DAYS = 86_400.0
+
+
+def query(sql: str | None = None):
+    """Register a function as a query of its name."""
+
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def r(*columns: str, digits: int = 6) -> str:
+    """The same in SQL; adding 0 turns -0 into 0."""
+    return ", ".join(f"round({c.rpartition(' AS ')[0] or c}, {digits}) + 0.0 AS {c.rpartition(' AS ')[2]}" for c in columns)
+
+
+def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waits.waits_of_changes(tables.state_changes(spark, sf_dir), KEY)
+
+
+MOVIE_WAITS = f"""{MOVIE}, ends AS (SELECT *, lead(first_t) OVER w AS after, lag(last_t) OVER w AS before FROM runs WINDOW w AS (PARTITION BY traj ORDER BY island)),
+waits AS (SELECT traj, island::BIGINT AS rank_order, first_t AS start_time, coalesce(after, last_t) AS end_time, coalesce(after, last_t) - first_t AS wait_time, state,
+  last_t - first_t AS min_waits, coalesce(after, last_t) - coalesce(before, first_t) AS max_waits,
+  CASE WHEN before IS NULL AND after IS NULL THEN 'full exterior' WHEN after IS NULL THEN 'right exterior' WHEN before IS NULL THEN 'left exterior' ELSE 'interior' END AS wait_type,
+  max(last_t) OVER (PARTITION BY traj) - min(first_t) OVER (PARTITION BY traj) AS window_size FROM ends)"""
+
+
+@query(f"WITH {MOVIE_WAITS} SELECT traj, rank_order, state, wait_type, {r('start_time', 'end_time', 'wait_time', 'min_waits', 'max_waits', 'window_size', digits=3)} FROM waits")
+def movie_to_waits(spark, sf_dir):
+    return rounded(waits.waits_of_movie(tables.movie(spark, sf_dir), KEY), 3)
+
+
+@query(f"WITH {SIM} SELECT traj, state, rank_order, num_waits, wait_type, {r('start_time', 'end_time', 'wait_time', 'window_size', digits=3)} FROM obs")
+def sim_to_obs(spark, sf_dir):
+    return rounded(obs(spark, sf_dir), 3)
+
+
+@query(f"WITH {SIM} SELECT state, wait_type, count(*) AS n, {r('avg(wait_time) AS mean_wait', digits=3)} FROM obs GROUP BY state, wait_type")
+def wait_type_counts(spark, sf_dir):
+    return rounded(obs(spark, sf_dir).groupBy("state", "wait_type").agg(F.count(F.lit(1)).alias("n"), F.avg("wait_time").alias("mean_wait")), 3)
+
+
+def ecdf_sql(rows: str, x: str) -> str:
+    """Distinct x with running shares by state."""
+    return f"counts AS (SELECT state, {x} AS x, count(*) AS n FROM {rows} GROUP BY state, {x}), curve AS (SELECT state, x, sum(n) OVER (PARTITION BY state ORDER BY x) / sum(n) OVER (PARTITION BY state) AS cdf FROM counts)"
+
+
+INTERIOR = "inner_waits AS (SELECT * FROM obs WHERE wait_type = 'interior')"
+EXTERIOR = "outer_waits AS (SELECT * FROM obs WHERE wait_type IN ('left exterior', 'right exterior'))"
+
+
+@query(f"WITH {SIM}, {INTERIOR}, {ecdf_sql('inner_waits', 'wait_time')} SELECT state, {r('x', digits=3)}, {r('cdf', digits=9)} FROM curve UNION ALL SELECT DISTINCT state, 0.0, 0.0 FROM curve")
+def ecdf_interior(spark, sf_dir):
+    return _curve(dist.ecdf(waits.interior(obs(spark, sf_dir)), ["state"], "wait_time", 0.0))
+
+
+def _curve(df: DataFrame) -> DataFrame:
+    return df.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 9) + F.lit(0.0)).alias("cdf"))
+
+
+@query(f"WITH {SIM}, {EXTERIOR}, {ecdf_sql('outer_waits', 'wait_time')} SELECT state, {r('x', digits=3)}, {r('cdf', digits=9)} FROM curve")
+def ecdf_exterior(spark, sf_dir):
+    return _curve(dist.ecdf(waits.exterior(obs(spark, sf_dir)), ["state"], "wait_time"))
+
+
+GRID = [i * 43_200.0 for i in range(41)]
+
+
+@query(f"WITH {SIM}, {INTERIOR}, g AS (SELECT unnest(range(41)) * 43200.0::DOUBLE AS x) SELECT state, {r('x', digits=3)}, {r('count(*) FILTER (wait_time <= x) / count(*) AS cdf', digits=9)} FROM inner_waits, g GROUP BY state, x")
+def ecdf_allowed_grid(spark, sf_dir):
+    return _curve(dist.ecdf_on(waits.interior(obs(spark, sf_dir)), ["state"], "wait_time", GRID))
+
+
+WEIGHTED = """weights AS (SELECT state, wait_time AS x, sum(1.0 / (window_size - wait_time)) AS w FROM inner_waits WHERE window_size > wait_time{where} GROUP BY state, wait_time)"""
+CURVE_W = "curve AS (SELECT state, x, sum(w) OVER (PARTITION BY state ORDER BY x) / sum(w) OVER (PARTITION BY state) AS cdf FROM {rows})"
+PADDED = "padded AS (SELECT state, x, cdf FROM curve WHERE x <> 0 UNION ALL SELECT DISTINCT state, 0.0::DOUBLE, 0.0::DOUBLE FROM curve)"
+
+
+@query(f"WITH {SIM}, {INTERIOR}, {WEIGHTED.format(where=' AND window_size = 1728000')}, {CURVE_W.format(rows='weights')}, {PADDED} SELECT state, {r('x', digits=3)}, {r('cdf', digits=9)} FROM padded")
+def ecdf_windowed_single(spark, sf_dir):
+    return _curve(dist.ecdf_windowed(waits.interior(obs(spark, sf_dir)).where("window_size = 1728000"), ["state"]))
+
+
+SURVIVAL = "sizes AS (SELECT traj, max(window_size) AS w FROM obs GROUP BY traj), total AS (SELECT count(*) AS n FROM sizes)"
+MULTI = f"""{WEIGHTED.format(where='')}, {SURVIVAL}, survived AS (SELECT x, count(*) / (SELECT n FROM total) AS sf FROM (SELECT DISTINCT x FROM weights) JOIN sizes ON sizes.w >= x GROUP BY x),
+both_w AS (SELECT state, x, w / sf AS w FROM weights JOIN survived USING (x)), {CURVE_W.format(rows='both_w')}, {PADDED}"""
+
+
+@query(f"WITH {SIM}, {INTERIOR}, {MULTI} SELECT state, {r('x', digits=3)}, {r('cdf', digits=9)} FROM padded")
+def ecdf_windowed_multi(spark, sf_dir):
+    found = obs(spark, sf_dir)
+    return _curve(dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY))
+
+
+@query(f"WITH {SIM}, {SURVIVAL}, q AS (SELECT DISTINCT state, wait_time AS x FROM obs) SELECT state, {r('x', digits=3)}, {r('(SELECT count(*) FROM sizes WHERE w >= x) / (SELECT n FROM total) AS sf', digits=9)} FROM q")
+def window_sf(spark, sf_dir):
+    found = obs(spark, sf_dir)
+    at = found.select("state", F.col("wait_time").alias("x")).distinct()
+    sf = dist.window_survival(found, KEY, at, ["state"])
+    return sf.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("sf", 9) + F.lit(0.0)).alias("sf"))
+
+
+@query(f"WITH {SIM}, {INTERIOR}, {MULTI}, n AS (SELECT *, lead(x) OVER w AS x_to, lead(cdf) OVER w AS c FROM padded WINDOW w AS (PARTITION BY state ORDER BY x)) SELECT state, {r('x', 'x_to', digits=3)}, {r('(c - cdf) / (x_to - x) * 86400 AS pmf')} FROM n WHERE x_to - x >= 1")
+def ecdf_bars(spark, sf_dir):
+    found = obs(spark, sf_dir)
+    made = dist.bars(dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY), ["state"]).where("x_to - x >= 1")
+    return made.select("state", F.round("x", 3).alias("x"), F.round("x_to", 3).alias("x_to"), (F.round(F.col("pmf") * 86400, 6) + F.lit(0.0)).alias("pmf"))
+
+
+@query(f"WITH {SIM}, {INTERIOR}, {MULTI}, s AS (SELECT *, coalesce(cdf * (x - lag(x) OVER (PARTITION BY state ORDER BY x)), 0) AS step FROM padded) SELECT state, {r('x', digits=3)}, {r('sum(step) OVER (PARTITION BY state ORDER BY x) AS area', digits=3)} FROM s")
+def ccdf_int(spark, sf_dir):
+    found = obs(spark, sf_dir)
+    return rounded(dist.integral(dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY), ["state"]).select("state", "x", "area"), 3)
+
+
+@query()
+def ext_int_fit(spark, sf_dir):
+    found = obs(spark, sf_dir)
+    inner = dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY)
+    return dist.exterior_fit(dist.ecdf(waits.exterior(found), ["state"], "wait_time", 0.0), inner, ["state"])
+
+
+@query(f"""WITH {SIM}, b AS (SELECT state, wait_time AS x, count(*) FILTER (wait_type = 'interior') AS d, count(*) AS n FROM obs GROUP BY state, wait_time),
+k AS (SELECT *, sum(n) OVER (PARTITION BY state ORDER BY x DESC) AS risk FROM b)
+SELECT state, {r('x', digits=3)}, {r('1 - product(1 - d / risk) OVER (PARTITION BY state ORDER BY x) AS cdf', digits=9)} FROM k""")
+def kaplan_meier(spark, sf_dir):
+    return _curve(dist.kaplan_meier(obs(spark, sf_dir), ["state"]))
+
+
+@query(f"""WITH {SIM}, s AS (SELECT *, min(start_time) OVER (PARTITION BY traj) AS w0 FROM obs), e AS (SELECT state, sum(wait_time) AS spent, count(*) FILTER (abs(end_time - w0 - window_size) > 1e-8 + 1e-5 * window_size) AS ends FROM s GROUP BY state)
+SELECT state, {r('(SELECT sum(w) FROM (SELECT max(window_size) AS w FROM obs GROUP BY traj)) / (SELECT avg(ends) FROM e) * spent / (SELECT sum(spent) FROM e) AS mean_wait', digits=3)} FROM e""")
+def average_lifetime(spark, sf_dir):
+    return rounded(waits.mean_lifetimes(obs(spark, sf_dir), KEY), 3)
+
+
+@query(f"WITH {SIM}, {INTERIOR} SELECT state, {r('1 + count(*) / sum(ln(wait_time / 3600)) AS slope')} FROM inner_waits WHERE wait_time >= 3600 GROUP BY state")
+def power_law_mle(spark, sf_dir):
+    return rounded(moments.power_law_slope(waits.interior(obs(spark, sf_dir)), ["state"], "wait_time", 3600.0))
+
+
+@query(f"""WITH {SIM}, {INTERIOR}, b AS (SELECT state, least(floor(wait_time / 43200)::BIGINT + 1, 40) AS bin, sum(1.0 / (window_size - wait_time)) AS weight FROM inner_waits WHERE window_size > wait_time AND wait_time <= 1728000 GROUP BY ALL)
+SELECT state, bin, {r('weight * 1e6 AS weight', 'weight / sum(weight) OVER (PARTITION BY state) / 43200 * 1e6 AS density')} FROM b""")
+def hist_weighted(spark, sf_dir):
+    inner = waits.interior(obs(spark, sf_dir)).where("window_size > wait_time").withColumn("w", 1 / (F.col("window_size") - F.col("wait_time")))
+    found = dist.histogram(inner, ["state"], "wait_time", 0.0, 1_728_000.0, 40, "w")
+    return rounded(found.withColumns({"weight": F.col("weight") * 1e6, "density": F.col("density") * 1e6}))
+
+
+PAIRS = f"""{TRACK}, pairs AS (SELECT a.traj, a.condition, a.t AS ti, b.t - a.t AS delta, b.t AS tf, b.x - a.x AS vx, b.y - a.y AS vy FROM track a JOIN track b ON a.traj = b.traj AND b.t >= a.t)"""
+
+
+@query(f"WITH {PAIRS} SELECT traj, ti, delta, tf, {r('vx', 'vy')} FROM pairs")
+def lag_pairs(spark, sf_dir):
+    return rounded(lags.lag_pairs(tables.track(spark, sf_dir), KEY, coords=("x", "y")))
+
+
+@query(f"WITH {PAIRS} SELECT traj, ti, delta, tf, {r('vx')} FROM pairs WHERE delta IN (1, 2, 5)")
+def lag_pairs_fixed(spark, sf_dir):
+    found = lags.lag_pairs_at(tables.track(spark, sf_dir), KEY, [1, 2, 5])
+    return rounded(found.withColumn("delta", F.col("delta").cast("long")))
+
+
+@query(f"WITH {PAIRS} SELECT traj, ti, delta, tf, {r('vx')} FROM pairs WHERE delta = 0 OR ti % delta = 0")
+def lag_pairs_independent(spark, sf_dir):
+    return rounded(lags.lag_pairs(tables.track(spark, sf_dir), KEY, independent=True))
+
+
+@query(f"WITH {PAIRS} SELECT traj, ti, delta, {r('vx * vx + vy * vy AS displacement', digits=4)} FROM pairs WHERE delta > 0")
+def sq_disp(spark, sf_dir):
+    pairs = lags.lag_pairs(tables.track(spark, sf_dir), KEY, coords=("x", "y")).where("delta > 0")
+    return rounded(pairs.select("traj", "ti", "delta", lags.squared(("x", "y")).alias("displacement")), 4)
+
+
+def _msd(value: str, power: int) -> str:
+    n = "count(*)" if power == 2 else "(count(*) - 1)"
+    return f"WITH {PAIRS} SELECT delta, {r(f'avg({value}) AS mean', f'stddev_samp({value}) AS std', f'CASE WHEN {n} > 0 THEN stddev_samp({value}) / sqrt({n}) END AS ste', digits=3)}, count(*) AS count FROM pairs GROUP BY delta"
+
+
+@query(_msd("sqrt(vx * vx + vy * vy)", 1))
+def msd_abs(spark, sf_dir):
+    pairs = lags.lag_pairs(tables.track(spark, sf_dir), KEY, coords=("x", "y"))
+    return rounded(lags.displacement_moments(pairs, [], ("x", "y"), 1), 3)
+
+
+@query(_msd("(vx * vx + vy * vy)", 2))
+def msd_sq(spark, sf_dir):
+    pairs = lags.lag_pairs(tables.track(spark, sf_dir), KEY, coords=("x", "y"))
+    return rounded(lags.displacement_moments(pairs, [], ("x", "y"), 2), 3)
+
+
+@query(f"WITH {TRACK}, p AS (SELECT b.t - a.t AS t, a.x * b.x AS xx FROM track a JOIN track b ON a.traj = b.traj AND b.t >= a.t) SELECT t, {r('avg(xx) AS mean', 'stddev_samp(xx) AS std', digits=3)}, count(*) AS count FROM p GROUP BY t")
+def autocorr(spark, sf_dir):
+    return rounded(lags.autocorrelation(tables.track(spark, sf_dir), KEY), 3)
+
+
+CVV = f"""{PAIRS}, prods AS (SELECT a.traj, a.delta, b.ti - a.ti AS t, b.ti AS tau, a.vx * b.vx + a.vy * b.vy AS cvv FROM pairs a JOIN pairs b ON a.traj = b.traj AND a.delta = b.delta AND b.ti >= a.ti
+  WHERE a.delta IN (1, 2, 4) AND b.ti - a.ti <= 4 * a.delta),
+sums AS (SELECT delta, t, sum(cvv * cvv) AS sqs, sum(cvv) AS sum, count(*) AS cnt FROM prods GROUP BY delta, t)"""
+
+
+def _velocities(spark, sf_dir):
+    pairs = lags.lag_pairs_at(tables.track(spark, sf_dir), KEY, [1, 2, 4], coords=("x", "y"))
+    return lags.velocity_products(pairs.withColumn("delta", F.col("delta").cast("long")), KEY, ("x", "y"))
+
+
+@query(f"WITH {CVV} SELECT traj, delta, t, tau, {r('cvv', digits=3)} FROM prods")
+def vel_corr(spark, sf_dir):
+    return rounded(_velocities(spark, sf_dir), 3)
+
+
+@query(f"WITH {CVV} SELECT delta, t, {r('sqs / 1e6 AS sqs', 'sum / 1e6 AS sum', digits=3)}, cnt FROM sums")
+def cvv_stats(spark, sf_dir):
+    sums = lags.correlation_sums(_velocities(spark, sf_dir), [])
+    return rounded(sums.withColumns({"sqs": F.col("sqs") / 1e6, "sum": F.col("sum") / 1e6}), 3)
+
+
+@query(f"""WITH {CVV}, c AS (SELECT delta, t, sum / cnt AS cvv, sqrt(greatest(sqs / cnt - (sum / cnt) * (sum / cnt), 0)) / sqrt(cnt) AS ste FROM sums),
+z AS (SELECT *, max(CASE WHEN t = 0 THEN cvv END) OVER (PARTITION BY delta) AS zero FROM c) SELECT delta, t, {r('cvv / zero AS cvv_normed', 'ste / zero AS ste_normed')} FROM z""")
+def cvv_normed(spark, sf_dir):
+    curves = lags.correlation_curves(lags.correlation_sums(_velocities(spark, sf_dir), []), [])
+    return rounded(curves.select("delta", "t", "cvv_normed", "ste_normed"))
+
+
+@query(f"WITH {PAIRS} SELECT traj, tf AS t, {r('sum(vx) OVER (PARTITION BY traj ORDER BY tf) AS x')} FROM pairs WHERE delta = 1")
+def vel_to_pos(spark, sf_dir):
+    return rounded(lags.positions(lags.lag_pairs_at(tables.track(spark, sf_dir), KEY, [1]), KEY))
+
+
+@query(f"""WITH {TRACK}, m AS (SELECT condition, count(x)::DOUBLE AS x0, avg(x) AS x1, avg(x * x) AS x2, count(y)::DOUBLE AS y0, avg(y) AS y1, avg(y * y) AS y2 FROM track GROUP BY condition)
+SELECT condition, c AS "column", k AS moment, {r('v AS value')} FROM m, LATERAL (VALUES ('x', 0, x0), ('x', 1, x1), ('x', 2, x2), ('y', 0, y0), ('y', 1, y1), ('y', 2, y2)) u(c, k, v)""")
+def raw_moments(spark, sf_dir):
+    return rounded(moments.moments(tables.track(spark, sf_dir), ["condition"], ["x", "y"]))
+
+
+@query(f"""WITH {TRACK}, m AS (SELECT condition, count(x)::DOUBLE AS x0, avg(x) AS x1, avg(x * x) AS x2 FROM track GROUP BY condition)
+SELECT condition, 'x' AS "column", k AS moment, {r('v AS value')} FROM m, LATERAL (VALUES (0, x0), (1, x1), (2, x2)) u(k, v)""")
+def combine_moments(spark, sf_dir):
+    """Moments of each trajectory, combined: the same as moments of the whole."""
+    return rounded(moments.combine_moments(moments.moments(tables.track(spark, sf_dir), ["condition", "traj"], ["x"]), ["condition"], ["traj"]))
+
+
+@query(f"WITH {PAIRS}, p AS (SELECT condition, delta, avg(vx * vx) AS mean, count(*) AS count FROM pairs GROUP BY condition, delta) SELECT condition, {r('sum(mean * count) / sum(count) AS mean', digits=4)} FROM p GROUP BY condition")
+def re_agg_mean(spark, sf_dir):
+    pairs = lags.lag_pairs(tables.track(spark, sf_dir).withColumn("k", F.col("condition")), ["traj"]).select("traj", "ti", "delta", "vx")
+    start = tables.track(spark, sf_dir).select("traj", F.col("t").alias("ti"), "condition")
+    parts = lags.displacement_moments(pairs.join(start, ["traj", "ti"]), ["condition"], ("x",), 2)
+    return rounded(moments.mean_of_means(parts, ["condition"]), 4)
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT traj, delta, avg(vx * vx) AS mean FROM pairs WHERE delta > 0 GROUP BY traj, delta), l AS (SELECT traj, ln(delta) AS lx, ln(mean) AS ly FROM m WHERE mean > 0),
+f AS (SELECT traj, regr_slope(ly, lx) AS slope, regr_intercept(ly, lx) AS intercept, count(*) AS n FROM l GROUP BY traj) SELECT traj, {r('slope', 'intercept')}, n FROM f WHERE n >= 3""")
+def loglog_slope(spark, sf_dir):
+    pairs = lags.lag_pairs(tables.track(spark, sf_dir), KEY).where("delta > 0")
+    return rounded(moments.loglog_fit(lags.displacement_moments(pairs, KEY, ("x",), 2), KEY).where("n >= 3").select("traj", "slope", "intercept", "n"))
+
+
+@query(f"WITH {PAIRS} SELECT condition, {r('avg(mean) AS plateau', digits=3)} FROM (SELECT condition, delta, avg(vx * vx) AS mean FROM pairs WHERE delta > 4 AND delta < 9 GROUP BY condition, delta) GROUP BY condition")
+def plateau(spark, sf_dir):
+    track = tables.track(spark, sf_dir)
+    pairs = lags.lag_pairs(track, KEY, max_delta=9).where("delta > 4").join(track.select("traj", F.col("t").alias("ti"), "condition"), ["traj", "ti"])
+    return rounded(lags.displacement_moments(pairs, ["condition"]).groupBy("condition").agg(F.avg("mean").alias("plateau")), 3)
+
+
+@query(f"WITH {TRACK}, c AS (SELECT traj, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM track WINDOW w AS (PARTITION BY traj)) SELECT traj, {r('avg(sqrt(dx * dx + dy * dy)) AS radius')} FROM c GROUP BY traj")
+def rad_gyration(spark, sf_dir):
+    return rounded(moments.gyration(tables.track(spark, sf_dir), KEY, ("x", "y")))
+
+
+LABELLED = f"{FLAT}, labelled AS (SELECT *, CASE WHEN X2 IS NULL THEN 'pair' ELSE 'unp' END AS foci FROM flat)"
+
+
+@query(f"WITH {LABELLED} SELECT traj, t, foci FROM labelled")
+def foci_label(spark, sf_dir):
+    return loci.label_foci(tables.two_loci(spark, sf_dir)).select("traj", "t", "foci")
+
+
+@query(f"WITH {LABELLED} SELECT t, {r('avg((foci = $$pair$$)::INT) AS mean', 'stddev_samp((foci = $$pair$$)::INT) AS std')}, count(*) AS count FROM labelled GROUP BY t".replace("$$", "'"))
+def pair_fraction(spark, sf_dir):
+    return rounded(moments.fraction(loci.label_foci(tables.two_loci(spark, sf_dir)), ["t"], F.col("foci") == "pair"))
+
+
+@query(f"WITH {LABELLED}, m AS (SELECT traj, traj % 5 AS condition, bool_or(foci = 'pair') AND bool_or(foci = 'unp') AS mixed FROM labelled GROUP BY traj) SELECT condition, {r('avg(mixed::INT) AS mean')}, count(*) AS count FROM m GROUP BY condition")
+def mixed_fraction(spark, sf_dir):
+    by_cell = loci.label_foci(tables.two_loci(spark, sf_dir)).groupBy("traj").agg((F.bool_or(F.col("foci") == "pair") & F.bool_or(F.col("foci") == "unp")).alias("mixed"))
+    return rounded(moments.fraction(by_cell.withColumn("condition", F.col("traj") % 5), ["condition"], F.col("mixed")).drop("std"))
+
+
+@query(f"WITH {LABELLED}, d AS (SELECT traj, t, coalesce(X2, X1) - X1 AS dx, coalesce(Y2, Y1) - Y1 AS dy, coalesce(Z2, Z1) - Z1 AS dz FROM labelled) SELECT traj, t, {r('sqrt(dx * dx + dy * dy + dz * dz) AS distance')} FROM d")
+def paired_cols(spark, sf_dir):
+    return rounded(loci.separation(loci.fill_second(tables.two_loci(spark, sf_dir))).select("traj", "t", "distance"))
+
+
+@query(f"WITH {LABELLED} SELECT traj, t, sum((X2 IS NULL)::INT) OVER (PARTITION BY traj ORDER BY t)::BIGINT AS na_id FROM labelled")
+def na_id(spark, sf_dir):
+    return loci.number_gaps(tables.two_loci(spark, sf_dir), KEY, ["X1", "X2"]).select("traj", "t", "na_id")
+
+
+@query(f"WITH {LABELLED}, c AS (SELECT traj, t, coalesce((foci <> lag(foci) OVER (PARTITION BY traj ORDER BY t))::INT, 0) AS c FROM labelled) SELECT traj, t, sum(c) OVER (PARTITION BY traj ORDER BY t)::BIGINT AS wait_id FROM c")
+def wait_id(spark, sf_dir):
+    return loci.number_waits(loci.label_foci(tables.two_loci(spark, sf_dir)), KEY).select("traj", "t", "wait_id")
+
+
+@query(f'WITH {FLAT} SELECT traj, t, 1 AS spot, {r("X1 AS X", "Y1 AS Y", "Z1 AS Z")} FROM flat UNION ALL SELECT traj, t, 2, {r("X2 AS X", "Y2 AS Y", "Z2 AS Z")} FROM flat')
+def pivot_long(spark, sf_dir):
+    return rounded(loci.long_form(tables.two_loci(spark, sf_dir)))
+
+
+@query(f'WITH {FLAT} SELECT traj, t, {r("X1", "Y1", "Z1", "X2", "Y2", "Z2")} FROM flat')
+def pivot_wide(spark, sf_dir):
+    return rounded(loci.wide_form(loci.long_form(tables.two_loci(spark, sf_dir)), ["traj", "t"]))
+
+
+@query(f"""WITH {SIM}, g AS (SELECT traj, k * 43200.0::DOUBLE AS t FROM (SELECT DISTINCT traj FROM sim), unnest(range(41)) u(k)), e AS (SELECT traj, max(end_time) AS e FROM sim GROUP BY traj)
+SELECT g.traj, {r('g.t AS t', digits=3)}, CASE WHEN g.t <= e.e THEN s.state END AS state FROM g ASOF LEFT JOIN sim s ON g.traj = s.traj AND g.t >= s.start_time JOIN e ON g.traj = e.traj""")
+def asof_movie(spark, sf_dir):
+    changes = tables.state_changes(spark, sf_dir)
+    return rounded(frames.as_of(changes, frames.frame_grid(changes, KEY, 43_200.0, 41), KEY), 3)
+
+
+@query(f"""WITH {SIM}, i AS (SELECT traj, state, start_time, greatest(ceil(start_time / 3600), 0)::BIGINT AS i, least(ceil(max(end_time) OVER (PARTITION BY traj) / 3600)::BIGINT - 1, 720) AS last FROM sim),
+f AS (SELECT *, min(i) OVER (PARTITION BY traj) AS first FROM i), s AS (SELECT traj, i, first, last, arg_max(state, start_time) AS state FROM f WHERE i <= last GROUP BY traj, i, first, last),
+d AS (SELECT *, lag(state) OVER (PARTITION BY traj ORDER BY i) AS before FROM s), n AS (SELECT * FROM d WHERE before IS DISTINCT FROM state)
+SELECT traj, state, i * 3600.0::DOUBLE AS start_time, coalesce(lead(i) OVER (PARTITION BY traj ORDER BY i), last) * 3600.0::DOUBLE AS end_time, first * 3600.0::DOUBLE AS window_start, last * 3600.0::DOUBLE AS window_end FROM n""")
+def frame_times(spark, sf_dir):
+    return frames.quantised(tables.state_changes(spark, sf_dir), KEY, 3_600.0, 721)
+
+
+@query(f"""WITH {TRACK}, s AS (SELECT traj, (t - min(t) OVER (PARTITION BY traj))::DOUBLE AS t FROM track), g AS (SELECT unnest([0.0, 2.5, 7.25]::DOUBLE[]) AS wanted)
+SELECT traj, wanted, arg_min(t, struct_pack(o := abs(t - wanted), t := t)) AS t FROM s, g GROUP BY traj, wanted""")
+def nearest_time(spark, sf_dir):
+    return frames.nearest_times(tables.track(spark, sf_dir).withColumn("t", F.col("t").cast("double")), KEY, "t", [0.0, 2.5, 7.25])
+
+
+@query(f"""WITH {SIM}, {INTERIOR}, {ecdf_sql('inner_waits', 'wait_time')}, g AS (SELECT DISTINCT state, unnest(range(41)) * 43200.0::DOUBLE AS x FROM curve),
+b AS (SELECT g.state, g.x, a.x AS x0, a.cdf AS y0 FROM g ASOF LEFT JOIN curve a ON g.state = a.state AND g.x >= a.x), n AS (SELECT b.*, c.x AS x1, c.cdf AS y1 FROM b ASOF LEFT JOIN curve c ON b.state = c.state AND b.x <= c.x)
+SELECT state, {r('x', digits=3)}, {r('CASE WHEN x0 = x THEN y0 ELSE coalesce(y0 + (y1 - y0) * (x - x0) / (x1 - x0), y0, y1) END AS cdf')} FROM n""")
+def interp_lookup(spark, sf_dir):
+    curve = dist.ecdf(waits.interior(obs(spark, sf_dir)), ["state"], "wait_time")
+    at = curve.select("state").distinct().select("state", F.explode(F.array(*(F.lit(g) for g in GRID))).alias("x"))
+    found = dist.interpolated(curve, at, ["state"])
+    return found.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 6) + F.lit(0.0)).alias("cdf"))
+
+
+@query(f"""WITH {TRACK}, v AS (SELECT traj, t, t + 1.0 AS u FROM track)
+SELECT traj, t, {r("3 * sin(0.5 * pi()) / (pi() * 0.75 * 0.5 * 0.5) * u ** 0.5 AS msd", "-3 * sin(0.5 * pi()) / (pi() * 1.5) * abs(u ** (-1.5)) AS cv", "(abs(u - 3) ** 0.5 - 2 * abs(u) ** 0.5 + abs(u + 3) ** 0.5) / (2 * 3 ** 0.5) AS cvv", "sqrt(2) * cos(pi() * t * 0.25) * (t <> 0)::INT + (t = 0)::INT AS mode")} FROM v""")
+def diffusion_theory(spark, sf_dir):
+    u, t = F.col("t") + 1.0, F.col("t").cast("double")
+    return rounded(
+        tables.track(spark, sf_dir).select(
+            "traj", "t", theory.fractional_msd(u, 0.5).alias("msd"), theory.fractional_velocity_correlation(u, 0.5).alias("cv"),
+            theory.normalised_velocity_correlation(u, F.lit(3.0), 0.5).alias("cvv"), theory.rouse_mode(t, F.lit(0.25)).alias("mode"),
+        )
+    )
+
+
+@query(f"""WITH {TRACK}, v AS (SELECT DISTINCT t FROM track), k AS (SELECT t, 3 * pi() * pi() / 100 * (2 * p) ** 2 AS k FROM v, unnest(range(1, 101)) u(p))
+SELECT t, {r("sum(12 / k * (1 - exp(-k * t / 100))) + 0.06 * t AS msd")} FROM k GROUP BY t""")
+def rouse_msd(spark, sf_dir):
+    times = tables.track(spark, sf_dir).select("t").distinct()
+    return rounded(times.select("t", theory.rouse_middle_msd(F.col("t").cast("double"), 1.0, 100.0).alias("msd")))
