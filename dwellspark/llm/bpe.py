@@ -12,11 +12,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from dwellspark.llm.common import partitions, short_batches, stored, texts
 
 #: Text of a block in characters, at most, but for a single longer document.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 #: Longest word in bytes that is folded: the fold takes the square of a word's length. Longer ones, which prose
 #: doesn't have, are encoded one by one by a library, to the same ids.
 LONG = 200
@@ -97,53 +100,42 @@ class Coder:
 
     def __init__(self, ranks: dict[bytes, int]):
         entries, shifts = laid_out(pair_ranks(ranks))
-        pieces = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            pieces[rank] = token
         self._entries, self._shifts = _literal(entries.tolist()), _literal(shifts.tolist())
-        self._bytes, self._pieces = _literal([ranks[bytes([b])] for b in range(256)]), _literal([p.hex() for p in pieces], "string")
         self._size, self._groups = len(entries), len(shifts)
 
     def _rank(self, left: Column, right: Column) -> Column:
-        """The rank of a pair; negative or PAIR and above if it is none."""
+        """The rank of a pair; PAIR if it is none, null if either is missing."""
         pair = left * F.lit(PAIR) + right
         at = (pair * F.lit(FACTOR) + F.get(self._shifts, (pair % self._groups).cast("int"))) % self._size
-        return F.get(self._entries, at.cast("int")) - pair * F.lit(PAIR)
+        entry = F.array(F.get(self._entries, at.cast("int")) - pair * F.lit(PAIR))
+        return F.get(F.transform(entry, lambda r: F.when((r >= 0) & (r < PAIR), r).otherwise(F.when(r.isNotNull(), F.lit(PAIR).cast("bigint")))), F.lit(0))
 
-    def ids(self, word: Column) -> Column:
-        """array<bigint> of a word given as binary, by folding merges over its bytes."""
-        hexed = F.hex(word)
-        start = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1))),
-            lambda i: F.get(self._bytes, F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int")).cast("long"),
-        )
+    def ids(self, start: Column) -> Column:
+        """array<bigint> of a word given as the ids of its bytes, by folding merges over them. The state holds the ids
+        and the ranks of neighbours; a merge changes two ranks."""
+        pairs = F.sequence(F.lit(1), F.greatest(F.size(start) - 1, F.lit(1)))
+        ranks = F.filter(F.transform(pairs, lambda i: self._rank(F.get(start, i - 1), F.get(start, i))), lambda r: r.isNotNull())
 
         def step(state: Column, _: Column) -> Column:
-            ids = state["ids"]
-            ranks = F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: self._rank(F.get(ids, i - 1), F.get(ids, i)))
             # A one-element array binds a value to a name, so that it is computed once.
-            merged = F.transform(F.array(ranks), lambda r: _first_lowest(ids, r))
-            return F.when(state["done"] | (F.size(ids) < 2), state).otherwise(F.get(merged, F.lit(0)))
+            return F.get(F.transform(F.array(F.array_min(state["ranks"])), lambda low: self._merged(state, low)), F.lit(0))
 
-        state = F.struct(start.alias("ids"), F.lit(False).alias("done"))
-        folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1))), state, step)
-        return F.when(F.octet_length(word) == 0, F.array().cast("array<bigint>")).otherwise(folded["ids"])
+        state = F.struct(start.alias("ids"), ranks.alias("ranks"))
+        return F.aggregate(pairs, state, step)["ids"]
 
-    def piece(self, ids: Column) -> Column:
-        """The bytes of ids as binary: their pieces, concatenated."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i.cast("int"))), ""))
+    def _merged(self, state: Column, low: Column) -> Column:
+        """The first pair of the lowest rank in one, or the state as it is if there is none."""
+        ids, ranks = state["ids"], state["ranks"]
 
+        def at(place: Column) -> Column:
+            around = F.array(self._rank(F.get(ids, place - 2), low), self._rank(low, F.get(ids, place + 1)))
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), place - 1), F.array(low), F.slice(ids, place + 2, F.size(ids))).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), F.greatest(place - 2, F.lit(0))), F.filter(around, lambda r: r.isNotNull()), F.slice(ranks, place + 2, F.size(ranks))).alias("ranks"),
+            )
 
-def _first_lowest(ids: Column, ranks: Column) -> Column:
-    """ids with the first pair of the lowest rank merged, or as they are and done if no pair has a rank."""
-    lowest = F.array_min(F.filter(ranks, lambda r: (r >= 0) & (r < PAIR)))
-
-    def merged(low: Column) -> Column:
-        at = F.array_position(ranks, low).cast("int")
-        joined = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids)))
-        return F.when(low.isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(F.struct(joined.alias("ids"), F.lit(False).alias("done")))
-
-    return F.get(F.transform(F.array(lowest), merged), F.lit(0))
+        first = F.array(F.array_position(ranks, low).cast("int"))
+        return F.when(low.isNull() | (low >= PAIR), state).otherwise(F.get(F.transform(first, at), F.lit(0)))
 
 
 class Splitter:
@@ -163,100 +155,173 @@ class Splitter:
         return (self._FAST if self._own and self._KNOWN.fullmatch(text) else self._any).findall(text)
 
 
-_BLOCKS = "block string, doc_id {id}, codes binary, n_words long, words array<binary>"
-_SCHEMA = lambda id_type: pa.schema([("block", pa.string()), ("doc_id", id_type), ("codes", pa.binary()), ("n_words", pa.int64()), ("words", pa.list_(pa.binary()))])
+_SPLIT = "block string, doc_id {id}, codes binary, n_words long, bucket int, words binary, word_codes binary"
+
+
+def _squeezed(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _loose(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def _packed(codes: list[int]) -> bytes:
-    """The codes' bytes by significance, compressed: high ones are mostly zero."""
-    planes = np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+def _numbers(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed by the significance of their bytes: high ones are mostly zero."""
+    return _squeezed(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=4 * n + 1), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+def _numbered(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_loose(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows of two kinds, which share a block: a document as codes of words, or the block's words in the codes' order.
-    A null text is as an empty one."""
+def _listed(words: list[bytes]) -> bytes:
+    """Words of any bytes: their number, their lengths, and they themselves."""
+    return _squeezed(np.array([len(words), *map(len, words)], "<u4").tobytes(), *words)
+
+
+def _words(raw: bytes) -> list[bytes]:
+    data = _loose(raw)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = np.cumsum(np.r_[4 * n + 4, np.frombuffer(data, "<u4", n, 4)]).tolist()
+    return [data[s:e] for s, e in zip(ends, ends[1:])]
+
+
+def split(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of two kinds that share a block: a document as codes of words, frequent words having low ones; and the block's
+    distinct words, by bucket of their hash, with their codes. A null text is as an empty one."""
     rows = texts(docs, id_col, text_col)
     short_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, chars, block = Splitter(), {}, 0, 0
-        part = TaskContext.get().partitionId()
-
-        def words(name: str) -> pa.RecordBatch:
-            listed = pa.array([[w.encode("utf-8", "surrogatepass") for w in known]], pa.list_(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), listed], schema=_SCHEMA(id_type))
-
-        id_type = None
+        cut, part, number, id_type = Splitter(), TaskContext.get().partitionId(), 0, None
+
+        def block(known: dict[str, int], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            name = f"{part}-{number}"
+            count = np.bincount(np.concatenate([c for _, c in held]), minlength=len(known))
+            code = np.empty(len(known), np.int64)
+            code[np.argsort(-count, kind="stable")] = np.arange(len(known))
+            kinds = (pa.string(), id_type, pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            names = ["block", "doc_id", "codes", "n_words", "bucket", "words", "word_codes"]
+            for s in range(0, len(held), 256):
+                own = held[s : s + 256]
+                columns = [[name] * len(own), [d for d, _ in own], [_numbers(code[c]) for _, c in own], [len(c) for _, c in own], *[[None] * len(own)] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            dealt: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
+            for word, c in zip(known, code.tolist()):
+                raw = word.encode("utf-8", "surrogatepass")
+                dealt[zlib.crc32(raw) % buckets].append((raw, c))
+            for b, own in enumerate(dealt):
+                if own:
+                    own.sort()
+                    columns = [[name], [None], [None], [None], [b], [_listed([w for w, _ in own])], [_numbers(np.array([c for _, c in own]))]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        known, held, chars = {}, [], 0
         for batch in batches:
-            id_type, codes, counts, names = batch.schema.field(0).type, [], [], []
-            for text in batch.column(1).to_pylist():
-                if chars and chars + len(text or "") > block_chars:
-                    yield words(f"{part}-{block}")
-                    known, chars, block = {}, 0, block + 1
-                chars += len(text or "")
-                found = split(text) if text else []
+            id_type = batch.schema.field(0).type
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and chars + len(text or "") > block_chars:
+                    yield from block(known, held)
+                    known, held, chars, number = {}, [], 0, number + 1
+                found = cut(text) if text else []
                 own = [known.get(w, -1) for w in found]
                 if -1 in own:
                     own = [known.setdefault(w, len(known)) for w in found]
-                names.append(f"{part}-{block}")
-                counts.append(len(own))
-                codes.append(_packed(own))
-            yield pa.RecordBatch.from_arrays([pa.array(names), batch.column(0), pa.array(codes, pa.binary()), pa.array(counts, pa.int64()), pa.nulls(len(names), pa.list_(pa.binary()))], schema=_SCHEMA(id_type))
-        if id_type is not None:
-            yield words(f"{part}-{block}")
+                held.append((doc, np.array(own, np.int64).astype("<u4")))
+                chars += len(text or "")
+        if held:
+            yield from block(known, held)
 
-    return rows.mapInArrow(run, _BLOCKS.format(id=rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(run, _SPLIT.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
-def encode_words(distinct: DataFrame, path: str) -> DataFrame:
-    """distinct: word (binary). Adds ids (array<bigint>) and piece (binary: the ids decoded)."""
-    coder = Coder(ranks_of(path))
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """words: bucket, words (packed lists), several rows for a bucket. For each bucket its distinct words and their ids,
+    packed in turn: bucket, known, counts, ids."""
+    ranks = ranks_of(path)
+    coder = Coder(ranks)
+    first = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
-    def long_ones(batches):
-        known = tiktoken.Encoding("long", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of(path), special_tokens={})
-        for batch in batches:
-            ids = [known._encode_single_piece(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], ["word", "ids"])
+    def distinct(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        found = sorted({w for raw in table["words"].to_pylist() for w in _words(raw)})
+        start = [first[np.frombuffer(w, np.uint8)] if len(w) <= LONG else first[:0] for w in found]
+        return pa.table([pa.array([bucket] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array(start, pa.list_(pa.int64()))], ["bucket", "word", "start"])
 
-    folded = distinct.where(F.octet_length("word") <= LONG).select("word", coder.ids(F.col("word")).alias("ids"))
-    rest = distinct.where(F.octet_length("word") > LONG).mapInArrow(long_ones, "word binary, ids array<bigint>")
-    return folded.unionByName(rest).select("word", "ids", coder.piece(F.col("ids")).alias("piece"))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longer = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for b in pc.unique(batch.column(0)).to_pylist():
+                own = table.filter(pc.equal(table["bucket"], b))
+                known, ids = own["word"].to_pylist(), own["ids"].to_pylist()
+                for k, w in enumerate(known):
+                    if len(w) > LONG:
+                        longer = longer or tiktoken.Encoding("long", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of(path), special_tokens={})
+                        ids[k] = longer._encode_single_piece(w)
+                columns = [[b], [_listed(known)], [_numbers(np.array([len(i) for i in ids]))], [_numbers(np.array([x for i in ids for x in i], np.int64))]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 3))], ["bucket", "known", "counts", "ids"])
+
+    # As many tasks as partitions, however few the bytes: the fold is long in work.
+    dealt = words.repartition(partitions(words.sparkSession), "bucket").groupBy("bucket").applyInArrow(distinct, "bucket int, word binary, start array<bigint>")
+    return dealt.select("bucket", "word", coder.ids(F.col("start")).alias("ids")).mapInArrow(pack, "bucket int, known binary, counts binary, ids binary")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by a space), decoded (the ids' bytes) for each row, repeated rows
     included. digests: the SHA-256 of the latter two instead, as lower-case hexadecimal digits."""
-    split = stored(blocks(docs, id_col, text_col, block_chars))
-    words = split.where(F.col("words").isNotNull()).select(F.col("block").alias("of"), F.posexplode("words").alias("code", "word"))
-    distinct = stored(words.select("word").distinct())
-    # Small in bytes, long in work: more tasks than its size asks for.
-    known = stored(encode_words(distinct.repartition(partitions(docs.sparkSession)), path))
-    known = words.join(known.select("word", F.size("ids").alias("n"), F.array_join("ids", " ").alias("ids"), "piece"), "word").select("of", "code", "n", "ids", "piece")
+    rows = stored(split(docs, partitions(docs.sparkSession), id_col, text_col, block_chars))
+    words = rows.where(F.col("words").isNotNull()).select("block", "bucket", "words", "word_codes")
+    known = stored(encode_words(words.select("bucket", "words"), path))
     shown = (lambda x: hashlib.sha256(x).hexdigest()) if digests else (lambda x: x)
     kinds = (pa.int64(), pa.string(), pa.string() if digests else pa.binary())
 
+    def tell(asked: pa.Table, told: pa.Table) -> pa.Table:
+        """Ids of a bucket's words to the blocks that have them."""
+        ids = {}
+        for raw, counts, flat in zip(*(told[c].to_pylist() for c in ("known", "counts", "ids"))):
+            ends = np.cumsum(np.r_[0, _numbered(counts)]).tolist()
+            flat = _numbered(flat)
+            ids |= {w: flat[s:e] for w, s, e in zip(_words(raw), ends, ends[1:])}
+        out = []
+        for block, raw, codes in zip(*(asked[c].to_pylist() for c in ("block", "words", "word_codes"))):
+            own = [ids[w] for w in _words(raw)]
+            out.append((block, codes, _numbers(np.array([len(i) for i in own])), _numbers(np.concatenate(own))))
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), *[pa.binary()] * 3))], ["of", "word_codes", "counts", "ids"])
+
     def meet(documents: pa.Table, told: pa.Table) -> pa.Table:
-        order = np.argsort(told["code"].to_numpy())
-        n = told["n"].to_numpy()[order]
-        ids, pieces = (told[c].take(pa.array(order)).to_pylist() for c in ("ids", "piece"))
-        counts, joined, decoded = [], [], []
-        for raw, size in zip(documents["codes"].to_pylist(), documents["n_words"].to_pylist()):
-            own = _unpacked(raw, size)
+        """Ids and their bytes for a block's documents: each word's once, as text and as pieces."""
+        pieces = _pieces(path)
+        codes, counts, flat = (np.concatenate([*map(_numbered, told[c].to_pylist()), np.empty(0, "<u4")]) for c in ("word_codes", "counts", "ids"))
+        ends, n = np.cumsum(np.r_[0, counts]).tolist(), np.zeros(len(codes), np.int64)
+        n[codes] = counts
+        flat, texts_of, bytes_of = flat.tolist(), [""] * len(codes), [b""] * len(codes)
+        for c, s, e in zip(codes.tolist(), ends, ends[1:]):
+            own = flat[s:e]
+            texts_of[c], bytes_of[c] = " ".join(map(str, own)), b"".join([pieces[i] for i in own])
+        totals, joined, decoded = [], [], []
+        for raw in documents["codes"].to_pylist():
+            own = _numbered(raw)
             listed = own.tolist()
-            counts.append(int(n[own].sum()))
-            joined.append(shown(" ".join([ids[c] for c in listed]).encode()))
-            decoded.append(shown(b"".join([pieces[c] for c in listed])))
-        return pa.table([documents["doc_id"], *(pa.array(x, t) for x, t in zip((counts, joined, decoded), kinds))], ["doc_id", "n_tokens", "ids", "decoded"])
-
-    documents = split.where(F.col("words").isNull()).select("block", "doc_id", "codes", "n_words")
-    schema = f"doc_id {split.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, decoded {'string' if digests else 'binary'}"
-    return documents.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(meet, schema)
+            totals.append(int(n[own].sum()))
+            joined.append(shown(" ".join([texts_of[c] for c in listed]).encode()))
+            decoded.append(shown(b"".join([bytes_of[c] for c in listed])))
+        return pa.table([documents["doc_id"], *(pa.array(x, t) for x, t in zip((totals, joined, decoded), kinds))], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    answers = words.groupBy("bucket").cogroup(known.select(F.col("bucket").alias("b"), "known", "counts", "ids").groupBy("b")).applyInArrow(tell, "of string, word_codes binary, counts binary, ids binary")
+    documents = rows.where(F.col("words").isNull()).select("block", "doc_id", "codes")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, decoded {'string' if digests else 'binary'}"
+    return documents.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(meet, schema)
+
+
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> list[bytes]:
+    ranks = ranks_of(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
