@@ -104,38 +104,35 @@ class Coder:
         self._size, self._groups = len(entries), len(shifts)
 
     def _rank(self, left: Column, right: Column) -> Column:
-        """The rank of a pair; PAIR if it is none, null if either is missing."""
+        """The rank of a pair; negative or PAIR and above if it is none."""
         pair = left * F.lit(PAIR) + right
         at = (pair * F.lit(FACTOR) + F.get(self._shifts, (pair % self._groups).cast("int"))) % self._size
-        entry = F.array(F.get(self._entries, at.cast("int")) - pair * F.lit(PAIR))
-        return F.get(F.transform(entry, lambda r: F.when((r >= 0) & (r < PAIR), r).otherwise(F.when(r.isNotNull(), F.lit(PAIR).cast("bigint")))), F.lit(0))
+        return F.get(self._entries, at.cast("int")) - pair * F.lit(PAIR)
 
     def ids(self, start: Column) -> Column:
-        """array<bigint> of a word given as the ids of its bytes, by folding merges over them. The state holds the ids
-        and the ranks of neighbours; a merge changes two ranks."""
-        pairs = F.sequence(F.lit(1), F.greatest(F.size(start) - 1, F.lit(1)))
-        ranks = F.filter(F.transform(pairs, lambda i: self._rank(F.get(start, i - 1), F.get(start, i))), lambda r: r.isNotNull())
+        """array<bigint> of a word given as the ids of its bytes, by folding merges over them."""
 
         def step(state: Column, _: Column) -> Column:
+            ids = state["ids"]
+            ranks = F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: self._rank(F.get(ids, i - 1), F.get(ids, i)))
             # A one-element array binds a value to a name, so that it is computed once.
-            return F.get(F.transform(F.array(F.array_min(state["ranks"])), lambda low: self._merged(state, low)), F.lit(0))
+            merged = F.transform(F.array(ranks), lambda r: _first_lowest(ids, r))
+            return F.when(state["done"] | (F.size(ids) < 2), state).otherwise(F.get(merged, F.lit(0)))
 
-        state = F.struct(start.alias("ids"), ranks.alias("ranks"))
-        return F.aggregate(pairs, state, step)["ids"]
+        state = F.struct(start.alias("ids"), F.lit(False).alias("done"))
+        return F.aggregate(start, state, step)["ids"]
 
-    def _merged(self, state: Column, low: Column) -> Column:
-        """The first pair of the lowest rank in one, or the state as it is if there is none."""
-        ids, ranks = state["ids"], state["ranks"]
 
-        def at(place: Column) -> Column:
-            around = F.array(self._rank(F.get(ids, place - 2), low), self._rank(low, F.get(ids, place + 1)))
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), place - 1), F.array(low), F.slice(ids, place + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(place - 2, F.lit(0))), F.filter(around, lambda r: r.isNotNull()), F.slice(ranks, place + 2, F.size(ranks))).alias("ranks"),
-            )
+def _first_lowest(ids: Column, ranks: Column) -> Column:
+    """ids with the first pair of the lowest rank merged, or as they are and done if no pair has a rank."""
+    lowest = F.array_min(F.filter(ranks, lambda r: (r >= 0) & (r < PAIR)))
 
-        first = F.array(F.array_position(ranks, low).cast("int"))
-        return F.when(low.isNull() | (low >= PAIR), state).otherwise(F.get(F.transform(first, at), F.lit(0)))
+    def merged(low: Column) -> Column:
+        at = F.array_position(ranks, low).cast("int")
+        joined = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids)))
+        return F.when(low.isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(F.struct(joined.alias("ids"), F.lit(False).alias("done")))
+
+    return F.get(F.transform(F.array(lowest), merged), F.lit(0))
 
 
 class Splitter:
