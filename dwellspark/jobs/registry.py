@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dwellspark.functions import theory
 from dwellspark.operators import distributions as dist
-from dwellspark.operators import frames, lags, loci, moments, waits
+from dwellspark.operators import bootstrap, fits, frames, geometry, lags, loci, moments, waits
 from dwellspark.sources import tables
 from dwellspark.sources.tables import FLAT, MOVIE, SIM, TRACK
 
@@ -387,3 +387,24 @@ SELECT t, {r("sum(12 / k * (1 - exp(-k * t / 100))) + 0.06 * t AS msd")} FROM k
 def rouse_msd(spark, sf_dir):
     times = tables.track(spark, sf_dir).select("t").distinct()
     return rounded(times.select("t", theory.rouse_middle_msd(F.col("t").cast("double"), 1.0, 100.0).alias("msd")))
+
+
+@query()
+def convex_hull_area(spark, sf_dir):
+    """Area and perimeter of the hull of each customer's track."""
+    return rounded(geometry.hull_area(tables.track(spark, sf_dir), KEY), 4)
+
+
+@query()
+def bootstrap_quantiles(spark, sf_dir):
+    """Bounds of the mean interior wait of each state, trajectories being drawn anew 200 times."""
+    inner = waits.interior(obs(spark, sf_dir))
+    mean = lambda times: F.sum(F.col("wait_time") * times) / F.sum(times)
+    return bootstrap.interval(bootstrap.estimates(inner, KEY, ["state"], 200, mean), ["state"], "value")
+
+
+@query()
+def fit_beta(spark, sf_dir):
+    """A fractional velocity correlation fitted to each lag's curve."""
+    curves = lags.correlation_curves(lags.correlation_sums(_velocities(spark, sf_dir), []), [])
+    return fits.fit_alpha(curves.withColumn("lag", F.col("delta")), ["delta"], delta="lag")
