@@ -408,3 +408,33 @@ def fit_beta(spark, sf_dir):
     """A fractional velocity correlation fitted to each lag's curve."""
     curves = lags.correlation_curves(lags.correlation_sums(_velocities(spark, sf_dir), []), [])
     return fits.fit_alpha(curves.withColumn("lag", F.col("delta")), ["delta"], delta="lag")
+
+
+@query(f"""WITH {SIM}, {INTERIOR}, b AS (SELECT state, wait_time AS x, count(*) * 1728000 / (1728000 - wait_time) AS w FROM inner_waits WHERE window_size = 1728000 AND wait_time < 1728000 GROUP BY state, wait_time)
+SELECT state, {r('x', digits=3)}, {r('sum(w) OVER (PARTITION BY state ORDER BY x) / count(*) OVER (PARTITION BY state) AS cdf', digits=9)} FROM b""")
+def ecdf_simple(spark, sf_dir):
+    return _curve(dist.ecdf_simple(waits.interior(obs(spark, sf_dir)).where("window_size = 1728000"), ["state"], "wait_time", 1_728_000.0))
+
+
+@query(f"""WITH {SIM}, {INTERIOR}, g AS (SELECT unnest(range(41)) * 43200.0::DOUBLE AS x), c AS (SELECT state, x, count(*) FILTER (wait_time <= x) / count(*) AS cdf FROM inner_waits, g GROUP BY state, x),
+m AS (SELECT state, (x + lead(x) OVER w) / 2 AS x, cdf FROM c WINDOW w AS (PARTITION BY state ORDER BY x)), n AS (SELECT *, lead(x) OVER w AS x_to, lead(cdf) OVER w AS c FROM m WHERE x IS NOT NULL WINDOW w AS (PARTITION BY state ORDER BY x))
+SELECT state, {r('x', 'x_to', digits=3)}, {r('(c - cdf) / (x_to - x) * 86400 AS pmf')} FROM n WHERE x_to IS NOT NULL""")
+def discrete_bars(spark, sf_dir):
+    found = dist.discrete_bars(dist.ecdf_on(waits.interior(obs(spark, sf_dir)), ["state"], "wait_time", GRID), ["state"])
+    return rounded(found.withColumn("pmf", F.col("pmf") * 86_400))
+
+
+@query(f"WITH {TRACK} SELECT traj, t, {r('x - avg(x) OVER (PARTITION BY t) AS x', 'y - avg(y) OVER (PARTITION BY t) AS y', digits=4)} FROM track")
+def drift_free(spark, sf_dir):
+    return rounded(moments.without_drift(tables.track(spark, sf_dir), ["t"], ["x", "y"]).select("traj", "t", "x", "y"), 4)
+
+
+@query(f"WITH {TRACK}, k AS (SELECT *, dense_rank() OVER (PARTITION BY condition ORDER BY traj) - 1 AS n FROM track) SELECT traj, t, condition, {r('x')} FROM k WHERE n % 3 = 0")
+def every_third(spark, sf_dir):
+    return rounded(moments.every(tables.track(spark, sf_dir), ["traj"], 3, ["condition"]).select("traj", "t", "condition", "x"))
+
+
+@query(f"WITH {MOVIE_WAITS} SELECT state, {r('avg((wait_time < 3600)::INT) AS mean', 'stddev_samp((wait_time < 3600)::INT) AS std')}, count(*) AS count FROM waits WHERE wait_type = 'interior' GROUP BY state")
+def fast_waits(spark, sf_dir):
+    inner = waits.interior(waits.waits_of_movie(tables.movie(spark, sf_dir), KEY))
+    return rounded(moments.fraction(inner, ["state"], F.col("wait_time") < 3600))

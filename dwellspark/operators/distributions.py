@@ -130,3 +130,19 @@ def interpolated(curve: DataFrame, at: DataFrame, keys: Sequence[str], y: str =
     x1, y1 = F.first(F.when(F.col("_y").isNotNull(), F.col("x")), True).over(on), F.first("_y", True).over(on)
     found = both.select(*keys, "x", "_q", F.coalesce(y0 + (y1 - y0) * F.try_divide(F.col("x") - x0, x1 - x0), y0, y1).alias(y))
     return found.where("_q = 1").drop("_q")
+
+
+def ecdf_simple(df: DataFrame, keys: Sequence[str], x: str, window: float) -> DataFrame:
+    """Running sums of window / (window - x), divided by the number of distinct values: for one size of window, not
+    normalised to end at 1."""
+    counts = df.where(F.col(x) < window).groupBy(*keys, F.col(x).cast("double").alias("x")).agg((F.count(F.lit(1)) * window / (window - F.first(F.col(x)))).alias("_w"))
+    w = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.select(*keys, "x", (F.sum("_w").over(w) / F.count(F.lit(1)).over(Window.partitionBy(*keys))).alias("cdf"))
+
+
+def discrete_bars(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The density of a curve on a grid of frames: between the middles of neighbouring grid points, by the steps of the cdf
+    at the points in between. keys, x, x_to, pmf."""
+    w = Window.partitionBy(*keys).orderBy("x")
+    middle = curve.select(*keys, "x", "cdf", ((F.col("x") + F.lead("x").over(w)) / 2).alias("_m")).where("_m IS NOT NULL")
+    return bars(middle.select(*keys, F.col("_m").alias("x"), "cdf"), keys)

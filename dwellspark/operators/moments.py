@@ -58,3 +58,15 @@ def gyration(df: DataFrame, keys: Sequence[str], coords: Sequence[str]) -> DataF
 def fraction(df: DataFrame, keys: Sequence[str], what: Column) -> DataFrame:
     x = what.cast("double")
     return df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.count(x).alias("count"))
+
+
+def without_drift(df: DataFrame, frame: Sequence[str], coords: Sequence[str]) -> DataFrame:
+    """Coordinates less their mean over all that is in the frame."""
+    w = Window.partitionBy(*frame)
+    return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in coords})
+
+
+def every(df: DataFrame, keys: Sequence[str], skip: int, within: Sequence[str]) -> DataFrame:
+    """Rows of each skip-th group, in the order of its keys, within larger groups."""
+    rank = F.dense_rank().over(Window.partitionBy(*within).orderBy(*keys)) - 1
+    return df.withColumn("_rank", rank).where(F.col("_rank") % skip == 0).drop("_rank")
