@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellspark.functions import theory
+from dwellspark.functions import special, theory
 from dwellspark.operators import distributions as dist
 from dwellspark.operators import bootstrap, fits, frames, geometry, lags, loci, moments, waits
 from dwellspark.sources import tables
@@ -438,3 +438,27 @@ def every_third(spark, sf_dir):
 def fast_waits(spark, sf_dir):
     inner = waits.interior(waits.waits_of_movie(tables.movie(spark, sf_dir), KEY))
     return rounded(moments.fraction(inner, ["state"], F.col("wait_time") < 3600))
+
+
+@query()
+def ecdf_combined(spark, sf_dir):
+    """The wait distribution of each state from waits seen whole and waits cut off together."""
+    found = obs(spark, sf_dir)
+    inner, outer = waits.interior(found), waits.exterior(found)
+    curve = dist.ecdf_windowed(inner, ["state"], found, KEY)
+    fit = dist.exterior_fit(dist.ecdf(outer, ["state"], "wait_time", 0.0), curve, ["state"])
+    counts = inner.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return dist.blended(outer, curve, fit, counts, ["state"], 0.0, 345_600.0, 16)
+
+
+@query()
+def polymer_theory(spark, sf_dir):
+    """Closed forms that need special functions, at the frames that occur."""
+    t = F.col("t").cast("double")
+    times = tables.track(spark, sf_dir).select("t").distinct()
+    return rounded(
+        times.select(
+            "t", special.mode_correlation(2, t, 0.5, 1.0, 100.0).alias("mode"), special.middle_msd(t, 0.8, 1.0, 100.0, modes=40).alias("msd"),
+            special.mode_velocity_correlation(t, F.lit(3.0), 2, 0.5, 1.0, 100.0).alias("mode_cvv"), special.two_locus_correlation(t, F.lit(3.0), 4.0, 1.0).alias("two_loci"),
+        )
+    )

@@ -146,3 +146,20 @@ def discrete_bars(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("x")
     middle = curve.select(*keys, "x", "cdf", ((F.col("x") + F.lead("x").over(w)) / 2).alias("_m")).where("_m IS NOT NULL")
     return bars(middle.select(*keys, F.col("_m").alias("x"), "cdf"), keys)
+
+
+def blended(exterior: DataFrame, interior_cdf: DataFrame, fit: DataFrame, interior_count: DataFrame, keys: Sequence[str], low: float, high: float, bins: int) -> DataFrame:
+    """keys, x, cdf: two estimates of the true cdf at the middles of a histogram of exterior waits, weighted by the inverse
+    of their variances. One comes from the histogram, the other from the interior curve at its fitted height; the
+    latter's variance is the bound of Dvoretzky, Kiefer and Wolfowitz at one sigma. fit: a and end_share by key.
+    interior_count: n by key. Bins without a wait have no estimate."""
+    width = (high - low) / bins
+    hist = histogram(exterior, keys, "wait_time", low, high, bins)
+    hist = hist.withColumn("x", low + (F.col("bin") - 0.5) * width).withColumn("_z", F.sum("weight").over(Window.partitionBy(*keys)) * width)
+    inner = interpolated(interior_cdf, hist.select(*keys, "x"), keys).withColumnRenamed("cdf", "_inner")
+    both = hist.join(inner, [*keys, "x"]).join(fit, list(keys)).join(interior_count, list(keys))
+    outer = 1 - F.try_divide(F.try_divide("weight", "_z"), F.col("a"))
+    outer_weight = F.try_divide(F.col("_z") * F.col("a") * F.col("_z") * F.col("a"), F.col("weight"))
+    inner_weight = 2 * F.col("n") / F.log(F.lit(2 / 0.32))
+    found = F.try_divide(F.col("_inner") * F.col("end_share") * inner_weight + outer * outer_weight, inner_weight + outer_weight)
+    return both.select(*keys, "x", found.alias("cdf"))

@@ -77,9 +77,6 @@ def mean_lifetimes(waits: DataFrame, keys: Sequence[str], isclose: float = 1e-5)
     start = F.min("start_time").over(Window.partitionBy(*keys))
     own = waits.withColumn("_seen", (F.abs(F.col("end_time") - start - F.col("window_size")) > 1e-8 + isclose * F.col("window_size")).cast("int"))
     by_state = own.groupBy("state").agg(F.sum("wait_time").alias("spent"), F.sum("_seen").alias("ends"))
-    total = waits.groupBy(*keys).agg(F.first("window_size").alias("w")).agg(F.sum("w").alias("watched"))
-    means = by_state.agg(F.avg("ends").alias("ends_each"), F.sum("spent").alias("spent_all"))
-    # Two aggregates of a single row each.
-    return by_state.join(F.broadcast(total.join(F.broadcast(means))), how="cross").select(
-        "state", (F.try_divide("watched", "ends_each") * F.try_divide("spent", "spent_all")).alias("mean_wait")
-    )
+    watched = waits.groupBy(*keys).agg(F.first("window_size").alias("w")).agg(F.sum("w")).scalar()
+    ends, spent = by_state.agg(F.avg("ends")).scalar(), by_state.agg(F.sum("spent")).scalar()
+    return by_state.select("state", (F.try_divide(watched, ends) * F.try_divide(F.col("spent"), spent)).alias("mean_wait"))

@@ -64,3 +64,25 @@ def test_stream(spark, tmp_path):
     whole = waits.waits_of_movie(df, ["traj"]).where("wait_type IN ('interior', 'left exterior')")
     own = lambda d: sorted((r.traj, r.state, r.start_time, r.end_time, r.wait_time) for r in d.collect())
     assert own(spark.table("found")) == own(whole) and len(own(whole)) > 10
+
+
+def test_relaxation():
+    import math
+
+    from dwellspark.functions.special import relaxation
+
+    x = np.array([0.0, 0.1, 1.0, 3.0])
+    assert np.allclose(relaxation(x, 0.5), [math.exp(v * v) * math.erfc(v) for v in x], atol=1e-7)
+    series = lambda v, a: sum((-v) ** k / math.gamma(a * k + 1) for k in range(80))
+    assert np.allclose(relaxation(np.array([0.3, 0.9]), 0.8), [series(0.3, 0.8), series(0.9, 0.8)], atol=1e-7)
+    assert np.allclose(relaxation(x, 1), np.exp(-x))
+
+
+def test_polymer_theory_in_its_limits(spark):
+    from dwellspark.functions import special, theory
+
+    df = spark.createDataFrame([(0.5,), (2.0,), (9.0,)], "t double")
+    r = df.select(special.middle_msd(F.col("t"), 1.0, 1.0, 50.0, modes=60).alias("a"), theory.rouse_middle_msd(F.col("t"), 1.0, 50.0, modes=60).alias("b")).collect()
+    assert np.allclose([x.a for x in r], [x.b for x in r])
+    zero = df.select(special.two_locus_correlation(F.lit(0.0), F.lit(2.0), 0.0, 1.0).alias("c")).first().c
+    assert zero > 0  # one locus with itself
