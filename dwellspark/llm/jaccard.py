@@ -340,7 +340,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, largest: int = LARGEST) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, largest: int = LARGEST, gathered: int = GATHERED) -> DataFrame:
     """doc_id, n_shingles, component_id for each row. id_col is a whole number. A document of no words links with
     nothing and is its own component. A null id is least; its component, if it is the least, is null. Rows that
     repeat an id are one document with several texts: each row has its own size, and all are in one component."""
@@ -352,7 +352,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc_id"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, documents, gathered = {}, [], 0
+        held, documents, shingled = {}, [], 0
         for batch in batches:
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text, size)
@@ -360,10 +360,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                 documents.append((doc, name, len(s)))
                 if len(s) and name not in held:
                     held[name] = s
-                    gathered += len(s)
-            if gathered >= GATHERED or len(documents) >= GATHERED:
+                    shingled += len(s)
+            if shingled >= gathered or len(documents) >= gathered:
                 yield send(held, documents)
-                held, documents, gathered = {}, [], 0
+                held, documents, shingled = {}, [], 0
         if documents:
             yield send(held, documents)
 

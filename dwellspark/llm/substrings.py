@@ -62,7 +62,16 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def repeats(doc: np.ndarray, sub: np.ndarray, at: np.ndarray, mask: np.ndarray, context: np.ndarray) -> np.ndarray:
     """mask of the windows (bit d: the one that starts d words before the anchor) that occur earlier among the rows.
-    context: words from LEFT before the anchor to WINDOW after its start. Rows need no order."""
+    context: words from LEFT before the anchor to WINDOW after its start. Rows need no order; rows of one place, of a
+    document that is there several times, are one."""
+    order = np.lexsort((at, sub, doc))
+    new = np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in (doc, sub, at)], axis=0)][: len(at)]
+    if not new.all():
+        starts = np.flatnonzero(new)
+        one, out = order[starts], np.zeros(len(at), np.uint16)
+        found = repeats(doc[one], sub[one], at[one], np.bitwise_or.reduceat(mask[order], starts), context[one])
+        out[order] = found[np.cumsum(new) - 1]
+        return out & mask
     out = np.zeros(len(at), np.uint16)
     node = np.zeros(len(at), np.uint64)
     for depth in range(PREFIX):
@@ -104,7 +113,7 @@ def _by_bucket(bucket: np.ndarray, kind: int, columns: list[np.ndarray]) -> tupl
     return [int(bucket[s]) for s in cuts], [kind] * len(cuts), [packed(*(c[s:e] for c in columns)) for s, e in zip(cuts, ends)]
 
 
-def _counted(buckets: int):
+def _counted(buckets: int, gathered_words: int):
     """First pass: anchors to the bucket of their prefix. A prefix that the task holds more than once is sent once,
     as an anchor of no place, with its count; its anchors are repeated anyway and go along as such."""
 
@@ -131,7 +140,7 @@ def _counted(buckets: int):
                 if len(at):
                     held.append((g, np.full(len(at), doc, "<i8"), np.full(len(at), sub, "<i4"), at.astype("<i4")))
                 gathered += len(h)
-            if gathered >= GATHERED_WORDS:
+            if gathered >= gathered_words:
                 if held:
                     yield from send(held)
                 held, gathered = [], 0
@@ -141,24 +150,28 @@ def _counted(buckets: int):
     return run
 
 
-def _flagged(table: pa.Table) -> pa.Table:
+def _flagged(crowded: int):
     """Anchors whose prefix occurs twice or more, as doc, sub, and places; crowded ones are marked in the last bit."""
-    parts = [(kind, unpacked(raw, *_ANCHOR)) for kind, raw in zip(table["kind"].to_pylist(), table["payload"].to_pylist())]
-    asked = [p for kind, p in parts if kind == 0]
-    g = np.concatenate([p[0] for p in asked]) if asked else np.empty(0, np.uint64)
-    counts = np.concatenate([p[4] for p in asked]) if asked else np.empty(0, "<u4")
-    unique, inverse = np.unique(g, return_inverse=True)
-    total = np.bincount(inverse, counts, len(unique)) if len(unique) else np.empty(0)
-    rows = []
-    for _, (own, doc, sub, at, _) in parts:
-        n = total[np.searchsorted(unique, own)]
-        keep = (n > 1) & (at >= 0)
-        rows.append((doc[keep], sub[keep], at[keep] * 2 + (n[keep] > CROWDED)))
-    doc, sub, at = (np.concatenate([r[i] for r in rows]) for i in range(3))
-    return pa.table([pa.array(doc, pa.int64()), pa.array(sub, pa.int32()), pa.array(at.astype("<i4"), pa.int32())], ["of", "of_sub", "at"])
-
-
-def _grown(buckets: int):
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [(kind, unpacked(raw, *_ANCHOR)) for kind, raw in zip(table["kind"].to_pylist(), table["payload"].to_pylist())]
+        asked = [p for kind, p in parts if kind == 0]
+        g = np.concatenate([p[0] for p in asked]) if asked else np.empty(0, np.uint64)
+        counts = np.concatenate([p[4] for p in asked]) if asked else np.empty(0, "<u4")
+        unique, inverse = np.unique(g, return_inverse=True)
+        total = np.bincount(inverse, counts, len(unique)) if len(unique) else np.empty(0)
+        rows = []
+        for _, (own, doc, sub, at, _) in parts:
+            n = total[np.searchsorted(unique, own)]
+            keep = (n > 1) & (at >= 0)
+            rows.append((doc[keep], sub[keep], at[keep] * 2 + (n[keep] > crowded)))
+        doc, sub, at = (np.concatenate([r[i] for r in rows]) for i in range(3))
+        return pa.table([pa.array(doc, pa.int64()), pa.array(sub, pa.int32()), pa.array(at.astype("<i4"), pa.int32())], ["of", "of_sub", "at"])
+
+    return run
+
+
+def _grown(buckets: int, gathered_suffixes: int):
     """Second pass: suffixes of the flagged anchors to the bucket of their prefix; starts that repeat within the task,
     as such."""
 
@@ -198,7 +211,7 @@ def _grown(buckets: int):
                 mask = (np.left_shift(1, at - first + 1) - np.left_shift(1, at - last)).astype("<u2")
                 held.append((np.full(len(at), doc, "<i8"), np.full(len(at), sub, "<i4"), at.astype("<i4"), mask, context, np.isin(at * 2 + 1, told)))
                 gathered += len(at)
-                if gathered >= GATHERED_SUFFIXES:
+                if gathered >= gathered_suffixes:
                     yield from send(held)
                     held, gathered = [], 0
         if gathered:
@@ -286,7 +299,7 @@ def _cut(digests: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, carry: Sequence[str] = (), crowded: int = CROWDED, gathered: tuple[int, int] = (GATHERED_WORDS, GATHERED_SUFFIXES)) -> DataFrame:
     """doc_id, n_words, n_removed, kept, and a struct carried of the columns to carry, for each row: kept is the text without its repeated words (null stays null), or
     with digests the SHA-256 of its kept words joined by one space. id_col is a whole number; a null id comes before
     all others. Rows that repeat an id with another text are documents of their own, in the order of a hash; rows
@@ -306,9 +319,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Documents keep their side of the shuffle, which is the same each time and written once."""
         return rows.join(small.hint("shuffle_hash"), (F.col("key") == F.col("of")) & (F.col("sub") == F.col("of_sub")), how)
 
-    sent = meet(copies, "left").where(F.col("copy").isNull()).select("key", "sub", "text").mapInArrow(_counted(buckets), "bucket long, kind int, payload binary")
-    flagged = sent.groupBy("bucket").applyInArrow(_flagged, "of long, of_sub int, at int").groupBy("of", "of_sub").agg(F.collect_list("at").alias("places"))
-    grown = meet(flagged, "inner").select("key", "sub", "text", "places").mapInArrow(_grown(buckets), "bucket long, kind int, payload binary")
+    sent = meet(copies, "left").where(F.col("copy").isNull()).select("key", "sub", "text").mapInArrow(_counted(buckets, gathered[0]), "bucket long, kind int, payload binary")
+    flagged = sent.groupBy("bucket").applyInArrow(_flagged(crowded), "of long, of_sub int, at int").groupBy("of", "of_sub").agg(F.collect_list("at").alias("places"))
+    grown = meet(flagged, "inner").select("key", "sub", "text", "places").mapInArrow(_grown(buckets, gathered[1]), "bucket long, kind int, payload binary")
     starts = grown.groupBy("bucket").applyInArrow(_repeated, "of long, of_sub int, starts binary")
     told = starts.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("starts", F.lit(None).cast("binary")))
     told = told.groupBy("of", "of_sub").agg(F.collect_list("starts").alias("starts"), F.max("copy").alias("copy"))
