@@ -134,7 +134,7 @@ def _counted(buckets: int, gathered_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, gathered = [], 0
         for batch in batches:
-            for doc, sub, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, sub, text in zip(*(c.to_pylist() for c in batch.columns[:3])):
                 h = hashes(words(text))
                 at, g, _, _ = anchors(h)
                 if len(at):
@@ -200,7 +200,7 @@ def _grown(buckets: int, gathered_suffixes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, gathered = [], 0
         for batch in batches:
-            for doc, sub, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, sub, text, places in zip(*(c.to_pylist() for c in batch.columns[:4])):
                 h = hashes(words(text))
                 at, _, first, last = anchors(h)
                 told = np.unique(np.array(places, np.int64))
@@ -308,7 +308,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short_batches(spark)
     buckets = partitions(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("sub"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("sub"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    rest = ["carried"] if carry else []
     # Copies: all but the first id of each text. Hashes and ids alone are shuffled.
     known = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("of"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("of_sub"), F.md5(text.cast("binary")).alias("md5"))
     known = stored(known.groupBy("md5", "of", "of_sub").agg(F.lit(True).alias("copy")))
@@ -316,16 +317,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = known.join(first, "md5").where(F.col("of") > F.col("first")).select("of", "of_sub", "copy")
 
     def meet(small: DataFrame, how: str) -> DataFrame:
-        """Documents keep their side of the shuffle, which is the same each time and written once."""
+        """Documents keep their side of the shuffle, which is written once: each pass reads the same columns of it."""
         return rows.join(small.hint("shuffle_hash"), (F.col("key") == F.col("of")) & (F.col("sub") == F.col("of_sub")), how)
 
-    sent = meet(copies, "left").where(F.col("copy").isNull()).select("key", "sub", "text").mapInArrow(_counted(buckets, gathered[0]), "bucket long, kind int, payload binary")
+    sent = meet(copies, "left").where(F.col("copy").isNull()).select("key", "sub", "text", *rest).mapInArrow(_counted(buckets, gathered[0]), "bucket long, kind int, payload binary")
     flagged = sent.groupBy("bucket").applyInArrow(_flagged(crowded), "of long, of_sub int, at int").groupBy("of", "of_sub").agg(F.collect_list("at").alias("places"))
-    grown = meet(flagged, "inner").select("key", "sub", "text", "places").mapInArrow(_grown(buckets, gathered[1]), "bucket long, kind int, payload binary")
+    grown = meet(flagged, "inner").select("key", "sub", "text", "places", *rest).mapInArrow(_grown(buckets, gathered[1]), "bucket long, kind int, payload binary")
     starts = grown.groupBy("bucket").applyInArrow(_repeated, "of long, of_sub int, starts binary")
     told = starts.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("starts", F.lit(None).cast("binary")))
     told = told.groupBy("of", "of_sub").agg(F.collect_list("starts").alias("starts"), F.max("copy").alias("copy"))
-    last = meet(told, "left").select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"), *(["carried"] if carry else []))
+    last = meet(told, "left").select(F.nullif("key", F.lit(_NONE)).alias("doc_id"), "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"), *rest)
     schema = "doc_id long, n_words long, n_removed long, kept string"
     return last.mapInArrow(_cut(digests), f"{schema}, carried {rows.schema['carried'].dataType.simpleString()}" if carry else schema)
 
