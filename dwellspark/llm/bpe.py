@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellspark.llm.common import partitions, short_batches, stored, texts
+from dwellspark.llm.common import partitions, short_batches, texts
 
 #: Text of a block in characters, at most, but for a single longer document.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Longest word in bytes that is folded: the fold takes the square of a word's length. Longer ones, which prose
 #: doesn't have, are encoded one by one by a library, to the same ids.
 LONG = 200
@@ -95,8 +95,7 @@ def _literal(values: list, kind: str = "bigint") -> Column:
 
 
 class Coder:
-    """Columns that encode and decode a word, from literals of one rank file. The literals take megabytes of plan:
-    use them in a job of one stage, whose plan is recorded once."""
+    """Columns that encode a word, from literals of one rank file, which take megabytes of plan."""
 
     def __init__(self, ranks: dict[bytes, int]):
         entries, shifts = laid_out(pair_ranks(ranks))
@@ -152,7 +151,7 @@ class Splitter:
         return (self._FAST if self._own and self._KNOWN.fullmatch(text) else self._any).findall(text)
 
 
-_SPLIT = "block string, doc_id {id}, codes binary, n_words long, bucket int, words binary, word_codes binary"
+_SPLIT = "block string, doc_ids array<{id}>, sizes binary, codes binary, bucket int, words binary, word_codes binary"
 
 
 def _squeezed(*parts: bytes) -> bytes:
@@ -185,7 +184,7 @@ def _words(raw: bytes) -> list[bytes]:
 
 
 def split(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows of two kinds that share a block: a document as codes of words, frequent words having low ones; and the block's
+    """Rows of two kinds that share a block: some documents as codes of words, frequent words having low ones; and the block's
     distinct words, by bucket of their hash, with their codes. A null text is as an empty one."""
     rows = texts(docs, id_col, text_col)
     short_batches(rows.sparkSession)
@@ -198,11 +197,12 @@ def split(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str =
             count = np.bincount(np.concatenate([c for _, c in held]), minlength=len(known))
             code = np.empty(len(known), np.int64)
             code[np.argsort(-count, kind="stable")] = np.arange(len(known))
-            kinds = (pa.string(), id_type, pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            names = ["block", "doc_id", "codes", "n_words", "bucket", "words", "word_codes"]
+            kinds = (pa.string(), pa.list_(id_type), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+            names = ["block", "doc_ids", "sizes", "codes", "bucket", "words", "word_codes"]
             for s in range(0, len(held), 256):
                 own = held[s : s + 256]
-                columns = [[name] * len(own), [d for d, _ in own], [_numbers(code[c]) for _, c in own], [len(c) for _, c in own], *[[None] * len(own)] * 3]
+                codes = code[np.concatenate([c for _, c in own])]
+                columns = [[name], [[d for d, _ in own]], [_numbers(np.array([len(c) for _, c in own]))], [_numbers(codes)], *[[None]] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
             dealt: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
             for word, c in zip(known, code.tolist()):
@@ -268,9 +268,14 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by a space), decoded (the ids' bytes) for each row, repeated rows
     included. digests: the SHA-256 of the latter two instead, as lower-case hexadecimal digits."""
-    rows = stored(split(docs, partitions(docs.sparkSession), id_col, text_col, block_chars))
-    words = rows.where(F.col("words").isNotNull()).select("block", "bucket", "words", "word_codes")
-    known = stored(encode_words(words.select("bucket", "words"), path))
+    rows = split(docs, partitions(docs.sparkSession), id_col, text_col, block_chars)
+
+    def words_of(table: pa.Table) -> pa.Table:
+        return table.filter(pc.is_valid(table["words"])).select(["block", "bucket", "words", "word_codes"])
+
+    # Both kinds of rows go to their block in one exchange, which is written once and read by either side.
+    words = rows.groupBy("block").applyInArrow(words_of, "block string, bucket int, words binary, word_codes binary")
+    known = encode_words(words.select("bucket", "words"), path)
     shown = (lambda x: hashlib.sha256(x).hexdigest()) if digests else (lambda x: x)
     kinds = (pa.int64(), pa.string(), pa.string() if digests else pa.binary())
 
@@ -298,18 +303,22 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             own = flat[s:e]
             texts_of[c], bytes_of[c] = " ".join(map(str, own)), b"".join([pieces[i] for i in own])
         totals, joined, decoded = [], [], []
-        for raw in documents["codes"].to_pylist():
-            own = _numbered(raw)
-            listed = own.tolist()
-            totals.append(int(n[own].sum()))
-            joined.append(shown(" ".join([texts_of[c] for c in listed]).encode()))
-            decoded.append(shown(b"".join([bytes_of[c] for c in listed])))
-        return pa.table([documents["doc_id"], *(pa.array(x, t) for x, t in zip((totals, joined, decoded), kinds))], ["doc_id", "n_tokens", "ids", "decoded"])
+        documents = documents.filter(pc.is_valid(documents["codes"]))
+        for sizes, codes_in in zip(documents["sizes"].to_pylist(), documents["codes"].to_pylist()):
+            ends, flat = np.cumsum(np.r_[0, _numbered(sizes)]).tolist(), _numbered(codes_in)
+            for s, e in zip(ends, ends[1:]):
+                own = flat[s:e]
+                listed = own.tolist()
+                totals.append(int(n[own].sum()))
+                joined.append(shown(" ".join([texts_of[c] for c in listed]).encode()))
+                decoded.append(shown(b"".join([bytes_of[c] for c in listed])))
+        ids_in = pc.list_flatten(documents["doc_ids"])
+        return pa.table([ids_in, *(pa.array(x, t) for x, t in zip((totals, joined, decoded), kinds))], ["doc_id", "n_tokens", "ids", "decoded"])
 
     answers = words.groupBy("bucket").cogroup(known.select(F.col("bucket").alias("b"), "known", "counts", "ids").groupBy("b")).applyInArrow(tell, "of string, word_codes binary, counts binary, ids binary")
-    documents = rows.where(F.col("words").isNull()).select("block", "doc_id", "codes")
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids string, decoded {'string' if digests else 'binary'}"
-    return documents.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(meet, schema)
+    id_type = rows.schema["doc_ids"].dataType.elementType.simpleString()
+    schema = f"doc_id {id_type}, n_tokens long, ids string, decoded {'string' if digests else 'binary'}"
+    return rows.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(meet, schema)
 
 
 @lru_cache(maxsize=2)
