@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from dwellspark.llm.common import partitions, short_batches, texts
 
 #: Text of a block in characters, at most, but for a single longer document.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 24_000_000
 #: Longest word in bytes that is folded: the fold takes the square of a word's length. Longer ones, which prose
 #: doesn't have, are encoded one by one by a library, to the same ids.
 LONG = 200
