@@ -11,6 +11,7 @@ import datetime as dt
 import hashlib
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -151,15 +152,118 @@ def _email(text: str, key: bytes) -> str | None:
     return f"{_mixed(head, key, 'email')}.{last}"
 
 
-#: Kinds in order: where two start at one place, the first that is valid counts.
+#: Length by country, of the IBAN registry.
+_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: Groups of digits in which cards are printed, the usual ones first. One group of 13 to 19 is as usual.
+_PRINTED = ({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}, {(4, 4, 4, 4, 3), (6, 13), (4, 5, 6)})
+
+_EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+_IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
+_DATE = re.compile(r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}([/.-])\d{2}\1\d{4})(?!\d|[./-]\d)")
+_SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
+_PHONE = re.compile(r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d|[.-]\d)|\+\d{8,15}(?!\d)")
+_RUN, _GROUP = re.compile(r"\d+(?:[ -]\d+)*"), re.compile(r"\d+")
+
+#: start, end and pseudonym
+Found = Iterator[tuple[int, int, str]]
+
+
+def _each(expression: re.Pattern, make: Callable[[str, bytes], str | None]) -> Callable[[str, bytearray, bytes], Found]:
+    """Matches that are valid and free. After another one the search goes on inside it, not behind it."""
+
+    def find(text: str, taken: bytearray, key: bytes) -> Found:
+        at = 0
+        while m := expression.search(text, at):
+            s, e = m.span()
+            if (last := taken.rfind(1, s, e)) >= 0:
+                at = last + 1
+            elif (new := make(m[0], key)) is None:
+                at = s + 1
+            else:
+                yield s, e, new
+                at = e
+
+    return find
+
+
+def _ibans(text: str, taken: bytearray, key: bytes) -> Found:
+    """At each start the country's length is tried first, then every end of a group from the last one on."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        s, at = m.start(), m.start() + 1
+        ends = []
+        for end in _IBAN_END.finditer(text, s):
+            if end.start() > m.end():
+                break
+            ends.append(end.start())
+        wanted = _LENGTHS.get(text[s : s + 2])
+        for e in sorted(ends, key=lambda e: (e - s - text.count(" ", s, e) != wanted, -e)):
+            if taken.find(1, s, e) < 0 and (new := _iban(text[s:e], key)) is not None:
+                yield s, e, new
+                at = e
+                break
+
+
+def _cards(text: str, taken: bytearray, key: bytes) -> Found:
+    """Any neighbouring groups of digits that are valid together: first those grouped as cards are printed, then others,
+    from each start on the longest first. The others don't cut through what reads as a whole telephone number."""
+    free = bytearray(taken)
+    runs = []
+    for run in _RUN.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [g.span() for g in _GROUP.finditer(text, *run.span())]
+        opens = text[run.start() - 1 : run.start()] not in (".", "-")
+        closes = not re.match(r"[.]\d", text[run.end() : run.end() + 2])
+        runs.append((groups, opens, closes))
+    for rank in range(3):
+        phones = [(s, e) for s, e, _ in PHONES(text, free, key)] if rank == 2 and runs else []
+        inside = bytearray(len(text) + 1)  # places at which a cut would go through a telephone number
+        for s, e in phones:
+            inside[s + 1 : e] = b"\1" * (e - s - 1)
+        for groups, opens, closes in runs:
+            i = 0 if opens else 1
+            while i < len(groups):
+                s, n, ends = groups[i][0], 0, []
+                for j in range(i, len(groups)):
+                    n += groups[j][1] - groups[j][0]
+                    if n > 19 or free[groups[j][0]]:
+                        break
+                    if n >= 13 and (closes or j < len(groups) - 1):
+                        ends.append(j)
+                for j in reversed(ends):
+                    e = groups[j][1]
+                    shape = tuple(y - x for x, y in groups[i : j + 1])
+                    if rank < 2 and not (shape in _PRINTED[rank] or rank == 0 and i == j) or inside[s] or inside[e]:
+                        continue
+                    if (new := _card(text[s:e], key)) is not None:
+                        free[s:e] = b"\1" * (e - s)
+                        yield s, e, new
+                        i = j
+                        break
+                i += 1
+
+
+PHONES = _each(_PHONE, _phone)
+#: Kinds in order: a later one doesn't overlap an earlier one.
 KINDS = {
-    "email": (re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"), _email),
-    "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban),
-    "ip": (re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), _ip),
-    "date": (re.compile(r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}([/.-])\d{2}\1\d{4})(?!\d|[./-]\d)"), _date),
-    "ssn": (re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _ssn),
-    "card": (re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)"), _card),
-    "phone": (re.compile(r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d|[.-]\d)|\+\d{8,15}(?!\d)"), _phone),
+    "email": _each(_EMAIL, _email),
+    "iban": _ibans,
+    "ip": _each(_IP, _ip),
+    "date": _each(_DATE, _date),
+    "ssn": _each(_SSN, _ssn),
+    "card": _cards,
+    "phone": PHONES,
 }
 _ANY = re.compile(r"[0-9@]")
 
@@ -170,12 +274,14 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     if not _ANY.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
-    for kind, (expression, make) in KINDS.items():
+    taken = bytearray(len(text))
+    for kind, find in KINDS.items():
         if kind == "email" and "@" not in text:
             continue
-        for m in expression.finditer(text):
-            if not any(m.start() < e and s < m.end() for s, e, _, _ in found) and (new := make(m[0], key)) is not None:
-                found.append((*m.span(), kind, new))
+        own = list(find(text, taken, key))
+        for s, e, _ in own:
+            taken[s:e] = b"\1" * (e - s)
+        found += [(s, e, kind, new) for s, e, new in own]
     out, at = [], 0
     for s, e, _, new in sorted(found):
         out += [text[at:s], new]

@@ -102,6 +102,25 @@ def test_pseudonyms_keep_the_format():
     assert [k for k, _, _ in again] == kinds and len(new) == len(text) or "ip" in kinds
 
 
+def test_pseudonyms_beside_neighbours():
+    alone = lambda x: pii.replace(x, b"k")[0].replace(" ", "")
+    iban, card = "DE89370400440532013000", "4111111111111111"
+    spaced, groups = "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111"
+    for value, text, kind in (
+        (iban, f"{iban} BIC COBADEFF", "iban"), (spaced, f"{spaced} EUR 50", "iban"), (spaced, f"{spaced} BIC COBADEFF", "iban"), (iban, f"AB12 {iban}", "iban"),
+        (groups, f"{groups} 12/25", "card"), (card, f"{card} 123", "card"), (card, f"12 {card}", "card"), (groups, f"7 {groups} 123", "card"),
+        (card, f"{card}-123", "card"), (groups, f"{spaced} {groups}", "card"), (card, f"2024-01-02 {card}", "card"), ("41111111 11111111", "41111111 11111111 99", "card"),
+        ("030 1234 5678", f"{groups} 030 1234 5678", "phone"),
+    ):
+        new, spans = pii.replace(text, b"k")
+        s = text.index(value)
+        assert (kind, s, s + len(value)) in spans, text
+        assert new[s : s + len(value)].replace(" ", "") == alone(value) != value.replace(" ", ""), text
+    # A card of other groups doesn't cut telephone numbers in two.
+    phones = "+1 555-123-4567 555-987-6543"
+    assert [k for k, _, _ in pii.replace(phones, b"k")[1]] == ["phone", "phone"]
+
+
 def test_pseudonyms_of_odd_rows(spark, docs):
     found = pii.pseudonymise(docs).collect()
     assert Counter((r.doc_id, r.text) for r in found) == Counter(edge.rows())  # none holds personal data
