@@ -4,8 +4,9 @@ The filters' directions are a structured random product code: the dimensions are
 as many random unit vectors as the root of the number of filters, and each pair of them is a direction. A vector is
 list-decoded: from the sorted inner products of either half, the directions that it exceeds by most are found without
 looking at the others. The best is its home, the others are places that it visits. Two close vectors meet at the home
-of one of them; there the cosine is computed in double precision. A pair that doesn't meet is not found: tests hold
-the share of found pairs against brute force.
+of one of them; there the cosine is computed in double precision. A pair that doesn't meet is not found. How many
+directions a vector is decoded to follows from the cosine, the dimension and the number of directions: as many as
+let random pairs at the threshold itself meet with the wanted recall.
 
 Equal vectors are one point with a weight. A filter that many vectors fall into is dealt out in blocks of its homes.
 """
@@ -25,8 +26,12 @@ from dwellspark.llm.common import partitions, stored
 from dwellspark.llm.components import components, forest
 
 COSINE = 0.95
-#: Directions to which a vector is decoded, home included, and points for each direction, about.
+#: Directions to which a vector is decoded at least, home included, and points for each direction, about.
 DECODED, PER_FILTER = 32, 16
+#: Share of pairs at the threshold that meet, and pairs drawn to find out how many directions that takes.
+RECALL, DRAWN = 0.999, 10_000
+#: Rows that a task sends on at once, about.
+SENT = 8_192
 #: Points of a filter in one block.
 LARGEST = 2_000
 SEED = 20_240_229
@@ -48,7 +53,7 @@ def _halves(dimension: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(maxsize=8)
 def _corner(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ranks that the n largest sums of two sorted lists can have."""
-    pairs = [(i, j) for i in range(n) for j in range(n) if (i + 1) * (j + 1) <= n]
+    pairs = [(i, j) for i in range(n) for j in range(n // (i + 1))]
     return np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
 
 
@@ -65,8 +70,39 @@ def decode(x: np.ndarray, size: int, wanted: int) -> np.ndarray:
     return np.take_along_axis(order[0][:, i], best, 1).astype(np.int64) * size + np.take_along_axis(order[1][:, j], best, 1)
 
 
-def _decoded(size: int, wanted: int):
-    """Points to a row for each of their filters."""
+def _ranks(dimension: int, size: int, cosine: float, drawn: int, seed: int) -> np.ndarray:
+    """For random pairs at a cosine the place that the home of one has among the filters of the other, 1 for the best; the
+    smaller one of both ways."""
+    rng = np.random.default_rng((seed, dimension, size))
+    left, right = _halves(dimension, size)
+    out = []
+    for s in range(0, drawn, 500):
+        x, off = rng.standard_normal((2, min(500, drawn - s), dimension))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        off -= (off * x).sum(1, keepdims=True) * x
+        off /= np.linalg.norm(off, axis=1, keepdims=True)
+        y = cosine * x + math.sqrt(1 - cosine * cosine) * off
+        (xl, xr), (yl, yr) = ((v[:, : left.shape[1]] @ left.T, v[:, left.shape[1] :] @ right.T) for v in (x, y))
+        for a, b, c, d in ((xl, xr, yl, yr), (yl, yr, xl, xr)):
+            i = np.arange(len(x))
+            home = c[i, a.argmax(1)] + d[i, b.argmax(1)]
+            d = np.sort(d, axis=1)
+            out.append([1 + int((size - np.searchsorted(d[k], home[k] + 1e-12 - c[k], "right")).sum()) for k in i])
+    return np.minimum(np.concatenate(out[::2]), np.concatenate(out[1::2]))
+
+
+@lru_cache(maxsize=64)
+def lists(dimension: int, size: int, cosine: float, recall: float, least: int) -> int:
+    """Filters to which a vector is decoded, such that pairs at the cosine meet with the recall. Half of the misses that
+    this allows are kept back for the drawn pairs' own scatter."""
+    if dimension < 2 or cosine >= 1:
+        return least
+    ranks = np.sort(_ranks(dimension, size, max(cosine, -1.0), DRAWN, SEED + 1))
+    return max(least, int(ranks[min(DRAWN - 1, math.ceil((1 + recall) / 2 * DRAWN))]))
+
+
+def _decoded(size: int, cosine: float, recall: float, least: int):
+    """Points to a row for each of their filters. The row at home has the list of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,17 +116,18 @@ def _decoded(size: int, wanted: int):
                 scale = np.abs(raw).max(1, keepdims=True)  # very long and very short vectors are brought near 1 first
                 unit = raw / scale
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                places = decode(unit, size, wanted) + int(d) * size * size
-                k = places.shape[1]
-                name, weight = (np.repeat(batch.column(c).to_numpy()[own], k) for c in (0, 1))
-                vectors = [(raw[i] / scale[i]).tobytes() for i in range(len(own))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(places.ravel()), pa.array(name), pa.array(weight), pa.array(np.repeat(places[:, 0], k)),
-                        pa.array([p.tobytes() for p in places for _ in range(k)], pa.binary()), pa.array([v for v in vectors for _ in range(k)], pa.binary()),
-                    ],
-                    ["place", "name", "weight", "home", "places", "vector"],
-                )
+                wanted = lists(int(d), size, cosine, recall, least)
+                step = max(1, SENT // wanted)
+                for s in range(0, len(own), step):
+                    places = decode(unit[s : s + step], size, wanted) + int(d) * size * size
+                    k = places.shape[1]
+                    name, weight = (np.repeat(batch.column(c).to_numpy()[own[s : s + step]], k) for c in (0, 1))
+                    listed = [p.tobytes() if i == 0 else None for p in places for i in range(k)]
+                    sent = [v for r, c in zip(raw[s : s + step], scale[s : s + step]) for v in [(r / c).tobytes()] * k]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(places.ravel()), pa.array(name), pa.array(weight), pa.array(np.repeat(places[:, 0], k)), pa.array(listed, pa.binary()), pa.array(sent, pa.binary())],
+                        ["place", "name", "weight", "home", "places", "vector"],
+                    )
 
     return run
 
@@ -147,7 +184,7 @@ def _linked(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, decoded: int = DECODED, largest: int = LARGEST) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, decoded: int = DECODED, largest: int = LARGEST, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row. Vectors that are null, empty, zero, or hold a null, a NaN or an
     infinity link with nothing; so do vectors of different lengths. Rows that repeat an id are vectors of their own;
     a null id is kept and is never a component's id but its own."""
@@ -158,7 +195,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     points = rows.where(F.col("vector").isNotNull()).groupBy("vector").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
     points = stored(points.select(F.xxhash64("vector").alias("name"), "weight", "vector", "least"))
     size = max(2, math.isqrt(max(1, points.count() // PER_FILTER)) + 1)
-    placed = stored(points.select("name", "weight", "vector").mapInArrow(_decoded(size, decoded), _PLACED))
+    placed = stored(points.select("name", "weight", "vector").mapInArrow(_decoded(size, cosine, recall, decoded), _PLACED))
     large = placed.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest).select(F.col("place").alias("crowded"), F.ceil(F.col("n") / largest).cast("int").alias("blocks"))
     dealt = placed.join(large, F.col("place") == F.col("crowded"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -197,6 +197,18 @@ def test_vectors_at_the_threshold(spark):
     assert vectors.near_duplicates(df).where("n_links > 0").count() >= 0.9 * len(x)
 
 
+@pytest.mark.parametrize("rows", [10**4, 10**7])
+def test_vectors_meet_at_the_threshold_however_many(rows):
+    """As many filters as that many rows have, without the rows."""
+    size = int((rows // vectors.PER_FILTER) ** 0.5) + 1
+    ranks = vectors._ranks(64, size, 0.95, 3000, 77)
+    assert np.mean(ranks <= vectors.lists(64, size, 0.95, vectors.RECALL, vectors.DECODED)) >= 0.998
+    x = np.random.default_rng(5).standard_normal((3, 64))
+    left, right = vectors._halves(64, 30)
+    scores = (x[:, :32] @ left.T)[:, :, None] + (x[:, 32:] @ right.T)[:, None, :]
+    assert (vectors.decode(x, 30, 100) == np.argsort(-scores.reshape(3, -1), axis=1)[:, :100]).all()
+
+
 # pipeline
 
 
