@@ -8,7 +8,8 @@ of one of them; there the cosine is computed in double precision. A pair that do
 directions a vector is decoded to follows from the cosine, the dimension and the number of directions: as many as
 let random pairs at the threshold itself meet with the wanted recall.
 
-Equal vectors are one point with a weight. A filter that many vectors fall into is dealt out in blocks of its homes.
+Equal vectors are one point with a weight. A filter that many vectors fall into is dealt out in pairs of a block of its
+homes and a block of all its points, so that no group holds more than two blocks; one without homes is left out.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ DECODED, PER_FILTER = 32, 16
 RECALL, DRAWN = 0.999, 10_000
 #: Rows that a task sends on at once, about.
 SENT = 8_192
-#: Points of a filter in one block.
+#: Points of a filter that come together, about: half of them homes, where it is crowded.
 LARGEST = 2_000
+#: Rows of a bucket, which holds several filters or blocks of them.
+BUCKET = 50_000
 SEED = 20_240_229
 #: Cosines this near to the threshold are summed again without rounding.
 CLOSE = 1e-9
@@ -143,17 +146,18 @@ def _linked(cosine: float):
     """Of some blocks: weights that each point is linked with, and as few links as connect the same."""
 
     def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        name, weight, home, place, here = (rows[c].to_numpy() for c in ("name", "weight", "home", "place", "here"))
+        name, weight, home, place, here, seen = (rows[c].to_numpy() for c in ("name", "weight", "home", "place", "here", "seen"))
         raw = np.stack([np.frombuffer(v, np.float64) for v in rows["vector"].to_pylist()])
         unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        own = np.flatnonzero(here)
+        own, others = np.flatnonzero(here), np.flatnonzero(seen)
         listed = np.stack([np.frombuffer(p, np.int64) for p in rows["places"].take(pa.array(own)).to_pylist()]) if len(own) else None
         counts, ends = np.zeros(len(name), np.int64), ([], [])
         for s in range(0, len(own), 512):
             part = own[s : s + 512]
-            cos = unit[part] @ unit.T
+            cos = unit[part] @ unit[others].T
             i, j = np.nonzero(cos >= cosine - CLOSE)
             unsure = np.flatnonzero(cos[i, j] < cosine + CLOSE)
+            j = others[j]
             sure = np.ones(len(i), bool)
             sure[unsure] = [_exactly(raw[part[i[k]]], raw[j[k]]) >= cosine for k in unsure]
             sure &= name[part[i]] != name[j]
@@ -184,6 +188,24 @@ def _linked(cosine: float):
     return run
 
 
+def deal(placed: DataFrame, largest: int) -> DataFrame:
+    """Rows of a filter with their block: here, if the point is one of the block's homes, and seen, if it is one of the
+    points that these are held against. Each home meets each point in just one block."""
+    half = max(1, largest // 2)
+    large = placed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("home") == F.col("place")).alias("homes")).where(F.col("n") > largest)
+    large = large.select(F.col("place").alias("crowded"), F.ceil(F.col("homes") / half).cast("int").alias("rows"), F.ceil(F.col("n") / half).cast("int").alias("columns"))
+    both = placed.join(large, F.col("place") == F.col("crowded"), "left").where(F.coalesce("rows", F.lit(1)) > 0)
+    own = F.col("home") == F.col("place")
+    row, column = (F.pmod(F.xxhash64("name", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("rows", "columns")))
+    cell = lambda r, c, here, seen: F.struct((r.cast("long") * F.col("columns") + c).alias("block"), here.alias("here"), seen.alias("seen"))
+    as_home = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: cell(row, c, F.lit(True), c == column))
+    as_point = F.transform(F.filter(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: ~own | (r != row)), lambda r: cell(r, column, F.lit(False), F.lit(True)))
+    single = F.array(F.struct(F.lit(0).cast("long").alias("block"), own.alias("here"), F.lit(True).alias("seen")))
+    cells = F.when(F.col("crowded").isNull(), single).when(own, F.concat(as_home, as_point)).otherwise(as_point)
+    dealt = both.withColumn("cell", F.explode(cells)).select("place", "cell.block", "name", "weight", "home", "cell.here", "cell.seen", "places", "vector")
+    return dealt.withColumn("places", F.when(F.col("here"), F.col("places")))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, decoded: int = DECODED, largest: int = LARGEST, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row. Vectors that are null, empty, zero, or hold a null, a NaN or an
     infinity link with nothing; so do vectors of different lengths. Rows that repeat an id are vectors of their own;
@@ -196,11 +218,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     points = stored(points.select(F.xxhash64("vector").alias("name"), "weight", "vector", "least"))
     size = max(2, math.isqrt(max(1, points.count() // PER_FILTER)) + 1)
     placed = stored(points.select("name", "weight", "vector").mapInArrow(_decoded(size, cosine, recall, decoded), _PLACED))
-    large = placed.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest).select(F.col("place").alias("crowded"), F.ceil(F.col("n") / largest).cast("int").alias("blocks"))
-    dealt = placed.join(large, F.col("place") == F.col("crowded"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("here", (F.col("home") == F.col("place")) & (F.pmod(F.xxhash64("name"), F.col("blocks")) == F.col("block")))
-    dealt = dealt.select("place", "block", "name", "weight", "home", "here", "places", "vector", F.pmod(F.xxhash64("place", "block"), F.lit(4 * partitions(spark))).alias("bucket"))
+    dealt = deal(placed, largest)
+    n = dealt.select(F.count(F.lit(1))).first()[0]
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("place", "block"), F.lit(max(4 * partitions(spark), n // BUCKET))))
     found = stored(dealt.groupBy("bucket").applyInArrow(_linked(cosine), "a long, links long, b long"))
     counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
     joined = components(found.where(F.col("b").isNotNull()).select("a", "b"))

@@ -209,6 +209,18 @@ def test_vectors_meet_at_the_threshold_however_many(rows):
     assert (vectors.decode(x, 30, 100) == np.argsort(-scores.reshape(3, -1), axis=1)[:, :100]).all()
 
 
+def test_vectors_of_a_crowded_filter(spark):
+    """No block holds all of its filter, and each home meets each other point once."""
+    rows = [(7, i, 1, 7 if i % 4 else 8, None, None) for i in range(1000)] + [(8, i, 1, 7, None, None) for i in range(500)] + [(9, i, 1, 9, None, None) for i in range(50)]
+    found = vectors.deal(spark.createDataFrame(rows, vectors._PLACED), 100).collect()
+    blocks = {}
+    for r in found:
+        blocks.setdefault((r.place, r.block), []).append(r)
+    assert max(map(len, blocks.values())) < 200 and {p for p, _ in blocks} == {7, 9}
+    pairs = Counter((p, a.name, b.name) for (p, _), own in blocks.items() for a in own if a.here for b in own if b.seen)
+    assert set(pairs.values()) == {1} and len(pairs) == 750 * 1000 + 50 * 50
+
+
 # pipeline
 
 
