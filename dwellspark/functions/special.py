@@ -50,7 +50,7 @@ def mode_correlation(p: float, t: Column, alpha: float, b: float, beads: float,
     return f(t.cast("double"))
 
 
-def middle_msd(t: Column, alpha: float, b: float, beads: float, kbt: float = 1.0, xi: float = 1.0, modes: int = 100) -> Column:
+def middle_msd(t: Column, alpha: float, b: float, beads: float, kbt: float = 1.0, xi: float = 1.0, modes: int = 1000) -> Column:
     """Mean squared displacement of the middle bead of a Rouse chain in a fractional medium."""
 
     @pandas_udf("double")

@@ -37,7 +37,7 @@ def rouse_time(alpha: float, b: float, beads: Column, kbt: float = 1.0, xi: floa
     return F.pow(beads * beads * F.lit(b * b * xi / kbt), F.lit(1 / alpha))
 
 
-def rouse_middle_msd(t: Column, b: float, beads: float, kbt: float = 1.0, xi: float = 1.0, modes: int = 100) -> Column:
+def rouse_middle_msd(t: Column, b: float, beads: float, kbt: float = 1.0, xi: float = 1.0, modes: int = 1000) -> Column:
     """Of the middle bead of a Rouse chain: its even modes, and the chain's own diffusion."""
 
     def mode(total: Column, p: Column) -> Column:

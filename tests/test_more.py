@@ -86,3 +86,13 @@ def test_polymer_theory_in_its_limits(spark):
     assert np.allclose([x.a for x in r], [x.b for x in r])
     zero = df.select(special.two_locus_correlation(F.lit(0.0), F.lit(2.0), 0.0, 1.0).alias("c")).first().c
     assert zero > 0  # one locus with itself
+
+
+def test_rouse_chain_has_its_thousand_modes(spark):
+    from dwellspark.functions import special, theory
+
+    t = F.col("t")
+    r = spark.createDataFrame([(1.0,)], "t double").select(theory.rouse_middle_msd(t, 1.0, 100.0).alias("a"), special.middle_msd(t, 1.0, 1.0, 100.0).alias("b")).first()
+    k = 3 * np.pi**2 / 100 * (2 * np.arange(1, 1001)) ** 2
+    want = (12 / k * (1 - np.exp(-k / 100))).sum() + 0.06
+    assert np.allclose([r.a, r.b], want, rtol=1e-9) and round(want, 3) == 1.944
