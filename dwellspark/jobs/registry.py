@@ -4,7 +4,7 @@ Doubles are rounded on both sides, so that the order of a sum doesn't show."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,8 +83,8 @@ def ecdf_interior(spark, sf_dir):
     return _curve(dist.ecdf(waits.interior(obs(spark, sf_dir)), ["state"], "wait_time", 0.0))
 
 
-def _curve(df: DataFrame) -> DataFrame:
-    return df.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 9) + F.lit(0.0)).alias("cdf"))
+def _curve(df: DataFrame, keys: Sequence[str] = ("state",)) -> DataFrame:
+    return df.select(*keys, (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 9) + F.lit(0.0)).alias("cdf"))
 
 
 @query(f"WITH {SIM}, {EXTERIOR}, {ecdf_sql('outer_waits', 'wait_time')} SELECT state, {r('x', digits=3)}, {r('cdf', digits=9)} FROM curve")
@@ -110,6 +110,14 @@ def ecdf_windowed_single(spark, sf_dir):
     return _curve(dist.ecdf_windowed(waits.interior(obs(spark, sf_dir)).where("window_size = 1728000"), ["state"]))
 
 
+@query(f"""WITH {SIM}, {INTERIOR}, weights AS (SELECT state, window_size, wait_time AS x, sum(1.0 / (window_size - wait_time)) AS w FROM inner_waits WHERE window_size > wait_time GROUP BY ALL),
+curve AS (SELECT state, window_size, x, sum(w) OVER (PARTITION BY state, window_size ORDER BY x) / sum(w) OVER (PARTITION BY state, window_size) AS cdf FROM weights),
+padded AS (SELECT * FROM curve WHERE x <> 0 UNION ALL SELECT DISTINCT state, window_size, 0.0::DOUBLE, 0.0::DOUBLE FROM curve) SELECT state, window_size, {r('x', digits=3)}, {r('cdf', digits=9)} FROM padded""")
+def ecdf_windowed_by_size(spark, sf_dir):
+    """ecdf_windowed_single for each size of window, so that every trajectory counts."""
+    return _curve(dist.ecdf_windowed(waits.interior(obs(spark, sf_dir)), ["state", "window_size"]), ["state", "window_size"])
+
+
 SURVIVAL = "sizes AS (SELECT traj, max(window_size) AS w FROM obs GROUP BY traj), total AS (SELECT count(*) AS n FROM sizes)"
 MULTI = f"""{WEIGHTED.format(where='')}, {SURVIVAL}, survived AS (SELECT x, count(*) / (SELECT n FROM total) AS sf FROM (SELECT DISTINCT x FROM weights) JOIN sizes ON sizes.w >= x GROUP BY x),
 both_w AS (SELECT state, x, w / sf AS w FROM weights JOIN survived USING (x)), {CURVE_W.format(rows='both_w')}, {PADDED}"""
@@ -424,6 +432,14 @@ def ecdf_simple(spark, sf_dir):
     return _curve(dist.ecdf_simple(waits.interior(obs(spark, sf_dir)).where("window_size = 1728000"), ["state"], "wait_time", 1_728_000.0))
 
 
+@query(f"""WITH {SIM}, {INTERIOR}, b AS (SELECT state, window_size, wait_time AS x, count(*) * window_size / (window_size - wait_time) AS w FROM inner_waits WHERE wait_time < window_size GROUP BY state, window_size, wait_time)
+SELECT state, window_size, {r('x', digits=3)}, {r('sum(w) OVER (PARTITION BY state, window_size ORDER BY x) / count(*) OVER (PARTITION BY state, window_size) AS cdf', digits=9)} FROM b""")
+def ecdf_simple_by_size(spark, sf_dir):
+    """ecdf_simple for each size of window, so that every trajectory counts."""
+    keys = ["state", "window_size"]
+    return _curve(dist.ecdf_simple(waits.interior(obs(spark, sf_dir)), keys, "wait_time", "window_size"), keys)
+
+
 @query(f"""WITH {SIM}, {INTERIOR}, g AS (SELECT unnest(range(41)) * 43200.0::DOUBLE AS x), c AS (SELECT state, x, count(*) FILTER (wait_time <= x) / count(*) AS cdf FROM inner_waits, g GROUP BY state, x),
 m AS (SELECT state, (x + lead(x) OVER w) / 2 AS x, cdf FROM c WINDOW w AS (PARTITION BY state ORDER BY x)), n AS (SELECT *, lead(x) OVER w AS x_to, lead(cdf) OVER w AS c FROM m WHERE x IS NOT NULL WINDOW w AS (PARTITION BY state ORDER BY x))
 SELECT state, {r('x', 'x_to', digits=3)}, {r('(c - cdf) / (x_to - x) * 86400 AS pmf')} FROM n WHERE x_to IS NOT NULL""")

@@ -132,10 +132,11 @@ def interpolated(curve: DataFrame, at: DataFrame, keys: Sequence[str], y: str =
     return found.where("_q = 1").drop("_q")
 
 
-def ecdf_simple(df: DataFrame, keys: Sequence[str], x: str, window: float) -> DataFrame:
-    """Running sums of window / (window - x), divided by the number of distinct values: for one size of window, not
-    normalised to end at 1."""
-    counts = df.where(F.col(x) < window).groupBy(*keys, F.col(x).cast("double").alias("x")).agg((F.count(F.lit(1)) * window / (window - F.first(F.col(x)))).alias("_w"))
+def ecdf_simple(df: DataFrame, keys: Sequence[str], x: str, window: float | str) -> DataFrame:
+    """Running sums of window / (window - x), divided by the number of distinct values: for one size of window, or a
+    column of them that is among the keys; not normalised to end at 1."""
+    size = F.col(window) if isinstance(window, str) else F.lit(window)
+    counts = df.where(F.col(x) < size).groupBy(*keys, F.col(x).cast("double").alias("x")).agg((F.count(F.lit(1)) * F.first(size) / (F.first(size) - F.first(F.col(x)))).alias("_w"))
     w = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     return counts.select(*keys, "x", (F.sum("_w").over(w) / F.count(F.lit(1)).over(Window.partitionBy(*keys))).alias("cdf"))
 

@@ -96,3 +96,17 @@ def test_rouse_chain_has_its_thousand_modes(spark):
     k = 3 * np.pi**2 / 100 * (2 * np.arange(1, 1001)) ** 2
     want = (12 / k * (1 - np.exp(-k / 100))).sum() + 0.06
     assert np.allclose([r.a, r.b], want, rtol=1e-9) and round(want, 3) == 1.944
+
+
+def test_curves_of_every_window(spark):
+    """Sizes of all thirds of the trajectories occur; for the largest, the curves of one size."""
+    from dwellspark.jobs import registry
+
+    sf = "/root/testdata/sf0.01"
+    sizes = {r[0] for r in registry.obs(spark, sf).where("wait_type = 'interior'").select("window_size").distinct().collect()}
+    assert len(sizes) > 1
+    for name, alone in (("ecdf_windowed_by_size", "ecdf_windowed_single"), ("ecdf_simple_by_size", "ecdf_simple")):
+        found = registry.QUERIES[name](spark, sf)
+        assert {r[0] for r in found.select("window_size").distinct().collect()} == sizes
+        one = registry.QUERIES[alone](spark, sf)
+        assert sorted(found.where("window_size = 1728000").drop("window_size").collect()) == sorted(one.collect())
