@@ -1,10 +1,13 @@
 """Operator 3: byte-level BPE encoding and decoding.
 
-Texts are split by the tokenizer's pattern into words, and each block of documents keeps its distinct words once and
-its documents as codes of them. The distinct words of all blocks are encoded by Spark higher-order functions: a fold
+Texts are cut at spaces into chunks, each block of documents keeps its distinct chunks once, and only these are split into
+words by the tokenizer's pattern. The distinct words of all blocks are encoded by Spark higher-order functions: a fold
 over the word's bytes that merges, step by step, the first pair of lowest rank; ranks come from a literal map that is
-laid out as two arrays, so that a look-up takes a few additions. Decoding concatenates the tokens' binary pieces, again
-once for each distinct word. The results then meet the blocks they came from.
+laid out as two arrays, so that a look-up takes an addition. A long word is folded in overlapping windows, which are put
+together where two of them have the same token: neighbours in either window are then neighbours in the whole, and a
+sequence of tokens is the encoding of a text if each two neighbours are that of theirs. A word whose windows have no token in
+common is folded whole. Decoding concatenates the tokens' binary pieces, again once for each distinct chunk. The results
+then meet the blocks they came from.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +33,8 @@ from dwellspark.llm.common import partitions, short_batches, texts
 
 #: Text of a block in characters, at most, but for a single longer document.
 BLOCK_CHARS = 24_000_000
-#: Longest word in bytes that is folded: the fold takes the square of a word's length. Longer ones, which prose
-#: doesn't have, are encoded one by one by a library, to the same ids.
-LONG = 200
+#: Bytes of a window of a long word, and from the start of one to that of the next. Longer windows than the longest token.
+WINDOW, STRIDE = 192, 64
 #: A pair of ids is one number: PAIR * left + right. An entry of the table is PAIR * pair + rank.
 PAIR = 1 << 17
 
@@ -54,39 +55,39 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     return found
 
 
-#: Odd factor of the second hash; with keys under 2**34 the product stays within a long.
-FACTOR = 134_217_689
-
-
 def laid_out(found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Entries and shifts: the entry of a pair is at (pair * FACTOR + shifts[pair % len(shifts)]) % len(entries), if the
-    pair is there. Pairs that share a shift are placed together, largest groups first, by the first shift that fits."""
-    n = max(1, len(found))
-    size, groups = _prime(2 * n), _prime(n // 2 + 2)
-    entries, shifts = np.full(size, -1, np.int64), np.zeros(groups, np.int64)
-    keys = np.fromiter(found, np.int64, len(found))
-    by_group: dict[int, list[int]] = {}
-    for key, g in zip(keys.tolist(), (keys % groups).tolist()):
-        by_group.setdefault(g, []).append(key)
-    free = np.ones(size, bool)
-    for g, own in sorted(by_group.items(), key=lambda x: -len(x[1])):
-        at = np.array([k * FACTOR % size for k in own])
-        if len(set(at.tolist())) < len(at):
-            raise ValueError("two pairs of a group share a place under any shift")
-        shift = 0
-        while not free[(at + shift) % size].all():
-            shift += 1
-        shifts[g] = shift
-        places = (at + shift) % size
-        free[places] = False
-        entries[places] = [k * PAIR + found[k] for k in own]
-    return entries, shifts
-
-
-def _prime(n: int) -> int:
-    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
+    """Entries and bases: the entry of a pair is at bases[left] + right, if the pair is there. Each left token's row of
+    rights is laid over the rows before where no two entries meet, longest rows first."""
+    width = 1 + max((k % PAIR for k in found), default=0)
+    bases = np.zeros(1 + max((max(k // PAIR, k % PAIR) for k in found), default=0), np.int64)
+    used, entries, top = np.zeros(2 * width + 4 * len(found) + 65_536, bool), {}, width
+    rows: dict[int, list[int]] = {}
+    for key in sorted(found):
+        rows.setdefault(key // PAIR, []).append(key % PAIR)
+    length, start = 0, 0
+    for left, rights in sorted(rows.items(), key=lambda x: -len(x[1])):
+        if len(rights) != length:
+            length, start = len(rights), max(0, start - 4 * width)
+        at = start
+        while True:
+            if at + 4096 + width > len(used):
+                used = np.concatenate([used, np.zeros(len(used), bool)])
+            taken = np.zeros(4096, bool)
+            for r in rights:
+                taken |= used[at + r : at + r + 4096]
+            free = int(taken.argmin())
+            if not taken[free]:
+                break
+            at += 4096
+        start = at = at + free
+        bases[left] = at
+        for r in rights:
+            used[at + r] = True
+            entries[at + r] = left * PAIR + found[left * PAIR + r]
+        top = max(top, at + width)
+    out = np.full(top, -1, np.int64)
+    out[list(entries)] = list(entries.values())
+    return out, bases
 
 
 def _literal(values: list, kind: str = "bigint") -> Column:
@@ -98,40 +99,75 @@ class Coder:
     """Columns that encode a word, from literals of one rank file, which take megabytes of plan."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        entries, shifts = laid_out(pair_ranks(ranks))
-        self._entries, self._shifts = _literal(entries.tolist()), _literal(shifts.tolist())
-        self._size, self._groups = len(entries), len(shifts)
+        entries, bases = laid_out(pair_ranks(ranks))
+        self._entries, self._bases = _literal(entries.tolist()), _literal(bases.tolist())
 
     def _rank(self, left: Column, right: Column) -> Column:
-        """The rank of a pair; negative or PAIR and above if it is none."""
-        pair = left * F.lit(PAIR) + right
-        at = (pair * F.lit(FACTOR) + F.get(self._shifts, (pair % self._groups).cast("int"))) % self._size
-        return F.get(self._entries, at.cast("int")) - pair * F.lit(PAIR)
+        """The rank of a pair; PAIR or above if it is none, null if right is."""
+        entry = F.get(self._entries, (F.get(self._bases, left.cast("int")) + right).cast("int"))
+        return (entry - left * F.lit(PAIR)).bitwiseAND(F.lit((1 << 62) - 1))
 
     def ids(self, start: Column) -> Column:
         """array<bigint> of a word given as the ids of its bytes, by folding merges over them."""
 
         def step(state: Column, _: Column) -> Column:
             ids = state["ids"]
-            ranks = F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: self._rank(F.get(ids, i - 1), F.get(ids, i)))
+            ranks = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), self._rank)
             # A one-element array binds a value to a name, so that it is computed once.
             merged = F.transform(F.array(ranks), lambda r: _first_lowest(ids, r))
-            return F.when(state["done"] | (F.size(ids) < 2), state).otherwise(F.get(merged, F.lit(0)))
+            return F.when(state["done"], state).otherwise(F.get(merged, F.lit(0)))
 
-        state = F.struct(start.alias("ids"), F.lit(False).alias("done"))
+        state = F.struct(start.alias("ids"), (F.size(start) < 2).alias("done"))
         return F.aggregate(start, state, step)["ids"]
 
 
 def _first_lowest(ids: Column, ranks: Column) -> Column:
     """ids with the first pair of the lowest rank merged, or as they are and done if no pair has a rank."""
-    lowest = F.array_min(F.filter(ranks, lambda r: (r >= 0) & (r < PAIR)))
 
     def merged(low: Column) -> Column:
         at = F.array_position(ranks, low).cast("int")
         joined = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids)))
-        return F.when(low.isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(F.struct(joined.alias("ids"), F.lit(False).alias("done")))
-
-    return F.get(F.transform(F.array(lowest), merged), F.lit(0))
+        return F.when(low < PAIR, F.struct(joined.alias("ids"), (F.size(ids) < 3).alias("done"))).otherwise(F.struct(ids.alias("ids"), F.lit(True).alias("done")))
+
+    return F.get(F.transform(F.array(F.array_min(ranks)), merged), F.lit(0))
+
+
+def windows(word: bytes) -> list[tuple[int, int]]:
+    """Starts and ends of the windows that a word is folded in: one, if it is no longer than a window. Within a run of one
+    byte, windows start a whole number of strides from its start, where the run's tokens start too."""
+    if len(word) <= WINDOW:
+        return [(0, len(word))]
+    raw, starts = np.frombuffer(word, np.uint8), [0]
+    run = np.maximum.accumulate(np.where(np.r_[True, raw[1:] != raw[:-1]], np.arange(len(raw)), 0))
+    for s in range(STRIDE, len(word) - WINDOW + STRIDE, STRIDE):
+        if s - run[s] >= STRIDE:
+            s -= int(s - run[s]) % STRIDE
+        if s > starts[-1]:
+            starts.append(s)
+    return [(s, min(s + WINDOW, len(word))) for s in starts[:-1]] + [(starts[-1], len(word))]
+
+
+def stitched(spans: list[tuple[int, int]], parts: list[list[int]], lengths: list[int]) -> list[int] | None:
+    """The ids of a word from those of its windows, or none if two neighbours have no token in common. lengths: bytes of a token."""
+    out, place = list(parts[0]), spans[0][0]
+    at = {}  # where the tokens so far start, in the last window
+    for i in out:
+        at[place] = len(at)
+        place += lengths[i]
+    for (s, _), ids in zip(spans[1:], parts[1:]):
+        place, own, meets = s, {}, None
+        for k, i in enumerate(ids):
+            own[place] = k
+            # The first token of a window is cut off at its left, so its neighbour is not known.
+            if meets is None and k and (n := at.get(place)) is not None and out[n] == i:
+                meets = (n, k)
+            place += lengths[i]
+        if meets is None:
+            return None
+        del out[meets[0] :]
+        out += ids[meets[1] :]
+        at = {p: meets[0] + k - meets[1] for p, k in own.items() if k >= meets[1]}
+    return out
 
 
 class Splitter:
@@ -151,7 +187,49 @@ class Splitter:
         return (self._FAST if self._own and self._KNOWN.fullmatch(text) else self._any).findall(text)
 
 
-_SPLIT = "block string, doc_ids array<{id}>, sizes binary, codes binary, bucket int, words binary, word_codes binary"
+#: A space after what isn't white space by anyone's count, where a word always starts.
+_SAFE = re.compile(r"(?<=\S) ")
+
+
+def chunks(texts_in: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct chunks, the texts' chunks as codes of them, and each text's number of chunks. A chunk that starts with a space
+    stands for what follows it, any other for itself with a space before it: so all of a text but its beginning is cut at
+    its spaces, since the pattern starts a word there whatever comes before. Only where white space stands on both sides of
+    a space it doesn't, and these texts are cut into words at once."""
+    listed = pc.split_pattern(texts_in.cast(pa.large_string()), " ")
+    values = listed.values
+    starts = listed.offsets.to_numpy()
+    sizes = np.diff(starts)
+    known = values.dictionary_encode()
+    codes = known.indices.to_numpy().astype(np.int64)
+    found = known.dictionary.to_pylist()
+    first, last = (np.array([not c or c[k].isspace() for c in found], bool) for k in (0, -1))
+    wide = last[codes[:-1]] & first[codes[1:]]
+    wide[starts[1:-1] - 1] = False  # from one text to the next
+    odd = np.flatnonzero(np.add.reduceat(np.r_[wide, False], starts[:-1])) if len(codes) else np.empty(0, np.int64)
+    more: dict[str, int] = {}
+    heads = [" " + found[c] for c in codes[starts[:-1]].tolist()]
+    codes[starts[:-1]] = [more.setdefault(h, len(found) + len(more)) for h in heads]
+    if not len(odd):
+        return pa.array(found + list(more), pa.large_string()), codes, sizes
+    cut, parts = Splitter(), np.split(codes, starts[1:-1])
+    for k, text in zip(odd.tolist(), texts_in.take(pa.array(odd)).to_pylist()):
+        parts[k] = np.array([more.setdefault(" " + w, len(found) + len(more)) for part in _pieces_of(text) for w in cut(part)], np.int64)
+        sizes[k] = len(parts[k])
+    return pa.array(found + list(more), pa.large_string()), np.concatenate(parts), sizes
+
+
+def _pieces_of(text: str) -> list[str]:
+    """A text in parts of some length, each of which starts a word."""
+    out, at = [], 0
+    for m in _SAFE.finditer(text):
+        if m.start() - at >= 10_000:
+            out.append(text[at : m.start()])
+            at = m.start()
+    return [*out, text[at:]]
+
+
+_SPLIT = "block string, doc_ids array<{id}>, sizes binary, codes binary, chunk_sizes binary, chunk_codes binary, bucket int, words binary, word_codes binary"
 
 
 def _squeezed(*parts: bytes) -> bytes:
@@ -184,58 +262,70 @@ def _words(raw: bytes) -> list[bytes]:
 
 
 def split(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows of two kinds that share a block: some documents as codes of words, frequent words having low ones; and the block's
-    distinct words, by bucket of their hash, with their codes. A null text is as an empty one."""
+    """Rows of three kinds that share a block: some documents as codes of chunks, frequent ones having low codes; the block's
+    distinct chunks as codes of words; and its distinct words, by bucket of their hash, with their codes. A null text is as
+    an empty one."""
     rows = texts(docs, id_col, text_col)
     short_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, part, number, id_type = Splitter(), TaskContext.get().partitionId(), 0, None
+        names = ["block", "doc_ids", "sizes", "codes", "chunk_sizes", "chunk_codes", "bucket", "words", "word_codes"]
 
-        def block(known: dict[str, int], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        def row(**have) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.list_(id_type), *[pa.binary()] * 4, pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([have.get(n)], k) for n, k in zip(names, kinds)], names)
+
+        def block(held: list[tuple[pa.Array, pa.Array]]) -> Iterator[pa.RecordBatch]:
             name = f"{part}-{number}"
-            count = np.bincount(np.concatenate([c for _, c in held]), minlength=len(known))
-            code = np.empty(len(known), np.int64)
-            code[np.argsort(-count, kind="stable")] = np.arange(len(known))
-            kinds = (pa.string(), pa.list_(id_type), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-            names = ["block", "doc_ids", "sizes", "codes", "bucket", "words", "word_codes"]
-            for s in range(0, len(held), 256):
-                own = held[s : s + 256]
-                codes = code[np.concatenate([c for _, c in own])]
-                columns = [[name], [[d for d, _ in own]], [_numbers(np.array([len(c) for _, c in own]))], [_numbers(codes)], *[[None]] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            found, codes, sizes = chunks(pa.concat_arrays([t for _, t in held]))
+            count = np.bincount(codes, minlength=len(found))
+            order = np.argsort(-count, kind="stable")[: int((count > 0).sum())]
+            place = np.empty(len(found), np.int64)
+            place[order] = np.arange(len(order))
+            codes = place[codes]
+            doc_ids, ends = pa.concat_arrays([d for d, _ in held]).to_pylist(), np.cumsum(np.r_[0, sizes])
+            for s in range(0, len(doc_ids), 256):
+                e = min(s + 256, len(doc_ids))
+                yield row(block=name, doc_ids=doc_ids[s:e], sizes=_numbers(sizes[s:e]), codes=_numbers(codes[ends[s] : ends[e]]))
+            known: dict[str, int] = {}
+            own = [[known.setdefault(w, len(known)) for w in cut(c[1:] if c[:1] == " " else " " + c)] for c in found.take(pa.array(order)).to_pylist()]
+            yield row(block=name, chunk_sizes=_numbers(np.array(list(map(len, own)), np.int64)), chunk_codes=_numbers(np.array([w for c in own for w in c], np.int64)))
             dealt: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
-            for word, c in zip(known, code.tolist()):
+            for word, c in known.items():
                 raw = word.encode("utf-8", "surrogatepass")
                 dealt[zlib.crc32(raw) % buckets].append((raw, c))
             for b, own in enumerate(dealt):
                 if own:
                     own.sort()
-                    columns = [[name], [None], [None], [None], [b], [_listed([w for w, _ in own])], [_numbers(np.array([c for _, c in own]))]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                    yield row(block=name, bucket=b, words=_listed([w for w, _ in own]), word_codes=_numbers(np.array([c for _, c in own])))
 
-        known, held, chars = {}, [], 0
+        held, chars = [], 0
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held and chars + len(text or "") > block_chars:
-                    yield from block(known, held)
-                    known, held, chars, number = {}, [], 0, number + 1
-                found = cut(text) if text else []
-                own = [known.get(w, -1) for w in found]
-                if -1 in own:
-                    own = [known.setdefault(w, len(known)) for w in found]
-                held.append((doc, np.array(own, np.int64).astype("<u4")))
-                chars += len(text or "")
+            text = pc.fill_null(batch.column(1), "").cast(pa.large_string())
+            lengths = pc.utf8_length(text).to_pylist()
+            start = 0
+            for k, n in enumerate(lengths):
+                if chars and chars + n > block_chars:
+                    held.append((batch.column(0).slice(start, k - start), text.slice(start, k - start)))
+                    yield from block(held)
+                    held, chars, number, start = [], 0, number + 1, k
+                chars += n
+            if len(lengths) > start:
+                held.append((batch.column(0).slice(start), text.slice(start)))
         if held:
-            yield from block(known, held)
+            yield from block(held)
 
     return rows.mapInArrow(run, _SPLIT.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
+_KNOWN = "bucket int, known binary, counts binary, ids binary"
+
+
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """words: bucket, words (packed lists), several rows for a bucket. For each bucket its distinct words and their ids,
-    packed in turn: bucket, known, counts, ids."""
+    """words: bucket, words (packed lists), several rows for a bucket. The bucket's distinct words and their ids, packed in
+    turn, in some rows: bucket, known, counts, ids. A word that had to be folded whole has a row of its own."""
     ranks = ranks_of(path)
     coder = Coder(ranks)
     first = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -243,26 +333,48 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     def distinct(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         found = sorted({w for raw in table["words"].to_pylist() for w in _words(raw)})
-        start = [first[np.frombuffer(w, np.uint8)] if len(w) <= LONG else first[:0] for w in found]
-        return pa.table([pa.array([bucket] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array(start, pa.list_(pa.int64()))], ["bucket", "word", "start"])
+        parts = [first[np.frombuffer(w, np.uint8)[s:e]] for w in found for s, e in windows(w)]
+        inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+        outer = pa.array(np.cumsum([0, *(len(windows(w)) if len(w) > WINDOW else 1 for w in found)]), pa.int32())
+        return pa.table([pa.array([bucket] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.ListArray.from_arrays(outer, inner)], ["bucket", "word", "parts"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longer = None
+        lengths = list(map(len, _pieces(path)))
+        names, kinds = ["bucket", "known", "counts", "ids", "whole"], (pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64()))
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for b in pc.unique(batch.column(0)).to_pylist():
                 own = table.filter(pc.equal(table["bucket"], b))
-                known, ids = own["word"].to_pylist(), own["ids"].to_pylist()
-                for k, w in enumerate(known):
-                    if len(w) > LONG:
-                        longer = longer or tiktoken.Encoding("long", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of(path), special_tokens={})
-                        ids[k] = longer._encode_single_piece(w)
-                columns = [[b], [_listed(known)], [_numbers(np.array([len(i) for i in ids]))], [_numbers(np.array([x for i in ids for x in i], np.int64))]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 3))], ["bucket", "known", "counts", "ids"])
+                known, done, ids = own["word"].to_pylist(), [], []
+                for w, parts in zip(known, own["ids"].to_pylist()):
+                    found = parts[0] if len(parts) == 1 else stitched(windows(w), parts, lengths)
+                    if found is None:
+                        columns = [[b], [_listed([w])], [None], [None], [first[np.frombuffer(w, np.uint8)]]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                    else:
+                        done.append(w)
+                        ids.append(found)
+                columns = [[b], [_listed(done)], [_numbers(np.array([len(i) for i in ids], np.int64))], [_numbers(np.array([x for i in ids for x in i], np.int64))], [None]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     # As many tasks as partitions, however few the bytes: the fold is long in work.
-    dealt = words.repartition(partitions(words.sparkSession), "bucket").groupBy("bucket").applyInArrow(distinct, "bucket int, word binary, start array<bigint>")
-    return dealt.select("bucket", "word", coder.ids(F.col("start")).alias("ids")).mapInArrow(pack, "bucket int, known binary, counts binary, ids binary")
+    dealt = words.repartition(partitions(words.sparkSession), "bucket").groupBy("bucket").applyInArrow(distinct, "bucket int, word binary, parts array<array<bigint>>")
+    folded = dealt.select("bucket", "word", F.transform("parts", coder.ids).alias("ids")).mapInArrow(pack, _KNOWN + ", whole array<bigint>")
+    return folded.withColumn("whole", F.when(F.col("whole").isNotNull(), coder.ids(F.col("whole"))))
+
+
+def _gathered(values: pa.Array, codes: np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+    """The values (large_binary) of the codes, those of each run of so many joined."""
+    taken = values.take(pa.array(codes))
+    offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset)
+    ends = offsets[np.cumsum(np.r_[0, sizes])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.ascontiguousarray(ends)), taken.buffers()[2]])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places from each start on, so many of each."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, digests: bool = False) -> DataFrame:
@@ -273,49 +385,53 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def words_of(table: pa.Table) -> pa.Table:
         return table.filter(pc.is_valid(table["words"])).select(["block", "bucket", "words", "word_codes"])
 
-    # Both kinds of rows go to their block in one exchange, which is written once and read by either side.
+    # All kinds of rows go to their block in one exchange, which is written once and read by either side.
     words = rows.groupBy("block").applyInArrow(words_of, "block string, bucket int, words binary, word_codes binary")
     known = encode_words(words.select("bucket", "words"), path)
-    shown = (lambda x: hashlib.sha256(x).hexdigest()) if digests else (lambda x: x)
-    kinds = (pa.int64(), pa.string(), pa.string() if digests else pa.binary())
 
     def tell(asked: pa.Table, told: pa.Table) -> pa.Table:
         """Ids of a bucket's words to the blocks that have them."""
-        ids = {}
-        for raw, counts, flat in zip(*(told[c].to_pylist() for c in ("known", "counts", "ids"))):
-            ends = np.cumsum(np.r_[0, _numbered(counts)]).tolist()
-            flat = _numbered(flat)
-            ids |= {w: flat[s:e] for w, s, e in zip(_words(raw), ends, ends[1:])}
+        have, counts, flat = [], [], []
+        for raw, n, ids, whole in zip(*(told[c].to_pylist() for c in ("known", "counts", "ids", "whole"))):
+            have += _words(raw)
+            counts.append(np.array([len(whole)], "<u4") if whole is not None else _numbered(n))
+            flat.append(np.array(whole, "<u4") if whole is not None else _numbered(ids))
+        counts, flat, have = (np.concatenate([*x, np.empty(0, "<u4")]) if x is not have else pa.array(x, pa.binary()) for x in (counts, flat, have))
+        counts = counts.astype(np.int64)
+        starts = np.cumsum(counts) - counts
         out = []
         for block, raw, codes in zip(*(asked[c].to_pylist() for c in ("block", "words", "word_codes"))):
-            own = [ids[w] for w in _words(raw)]
-            out.append((block, codes, _numbers(np.array([len(i) for i in own])), _numbers(np.concatenate(own))))
+            own = pc.index_in(pa.array(_words(raw), pa.binary()), have).to_numpy()
+            out.append((block, codes, _numbers(counts[own]), _numbers(flat[_ranges(starts[own], counts[own])])))
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), *[pa.binary()] * 3))], ["of", "word_codes", "counts", "ids"])
 
-    def meet(documents: pa.Table, told: pa.Table) -> pa.Table:
-        """Ids and their bytes for a block's documents: each word's once, as text and as pieces."""
+    def meet(rows_in: pa.Table, told: pa.Table) -> pa.Table:
+        """Ids and their bytes for a block's documents: each chunk's once, as text and as pieces."""
         pieces = _pieces(path)
-        codes, counts, flat = (np.concatenate([*map(_numbered, told[c].to_pylist()), np.empty(0, "<u4")]) for c in ("word_codes", "counts", "ids"))
-        ends, n = np.cumsum(np.r_[0, counts]).tolist(), np.zeros(len(codes), np.int64)
-        n[codes] = counts
-        flat, texts_of, bytes_of = flat.tolist(), [""] * len(codes), [b""] * len(codes)
-        for c, s, e in zip(codes.tolist(), ends, ends[1:]):
-            own = flat[s:e]
-            texts_of[c], bytes_of[c] = " ".join(map(str, own)), b"".join([pieces[i] for i in own])
-        totals, joined, decoded = [], [], []
-        documents = documents.filter(pc.is_valid(documents["codes"]))
+        codes, counts, flat = (np.concatenate([*map(_numbered, told[c].to_pylist()), np.empty(0, "<u4")]).astype(np.int64) for c in ("word_codes", "counts", "ids"))
+        order = np.argsort(codes)
+        flat, counts = flat[_ranges((np.cumsum(counts) - counts)[order], counts[order])], counts[order]
+        of = rows_in.filter(pc.is_valid(rows_in["chunk_sizes"]))
+        words_in, words_of_chunk = (_numbered(of[c][0].as_py()).astype(np.int64) for c in ("chunk_codes", "chunk_sizes"))
+        n = np.add.reduceat(np.r_[counts[words_in], 0], np.minimum(np.cumsum(words_of_chunk) - words_of_chunk, len(words_in))) * (words_of_chunk > 0)
+        by_id = [pa.array([b"%d " % i for i in range(len(pieces))], pa.large_binary()), pa.array(pieces, pa.large_binary())]
+        by_chunk = [_gathered(_gathered(v, flat, counts), words_in, words_of_chunk) for v in by_id]
+        documents, totals, joined, decoded = rows_in.filter(pc.is_valid(rows_in["codes"])), [], [], []
         for sizes, codes_in in zip(documents["sizes"].to_pylist(), documents["codes"].to_pylist()):
-            ends, flat = np.cumsum(np.r_[0, _numbered(sizes)]).tolist(), _numbered(codes_in)
-            for s, e in zip(ends, ends[1:]):
-                own = flat[s:e]
-                listed = own.tolist()
-                totals.append(int(n[own].sum()))
-                joined.append(shown(" ".join([texts_of[c] for c in listed]).encode()))
-                decoded.append(shown(b"".join([bytes_of[c] for c in listed])))
+            sizes, own = _numbered(sizes).astype(np.int64), _numbered(codes_in).astype(np.int64)
+            ends = np.cumsum(np.r_[0, sizes])
+            upto = np.cumsum(np.r_[0, n[own]])
+            totals.append(upto[ends[1:]] - upto[ends[:-1]])
+            for value, out, cut in zip(by_chunk, (joined, decoded), (1, 0)):
+                _, cuts, data = _gathered(value, own, sizes).buffers()
+                cuts, data = np.frombuffer(cuts, np.int64).tolist(), memoryview(data)
+                made = [data[s : max(s, e - cut)] for s, e in zip(cuts, cuts[1:])]
+                out += [hashlib.sha256(v).hexdigest() for v in made] if digests else [v.tobytes() for v in made]
+        joined = pa.array(joined if digests else [j.decode() for j in joined], pa.string())
         ids_in = pc.list_flatten(documents["doc_ids"])
-        return pa.table([ids_in, *(pa.array(x, t) for x, t in zip((totals, joined, decoded), kinds))], ["doc_id", "n_tokens", "ids", "decoded"])
+        return pa.table([ids_in, pa.array(np.concatenate([*totals, np.empty(0, np.int64)])), joined, pa.array(decoded, pa.string() if digests else pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    answers = words.groupBy("bucket").cogroup(known.select(F.col("bucket").alias("b"), "known", "counts", "ids").groupBy("b")).applyInArrow(tell, "of string, word_codes binary, counts binary, ids binary")
+    answers = words.groupBy("bucket").cogroup(known.withColumnRenamed("bucket", "b").groupBy("b")).applyInArrow(tell, "of string, word_codes binary, counts binary, ids binary")
     id_type = rows.schema["doc_ids"].dataType.elementType.simpleString()
     schema = f"doc_id {id_type}, n_tokens long, ids string, decoded {'string' if digests else 'binary'}"
     return rows.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(meet, schema)

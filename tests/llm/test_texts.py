@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,6 +65,29 @@ def test_bpe_is_as_tiktoken(spark, docs):
     assert own == want
     assert bpe.encode(docs.limit(0), TIKTOKEN).count() == 0
 
+def test_bpe_of_long_words(spark):
+    """Words of many windows: mixed, with runs of one byte at any place, periodic ones that only a whole fold can do."""
+    rng = random.Random(8)
+    mixed = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(5000))
+    runs = "".join(c * rng.randint(1, 900) for c in "-=_.#*-=-.")
+    texts = [mixed, mixed.upper() + mixed, runs, "ab=" + "-" * 3001, "=-" * 700, "abc" * 500, "\u00c3\u00c2" * 900, "\n" * 1500, " " * 999 + "x", "9" * 4000, f"{mixed[:190]} {mixed[:193]} {mixed[:257]}"]
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(TIKTOKEN), special_tokens={})
+    found = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TIKTOKEN).collect()
+    assert {r["doc_id"]: r["ids"] for r in found} == {i: " ".join(map(str, plain.encode(t, disallowed_special=()))) for i, t in enumerate(texts)}
+    assert len(bpe.windows(runs.encode())) > 20 and bpe.windows(b"x" * 192) == [(0, 192)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\ta\'s,5\u00a0\x1c\u3000é", max_size=30), min_size=1, max_size=5))
+def test_chunks_are_as_words(texts):
+    found, codes, sizes = bpe.chunks(pa.array(texts))
+    cut, found, at = bpe.Splitter(), found.to_pylist(), 0
+    for text, n in zip(texts, sizes.tolist()):
+        own = [w for c in codes[at : at + n].tolist() for w in cut(found[c][1:] if found[c][:1] == " " else " " + found[c])]
+        assert own == cut(text)
+        at += n
+
+
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sdlé²½Ǆ_1 \x1c 中"), st.characters(codec="utf-8")), max_size=30))
