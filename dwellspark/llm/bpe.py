@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -202,21 +203,35 @@ def chunks(texts_in: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     sizes = np.diff(starts)
     known = values.dictionary_encode()
     codes = known.indices.to_numpy().astype(np.int64)
-    found = known.dictionary.to_pylist()
-    first, last = (np.array([not c or c[k].isspace() for c in found], bool) for k in (0, -1))
+    known = known.dictionary
+    first, last = (_white(known, k) for k in (0, -1))
     wide = last[codes[:-1]] & first[codes[1:]]
     wide[starts[1:-1] - 1] = False  # from one text to the next
     odd = np.flatnonzero(np.add.reduceat(np.r_[wide, False], starts[:-1])) if len(codes) else np.empty(0, np.int64)
     more: dict[str, int] = {}
-    heads = [" " + found[c] for c in codes[starts[:-1]].tolist()]
-    codes[starts[:-1]] = [more.setdefault(h, len(found) + len(more)) for h in heads]
+    heads = [" " + c for c in known.take(pa.array(codes[starts[:-1]])).to_pylist()]
+    codes[starts[:-1]] = [more.setdefault(h, len(known) + len(more)) for h in heads]
     if not len(odd):
-        return pa.array(found + list(more), pa.large_string()), codes, sizes
+        return pa.concat_arrays([known, pa.array(list(more), pa.large_string())]), codes, sizes
     cut, parts = Splitter(), np.split(codes, starts[1:-1])
     for k, text in zip(odd.tolist(), texts_in.take(pa.array(odd)).to_pylist()):
-        parts[k] = np.array([more.setdefault(" " + w, len(found) + len(more)) for part in _pieces_of(text) for w in cut(part)], np.int64)
+        parts[k] = np.array([more.setdefault(" " + w, len(known) + len(more)) for part in _pieces_of(text) for w in cut(part)], np.int64)
         sizes[k] = len(parts[k])
-    return pa.array(found + list(more), pa.large_string()), np.concatenate(parts), sizes
+    return pa.concat_arrays([known, pa.array(list(more), pa.large_string())]), np.concatenate(parts), sizes
+
+
+def _white(values: pa.Array, at: int) -> np.ndarray:
+    """Whether a value is empty or has white space at a place."""
+    there = pc.utf8_slice_codeunits(values, at, at + 1 or None).dictionary_encode()
+    return np.array([not c or c.isspace() for c in there.dictionary.to_pylist()], bool)[there.indices.to_numpy()]
+
+
+class _Numbers(dict):
+    """Numbers for keys in the order of their first look-up."""
+
+    def __missing__(self, key):
+        self[key] = found = len(self)
+        return found
 
 
 def _pieces_of(text: str) -> list[str]:
@@ -229,7 +244,7 @@ def _pieces_of(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-_SPLIT = "block string, doc_ids array<{id}>, sizes binary, codes binary, chunk_sizes binary, chunk_codes binary, bucket int, words binary, word_codes binary"
+_SPLIT = "at string, doc_ids array<{id}>, sizes binary, codes binary, chunk_sizes binary, chunk_codes binary, block string, words binary, word_codes binary"
 
 
 def _squeezed(*parts: bytes) -> bytes:
@@ -262,18 +277,18 @@ def _words(raw: bytes) -> list[bytes]:
 
 
 def split(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows of three kinds that share a block: some documents as codes of chunks, frequent ones having low codes; the block's
-    distinct chunks as codes of words; and its distinct words, by bucket of their hash, with their codes. A null text is as
-    an empty one."""
+    """Rows of three kinds. At a block: some of its documents as codes of chunks, frequent ones having low codes; and its distinct
+    chunks as codes of words. At a bucket: a block's distinct words of that bucket of their hash, with their codes. A null
+    text is as an empty one."""
     rows = texts(docs, id_col, text_col)
     short_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, part, number, id_type = Splitter(), TaskContext.get().partitionId(), 0, None
-        names = ["block", "doc_ids", "sizes", "codes", "chunk_sizes", "chunk_codes", "bucket", "words", "word_codes"]
+        names = ["at", "doc_ids", "sizes", "codes", "chunk_sizes", "chunk_codes", "block", "words", "word_codes"]
 
         def row(**have) -> pa.RecordBatch:
-            kinds = (pa.string(), pa.list_(id_type), *[pa.binary()] * 4, pa.int32(), pa.binary(), pa.binary())
+            kinds = (pa.string(), pa.list_(id_type), *[pa.binary()] * 4, pa.string(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([have.get(n)], k) for n, k in zip(names, kinds)], names)
 
         def block(held: list[tuple[pa.Array, pa.Array]]) -> Iterator[pa.RecordBatch]:
@@ -287,10 +302,14 @@ def split(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str =
             doc_ids, ends = pa.concat_arrays([d for d, _ in held]).to_pylist(), np.cumsum(np.r_[0, sizes])
             for s in range(0, len(doc_ids), 256):
                 e = min(s + 256, len(doc_ids))
-                yield row(block=name, doc_ids=doc_ids[s:e], sizes=_numbers(sizes[s:e]), codes=_numbers(codes[ends[s] : ends[e]]))
-            known: dict[str, int] = {}
-            own = [[known.setdefault(w, len(known)) for w in cut(c[1:] if c[:1] == " " else " " + c)] for c in found.take(pa.array(order)).to_pylist()]
-            yield row(block=name, chunk_sizes=_numbers(np.array(list(map(len, own)), np.int64)), chunk_codes=_numbers(np.array([w for c in own for w in c], np.int64)))
+                yield row(at=name, doc_ids=doc_ids[s:e], sizes=_numbers(sizes[s:e]), codes=_numbers(codes[ends[s] : ends[e]]))
+            known, flat, counts = _Numbers(), array("I"), array("I")
+            for s in range(0, len(order), 20_000):
+                for c in found.take(pa.array(order[s : s + 20_000])).to_pylist():
+                    own = cut(c[1:] if c[:1] == " " else " " + c)
+                    counts.append(len(own))
+                    flat.extend(map(known.__getitem__, own))
+            yield row(at=name, chunk_sizes=_numbers(np.array(counts)), chunk_codes=_numbers(np.array(flat)))
             dealt: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
             for word, c in known.items():
                 raw = word.encode("utf-8", "surrogatepass")
@@ -298,7 +317,7 @@ def split(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str =
             for b, own in enumerate(dealt):
                 if own:
                     own.sort()
-                    yield row(block=name, bucket=b, words=_listed([w for w, _ in own]), word_codes=_numbers(np.array([c for _, c in own])))
+                    yield row(at=str(b), block=name, words=_listed([w for w, _ in own]), word_codes=_numbers(np.array([c for _, c in own])))
 
         held, chars = [], 0
         for batch in batches:
@@ -320,45 +339,46 @@ def split(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, _SPLIT.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
-_KNOWN = "bucket int, known binary, counts binary, ids binary"
+_KNOWN = "bucket string, known binary, counts binary, ids binary"
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """words: bucket, words (packed lists), several rows for a bucket. The bucket's distinct words and their ids, packed in
-    turn, in some rows: bucket, known, counts, ids. A word that had to be folded whole has a row of its own."""
+def encode_words(rows: DataFrame, path: str) -> DataFrame:
+    """rows: at, words (packed lists; null in other rows), by at. The distinct words of each place and their ids, packed in turn,
+    in some rows: bucket, known, counts, ids. A word that had to be folded whole has a row of its own and its ids there."""
     ranks = ranks_of(path)
     coder = Coder(ranks)
     first = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
     def distinct(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        found = sorted({w for raw in table["words"].to_pylist() for w in _words(raw)})
-        parts = [first[np.frombuffer(w, np.uint8)[s:e]] for w in found for s, e in windows(w)]
-        inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
-        outer = pa.array(np.cumsum([0, *(len(windows(w)) if len(w) > WINDOW else 1 for w in found)]), pa.int32())
-        return pa.table([pa.array([bucket] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.ListArray.from_arrays(outer, inner)], ["bucket", "word", "parts"])
+        found = sorted({w for raw in table["words"].to_pylist() if raw is not None for w in _words(raw)})
+        spans = [windows(w) if len(w) > WINDOW else None for w in found]
+        parts = [p for w, own in zip(found, spans) for p in ([w] if own is None else [w[s:e] for s, e in own])]
+        inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(first[np.frombuffer(b"".join(parts), np.uint8)]))
+        outer = pa.array(np.cumsum([0, *(1 if own is None else len(own) for own in spans)]), pa.int32())
+        bucket = pa.array([table["at"][0].as_py()] * len(found), pa.string())
+        return pa.table([bucket, pa.array(found, pa.binary()), pa.ListArray.from_arrays(outer, inner)], ["bucket", "word", "parts"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = list(map(len, _pieces(path)))
-        names, kinds = ["bucket", "known", "counts", "ids", "whole"], (pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64()))
+
+        def row(bucket: str, known: list[bytes], counts: np.ndarray | None, ids: np.ndarray | None, whole: bytes | None = None) -> pa.RecordBatch:
+            columns = (bucket, _listed(known), *(None if c is None else _numbers(c) for c in (counts, ids)), None if whole is None else first[np.frombuffer(whole, np.uint8)])
+            kinds = (pa.string(), *[pa.binary()] * 3, pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], ["bucket", "known", "counts", "ids", "whole"])
+
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for b in pc.unique(batch.column(0)).to_pylist():
-                own = table.filter(pc.equal(table["bucket"], b))
-                known, done, ids = own["word"].to_pylist(), [], []
-                for w, parts in zip(known, own["ids"].to_pylist()):
-                    found = parts[0] if len(parts) == 1 else stitched(windows(w), parts, lengths)
-                    if found is None:
-                        columns = [[b], [_listed([w])], [None], [None], [first[np.frombuffer(w, np.uint8)]]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-                    else:
-                        done.append(w)
-                        ids.append(found)
-                columns = [[b], [_listed(done)], [_numbers(np.array([len(i) for i in ids], np.int64))], [_numbers(np.array([x for i in ids for x in i], np.int64))], [None]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-    # As many tasks as partitions, however few the bytes: the fold is long in work.
-    dealt = words.repartition(partitions(words.sparkSession), "bucket").groupBy("bucket").applyInArrow(distinct, "bucket int, word binary, parts array<array<bigint>>")
+                own = table.filter(pc.equal(table["bucket"], b)).combine_chunks()
+                one = pc.equal(pc.list_value_length(own["ids"]), 1)
+                short, long = own.filter(one), own.filter(pc.invert(one))
+                ids = pc.list_flatten(short["ids"])
+                yield row(b, short["word"].to_pylist(), pc.list_value_length(ids).to_numpy(), pc.list_flatten(ids).to_numpy())
+                for w, parts in zip(long["word"].to_pylist(), long["ids"].to_pylist()):
+                    found = stitched(windows(w), parts, lengths)
+                    yield row(b, [w], None, None, w) if found is None else row(b, [w], np.array([len(found)]), np.array(found))
+
+    dealt = rows.groupBy("at").applyInArrow(distinct, "bucket string, word binary, parts array<array<bigint>>")
     folded = dealt.select("bucket", "word", F.transform("parts", coder.ids).alias("ids")).mapInArrow(pack, _KNOWN + ", whole array<bigint>")
     return folded.withColumn("whole", F.when(F.col("whole").isNotNull(), coder.ids(F.col("whole"))))
 
@@ -380,14 +400,11 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by a space), decoded (the ids' bytes) for each row, repeated rows
     included. digests: the SHA-256 of the latter two instead, as lower-case hexadecimal digits."""
-    rows = split(docs, partitions(docs.sparkSession), id_col, text_col, block_chars)
-
-    def words_of(table: pa.Table) -> pa.Table:
-        return table.filter(pc.is_valid(table["words"])).select(["block", "bucket", "words", "word_codes"])
-
-    # All kinds of rows go to their block in one exchange, which is written once and read by either side.
-    words = rows.groupBy("block").applyInArrow(words_of, "block string, bucket int, words binary, word_codes binary")
-    known = encode_words(words.select("bucket", "words"), path)
+    # All kinds of rows go to their places in one exchange, which is written once and read three times. It has as many
+    # tasks as partitions, however few the bytes: the fold is long in work.
+    n = partitions(docs.sparkSession)
+    rows = split(docs, n, id_col, text_col, block_chars).repartition(n, "at")
+    known = encode_words(rows, path)
 
     def tell(asked: pa.Table, told: pa.Table) -> pa.Table:
         """Ids of a bucket's words to the blocks that have them."""
@@ -399,7 +416,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         counts, flat, have = (np.concatenate([*x, np.empty(0, "<u4")]) if x is not have else pa.array(x, pa.binary()) for x in (counts, flat, have))
         counts = counts.astype(np.int64)
         starts = np.cumsum(counts) - counts
-        out = []
+        out, asked = [], asked.filter(pc.is_valid(asked["words"]))
         for block, raw, codes in zip(*(asked[c].to_pylist() for c in ("block", "words", "word_codes"))):
             own = pc.index_in(pa.array(_words(raw), pa.binary()), have).to_numpy()
             out.append((block, codes, _numbers(counts[own]), _numbers(flat[_ranges(starts[own], counts[own])])))
@@ -407,12 +424,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def meet(rows_in: pa.Table, told: pa.Table) -> pa.Table:
         """Ids and their bytes for a block's documents: each chunk's once, as text and as pieces."""
+        if not told.num_rows and rows_in["chunk_sizes"].null_count == rows_in.num_rows:
+            rows_in = rows_in.slice(0, 0)  # a bucket's rows
         pieces = _pieces(path)
         codes, counts, flat = (np.concatenate([*map(_numbered, told[c].to_pylist()), np.empty(0, "<u4")]).astype(np.int64) for c in ("word_codes", "counts", "ids"))
         order = np.argsort(codes)
         flat, counts = flat[_ranges((np.cumsum(counts) - counts)[order], counts[order])], counts[order]
         of = rows_in.filter(pc.is_valid(rows_in["chunk_sizes"]))
-        words_in, words_of_chunk = (_numbered(of[c][0].as_py()).astype(np.int64) for c in ("chunk_codes", "chunk_sizes"))
+        words_in, words_of_chunk = (np.concatenate([*map(_numbered, of[c].to_pylist()), np.empty(0, "<u4")]).astype(np.int64) for c in ("chunk_codes", "chunk_sizes"))
         n = np.add.reduceat(np.r_[counts[words_in], 0], np.minimum(np.cumsum(words_of_chunk) - words_of_chunk, len(words_in))) * (words_of_chunk > 0)
         by_id = [pa.array([b"%d " % i for i in range(len(pieces))], pa.large_binary()), pa.array(pieces, pa.large_binary())]
         by_chunk = [_gathered(_gathered(v, flat, counts), words_in, words_of_chunk) for v in by_id]
@@ -431,10 +450,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         ids_in = pc.list_flatten(documents["doc_ids"])
         return pa.table([ids_in, pa.array(np.concatenate([*totals, np.empty(0, np.int64)])), joined, pa.array(decoded, pa.string() if digests else pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    answers = words.groupBy("bucket").cogroup(known.withColumnRenamed("bucket", "b").groupBy("b")).applyInArrow(tell, "of string, word_codes binary, counts binary, ids binary")
+    answers = rows.groupBy("at").cogroup(known.groupBy("bucket")).applyInArrow(tell, "of string, word_codes binary, counts binary, ids binary")
     id_type = rows.schema["doc_ids"].dataType.elementType.simpleString()
     schema = f"doc_id {id_type}, n_tokens long, ids string, decoded {'string' if digests else 'binary'}"
-    return rows.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(meet, schema)
+    return rows.groupBy("at").cogroup(answers.groupBy("of")).applyInArrow(meet, schema)
 
 
 @lru_cache(maxsize=2)
