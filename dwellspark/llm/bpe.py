@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from dwellspark.llm.common import partitions, short_batches, texts
 
 #: Text of a block in characters, at most, but for a single longer document.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 12_000_000
 #: Bytes of a window of a long word, and from the start of one to that of the next. Longer windows than the longest token.
 WINDOW, STRIDE = 192, 64
 #: A pair of ids is one number: PAIR * left + right. An entry of the table is PAIR * pair + rank.
@@ -318,6 +318,7 @@ def split(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str =
                 if own:
                     own.sort()
                     yield row(at=str(b), block=name, words=_listed([w for w, _ in own]), word_codes=_numbers(np.array([c for _, c in own])))
+            pa.default_memory_pool().release_unused()
 
         held, chars = [], 0
         for batch in batches:
@@ -446,6 +447,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 cuts, data = np.frombuffer(cuts, np.int64).tolist(), memoryview(data)
                 made = [data[s : max(s, e - cut)] for s, e in zip(cuts, cuts[1:])]
                 out += [hashlib.sha256(v).hexdigest() for v in made] if digests else [v.tobytes() for v in made]
+        pa.default_memory_pool().release_unused()
         joined = pa.array(joined if digests else [j.decode() for j in joined], pa.string())
         ids_in = pc.list_flatten(documents["doc_ids"])
         return pa.table([ids_in, pa.array(np.concatenate([*totals, np.empty(0, np.int64)])), joined, pa.array(decoded, pa.string() if digests else pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])

@@ -7,11 +7,14 @@ a distance of at most 1 - THRESHOLD.
    a set links with nothing unless THRESHOLD of its shingles are shared. Almost all sets end here.
 2. What is left falls into families: two sets can link only if they share one of their rarest shingles (as many as a
    linked set may lack, and one), so families are the components of that relation.
-3. A family is a space of its own. In one that is larger than a task should hold, pivots create Voronoi regions: each
-   set goes to its nearest pivot, and by the triangle inequality to each other pivot that is at most twice the radius
-   further. Regions are split again in the same way; those that pivots no longer split, as in a swarm of copies of one
-   text, are dealt out in pairs of blocks.
-4. In a region, one set after the other is a pivot, until all that never was one are in a single component: a link
+3. A family is a space of its own. Pivots are drawn from it, and each set's distance to them is measured. Sets within reach
+   of a pivot are linked with it, a star; stars that share a set are one component. A family that a single component
+   holds is done. In others, pivots create Voronoi regions: each set goes to its nearest pivot, and by the triangle
+   inequality to each other pivot that is at most twice the radius further; of two pivots, the pair meets at the first only.
+   Regions are spaces in turn, until they are small. Where the windows would hold everything, as in a swarm around
+   one text, the region stays whole for the next pivots, and what is still large after the last round is dealt out in pairs of
+   a block of the sets outside its largest component and a block of all.
+4. In a small region, one set after the other is a pivot, until all that never was one are in a single component: a link
    between two components then always has a pivot at one end. Only the windows that the triangle inequality and the
    sizes leave around it are compared.
 5. Links are joined to components by least id.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellspark.llm.common import partitions, short_batches, stored
+from dwellspark.llm.common import by_batch, partitions, short_batches, stored
 from dwellspark.llm.components import components, forest, roots
 from dwellspark.llm.wordhash import grams, hashes, lowered, mixed, packed, unpacked, words
 
@@ -34,9 +37,13 @@ SHINGLE = 4
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Shingles that a task gathers before it sends them, and sets that a region may have in one task.
-GATHERED, LARGEST = 2_000_000, 4_000
-#: Pivots of a region, about, and how often regions are split by pivots.
-PIVOTS, ROUNDS = 16, 2
+GATHERED, LARGEST = 2_000_000, 1_000
+#: Sets to a pivot, pivots of a region, at most, and how often pivots are drawn from what is left. The first round draws from all families.
+PER_PIVOT, PIVOTS, ROUNDS = 64, 16, 4
+#: A region is split by its pivots if that makes at most so many rows of each.
+COPIES = 2
+#: Shingles that a task holds, about.
+SHARE = 8_000_000
 _NONE = np.iinfo(np.int64).min
 
 
@@ -224,8 +231,8 @@ class Region:
         self._mark[own] = False
         return found
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """As few links as give the region's components."""
+    def links(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As few links as give the region's components. label: sets of one number are known to be in one component."""
         if len(self.alive) < 2:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         weight = np.bincount(self.row, np.bincount(self.column)[self.column], len(self.name)) / np.maximum(self.n, 1)
@@ -241,13 +248,12 @@ class Region:
         moved.start = np.r_[0, np.cumsum(size)]
         moved.column = self.column[np.repeat(self.start[:-1][order] - moved.start[:-1], size) + np.arange(moved.start[-1])]
         moved.row, moved._mark = np.repeat(np.arange(len(order)), size), self._mark
-        return moved._by_pivots(far[order], radius)
+        return moved._by_pivots(far[order], radius, np.unique(label[order], return_inverse=True)[1])
 
-    def _by_pivots(self, far: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        rows, a, b = np.arange(len(far)), [], []
-        label, done = rows.copy(), np.zeros(len(far), bool)
-        counts = np.ones(len(far), np.int64)
-        pivot = 0
+    def _by_pivots(self, far: np.ndarray, radius: float, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b, done = [], [], np.zeros(len(far), bool)
+        counts = np.bincount(label)
+        pivot = 0 if len(counts) > 1 else None
         while pivot is not None:
             done[pivot] = True
             low, high = np.searchsorted(far, [far[pivot] - radius - 1e-9, far[pivot] + radius + 1e-9])
@@ -274,13 +280,13 @@ def _joined(percent: int):
     """Links of the regions of one bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        region, name, n = (table[c].to_numpy() for c in ("region", "name", "n"))
+        region, name, n, label = (table[c].to_numpy() for c in ("region", "name", "n", "label"))
         members, a, b = table["members"].to_pylist(), [], []
         order = np.lexsort((name, region))
         for s, e in _runs(region[order]):
             own = order[s:e]
             own = own[np.r_[True, name[own][1:] != name[own][:-1]]]
-            found = Region(name[own], n[own], [np.frombuffer(members[i], "<u8") for i in own], percent).links()
+            found = Region(name[own], n[own], [np.frombuffer(members[i], "<u8") for i in own], percent).links(label[own])
             a.append(found[0])
             b.append(found[1])
         a, b = (np.concatenate([*x, np.empty(0, np.int64)]) for x in (a, b))
@@ -289,48 +295,147 @@ def _joined(percent: int):
     return run
 
 
-_REGION_SQL = "region long, name long, n long, members binary"
-
-
-def _voronoi(percent: int):
-    """Rows of a region with its pivots, to the regions of the pivots in whose windows they lie."""
-    reach = 2 * (1 - percent / 100)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for region, name, n, members, pivots in zip(*(c.to_pylist() for c in batch.columns)):
-                own, far = np.frombuffer(members, "<u8"), []
-                for p in pivots:
-                    common = len(np.intersect1d(own, np.frombuffer(p["members"], "<u8"), assume_unique=True))
-                    far.append(1 - common / (n + p["n"] - common))
-                out += [(int(mixed(np.array([region], np.int64).view(np.uint64) + np.array([p["name"]], np.int64).view(np.uint64))[0].astype(np.int64)), name, n, members) for p, d in zip(pivots, far) if d <= min(far) + reach + 1e-9]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["region", "name", "n", "members"])
+_REGION_SQL = "region long, name long, n long, label long, main boolean, members binary"
+_MEASURED_SQL = _REGION_SQL + ", near long, home int, visits long, stars array<long>"
+
+
+def _measured(percent: int):
+    """Rows of some regions, told by the regions' pivots: as bits of a number which pivots are linked with the set, the nearest
+    pivot, those before it in whose windows the set lies, and the names of the linked ones. One more bit says that the set is in
+    the region's largest component already."""
+    reach = 2 * (1 - percent / 100) + 1e-9
+
+    def run(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows["region"].to_numpy(), kind="stable")))
+        told: dict[int, list[tuple[int, int, bytes]]] = {}
+        for region, name, n, members in zip(*(pivots[c].to_pylist() for c in ("of", "pivot", "m", "held"))):
+            told.setdefault(region, []).append((name, n, members))
+        region, name, n = (rows[c].to_numpy() for c in ("region", "name", "n"))
+        members = rows["members"].to_pylist()
+        main = rows["main"].to_numpy(zero_copy_only=False)
+        near, visits, home, stars = main.astype(np.int64) << PIVOTS, np.zeros(len(n), np.int64), np.zeros(len(n), np.int32), [[] for _ in members]
+        for s, e in _runs(region):
+            own = [np.frombuffer(m, "<u8") for m in members[s:e]]
+            size = np.array(list(map(len, own)))
+            flat, of, far = np.concatenate(own), np.repeat(np.arange(e - s), size), []
+            for k, (pivot, m, raw) in enumerate(sorted(set(told[int(region[s])]))[:PIVOTS]):
+                other = np.frombuffer(raw, "<u8")
+                at = np.minimum(np.searchsorted(other, flat), len(other) - 1)
+                common = np.bincount(of[other[at] == flat], minlength=e - s)
+                union = n[s:e] + m - common
+                linked = 100 * common >= percent * union
+                near[s:e] |= linked.astype(np.int64) << k
+                for i in np.flatnonzero(linked & (name[s:e] != pivot)):
+                    stars[s + i].append(pivot)
+                far.append(1 - common / union)
+            far = np.stack(far)
+            home[s:e] = far.argmin(0)
+            inside = (far <= far.min(0) + reach) & (np.arange(len(far))[:, None] < home[s:e])
+            visits[s:e] = (inside.astype(np.int64) << np.arange(len(far))[:, None]).sum(0)
+        added = (pa.array(near), pa.array(home), pa.array(visits), pa.array(stars, pa.list_(pa.int64())))
+        kept = rows.select(["region", "name", "n", "label", "main", "members"])
+        for field, column in zip(("near", "home", "visits", "stars"), added):
+            kept = kept.append_column(field, column)
+        return kept
 
     return run
 
 
-def _split(regions: DataFrame, largest: int, percent: int) -> DataFrame:
-    """Regions of at most `largest` sets, about: by pivots for some rounds, then by pairs of blocks."""
-    done = []
+def _stars(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """For each region, from the pivots that share sets, and how many sets have each as the first: the component of each pivot,
+    the largest component, and the number of sets outside it."""
+    firsts, shared = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("firsts", "shared"))
+    labels, main, others = [], [], []
+    for first, rows, size in zip(firsts, shared, batch.column(batch.schema.names.index("size")).to_pylist()):
+        label = list(range(PIVOTS + 1))
+        for k, mask in enumerate(rows):
+            for j in range(PIVOTS + 1):
+                if (mask or 0) >> j & 1 and label[j] != label[k]:
+                    low, high = sorted((label[j], label[k]))
+                    label = [low if x == high else x for x in label]
+        weight = [sum(n for n, x in zip(first, label) if x == k) for k in range(PIVOTS + 1)]
+        labels.append(label)
+        main.append(max(range(PIVOTS + 1), key=lambda k: weight[k]))
+        others.append(size - max(weight))
+    keep = batch.select(["region", "size", "windows"])
+    columns = (pa.array(labels, pa.list_(pa.int32())), pa.array(main, pa.int32()), pa.array(others, pa.int64()))
+    yield pa.RecordBatch.from_arrays([*keep.columns, *columns], ["region", "size", "windows", "labels", "largest", "others"])
+
+
+def _round(regions: DataFrame, sizes: DataFrame, round_: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One round of pivots over regions of these sizes: the links of the stars, and what is left of the regions, with the number
+    of each one's sets and of those outside its largest component."""
+    sized = regions.join(sizes, "region")
+    # A hash of the name decides who is a pivot: about as many as wanted of the sets outside the largest component, and the
+    # least hash in any case.
+    drawn = F.xxhash64(F.lit(round_), "name")
+    wanted = F.least(F.col("others") / PER_PIVOT, F.lit(PIVOTS)).cast("long")
+    chosen = ~F.col("main") & ((F.pmod(drawn, F.col("others")) < wanted) | (drawn == F.col("least")))
+    parts = F.ceil(F.col("shingles") / SHARE).cast("int")
+    pivots = sized.where(chosen).select("region", "name", "n", "members", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = sized.withColumn("part", F.pmod(F.xxhash64("name"), parts).cast("int"))
+    buckets = max(partitions(regions.sparkSession), (sizes.agg(F.sum("shingles")).first()[0] or 0) // SHARE)
+    bucket = F.pmod(F.xxhash64("region", "part"), F.lit(buckets)).alias("bucket")
+    left = rows.select(bucket, "region", "name", "n", "label", "main", "members").groupBy("bucket")
+    right = pivots.select(bucket, "region", "name", "n", "members").toDF("to", "of", "pivot", "m", "held").groupBy("to")
+    measured = stored(left.cogroup(right).applyInArrow(_measured(percent), _MEASURED_SQL))
+    links = measured.select(F.col("name").alias("a"), F.explode("stars").alias("b"))
+    bit = lambda k: F.col("near").bitwiseAND(F.lit(1 << k)) != 0
+    first = lambda k: F.col("near").bitwiseAND(F.lit((2 << k) - 1)) == F.lit(1 << k)
+    told = measured.groupBy("region").agg(
+        F.count(F.lit(1)).alias("size"), F.sum(1 + F.bit_count("visits")).alias("windows"),
+        F.array(*(F.count_if(first(k)) for k in range(PIVOTS + 1))).alias("firsts"), F.array(*(F.bit_or(F.when(bit(k), F.col("near"))) for k in range(PIVOTS + 1))).alias("shared"),
+    )
+    told = by_batch(told, _stars, "region long, size long, windows long, labels array<int>, largest int, others long")
+    rest = measured.join(told.where("others > 0"), "region")
+    # Sets of one component of stars have one label; the others keep theirs.
+    lowest = F.bit_count(F.col("near").bitwiseAND(-F.col("near")) - 1).cast("int")
+    star = F.get("labels", lowest)
+    rest = rest.withColumn("main", F.coalesce(star == F.col("largest"), F.lit(False)) & (F.col("near") != 0))
+    rest = rest.withColumn("label", F.when(F.col("near") != 0, F.xxhash64("region", star)).otherwise(F.col("label")))
+    split = F.col("windows") <= COPIES * F.col("size")
+    at = F.array_compact(F.array(*(F.when((F.col("home") == k) | (F.col("visits").bitwiseAND(F.lit(1 << k)) != 0), F.lit(k)) for k in range(PIVOTS))))
+    places = F.when(split, F.transform(at, lambda k: F.xxhash64("region", F.lit(round_), k))).otherwise(F.array("region"))
+    return links, stored(rest.select(F.explode(places).alias("region"), "name", "n", "label", "members", "main"))
+
+
+def _sizes(regions: DataFrame, round_: int) -> DataFrame:
+    """Regions by what they hold: sets, those outside the largest component, the least hash of these, and all shingles."""
+    other = ~F.col("main")
+    drawn = F.min(F.when(other, F.xxhash64(F.lit(round_), "name")))
+    return regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.count_if(other).alias("others"), drawn.alias("least"), F.sum("n").alias("shingles"))
+
+
+def split(families: DataFrame, largest: int, percent: int, log: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """families: region, name, n, members. Links found through pivots, and regions of at most `largest` sets, about, in which
+    the others are; sets of one label there are known to be in one component. log: takes (sets, regions) of each round."""
+    regions, links, done = families.withColumn("label", F.col("name")).withColumn("main", F.lit(False)), [], []
+    large = F.col("size") > 1
     for round_ in range(ROUNDS + 1):
-        sizes = stored(regions.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > largest))
-        if not sizes.limit(1).count():
-            return _union([*done, regions])
-        done.append(regions.join(sizes, "region", "left_anti"))
-        large = regions.join(sizes, "region")
-        if round_ == ROUNDS:
-            blocks = F.ceil(2 * F.col("size") / largest).cast("int")
-            own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-            pairs = large.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            return _union([*done, pairs.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "name", "n", "members")])
-        # A hash of the name decides who is a pivot: as many of each region, about, whatever its size.
-        chosen = F.pmod(F.xxhash64(F.lit(round_), "name"), F.col("size")) < PIVOTS
-        pivots = large.where(chosen).groupBy("region").agg(F.collect_list(F.struct("name", "n", "members")).alias("pivots"))
-        regions = stored(large.join(pivots, "region").select("region", "name", "n", "members", "pivots").mapInArrow(_voronoi(percent), _REGION_SQL))
-        # Where no hash was below, which a region of this size never sees, it stays whole for the blocks.
-        done.append(large.join(pivots, "region", "left_anti").select("region", "name", "n", "members"))
-    raise AssertionError
+        # A region without others has nothing left to join.
+        sizes = stored(_sizes(regions, round_).where("others > 0"))
+        if round_:
+            large = (F.col("size") > largest) | (F.col("shingles") > SHARE)
+            done.append(regions.join(sizes.where(~large).select("region"), "region", "left_semi"))
+        sizes = sizes.where(large)
+        seen = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("sets"), F.count(F.lit(1)).alias("regions")).first()
+        if log is not None:
+            log.append((seen.sets, seen.regions))
+        if not seen.regions or round_ == ROUNDS:
+            break
+        found, regions = _round(regions, sizes, round_, percent)
+        links.append(found)
+    if seen.regions:
+        blocks = lambda c: F.ceil(F.greatest(2 * F.col(c) / largest, 2 * F.col("shingles") / SHARE * F.col(c) / F.col("size"))).cast("int")
+        rest = regions.join(sizes, "region").withColumns({"rows": blocks("others"), "columns": blocks("size")})
+        row, column = (F.pmod(F.xxhash64("name", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("rows", "columns")))
+        as_one = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.xxhash64("region", r, column))
+        as_other = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.xxhash64("region", row, c))
+        cells = F.when(F.col("main"), as_one).otherwise(F.array_distinct(F.concat(as_one, as_other)))
+        done.append(rest.select(F.explode(cells).alias("region"), "name", "n", "label", "members"))
+    columns = ["region", "name", "n", "label", "members"]
+    none = families.select("region", "name", "n", F.col("name").alias("label"), "members").limit(0)
+    return _union([found.select("a", "b") for found in links] or [none.select(F.col("name").alias("a"), F.col("name").alias("b"))]), _union([none, *(d.select(*columns) for d in done)])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -340,14 +445,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, largest: int = LARGEST, gathered: int = GATHERED) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, largest: int = LARGEST, gathered: int = GATHERED, log: list | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for each row. id_col is a whole number. A document of no words links with
     nothing and is its own component. A null id is least; its component, if it is the least, is null. Rows that
     repeat an id are one document with several texts: each row has its own size, and all are in one component."""
     spark = docs.sparkSession
     short_batches(spark)
-    # Two for each partition: a bucket of shingles is the most that a task holds at once.
-    buckets = 2 * partitions(spark)
+    # A bucket of shingles is the most that a task holds at once, so their number follows the text.
+    chars = docs.select(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
+    buckets = max(2 * partitions(spark), chars // SHARE)
     send = _send_shingles(buckets)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -368,15 +474,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             yield send(held, documents)
 
     sent = rows.mapInArrow(cut, _SENT_SQL)
-    both = stored(sent.groupBy("bucket").applyInArrow(_shared(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_points(percent), _POINT_SQL))
+    shared = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(buckets), _SENT_SQL)
+    both = stored(shared.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_points(percent), _POINT_SQL))
     documents = both.where(F.col("members").isNull()).select("doc_id", F.when(F.col("n") > 0, F.col("name")).alias("name"), "n")
     points = both.where(F.col("members").isNotNull()).select("name", "n", "members", "counts")
     met = points.mapInArrow(_rarest(buckets, percent), _SENT_SQL).groupBy("bucket").applyInArrow(_met, "a long, b long")
     family = components(met).select(F.col("vertex").alias("name"), F.col("component").alias("region"))
     regions = stored(points.join(family, "name").select("region", "name", "n", "members"))
-    dealt = _split(regions, largest, percent).withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(4 * buckets)))
+    stars, dealt = split(regions, largest, percent, log)
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(4 * buckets)))
     links = dealt.groupBy("bucket").applyInArrow(_joined(percent), "a long, b long")
-    return _labelled(documents, components(links))
+    return _labelled(documents, components(links.unionByName(stars)))
 
 
 def _labelled(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -106,7 +106,9 @@ def family(seed, n):
 def test_jaccard(spark, k, percent, largest):
     rows = edge.rows() + family(5, 40) + family(6, 25)
     df = spark.createDataFrame([(*r, *[None] * 12) for r in rows], edge.SCHEMA).repartition(4)
-    found = jaccard.join(df, size=k, percent=percent, largest=largest, gathered=2000).collect()
+    rounds = []
+    found = jaccard.join(df, size=k, percent=percent, largest=largest, gathered=2000, log=rounds).collect()
+    assert rounds[0][0] > 60 and (largest > 6) == (len(rounds) == 2)
     sets = [(order(d), shingle_set(t, k)) for d, t in rows]
     links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if x and y and 100 * len(x & y) >= percent * len(x | y)]
     label = least(links, {a for a, _ in sets})
@@ -123,6 +125,26 @@ def test_jaccard_of_nothing(spark):
     assert sorted(map(tuple, jaccard.join(one).collect())) == [(1, 0, 1), (2, 0, 2), (3, 1, 3)]
 
 
+def test_regions_of_given_tables(spark):
+    """Each family of near copies is cut by pivots; small regions give the same as large ones."""
+    docs, rounds = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), []
+    found = sorted(map(tuple, jaccard.join(docs, log=rounds).collect()))
+    assert rounds[0][1] > 100
+    assert found == sorted(map(tuple, jaccard.join(docs, largest=3).collect()))
+
+
+def test_swarm_takes_few_rows(spark):
+    """Thousands of near copies of one text: stars take most of them, what is left costs a few times its rows."""
+    rows = family(7, 6000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rounds = []
+    found = {r.doc_id: r.component_id for r in jaccard.join(df, largest=500, log=rounds).collect()}
+    assert all(sets <= 3 * len(rows) for sets, _ in rounds)
+    name, members = zip(*((d, jaccard.shingles(t)) for d, t in rows))
+    a, b = jaccard.Region(np.array(name), np.array(list(map(len, members))), list(members)).links(np.arange(len(rows)))
+    assert found == {int(d): c for d, c in least(zip(a.tolist(), b.tolist()), name).items()}
+
+
 def test_region_is_exact():
     """Each split of a family between components, whatever pivots come first."""
     for seed in range(30):
@@ -133,7 +155,7 @@ def test_region_is_exact():
             own = base[rng.random(60) > rng.uniform(0, 0.15)]
             members.append(np.unique(np.r_[own, rng.integers(0, 1 << 60, rng.integers(0, 5)).astype(np.uint64)]))
         n = np.array([len(m) for m in members])
-        a, b = jaccard.Region(np.arange(25), n, members).links()
+        a, b = jaccard.Region(np.arange(25), n, members).links(np.arange(25))
         links = [(i, j) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(members[i], members[j])) >= 85 * len(np.union1d(members[i], members[j]))]
         assert least(zip(a.tolist(), b.tolist()), range(25)) == least(links, range(25))
 
