@@ -11,7 +11,9 @@ import datetime as dt
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +55,14 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdecimal() else c for c in shape)
 
 
+#: The digit sum of twice a digit, by its character.
+_TWICE = bytes(sum(divmod(2 * (b - 48), 10)) if 48 <= b < 58 else 0 for b in range(256))
+
+
 def luhn(digits: str) -> int:
     """The check digit that these digits need after them."""
-    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
-    return -total % 10
+    raw = (digits if digits.isascii() else "".join(str(int(c)) for c in digits)).encode()
+    return -(sum(raw[::-2].translate(_TWICE)) + sum(raw[-2::-2]) - 48 * len(raw[-2::-2])) % 10
 
 
 def _card(text: str, key: bytes) -> str | None:
@@ -105,7 +111,8 @@ def _ip(text: str, key: bytes) -> str | None:
 
 def _date(text: str, key: bytes) -> str | None:
     """ISO, or day and month in either order before the year (month first only where the day can't be). Day,
-    month and year widths and the separators stay."""
+    month and year widths and the separators stay. Days up to the twelfth and later ones are permuted apart, so that a date has
+    one pseudonym in whatever format it stands."""
     a, sep, b, c = re.fullmatch(r"(\d+)([-/.])(\d+)[-/.](\d+)", text).groups()
     year_first = len(a) == 4
     y, p, q = (int(a), int(b), int(c)) if year_first else (int(c), int(a), int(b))
@@ -116,11 +123,11 @@ def _date(text: str, key: bytes) -> str | None:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    ordinal = day
-    while True:  # one that reads back in the same order
+    ordinal, late = day, dt.date.fromordinal(day).day > 12
+    while True:  # along the cycle to one that reads back in the same order however it is written
         ordinal = FIRST_DAY + permute(ordinal - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date")
         new = dt.date.fromordinal(ordinal)
-        if year_first or not month_first or new.day > 12:
+        if (new.day > 12) == late:
             break
     if year_first:
         return f"{new.year:04d}{sep}{new.month:0{len(b)}d}{sep}{new.day:0{len(c)}d}"
@@ -128,25 +135,31 @@ def _date(text: str, key: bytes) -> str | None:
     return f"{p:02d}{sep}{q:02d}{sep}{new.year:04d}"
 
 
+@lru_cache(maxsize=4096)
+def _class(c: str) -> str:
+    """The characters that may stand for a letter or digit: those of its category among the 256 codes around it."""
+    kind, first = unicodedata.category(c), ord(c) & ~255
+    return "".join(x for x in map(chr, range(first, first + 256)) if unicodedata.category(x) == kind) if c.isalnum() else c
+
+
 def _mixed(value: str, key: bytes, tweak: str) -> str:
-    """Each digit, small and capital ASCII letter becomes one of its class; other characters stay."""
-    radix = [10 if c in "0123456789" else 26 if c.isascii() and c.isalpha() else 1 for c in value]
-    base = ["0" if r == 10 else ("A" if c.isupper() else "a") if r == 26 else c for c, r in zip(value, radix)]
-    size = math.prod(radix)
+    """Each digit and letter becomes one of its class; other characters stay."""
+    classes = list(map(_class, value))
+    size = math.prod(map(len, classes))
     if size == 1:
         return value
     n = 0
-    for c, r, b in zip(value, radix, base):
-        n = n * r + (ord(c) - ord(b))
-    n = permute(n, size, key, tweak + hashlib.blake2b("".join(base).encode(), digest_size=8).hexdigest())
+    for c, own in zip(value, classes):
+        n = n * len(own) + own.index(c)
+    n = permute(n, size, key, tweak + hashlib.blake2b("".join(own[0] for own in classes).encode(), digest_size=8).hexdigest())
     out = []
-    for r, b in zip(reversed(radix), reversed(base)):
-        n, k = divmod(n, r)
-        out.append(chr(ord(b) + k))
+    for own in reversed(classes):
+        n, k = divmod(n, len(own))
+        out.append(own[k])
     return "".join(reversed(out))
 
 
-def _email(text: str, key: bytes) -> str | None:
+def _email(text: str, key: bytes) -> str:
     """All but the last part of the domain."""
     head, _, last = text.rpartition(".")
     return f"{_mixed(head, key, 'email')}.{last}"
@@ -165,7 +178,7 @@ _LENGTHS = {
 #: Groups of digits in which cards are printed, the usual ones first. One group of 13 to 19 is as usual.
 _PRINTED = ({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}, {(4, 4, 4, 4, 3), (6, 13), (4, 5, 6)})
 
-_EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
+_LOCAL, _DOMAIN = re.compile(r"[\w.+%\u0300-\u036f-]+"), re.compile(r"@[\w\u0300-\u036f-]+(?:\.[\w\u0300-\u036f-]+)+")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
 _IBAN_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
@@ -196,6 +209,17 @@ def _each(expression: re.Pattern, make: Callable[[str, bytes], str | None]) -> C
     return find
 
 
+def _emails(text: str, taken: bytearray, key: bytes) -> Found:
+    """From each at sign to the left and to the right: runs without one are never read twice."""
+    back, at = text[::-1], 0
+    for sign in re.finditer("@", text):
+        p = sign.start()
+        if p < at or not (domain := _DOMAIN.match(text, p)) or not (local := _LOCAL.match(back, len(text) - p, len(text) - at)):
+            continue
+        s, at = len(text) - local.end(), domain.end()
+        yield s, at, _email(text[s:at], key)
+
+
 def _ibans(text: str, taken: bytearray, key: bytes) -> Found:
     """At each start the country's length is tried first, then every end of a group from the last one on."""
     at = 0
@@ -246,7 +270,8 @@ def _cards(text: str, taken: bytearray, key: bytes) -> Found:
                     shape = tuple(y - x for x, y in groups[i : j + 1])
                     if rank < 2 and not (shape in _PRINTED[rank] or rank == 0 and i == j) or inside[s] or inside[e]:
                         continue
-                    if (new := _card(text[s:e], key)) is not None:
+                    digits = "".join([text[x:y] for x, y in groups[i : j + 1]])
+                    if luhn(digits[:-1]) == int(digits[-1]) and (new := _card(text[s:e], key)) is not None:
                         free[s:e] = b"\1" * (e - s)
                         yield s, e, new
                         i = j
@@ -257,7 +282,7 @@ def _cards(text: str, taken: bytearray, key: bytes) -> Found:
 PHONES = _each(_PHONE, _phone)
 #: Kinds in order: a later one doesn't overlap an earlier one.
 KINDS = {
-    "email": _each(_EMAIL, _email),
+    "email": _emails,
     "iban": _ibans,
     "ip": _each(_IP, _ip),
     "date": _each(_DATE, _date),

@@ -25,7 +25,8 @@ from dwellspark.llm.common import by_batch, texts
 PIECE = (1024, 64)
 #: Labelled rows of each class that are read for fitting, at most, and their longest text in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
-DICTIONARY_BYTES = 112_640
+#: Bytes of a dictionary, at most: what a compressor of this level looks back on. The sample above stays below it, about.
+DICTIONARY_BYTES = 2 << 20
 LEVEL = 3
 #: Added to the sum of sizes, in bytes: a very short text says little either way.
 SMOOTH = 32
@@ -147,7 +148,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is at least threshold, with all their columns."""
+    """The rows of docs whose score is at least threshold, with all their columns, repeated rows and null ids included. A null
+    text is scored as an empty one."""
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch):

@@ -33,6 +33,8 @@ GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{16,})")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: What all parts of such a token are made of: where one start in a run fails, so do all others in it.
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -106,16 +108,21 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         _, expression, holds = RULES[kind]
         after = 0
         for s in sorted(at):
-            if s >= after and (m := expression.match(text, s)):
+            if s < after:
+                continue
+            if m := expression.match(text, s):
                 after = m.end()
                 if holds(m):
                     spans.append((kind, s, after))
+            elif kind == "jwt":
+                after = JWT_RUN.match(text, s).end()
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kinds, starts, ends (arrays of one length) for each row; a null text has none."""
+    """doc_id, kinds, starts, ends (arrays of one length) for each row, repeated rows and null ids included; a null or empty
+    text has none. Other columns are not read."""
     rows = texts(docs, id_col, text_col)
 
     def run(batch: pa.RecordBatch):

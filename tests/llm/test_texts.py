@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -113,6 +114,32 @@ def test_permutation(size):
     assert sorted(pii.permute(x, size, b"k", "t") for x in range(size)) == list(range(size))
 
 
+def test_pseudonyms_link_formats_and_scripts():
+    for day in range(1, 29):
+        iso, other = pii.replace(f"1984-11-{day:02d}", b"k")[0], pii.replace(f"11/{day:02d}/1984" if day > 12 else f"{day:02d}/11/1984", b"k")[0]
+        p, q, y = other.split("/")
+        assert iso == (f"{y}-{p}-{q}" if day > 12 else f"{y}-{q}-{p}")
+    for mail in ("иван@почта.рф", "jose\u0301@exa\u00f1a.es", "李@例え.jp", "a@b.com+c@d.com", "@@x@y.zz@"):
+        new, spans = pii.replace(f"to {mail}.", b"k")
+        assert spans and not any(part in new for part in re.findall(r"[^\W_]{3,}(?=@)|(?<=@)[^\W_]{3,}", mail)) and len(new) == len(mail) + 4
+    assert len({pii.replace(f"{c}@почта.рф", b"k")[0] for c in "абвгд"}) == 5
+
+
+HOSTILE = ["eyJ" * 350_000, "a" * 1_000_000, "a.b" * 300_000, "@" * 1_000_000, "a@" * 500_000, "1984-02-29 " * 90_000, "1 " * 500_000, "1" * 1_000_000, "4111-" * 200_000, "password" * 120_000, "-----BEGIN " * 90_000, "AKIA" * 250_000, "ghp_" * 250_000, "DE89 " * 200_000, "+1 (017) 555-" * 70_000, "eyJa.eyJ" * 120_000]
+
+
+@pytest.mark.parametrize("text", HOSTILE, ids=lambda t: t[:8])
+def test_hostile_texts_take_linear_time(text):
+    text = text[:200_000]
+    for work in (secrets_scan.scan, lambda t: pii.replace(t, b"k")):
+        taken = []
+        for part in (text[: len(text) // 4], text):
+            start = time.process_time()
+            work(part)
+            taken.append(time.process_time() - start)
+        assert taken[1] < 1 or taken[1] < 9 * taken[0]
+
+
 def test_pseudonyms_keep_the_format():
     text = "Card 4111 1111 1111 1111 or 4111111111111111, not 4111111111111112. Born 1984-02-29, 31/12/1999; no date 2023-02-30. Mail anna.b7@mail2.example.com, call +1 (017) 555-7713, 10.0.0.255, 300.1.1.1, 123-45-6789, DE89 3704 0044 0532 0130 00."
     new, spans = pii.replace(text, b"k")
