@@ -230,8 +230,9 @@ def autocorr(spark, sf_dir):
     return rounded(lags.autocorrelation(tables.track(spark, sf_dir), KEY), 3)
 
 
-CVV = f"""{PAIRS}, prods AS (SELECT a.traj, a.delta, b.ti - a.ti AS t, b.ti AS tau, a.vx * b.vx + a.vy * b.vy AS cvv FROM pairs a JOIN pairs b ON a.traj = b.traj AND a.delta = b.delta AND b.ti >= a.ti
-  WHERE a.delta IN (1, 2, 4) AND b.ti - a.ti <= 4 * a.delta),
+LAGGED = f"""{TRACK}, pairs AS (SELECT a.traj, a.t AS ti, d AS delta, b.t AS tf, b.x - a.x AS vx, b.y - a.y AS vy FROM (SELECT *, unnest([1, 2, 4]::BIGINT[]) AS d FROM track) a JOIN track b ON a.traj = b.traj AND b.t = a.t + a.d)"""
+CVV = f"""{LAGGED}, prods AS (SELECT a.traj, a.delta, b.ti - a.ti AS t, b.ti AS tau, a.vx * b.vx + a.vy * b.vy AS cvv FROM pairs a JOIN pairs b ON a.traj = b.traj AND a.delta = b.delta AND b.ti >= a.ti
+  AND b.ti - a.ti <= 4 * a.delta),
 sums AS (SELECT delta, t, sum(cvv * cvv) AS sqs, sum(cvv) AS sum, count(*) AS cnt FROM prods GROUP BY delta, t)"""
 
 
@@ -448,9 +449,11 @@ def discrete_bars(spark, sf_dir):
     return rounded(found.withColumn("pmf", F.col("pmf") * 86_400))
 
 
-@query(f"WITH {TRACK} SELECT traj, t, {r('x - avg(x) OVER (PARTITION BY t) AS x', 'y - avg(y) OVER (PARTITION BY t) AS y', digits=4)} FROM track")
+@query(f"""WITH {TRACK}, m AS (SELECT t, sum(x::DECIMAL(28, 6))::DOUBLE / count(x) AS mx, sum(y::DECIMAL(28, 6))::DOUBLE / count(y) AS my FROM track GROUP BY t)
+SELECT traj, t, x - mx AS x, y - my AS y FROM track JOIN m USING (t)""")
 def drift_free(spark, sf_dir):
-    return rounded(moments.without_drift(tables.track(spark, sf_dir), ["t"], ["x", "y"]).select("traj", "t", "x", "y"), 4)
+    """Not rounded: sums are exact, so that either side takes the same doubles."""
+    return moments.without_drift(tables.track(spark, sf_dir), ["t"], ["x", "y"]).select("traj", "t", "x", "y")
 
 
 @query(f"WITH {TRACK}, k AS (SELECT *, dense_rank() OVER (PARTITION BY condition ORDER BY traj) - 1 AS n FROM track) SELECT traj, t, condition, {r('x')} FROM k WHERE n % 3 = 0")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,11 +16,34 @@ def ecdf(df: DataFrame, keys: Sequence[str], x: str, pad_at: float | None = None
     return _stepped(counts, keys, "_n", pad_at)
 
 
+#: Ranges of values of a key, each of which a task sums up by itself.
+RANGES = 128
+
+
+def running(df: DataFrame, keys: Sequence[str], x: str, sums: dict[str, Column], after: bool = False, total: bool = False) -> DataFrame:
+    """df with the running sum of each column in the order of x, from the last on if after; with total, also the whole sum as
+    <name>_total. Values of x are distinct within a key. A key's values are cut into ranges by their quantiles, each
+    range is summed by itself, and what the ranges before hold is added: no task sorts all values of a key."""
+    if not keys:
+        return running(df.withColumn("_one", F.lit(1)), ["_one"], x, sums, after, total).drop("_one")
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"))
+    # The range's number, by counting the cuts below: one row for each key travels to the others.
+    own = df.join(cuts, list(keys)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts").withColumns({f"_{n}": c for n, c in sums.items()})
+    parts = own.groupBy(*keys, "_range").agg(*(F.sum(f"_{n}").alias(f"_{n}_part") for n in sums))
+    order = F.desc("_range") if after else F.asc("_range")
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    held = [F.coalesce(F.sum(f"_{n}_part").over(before), F.lit(0)).alias(f"_{n}_before") for n in sums]
+    whole = [F.sum(f"_{n}_part").over(Window.partitionBy(*keys)).alias(f"{n}_total") for n in sums] if total else []
+    w = Window.partitionBy(*keys, "_range").orderBy(F.desc(x) if after else F.asc(x)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = own.join(parts.select(*keys, "_range", *held, *whole), [*keys, "_range"])
+    found = joined.withColumns({n: F.coalesce(F.sum(f"_{n}").over(w), F.lit(0)) + F.col(f"_{n}_before") for n in sums})
+    return found.drop("_range", *(f"_{n}" for n in sums), *(f"_{n}_before" for n in sums))
+
+
 def _stepped(weights: DataFrame, keys: Sequence[str], weight: str, pad_at: float | None) -> DataFrame:
     """Running sums of weights, divided by their total."""
-    w = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(weight).over(Window.partitionBy(*keys))
-    found = weights.select(*keys, "x", (F.sum(weight).over(w) / total).alias("cdf"))
+    summed = running(weights, keys, "x", {"_up": F.col(weight)}, total=True)
+    found = summed.select(*keys, "x", (F.col("_up") / F.col("_up_total")).alias("cdf"))
     if pad_at is None:
         return found
     padded = weights.select(*keys).distinct().select(*keys, F.lit(float(pad_at)).alias("x"), F.lit(0.0).alias("cdf"))
@@ -41,23 +64,34 @@ def ecdf_on(df: DataFrame, keys: Sequence[str], x: str, grid: Sequence[float]) -
 def window_survival(waits: DataFrame, trajectory: Sequence[str], at: DataFrame, keys: Sequence[str]) -> DataFrame:
     """at (keys, x) with sf: the share of trajectories whose window is at least x."""
     sizes = waits.groupBy(*trajectory).agg(F.max("window_size").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("_n"))
-    everywhere = at.select(*keys).distinct().join(sizes).select(*keys, "x", "_n", F.lit(0).alias("_q"))
-    both = at.select(*keys, "x", F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_q")).unionByName(everywhere)
-    w = Window.partitionBy(*keys).orderBy(F.desc("x"), "_q").rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn("_up", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    return counted.where("_q = 1").select(*keys, "x", (F.col("_up") / F.col("_all")).alias("sf"))
+    # Windows are counted once for all keys, at the values that are asked for.
+    points = at.select("x").distinct().withColumn("_n", F.lit(0).cast("long")).unionByName(sizes).groupBy("x").agg(F.sum("_n").alias("_n"))
+    counted = running(points, [], "x", {"_up": F.col("_n")}, after=True, total=True)
+    return at.join(counted.select("x", (F.col("_up") / F.col("_up_total")).alias("sf")), "x").select(*keys, "x", "sf")
 
 
 def ecdf_windowed(interior: DataFrame, keys: Sequence[str], waits: DataFrame | None = None, trajectory: Sequence[str] = (), pad_at: float | None = 0.0) -> DataFrame:
     """Distribution of waits from those seen whole (wait_time, window_size). A wait counts by the inverse of the share of
     starts that let it be seen whole, (window - wait), and with windows of several sizes (given waits) of windows that
     are long enough. Waits as long as their window have no such weight and don't count."""
+    return _stepped(windowed_weights(interior, keys, waits, trajectory), keys, "w", pad_at)
+
+
+def windowed_weights(interior: DataFrame, keys: Sequence[str], waits: DataFrame | None = None, trajectory: Sequence[str] = ()) -> DataFrame:
+    """keys, x, w: the weights of ecdf_windowed, which sums them up."""
     by_time = interior.groupBy(*keys, F.col("wait_time").alias("x"), "window_size").agg(F.count(F.lit(1)).alias("_n"))
     weight = F.try_divide(F.col("_n").cast("double"), F.col("window_size") - F.col("x"))
     by_time = by_time.where(F.col("window_size") > F.col("x")).withColumn("_w", weight).groupBy(*keys, "x").agg(F.sum("_w").alias("_w"))
     if waits is not None:
         by_time = by_time.join(window_survival(waits, trajectory, by_time.select(*keys, "x"), keys), [*keys, "x"]).withColumn("_w", F.try_divide("_w", "sf")).drop("sf")
-    return _stepped(by_time.where(F.col("_w").isNotNull()), keys, "_w", pad_at)
+    return by_time.where(F.col("_w").isNotNull()).withColumnRenamed("_w", "w")
+
+
+def running_on(weights: DataFrame, at: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """at (keys, x; few points of a grid) with w: the sum of all weights up to each, null before the first."""
+    both = weights.select(*keys, "x", "w", F.lit(0).alias("_q")).unionByName(at.select(*keys, "x", F.lit(None).cast("double").alias("w"), F.lit(1).alias("_q")))
+    w = Window.partitionBy(*keys).orderBy("x", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("w", F.sum("w").over(w)).where("_q = 1").drop("_q")
 
 
 def integral(curve: DataFrame, keys: Sequence[str], y: str = "cdf") -> DataFrame:
@@ -71,10 +105,26 @@ def kaplan_meier(waits: DataFrame, keys: Sequence[str], observed: str = "interio
     """keys, x, cdf: 1 - the product-limit survival, waits not seen whole being censored."""
     event = (F.col("wait_type") == observed).cast("int")
     by_time = waits.groupBy(*keys, F.col("wait_time").alias("x")).agg(F.sum(event).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy(*keys).orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
-    risk = by_time.withColumn("_r", F.sum("_n").over(later))
-    w = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return risk.select(*keys, "x", (1 - F.product(1 - F.col("_d") / F.col("_r")).over(w)).alias("cdf"))
+    risk = running(by_time, keys, "x", {"_r": F.col("_n")}, after=True)
+    rest = F.col("_r") - F.col("_d")
+    # Products as sums of logarithms; from a step to 0 on, all is 0.
+    steps = risk.withColumns({"_l": F.when(rest > 0, F.log(rest / F.col("_r"))), "_z": (rest == 0).cast("int")})
+    summed = running(steps, keys, "x", {"_ls": F.col("_l"), "_zs": F.col("_z")})
+    return summed.select(*keys, "x", F.when(F.col("_zs") > 0, 1.0).otherwise(1 - F.exp("_ls")).alias("cdf"))
+
+
+def kaplan_meier_bounds(waits: DataFrame, keys: Sequence[str], z: float, observed: str = "interior") -> DataFrame:
+    """kaplan_meier with low and high: Greenwood's variance on the scale of the survival's double logarithm."""
+    event = (F.col("wait_type") == observed).cast("int")
+    by_time = waits.groupBy(*keys, F.col("wait_time").alias("x")).agg(F.sum(event).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    risk = running(by_time, keys, "x", {"_r": F.col("_n")}, after=True)
+    rest = F.col("_r") - F.col("_d")
+    # Sums of logarithms: a survival of 0 stays 0, since its step has none.
+    step = F.when(rest > 0, F.log(rest / F.col("_r")))
+    summed = running(risk.withColumns({"_l": step, "_v": F.when(rest > 0, F.col("_d") / (F.col("_r") * rest)), "_z": (rest == 0).cast("int")}), keys, "x", {"_ls": F.col("_l"), "_vs": F.col("_v"), "_zs": F.col("_z")})
+    s = F.when(F.col("_zs") > 0, 0.0).otherwise(F.exp(F.coalesce("_ls", F.lit(0.0))))
+    spread = z * F.sqrt(F.coalesce("_vs", F.lit(0.0))) / F.log(F.col("_s"))
+    return summed.withColumn("_s", s).select(*keys, "x", (1 - F.col("_s")).alias("cdf"), (1 - F.pow("_s", F.exp(spread))).alias("low"), (1 - F.pow("_s", F.exp(-spread))).alias("high"))
 
 
 def bars(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,6 +141,16 @@ def histogram(df: DataFrame, keys: Sequence[str], x: str, low: float, high: floa
     return found.withColumn("density", F.col("weight") / F.sum("weight").over(Window.partitionBy(*keys)) / ((high - low) / bins))
 
 
+def histogram_between(df: DataFrame, keys: Sequence[str], x: str, edges: Sequence[float]) -> DataFrame:
+    """keys, bin (1 for the first), n, density, for bins between the edges; the last one holds its right end."""
+    marks = F.array(*(F.lit(float(e)) for e in edges))
+    at = F.least(F.size(F.filter(marks, lambda e: e <= F.col(x))), F.lit(len(edges) - 1)).cast("long")
+    counts = df.where(F.col(x).between(float(edges[0]), float(edges[-1]))).groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    width = F.get(marks, F.col("bin").cast("int")) - F.get(marks, (F.col("bin") - 1).cast("int"))
+    return counts.join(whole, list(keys)).select(*keys, "bin", "n", (F.col("n") / F.col("_n") / width).alias("density"))
+
+
 def exterior_fit(exterior_cdf: DataFrame, interior_cdf: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, a, b, end_share: the exterior cdf as a t + b I(t), a >= 0 >= b, by least squares over the points of both, where I
     is the interior cdf's integral. a is the inverse mean wait, and -b / a the interior cdf's true height at the
@@ -137,8 +197,8 @@ def ecdf_simple(df: DataFrame, keys: Sequence[str], x: str, window: float | str)
     column of them that is among the keys; not normalised to end at 1."""
     size = F.col(window) if isinstance(window, str) else F.lit(window)
     counts = df.where(F.col(x) < size).groupBy(*keys, F.col(x).cast("double").alias("x")).agg((F.count(F.lit(1)) * F.first(size) / (F.first(size) - F.first(F.col(x)))).alias("_w"))
-    w = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*keys, "x", (F.sum("_w").over(w) / F.count(F.lit(1)).over(Window.partitionBy(*keys))).alias("cdf"))
+    summed = running(counts, keys, "x", {"_up": F.col("_w"), "_k": F.lit(1)}, total=True)
+    return summed.select(*keys, "x", (F.col("_up") / F.col("_k_total")).alias("cdf"))
 
 
 def discrete_bars(curve: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -50,3 +50,26 @@ def nearest_times(df: DataFrame, keys: Sequence[str], t: str, wanted: Sequence[f
     found = since.groupBy(*keys).agg(*best)
     rows = F.array(*(F.struct(F.lit(float(x)).alias("wanted"), F.col(f"_{i}.t").alias("t")) for i, x in enumerate(wanted)))
     return found.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.wanted", "r.t")
+
+
+def selected(df: DataFrame, keys: Sequence[str], t: str, wanted: Sequence[float]) -> DataFrame:
+    """Rows at the times, from each trajectory's first on, that are nearest to the wanted ones; of a uniform grid the step as ti."""
+    chosen = nearest_times(df, keys, t, wanted).select(*keys, "t").distinct()
+    first = df.groupBy(*keys).agg(F.min(t).alias("_first"))
+    moved = df.join(first, list(keys)).withColumn(t, F.col(t) - F.col("_first")).drop("_first")
+    found = moved.join(chosen.withColumnRenamed("t", t), [*keys, t], "left_semi")
+    steps = {b - a for a, b in zip(wanted, wanted[1:])}
+    return found.withColumn("ti", F.round(F.col(t) / steps.pop()).cast("long")) if len(steps) == 1 else found
+
+
+def long_movie(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, t, value: a row for each column that isn't a key, whose name is the time."""
+    values = [c for c in wide.columns if c not in keys]
+    return wide.unpivot(list(keys), values, "t", "value").withColumn("t", F.col("t").cast("long"))
+
+
+def at_levels(df: DataFrame, **levels: object) -> DataFrame:
+    """Rows where each named part of the key has a value, without these columns."""
+    for name, value in levels.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df.drop(*levels)

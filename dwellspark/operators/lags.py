@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dwellspark.functions.theory import log_gamma
+
 
 def lag_pairs(df: DataFrame, keys: Sequence[str], t: str = "t", coords: Sequence[str] = ("x",), max_delta: float | None = None, independent: bool = False) -> DataFrame:
     """Each pair of frames of a trajectory, the later or same one second: keys, ti, tf, delta, and v<coord> for each
@@ -92,3 +94,10 @@ def correlation_curves(sums: DataFrame, groups: Sequence[str]) -> DataFrame:
     found = found.withColumn("ste", F.col("std") / F.sqrt("cnt"))
     zero = F.max(F.when(F.col("t") == 0, F.col("cvv"))).over(Window.partitionBy(*groups, "delta"))
     return found.withColumn("cvv_normed", F.try_divide("cvv", zero)).withColumn("ste_normed", F.try_divide("ste", zero))
+
+
+def with_normed_error(found: DataFrame) -> DataFrame:
+    """ste_norm: the standard error, corrected for the bias of a deviation estimated from few values of a normal."""
+    n = F.col("count").cast("double")
+    ratio = F.exp(log_gamma(n / 2) - log_gamma((n - 1) / 2))
+    return found.withColumn("ste_norm", F.when(F.col("count") > 1, F.col("ste") * F.sqrt(F.try_divide(F.lit(2.0), n - 1)) * ratio))

@@ -68,3 +68,51 @@ def wide_form(df: DataFrame, keys: Sequence[str], spots: Sequence[int] = (1, 2))
     rest = [c for c in df.columns if c not in (*keys, *AXES, "spot")]
     own = [F.max(F.when(F.col("spot") == s, F.col(a))).alias(f"{a}{s}") for s in spots for a in AXES]
     return df.groupBy(*keys).agg(*own, *(F.min_by(c, "spot").alias(c) for c in rest))
+
+
+#: Micrometres of a pixel and of a slice, times ten; fixed values.
+UNITS = {"X1": 10 * 0.13333, "Y1": 10 * 0.13333, "Z1": 10 * 0.25, "X2": 10 * 0.13333, "Y2": 10 * 0.13333, "Z2": 10 * 0.25}
+
+
+def flat_table(raw: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
+    """From measured spots in pixels to one row a frame: labels, units, the second spot filled in, gaps, waits and dX, dY, dZ."""
+    filled = fill_second(scaled(label_foci(raw), UNITS))
+    numbered = number_waits(number_gaps(filled, keys, list(UNITS), t), keys, t)
+    return numbered.withColumns({f"d{a}": F.col(f"{a}2") - F.col(f"{a}1") for a in AXES})
+
+
+def pivoted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Long form of a wide table and wide form of a long one, whichever it is."""
+    wide, long = f"{AXES[0]}1" in df.columns, "spot" in df.columns and set(AXES) <= set(df.columns)
+    if wide == long:
+        raise ValueError("a table has either numbered columns or a spot column with X, Y and Z")
+    return long_form(df) if wide else wide_form(df, keys)
+
+
+def stage_number(stage: Column) -> Column:
+    """Stages in time: 'ta' comes before t0, which is 0."""
+    return F.when(stage == "ta", -1).otherwise(F.substring(stage, 2, 9).try_cast("int"))
+
+
+#: Ways to take displacements of a flat table: rows (a label or all), the form, its spot, and what a trajectory is besides its key.
+PRESETS = {
+    "dvel": (None, "flat", None, []),
+    "dvel_unp": ("unp", "flat", None, []),
+    "dvel_unp_by_wait": ("unp", "flat", None, ["wait_id"]),
+    "dvel_unp_by_wait_na": ("unp", "flat", None, ["wait_id", "na_id"]),
+    "vel": (None, "long", 1, []),
+    "vel_double_counted": (None, "long", None, []),
+    "vel_spot2": (None, "long", 2, []),
+    "vel_unp_by_wait": ("unp", "long", None, ["spot", "wait_id"]),
+    "vel_pair_by_wait": ("pair", "long", None, ["spot", "wait_id"]),
+}
+
+
+def preset(flat: DataFrame, name: str) -> tuple[DataFrame, list[str], tuple[str, ...]]:
+    """The rows of a preset, what sets its trajectories apart besides the key, and its coordinates."""
+    foci, form, spot, more = PRESETS[name]
+    rows = flat if foci is None else flat.where(F.col("foci") == foci)
+    if form == "flat":
+        return rows, more, tuple(f"d{a}" for a in AXES)
+    rows = long_form(rows)
+    return rows if spot is None else rows.where(F.col("spot") == spot), more, AXES

@@ -60,13 +60,24 @@ def fraction(df: DataFrame, keys: Sequence[str], what: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.count(x).alias("count"))
 
 
-def without_drift(df: DataFrame, frame: Sequence[str], coords: Sequence[str]) -> DataFrame:
-    """Coordinates less their mean over all that is in the frame."""
-    w = Window.partitionBy(*frame)
-    return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in coords})
+def without_drift(df: DataFrame, frame: Sequence[str], coords: Sequence[str], digits: int = 6) -> DataFrame:
+    """Coordinates less their mean over all that is in the frame. Means are of exact decimals with `digits` places, and are joined
+    to the rows: a frame of all trajectories is no group of one task."""
+    total = lambda c: F.sum(F.col(c).cast(f"decimal(28,{digits})")).cast("double") / F.count(c)
+    means = df.groupBy(*frame).agg(*(total(c).alias(f"_{c}") for c in coords))
+    moved = df.join(means, list(frame)).withColumns({c: F.col(c) - F.col(f"_{c}") for c in coords})
+    return moved.select(*df.columns)
 
 
 def every(df: DataFrame, keys: Sequence[str], skip: int, within: Sequence[str]) -> DataFrame:
     """Rows of each skip-th group, in the order of its keys, within larger groups."""
-    rank = F.dense_rank().over(Window.partitionBy(*within).orderBy(*keys)) - 1
-    return df.withColumn("_rank", rank).where(F.col("_rank") % skip == 0).drop("_rank")
+    groups = df.select(*within, *keys).distinct()
+    # Groups are numbered by ranges of their first key: each range by itself, after as many as are in those before.
+    cuts = groups.groupBy(*within).agg(F.percentile_approx(keys[0], [i / 64 for i in range(1, 64)], 1000).alias("_cuts"))
+    placed = groups.join(cuts, list(within)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(keys[0])))).drop("_cuts")
+    sizes = placed.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.join(sizes.withColumn("_before", before).drop("_n"), [*within, "_range"])
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*within, "_range").orderBy(*keys)) - 1
+    chosen = numbered.withColumn("_rank", rank).where(F.col("_rank") % skip == 0).select(*within, *keys)
+    return df.join(chosen, [*within, *keys], "left_semi").select(*df.columns)

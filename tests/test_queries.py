@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from dwellspark.jobs import registry
+from dwellspark.jobs import registry, summaries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
