@@ -150,11 +150,34 @@ def ccdf_int(spark, sf_dir):
     return rounded(dist.integral(dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY), ["state"]).select("state", "x", "area"), 3)
 
 
-@query()
+def _straight(c: str) -> str:
+    return f"coalesce({c}, {c}y0 + ({c}y1 - {c}y0) * (x - {c}x0) / nullif({c}x1 - {c}x0, 0), {c}y0, {c}y1) AS {c}"
+
+
+def _around(c: str) -> str:
+    there = f"CASE WHEN {c} IS NOT NULL THEN x END"
+    return f"last_value({there} IGNORE NULLS) OVER b AS {c}x0, last_value({c} IGNORE NULLS) OVER b AS {c}y0, first_value({there} IGNORE NULLS) OVER o AS {c}x1, first_value({c} IGNORE NULLS) OVER o AS {c}y1"
+
+
+FIT = f"""{INTERIOR}, {EXTERIOR}, {MULTI}, areas AS (SELECT state, x, sum(step) OVER (PARTITION BY state ORDER BY x) AS i FROM (SELECT state, x, coalesce(cdf * (x - lag(x) OVER (PARTITION BY state ORDER BY x)), 0) AS step FROM padded)),
+outer_n AS (SELECT state, wait_time AS x, count(*) AS n FROM outer_waits GROUP BY ALL), outer_curve AS (SELECT state, x, sum(n) OVER (PARTITION BY state ORDER BY x) / sum(n) OVER (PARTITION BY state) AS e FROM outer_n),
+both_curves AS (SELECT state, x, NULL::DOUBLE AS e, i FROM areas UNION ALL SELECT state, x, e, NULL FROM outer_curve WHERE x <> 0 UNION ALL SELECT DISTINCT state, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE FROM outer_curve),
+grid AS (SELECT state, x, max(e) AS e, max(i) AS i, count(*) AS m FROM both_curves GROUP BY state, x),
+around AS (SELECT *, {_around('e')}, {_around('i')} FROM grid WINDOW b AS (PARTITION BY state ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), o AS (PARTITION BY state ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+read AS (SELECT state, x AS t, m, {_straight('e')}, {_straight('i')} FROM around),
+squares AS (SELECT state, sum(t * t * m) AS tt, sum(t * i * m) AS ti, sum(i * i * m) AS ii, sum(t * e * m) AS te, sum(i * e * m) AS ie FROM read GROUP BY state),
+solved AS (SELECT *, (te * ii - ie * ti) / nullif(tt * ii - ti * ti, 0) AS a0, (ie * tt - te * ti) / nullif(tt * ii - ti * ti, 0) AS b0, greatest(te / nullif(tt, 0), 0) AS alone, least(ie / nullif(ii, 0), 0) AS other FROM squares),
+cornered AS (SELECT *, alone * alone * tt - 2 * alone * te <= other * other * ii - 2 * other * ie AS first FROM solved),
+fit AS (SELECT state, CASE WHEN a0 >= 0 AND b0 <= 0 THEN a0 WHEN first THEN alone ELSE 0 END AS a, CASE WHEN a0 >= 0 AND b0 <= 0 THEN b0 WHEN first THEN 0 ELSE other END AS b FROM cornered)"""
+
+
+@query(f"WITH {SIM}, {FIT} SELECT state, {r('a * 86400 AS a', 'b * 86400 AS b', '-b / nullif(a, 0) AS end_share')} FROM fit")
 def ext_int_fit(spark, sf_dir):
+    """Rates are by day."""
     found = obs(spark, sf_dir)
     inner = dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY)
-    return dist.exterior_fit(dist.ecdf(waits.exterior(found), ["state"], "wait_time", 0.0), inner, ["state"])
+    fit = dist.exterior_fit(dist.ecdf(waits.exterior(found), ["state"], "wait_time", 0.0), inner, ["state"])
+    return rounded(fit.withColumns({"a": F.col("a") * DAYS, "b": F.col("b") * DAYS}))
 
 
 @query(f"""WITH {SIM}, b AS (SELECT state, wait_time AS x, count(*) FILTER (wait_type = 'interior') AS d, count(*) AS n FROM obs GROUP BY state, wait_time),
@@ -467,7 +490,11 @@ def fast_waits(spark, sf_dir):
     return rounded(moments.fraction(inner, ["state"], F.col("wait_time") < 3600))
 
 
-@query()
+@query(f"""WITH {SIM}, {FIT}, h AS (SELECT state, least(floor(wait_time / 21600)::BIGINT + 1, 16) AS bin, count(*) AS w FROM outer_waits WHERE wait_time BETWEEN 0 AND 345600 GROUP BY ALL),
+z AS (SELECT *, (bin - 0.5) * 21600 AS x, sum(w) OVER (PARTITION BY state) * 21600 AS z FROM h), n AS (SELECT state, count(*) AS n FROM inner_waits GROUP BY state),
+p0 AS (SELECT z.*, p.x AS x0, p.cdf AS y0 FROM z ASOF LEFT JOIN padded p ON z.state = p.state AND z.x >= p.x), p1 AS (SELECT p0.*, p.x AS x1, p.cdf AS y1 FROM p0 ASOF LEFT JOIN padded p ON p0.state = p.state AND p0.x <= p.x),
+e AS (SELECT state, x, CASE WHEN x0 = x THEN y0 ELSE coalesce(y0 + (y1 - y0) * (x - x0) / (x1 - x0), y0, y1) END * (-b / nullif(a, 0)) AS i, 1 - w / z / nullif(a, 0) AS o, (z * a) ** 2 / w AS ow, 2 * n / ln(2 / 0.32) AS iw FROM p1 JOIN fit USING (state) JOIN n USING (state))
+SELECT state, {r('x', digits=3)}, {r('(i * iw + o * ow) / (iw + ow) AS cdf')} FROM e""")
 def ecdf_combined(spark, sf_dir):
     """The wait distribution of each state from waits seen whole and waits cut off together."""
     found = obs(spark, sf_dir)
@@ -475,7 +502,8 @@ def ecdf_combined(spark, sf_dir):
     curve = dist.ecdf_windowed(inner, ["state"], found, KEY)
     fit = dist.exterior_fit(dist.ecdf(outer, ["state"], "wait_time", 0.0), curve, ["state"])
     counts = inner.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-    return dist.blended(outer, curve, fit, counts, ["state"], 0.0, 345_600.0, 16)
+    found = dist.blended(outer, curve, fit, counts, ["state"], 0.0, 345_600.0, 16)
+    return found.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 6) + F.lit(0.0)).alias("cdf"))
 
 
 @query()

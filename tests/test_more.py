@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dwellspark.operators import bootstrap, fits, geometry, renewal, waits
+from dwellspark.operators import bootstrap, fits, geometry, loci, renewal, waits
+from dwellspark.operators import distributions as dist
+from dwellspark.sources import arrays, runs
 from dwellspark.streaming.waits import waits_of_stream
 
 
@@ -110,3 +112,42 @@ def test_curves_of_every_window(spark):
         assert {r[0] for r in found.select("window_size").distinct().collect()} == sizes
         one = registry.QUERIES[alone](spark, sf)
         assert sorted(found.where("window_size = 1728000").drop("window_size").collect()) == sorted(one.collect())
+
+
+def test_runs(spark, tmp_path):
+    rows = "t,bead,X1,is_loop\n0,1,1.5,1\n0,4,2.5,0\n0,9,x,1\n"
+    for run in ("sim.0", "sim.1", "sim.2"):
+        (tmp_path / run).mkdir()
+        if run != "sim.2":
+            (tmp_path / run / "beads.csv").write_text(rows)
+    schema = "t double, bead int, X1 double, is_loop int"
+    found = runs.read_runs(spark, str(tmp_path), "beads.csv", schema)
+    linked = {(r.sim_name, r.bead): (r.X1, r.left_neighbor, r.right_neighbor) for r in runs.nearest_links(found, ["sim_name", "t"]).collect()}
+    assert linked == {(s, b): v for s in ("sim.0", "sim.1") for b, v in ((1, (1.5, 1, 1)), (4, (2.5, 1, 9)), (9, (None, 9, 9)))}
+    assert runs.read_runs(spark, str(tmp_path), "beads.csv", schema, bead=4).count() == 2
+    runs.write_sorted(found, str(tmp_path / "out"), ["bead"], ["sim_name"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6 == runs.read_csv(spark, str(tmp_path / "sim.*/beads.csv"), schema).count()
+
+
+def test_array_text(spark):
+    texts = {"[1 2.5\n -3]": [1.0, 2.5, -3.0], "(1, 2)": [1.0, 2.0], "[]": [], "1 2": None, "[a]": None, None: None}
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    assert [r.v for r in df.select("i", arrays.parsed(F.col("s")).alias("v")).orderBy("i").collect()] == list(texts.values())
+
+
+def test_forms_and_stages(spark):
+    wide = spark.createDataFrame([(1, 0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)], "traj int, t int, X1 double, Y1 double, Z1 double, X2 double, Y2 double, Z2 double")
+    assert loci.pivoted(loci.pivoted(wide, ["traj", "t"]), ["traj", "t"]).select(*wide.columns).collect() == wide.collect()
+    with pytest.raises(ValueError):
+        loci.pivoted(wide.select("traj", "t"), ["traj", "t"])
+    stages = spark.createDataFrame([("ta",), ("t0",), ("t5",), ("t",), (None,)], "s string").select(loci.stage_number(F.col("s")).alias("n"))
+    assert [r.n for r in stages.collect()] == [-1, 0, 5, None, None]
+
+
+def test_running_sums_in_ranges(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 5003).cast("double").alias("x"), F.lit(1).alias("one"))
+    for after in (False, True):
+        found = dist.running(df, ["k"], "x", {"n": F.col("one")}, after=after, total=True).collect()
+        for k in range(3):
+            own = sorted((r for r in found if r.k == k), key=lambda r: -r.x if after else r.x)
+            assert [r.n for r in own] == list(range(1, len(own) + 1)) and {r.n_total for r in own} == {len(own)}
