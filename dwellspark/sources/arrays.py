@@ -11,4 +11,4 @@ def parsed(text: Column) -> Column:
     inner = F.regexp_replace(F.regexp_replace(text, r"[\[\](),]", " "), r"\s+", " ")
     parts = F.filter(F.split(F.trim(inner), " "), lambda p: p != "")
     numbers = F.transform(parts, lambda p: p.try_cast("double"))
-    return F.when(text.rlike(r"^\s*[\[(].*[\])]\s*$") & F.forall(numbers, lambda v: v.isNotNull()), numbers)
+    return F.when(text.rlike(r"(?s)^\s*[\[(].*[\])]\s*$") & F.forall(numbers, lambda v: v.isNotNull()), numbers)
