@@ -272,3 +272,22 @@ def test_pipeline(spark):
     assert private.columns == docs.columns
     packed = stages["packing"](spark, private, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in private.collect()}
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables through every stage, each on all that the one before kept."""
+    from pyspark.sql import functions as F
+
+    odd = edge.documents(spark).select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars"), "bucket", "score", "key")
+    docs = full = corpus_pipeline.stored(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        new = corpus_pipeline.stored(stage(spark, docs, SF))
+        assert new.schema == full.schema, name
+        if name != "near_duplicates":  # rows of one id go together there
+            assert name == "quality" or Counter(r.doc_id for r in new.collect()) == Counter(r.doc_id for r in docs.collect()), name
+        assert stage(spark, full.limit(0), SF).count() == 0, name
+        docs = new
+    assert None in {r.doc_id for r in docs.collect()} and docs.count() > 20
+    stage = corpus_pipeline.STAGES[-1][1]
+    assert {r.doc_id for r in stage(spark, docs, SF).collect()} == {r.doc_id for r in docs.collect()}
+    assert stage(spark, full.limit(0), SF).count() == 0
