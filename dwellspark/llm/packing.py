@@ -167,8 +167,12 @@ def plan(counts: dict[int, int], units: int) -> list[tuple[tuple[int, ...], int]
 
 def pack(cut: DataFrame, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, and others), which are read several times: give
-    a stored table. Each sequence has at most window tokens and its offsets are gapless from 0."""
+    a stored table. Each sequence has at most window tokens and its offsets are gapless from 0. Repeated pieces are
+    pieces of their own; null ids are ids like others. Columns of any other name go along; sequence_id and offset are replaced."""
     spark, units = cut.sparkSession, window // unit
+    # The piece's own columns go along as one, so that their names don't meet those made here.
+    own = F.struct(*(c for c in cut.columns if c not in ("sequence_id", "offset"))).alias("_piece")
+    cut = cut.select("doc_id", "start", "length", "ids_crc32", own)
     rests = cut.where(F.col("length") < window).withColumn("_bin", F.ceil(F.col("length") / unit).cast("int"))
     # One row for each length at most, whatever the number of pieces.
     counts = {r["_bin"]: r["n"] for r in rests.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -180,12 +184,12 @@ def pack(cut: DataFrame, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
         first += times
     spread = ["doc_id", "start", "ids_crc32"]
     table = spark.createDataFrame(ranges or [(0, 0, 0, 0, 0)], "_k int, _lo long, _hi long, _first long, _position int")
-    found = slots(rests, "_bin", spread, units).join(F.broadcast(table), (F.col("_bin") == F.col("_k")) & (F.col("slot") >= F.col("_lo")) & (F.col("slot") < F.col("_hi")))
+    found = slots(rests, "_bin", spread).join(F.broadcast(table), (F.col("_bin") == F.col("_k")) & (F.col("slot") >= F.col("_lo")) & (F.col("slot") < F.col("_hi")))
     found = found.withColumn("sequence_id", F.col("_first") + F.col("slot") - F.col("_lo"))
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("_position").rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).select(*cut.columns, "sequence_id", "offset")
-    whole = slots(cut.where(F.col("length") == window).withColumn("_bin", F.lit(0)), "_bin", spread, 1)
-    whole = whole.withColumn("sequence_id", F.col("slot") + first).withColumn("offset", F.lit(0).cast("long")).select(*cut.columns, "sequence_id", "offset")
+    found = found.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).select("_piece.*", "sequence_id", "offset")
+    whole = slots(cut.where(F.col("length") == window).withColumn("_bin", F.lit(0)), "_bin", spread)
+    whole = whole.withColumn("sequence_id", F.col("slot") + first).withColumn("offset", F.lit(0).cast("long")).select("_piece.*", "sequence_id", "offset")
     return found.unionByName(whole)
 
 

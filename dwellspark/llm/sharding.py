@@ -36,18 +36,18 @@ def rendezvous(key: Column, weights: Sequence[float], seed: int = SEED) -> Colum
     return (-best["shard"]).cast("int")
 
 
-def slots(df: DataFrame, group: str, order: Sequence[str], groups: int) -> DataFrame:
+def slots(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """Number the rows of each group from 0, gapless, as column slot. A group may hold any share of the rows: each
-    is cut into buckets by a hash of the order columns, numbered there, and moved by the counts of the buckets
-    before. groups: how many groups there are, about. The counts that are broadcast are four rows for each shuffle
-    partition, or 16 for each group if that is more, whatever the number of records."""
-    buckets = max(16, 4 * partitions(df.sparkSession) // groups)
+    is cut into four buckets for each shuffle partition by a hash of the order columns, numbered there, and moved by the
+    counts of the buckets before. Rows lie by group and bucket then, and so do the counts: no side is moved again to be
+    joined, unless Spark finds the counts small enough to broadcast. Columns named _bucket, _in, _group, _b and _before are replaced."""
+    buckets = 4 * partitions(df.sparkSession)
     cut = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(SEED), *order), F.lit(buckets)).cast("int"))
     counts = cut.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col(group).alias("_group"), F.col("_bucket").alias("_b"), F.coalesce("_before", F.lit(0)).alias("_before"))
     numbered = cut.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)) - 1)
-    joined = numbered.join(F.broadcast(before), (F.col(group) == F.col("_group")) & (F.col("_bucket") == F.col("_b")))
+    joined = numbered.join(before, (F.col(group) == F.col("_group")) & (F.col("_bucket") == F.col("_b")))
     return joined.withColumn("slot", (F.col("_before") + F.col("_in")).cast("long")).drop("_bucket", "_in", "_group", "_b", "_before")
 
 
@@ -63,7 +63,7 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float], id_
         rendezvous(F.col(id_col), grown).alias("grown_shard"),
     )
     # Repeated ids fall into one bucket together; the other columns then settle their order.
-    return slots(rows, "shard", ["doc_id", "size", "text_crc32"], len(weights)).select(
+    return slots(rows, "shard", ["doc_id", "size", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
 

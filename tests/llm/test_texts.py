@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import math
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -13,6 +15,7 @@ import public_tokenizers
 import pytest
 import pyarrow as pa
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -213,6 +216,22 @@ def test_packing(spark, docs):
     assert _check_packing(found, [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()], packing.WINDOW) > 0.95
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["_bin", "_k", "_lo", "_hi", "_first", "_position", "_bucket", "_in", "_group", "_b", "_before", "slot", "_piece", "_n", "sequence_id", "offset"]
+    rows = [(d, 0, length, 7, *[1000 + d] * len(names)) for d in range(60) for length in (1, 9, 700 + d, 2048)] + [(None, 0, 5, 7, *[None] * len(names))] * 3
+    cut = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, " + ", ".join(f"{n} long" for n in names))
+    found = packing.pack(cut)
+    assert found.columns == [c for c in cut.columns if c not in ("sequence_id", "offset")] + ["sequence_id", "offset"]
+    by = defaultdict(list)
+    for r in found.collect():
+        by[r.sequence_id].append((r.offset, r.length))
+        assert all(r[n] == (None if r.doc_id is None else 1000 + r.doc_id) for n in names[:-2])
+    assert sum(map(len, by.values())) == len(rows)
+    for own in by.values():
+        ends = [0, *(o + n for o, n in sorted(own))]
+        assert [o for o, _ in sorted(own)] == ends[:-1] and ends[-1] <= packing.WINDOW
+
+
 def test_ids_are_those_of_the_tokenizers_library(spark):
     told, own = Tokenizer.from_file(JSON), packing.Encoder(JSON)
     told.encode_special_tokens = True
@@ -293,6 +312,30 @@ def test_shards(spark, docs):
         sharding.rendezvous(F.lit(1), [1.0, 0.0])
 
 
+def _drawn(doc_id, shards):
+    """The shard of an id by a plain recomputation of its draws."""
+    best = []
+    for s in range(shards):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", sharding.SEED + s), seed=42)  # the seed of Spark's function
+        h = h if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=h)
+        best.append((math.log(((h >> 11) + 0.5) / 2.0**53), -s))
+    return -max(best)[1]
+
+
+def test_shards_are_those_of_the_best_draws(spark):
+    rows = sharding.op8_shards(spark, SF).collect()
+    assert rows and all((r.shard, r.grown_shard) == (_drawn(r.doc_id, 16), _drawn(r.doc_id, 17)) for r in rows)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+
+
+def test_slots_of_one_hot_group(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 50).alias("g"), F.col("id"))
+    found = sharding.slots(rows, "g", ["id"])
+    gaps = found.groupBy("g").agg((F.max("slot") + 1 - F.count("slot")).alias("a"), F.min("slot").alias("b"), (F.count("slot") - F.count_distinct("slot")).alias("c"))
+    assert found.count() == 30_000 and gaps.where("a != 0 OR b != 0 OR c != 0").count() == 0
+    assert sharding.slots(rows.limit(0), "g", ["id"]).count() == 0
+
+
 # 10
 
 
