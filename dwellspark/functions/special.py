@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([math.erfc(v) for v in x.ravel()]).reshape(x.shape)
 
 
 @lru_cache(maxsize=32)
@@ -97,3 +100,53 @@ def two_locus_correlation(t: Column, delta: Column, apart: float, b: float, kbt:
         return pd.Series(3 * kbt / (d**2 * math.sqrt(xi * k)) * (part(s - d) + part(s + d) - 2 * part(s)))
 
     return f(t.cast("double"), delta.cast("double"))
+
+
+def normal_below(z: Column) -> Column:
+    """The chance of a standard normal below z; in its lower tail as exact as the error function."""
+
+    @pandas_udf("double")
+    def f(z: pd.Series) -> pd.Series:
+        return pd.Series(_erfc(-z.to_numpy(float) / math.sqrt(2)) / 2)
+
+    return f(z.cast("double"))
+
+
+def curvature(x: np.ndarray, alpha: float) -> np.ndarray:
+    """E_{alpha, alpha - 1}(-x), the Mittag-Leffler function of two parameters, for x > 0 and 0 < alpha < 1. It is minus
+    t**(2 - alpha) times the second derivative of relaxation(t**alpha) in t."""
+    x = np.asarray(x, float)
+    rate, weight = _spectrum(alpha)
+    t = np.power(x, 1 / alpha).ravel()
+    out = np.array([-(s ** (2 - alpha)) * (weight @ (rate * rate * np.exp(-rate * s))) for s in t]) / weight.sum()
+    return out.reshape(x.shape)
+
+
+def middle_velocity_correlation(t: Column, alpha: float, b: float, beads: float, kbt: float = 1.0, xi: float = 1.0, modes: int = 1000) -> Column:
+    """Correlation of the velocity of the middle bead of a Rouse chain in a fractional medium; null at t = 0."""
+
+    @pandas_udf("double")
+    def f(t: pd.Series) -> pd.Series:
+        s = t.to_numpy(float)
+        s = np.where(s > 0, s, np.nan)
+        own = -3 * kbt / xi * math.sin(alpha * math.pi) / (math.pi * (2 - alpha)) * s ** (alpha - 2)
+        total = np.zeros_like(s)
+        for p in range(1, modes + 1):
+            total += curvature(float(_coefficient(2 * p, b, beads, kbt)) * s**alpha / (beads * xi * math.gamma(3 - alpha)), alpha)
+        return pd.Series(own * (1 + 2 * (alpha - 1) * total)).replace(np.nan, None)
+
+    return f(t.cast("double"))
+
+
+def separation_correlation(t: np.ndarray, delta: np.ndarray, relaxed: float) -> np.ndarray:
+    """Correlation of the velocities of the separation of two loci on an endless Rouse chain, relative to that of one free locus at
+    t = 0: that of a locus with itself, less that with the other, from which it is as far as relaxes in that time."""
+
+    def part(s: np.ndarray) -> np.ndarray:
+        s = np.abs(s)
+        z = np.divide(relaxed, s, out=np.full_like(s, np.inf), where=s > 0)
+        there = np.where(np.isfinite(z), z, 0.0)
+        cross = np.where(np.isfinite(z), np.exp(-there) - math.sqrt(math.pi) * np.sqrt(there) * _erfc(np.sqrt(there)), 0.0)
+        return np.sqrt(s) * (1 - cross)
+
+    return (part(t - delta) + part(t + delta) - 2 * part(t)) / (2 * np.sqrt(delta))

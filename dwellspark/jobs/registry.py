@@ -4,6 +4,7 @@ Doubles are rounded on both sides, so that the order of a sum doesn't show."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -435,12 +436,29 @@ def convex_hull_area(spark, sf_dir):
     return rounded(geometry.hull_area(tables.track(spark, sf_dir), KEY), 4)
 
 
-@query()
+def uniform_sql(seed: int, *columns: str) -> str:
+    """bootstrap.uniform of whole numbers."""
+    text = ", ".join(f"({c})::VARCHAR" for c in columns)
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {text})), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE"
+
+
+def poisson_sql(u: str, mean: str = "1") -> str:
+    """bootstrap.poisson."""
+    terms = [f"({mean}) ** {k} / {math.factorial(k)}" for k in range(bootstrap.MOST)]
+    return " + ".join(f"({u} >= exp(-({mean})::DOUBLE) * ({' + '.join(terms[: k + 1])}))::INT" for k in range(bootstrap.MOST))
+
+
+REPLICATES = 200
+
+
+@query(f"""WITH {SIM}, {INTERIOR}, s AS (SELECT traj, state, sum(wait_time) AS s, count(*) AS n FROM inner_waits GROUP BY traj, state), d AS (SELECT s.*, b AS boot_id, {uniform_sql(0, 'b', 'traj')} AS u FROM s, range({REPLICATES}) r(b)),
+e AS (SELECT *, {poisson_sql('u')} AS times FROM d), v AS (SELECT state, boot_id, sum(s * times) / sum(n * times) AS value FROM e WHERE times > 0 GROUP BY state, boot_id)
+SELECT state, {r('quantile_cont(value, 0.025) AS low', 'quantile_cont(value, 0.975) AS high', digits=3)} FROM v GROUP BY state""")
 def bootstrap_quantiles(spark, sf_dir):
     """Bounds of the mean interior wait of each state, trajectories being drawn anew 200 times."""
-    inner = waits.interior(obs(spark, sf_dir))
-    mean = lambda times: F.sum(F.col("wait_time") * times) / F.sum(times)
-    return bootstrap.interval(bootstrap.estimates(inner, KEY, ["state"], 200, mean), ["state"], "value")
+    inner = waits.interior(obs(spark, sf_dir)).groupBy("traj", "state").agg(F.sum("wait_time").alias("s"), F.count(F.lit(1)).alias("n"))
+    mean = lambda times: F.sum(F.col("s") * times) / F.sum(F.col("n") * times)
+    return rounded(bootstrap.interval(bootstrap.estimates(inner, KEY, ["state"], REPLICATES, mean), ["state"], "value"), 3)
 
 
 @query()

@@ -9,16 +9,29 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Draws above this have a chance below 1e-7 and count as it.
+#: Draws above this have a chance below 1e-7 (for a mean of at most 1) and count as it.
 MOST = 9
 
 
 def uniform(seed: int, *columns: str | Column) -> Column:
-    """A number between 0 and 1 that only depends on the columns and the seed, so that a lost task draws the same again."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") + 0.5) / float(1 << 53)
+    """A number between 0 and 1, from the first 32 bits of the MD5 of the columns' text: it only depends on them and the
+    seed, so that a lost task draws the same again. A null column is skipped."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns)).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
 
 
-def poisson(u: Column, mean: float = 1.0) -> Column:
+def poisson(u: Column, mean: float | Column = 1.0) -> Column:
+    """The Poisson draw of a mean of at most 1 that u stands for."""
+    if isinstance(mean, Column):
+        steps = F.sequence(F.lit(1), F.lit(MOST - 1))
+        first = F.struct(F.exp(-mean).alias("chance"), F.exp(-mean).alias("below"), (u >= F.exp(-mean)).cast("int").alias("drawn"))
+
+        def more(s: Column, k: Column) -> Column:
+            chance = s["chance"] * mean / k
+            below = s["below"] + chance
+            return F.struct(chance.alias("chance"), below.alias("below"), (s["drawn"] + (u >= below).cast("int")).alias("drawn"))
+
+        return F.aggregate(steps, first, more, lambda s: s["drawn"])
     below, chance, drawn = 0.0, math.exp(-mean), F.lit(0)
     for k in range(MOST):
         below += chance
@@ -27,11 +40,11 @@ def poisson(u: Column, mean: float = 1.0) -> Column:
     return drawn
 
 
-def resampled(df: DataFrame, identity: Sequence[str], replicates: int, seed: int = 0) -> DataFrame:
+def resampled(df: DataFrame, identity: Sequence[str], replicates: int, seed: int = 0, mean: float | Column = 1.0) -> DataFrame:
     """df with boot_id and times, how often a row counts there; rows that a replicate doesn't draw are left out. Rows
-    of one identity, such as a trajectory, are drawn together."""
+    of one identity, such as a trajectory, are drawn together. Sum rows up by identity first: each is repeated."""
     spread = df.withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return spread.withColumn("times", poisson(uniform(seed, "boot_id", *identity))).where("times > 0")
+    return spread.withColumn("times", poisson(uniform(seed, "boot_id", *identity), mean)).where("times > 0")
 
 
 def interval(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:
@@ -42,3 +55,44 @@ def interval(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05
 def estimates(df: DataFrame, identity: Sequence[str], keys: Sequence[str], replicates: int, estimate: Callable[[Column], Column], seed: int = 0) -> DataFrame:
     """keys, boot_id, value: an aggregate of the rows' weights in each replicate."""
     return resampled(df, identity, replicates, seed).groupBy(*keys, "boot_id").agg(estimate(F.col("times")).alias("value"))
+
+
+def mixture(df: DataFrame, identity: Sequence[str], condition: str, shares: dict, replicates: int, seed: int = 0) -> DataFrame:
+    """df with boot_id and times: whole trajectories of several conditions drawn so that each condition has its share of
+    them. As many are drawn, about, as leaves no condition's trajectories drawn more than once on average."""
+    sizes = df.select(condition, *identity).distinct().groupBy(condition).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.create_map(*(F.lit(v) for pair in shares.items() for v in pair))[F.col(condition)]
+    held = sizes.where(share > 0).select(F.struct(condition, "_n", share.alias("_s")).alias("_c"))
+    # Rows of conditions, at most as many as shares.
+    one = held.agg(F.min(F.col("_c._n") / F.col("_c._s")).alias("_most"), F.collect_list("_c").alias("_all")).select("_most", F.explode("_all").alias("_c"))
+    means = one.select(f"_c.{condition}", (F.col("_most") * F.col("_c._s") / F.col("_c._n")).alias("_mean"))
+    return resampled(df.join(F.broadcast(means), condition), identity, replicates, seed, F.col("_mean")).drop("_mean")
+
+
+def drawn_shares(curve: DataFrame, keys: Sequence[str], n: str, replicates: int, seed: int = 0) -> DataFrame:
+    """keys, boot_id, bin, pmf: in each replicate, n numbers drawn from a cdf on a short grid (keys, x, cdf, n), as the share of
+    those within the grid that lie in each bin between its points. Bins without a draw have no row. Draws are rows, made from one row a key."""
+    rows = curve.groupBy(*keys).agg(F.array_sort(F.collect_list("cdf")).alias("_c"), F.max(n).alias("_n"))
+    boots = rows.withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(*keys, "boot_id")
+    drawn = boots.where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"))))
+    drawn = drawn.withColumn("_u", uniform(seed, "boot_id", *keys, "_i"))
+    # The first point that isn't below the draw; what lies before the first point or after the last has no bin.
+    at = F.size(F.filter("_c", lambda c: c < F.col("_u")))
+    counts = drawn.withColumn("bin", at.cast("long")).where((F.col("bin") > 0) & (F.col("bin") < F.size("_c"))).groupBy(*keys, "boot_id", "bin").agg(F.count(F.lit(1)).alias("_k"))
+    return shares(counts, keys, "_k")
+
+
+def shares(weights: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """keys, boot_id, bin, pmf: the share of the weight of a replicate that each bin has."""
+    whole = weights.groupBy(*keys, "boot_id").agg(F.sum(weight).alias("_whole"))
+    return weights.join(whole, [*keys, "boot_id"]).select(*keys, "boot_id", "bin", F.try_divide(F.col(weight), F.col("_whole")).alias("pmf"))
+
+
+def share_bounds(pmfs: DataFrame, keys: Sequence[str], bins: int, replicates: int, alpha: float, bonferroni: bool = True) -> DataFrame:
+    """keys, bin, low, high: the percentiles alpha and 1 - alpha of each bin's share over replicates; alpha is divided by the
+    number of bins if bonferroni. A bin without a row in a replicate has a share of 0 there."""
+    a = alpha / bins if bonferroni else alpha
+    grid = pmfs.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(bins).cast("long"))))
+    grid = grid.withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    filled = grid.join(pmfs, [*keys, "bin", "boot_id"], "left").withColumn("pmf", F.coalesce("pmf", F.lit(0.0)))
+    return filled.groupBy(*keys, "bin").agg(F.percentile("pmf", F.lit(a)).alias("low"), F.percentile("pmf", F.lit(1 - a)).alias("high"))

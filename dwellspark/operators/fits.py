@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwellspark.functions.special import separation_correlation
+
 _FIXED = "alpha double, amplitude double, rest double, points long"
 
 
@@ -44,3 +46,49 @@ def fit_alpha(df: DataFrame, keys: Sequence[str], t: str = "t", delta: str = "de
     good = df.where((F.col(delta) > 0) & F.col(y).isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")) & (F.col(t) <= most * F.col(delta)))
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + f", {_FIXED}"
     return good.select(*keys, t, delta, y).groupBy(*keys).applyInPandas(one, schema)
+
+
+_TWO = "amplitude double, relaxed double, amplitude_var double, relaxed_var double, covariance double, rest double, points long"
+
+
+def _golden(rest, a: float, b: float, steps: int = 60) -> float:
+    g = (np.sqrt(5) - 1) / 2
+    for _ in range(steps):
+        c, d = b - g * (b - a), a + g * (b - a)
+        a, b = (a, d) if rest(c) <= rest(d) else (c, b)
+    return float((a + b) / 2)
+
+
+def fit_two_loci(df: DataFrame, keys: Sequence[str], t: str = "t", delta: str = "delta", y: str = "cvv_normed", amplitudes: tuple[float, float] = (0.0, 10.0), times: tuple[float, float] = (1.5, 1000.0), most: float = 4.0) -> DataFrame:
+    """keys, amplitude, relaxed, their covariance, rest, points: least squares of the velocity correlation of two linked loci that relax as
+    Rouse chains do, over finite points of at most `most` lags. Both are held between bounds. The amplitude follows from the relaxation time, which
+    is searched on a logarithmic grid, then by golden sections. The covariance is that of the linearised model, as curve fits give it; null
+    with fewer than three points or at a bound. A group is a curve, one row for each time and lag."""
+
+    def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        at, lag, want = (own[c].to_numpy(float) for c in (t, delta, y))
+        found: list = [None] * 6 + [len(own)]
+
+        def best(log_time: float) -> tuple[float, float]:
+            f = separation_correlation(at, lag, float(np.exp(log_time)))
+            a = float(np.clip((f @ want) / max(float(f @ f), 1e-300), *amplitudes))
+            return float(((a * f - want) ** 2).sum()), a
+
+        if len(own) >= 2:
+            grid = np.linspace(*np.log(times), 100)
+            k = int(np.argmin([best(g)[0] for g in grid]))
+            where = _golden(lambda g: best(g)[0], grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)])
+            rest, a = best(where)
+            found[:2], found[5] = (a, float(np.exp(where))), rest
+            h = 1e-4 * np.exp(where)
+            slope = a * (separation_correlation(at, lag, np.exp(where) + h) - separation_correlation(at, lag, np.exp(where) - h)) / (2 * h)
+            j = np.c_[separation_correlation(at, lag, float(np.exp(where))), slope]
+            inside = amplitudes[0] < a < amplitudes[1] and times[0] * 1.001 < np.exp(where) < times[1] / 1.001
+            if len(own) > 2 and inside and np.linalg.cond(j) < 1e8:
+                cov = np.linalg.inv(j.T @ j) * rest / (len(own) - 2)
+                found[2:5] = float(cov[0, 0]), float(cov[1, 1]), float(cov[0, 1])
+        return pd.DataFrame([[*key, *found]], columns=[*keys, *(c.split()[0] for c in _TWO.split(", "))])
+
+    good = df.where((F.col(delta) > 0) & F.col(y).isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")) & (F.col(t) <= most * F.col(delta)))
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + f", {_TWO}"
+    return good.select(*keys, t, delta, y).groupBy(*keys).applyInPandas(one, schema)

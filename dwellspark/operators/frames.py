@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,16 +30,25 @@ def quantised(changes: DataFrame, keys: Sequence[str], step: float, count: int)
     several before one frame the last shows; a change to the state that shows already doesn't. keys, state, start_time,
     end_time, window_start, window_end, where the window's ends are the first and last frame that see the trajectory:
     the last is strictly before its end."""
-    index = F.ceil(F.col("start_time") / F.lit(float(step)))
+    return _shown(changes, keys, lambda c: F.greatest(F.ceil(c / F.lit(float(step))), F.lit(0)), lambda i: i * F.lit(float(step)), count)
+
+
+def quantised_on(changes: DataFrame, keys: Sequence[str], times: Sequence[float]) -> DataFrame:
+    """quantised for frames at any times, in order; a list that is short beside the data."""
+    grid = F.array(*(F.lit(float(t)) for t in times))
+    return _shown(changes, keys, lambda c: F.size(F.filter(grid, lambda t: t < c)), lambda i: F.get(grid, i.cast("int")), len(times))
+
+
+def _shown(changes: DataFrame, keys: Sequence[str], index: Callable[[Column], Column], at: Callable[[Column], Column], count: int) -> DataFrame:
+    """index: the number of frames before a time. at: the time of a frame."""
     whole = Window.partitionBy(*keys)
-    own = changes.withColumn("_i", F.greatest(index, F.lit(0))).withColumn("_first", F.min("_i").over(whole))
-    last = F.least(F.ceil(F.max("end_time").over(whole) / F.lit(float(step))) - 1, F.lit(count - 1))
-    own = own.withColumn("_last", last).where((F.col("_i") <= F.col("_last")))
+    own = changes.withColumn("_i", index(F.col("start_time"))).withColumn("_first", F.min("_i").over(whole)).withColumn("_end", F.max("end_time").over(whole))
+    own = own.withColumn("_last", F.least(index(F.col("_end")) - 1, F.lit(count - 1))).where(F.col("_i") <= F.col("_last"))
     shown = own.groupBy(*keys, "_i", "_first", "_last").agg(F.max_by("state", F.struct("start_time", "end_time")).alias("state"))
     w = Window.partitionBy(*keys).orderBy("_i")
     new = shown.withColumn("_before", F.lag("state").over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col("state")))
-    at = lambda c: c * F.lit(float(step))
-    return new.select(*keys, "state", at(F.col("_i")).alias("start_time"), at(F.coalesce(F.lead("_i").over(w), F.col("_last"))).alias("end_time"), at(F.col("_first")).alias("window_start"), at(F.col("_last")).alias("window_end"))
+    new = new.withColumn("_next", F.coalesce(F.lead("_i").over(w), F.col("_last")))
+    return new.select(*keys, "state", *(at(F.col(i)).alias(c) for i, c in (("_i", "start_time"), ("_next", "end_time"), ("_first", "window_start"), ("_last", "window_end"))))
 
 
 def nearest_times(df: DataFrame, keys: Sequence[str], t: str, wanted: Sequence[float]) -> DataFrame:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Points of a part of a trajectory, about: corners of parts are found apart, then those of the whole among them.
+PART = 50_000
+
 
 def _hull(points: np.ndarray) -> np.ndarray:
     """Corners of the hull of points in the plane, counter-clockwise: the lower and the upper chain."""
@@ -25,19 +28,100 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(points) + chain(points[::-1]))
 
 
+def _facets(points: np.ndarray) -> np.ndarray | None:
+    """Triangles of the hull of points in space, as rows of three indices, seen counter-clockwise from outside; None if all lie in
+    a plane. Points come one by one: the triangles that see a new one give way to those from their rim to it."""
+    scale = float(np.abs(points - points.mean(0)).max()) if len(points) else 0.0
+    if len(points) < 4 or scale == 0:
+        return None
+    a = int(np.argmin(points[:, 0]))
+    b = int(np.argmax(((points - points[a]) ** 2).sum(1)))
+    along = points[b] - points[a]
+    off = np.linalg.norm(np.cross(points - points[a], along), axis=1)
+    c = int(np.argmax(off))
+    normal = np.cross(along, points[c] - points[a])
+    height = (points - points[a]) @ normal
+    d = int(np.argmax(np.abs(height)))
+    if abs(height[d]) <= 1e-12 * scale**3:
+        return None
+    middle = points[[a, b, c, d]].mean(0)
+
+    def planes(faces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p = points[faces]
+        n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
+        inside = ((middle - p[:, 0]) * n).sum(1) > 0
+        faces[inside] = faces[inside][:, ::-1]
+        n[inside] = -n[inside]
+        return faces, n, (n * p[:, 0]).sum(1)
+
+    faces, normals, offsets = planes(np.array([[a, b, c], [a, b, d], [a, c, d], [b, c, d]]))
+    # Far ones first: most of the others then lie within and change nothing.
+    for i in np.argsort(-((points - middle) ** 2).sum(1), kind="stable"):
+        seen = normals @ points[i] - offsets > 1e-12 * scale * np.linalg.norm(normals, axis=1)
+        if not seen.any():
+            continue
+        edges = {tuple(e) for f in faces[seen] for e in (f[[0, 1]], f[[1, 2]], f[[2, 0]])}
+        rim = [e for e in edges if e[::-1] not in edges]
+        fresh = planes(np.array([[u, v, i] for u, v in rim]))
+        faces, normals, offsets = (np.concatenate([old[~seen], new]) for old, new in zip((faces, normals, offsets), fresh))
+    return faces
+
+
+def _corners(points: np.ndarray) -> np.ndarray:
+    """The corners of a hull, among points that all count where they lie in a line or plane."""
+    if points.shape[1] == 2:
+        return _hull(points) if len(points) > 2 else points
+    faces = _facets(points)
+    return points if faces is None else points[np.unique(faces)]
+
+
+def _measured(df: DataFrame, keys: Sequence[str], names: Sequence[str], out: Sequence[str], measure) -> DataFrame:
+    """keys and what measure says of each key's distinct points; those of a long trajectory are thinned out to corners by parts."""
+    own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(_corners(rows[list(names)].to_numpy(float)), columns=list(names))
+        for i, k in enumerate(keys):
+            found.insert(i, k, key[i])
+        return found
+
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, *measure(rows[list(names)].to_numpy(float))]], columns=[*keys, *out])
+
+    there = df
+    for n in names:
+        there = there.where(F.col(n).isNotNull())
+    points = there.select(*keys, *(F.col(n).cast("double").alias(n) for n in names)).distinct()
+    sizes = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART).alias("_parts"))
+    cut = points.join(sizes, list(keys)).withColumn("_part", F.pmod(F.xxhash64(*names), F.col("_parts")))
+    long = cut.where("_parts > 1").groupBy(*keys, "_part").applyInPandas(lambda key, rows: part(key[:-1], rows), own + "".join(f", `{n}` double" for n in names))
+    left = cut.where("_parts = 1").select(*keys, *names).unionByName(long)
+    return left.groupBy(*keys).applyInPandas(whole, own + "".join(f", {o} double" for o in out))
+
+
 def hull_area(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """keys, area, perimeter of the hull of each trajectory's points; null with fewer than three corners. Repeated points
     are dropped before a trajectory meets in a task."""
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", area double, perimeter double"
-
-    def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        corners = _hull(own[[x, y]].to_numpy(float))
-        area = perimeter = None
-        if len(corners) > 2:
-            after = np.roll(corners, -1, axis=0)
-            area = float(np.sum(corners[:, 0] * after[:, 1] - after[:, 0] * corners[:, 1]) / 2)
-            perimeter = float(np.hypot(*(after - corners).T).sum())
-        return pd.DataFrame([[*key, area, perimeter]], columns=[*keys, "area", "perimeter"])
-
-    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y).distinct()
-    return points.groupBy(*keys).applyInPandas(one, schema)
+
+    def measure(points: np.ndarray) -> tuple:
+        corners = _hull(points)
+        if len(corners) < 3:
+            return None, None
+        after = np.roll(corners, -1, axis=0)
+        area = float(np.sum(corners[:, 0] * after[:, 1] - after[:, 0] * corners[:, 1]) / 2)
+        return area, float(np.hypot(*(after - corners).T).sum())
+
+    return _measured(df, keys, [x, y], ["area", "perimeter"], measure)
+
+
+def hull_volume(df: DataFrame, keys: Sequence[str], x: str = "X", y: str = "Y", z: str = "Z") -> DataFrame:
+    """keys, volume, area of the hull of each trajectory's points in space; null where they lie in a plane."""
+
+    def measure(points: np.ndarray) -> tuple:
+        faces = _facets(points)
+        if faces is None:
+            return None, None
+        a, b, c = (points[faces[:, i]] - points.mean(0) for i in range(3))
+        return float((a * np.cross(b, c)).sum() / 6), float(np.linalg.norm(np.cross(b - a, c - a), axis=1).sum() / 2)
+
+    return _measured(df, keys, [x, y, z], ["volume", "area"], measure)

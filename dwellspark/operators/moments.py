@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dwellspark.functions.special import normal_below
+from dwellspark.operators.distributions import running
+
 
 def moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ns: Sequence[int] = (0, 1, 2)) -> DataFrame:
     """Raw moments in long form: keys, column, moment, value. The 0th is the number of values; NaN counts as missing."""
@@ -81,3 +84,42 @@ def every(df: DataFrame, keys: Sequence[str], skip: int, within: Sequence[str])
     rank = F.col("_before") + F.row_number().over(Window.partitionBy(*within, "_range").orderBy(*keys)) - 1
     chosen = numbered.withColumn("_rank", rank).where(F.col("_rank") % skip == 0).select(*within, *keys)
     return df.join(chosen, [*within, *keys], "left_semi").select(*df.columns)
+
+
+def two_sided(t: Column, dof: Column) -> Column:
+    """The chance of a Student t farther from 0 than this one: the finite sums for whole degrees of freedom."""
+    x = F.abs(t) / F.sqrt(dof)
+    square, sine = 1 / (1 + x * x), x / F.sqrt(1 + x * x)
+    odd = dof % 2 == 1
+
+    def more(s: Column, k: Column) -> Column:
+        term = s["term"] * square * F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    # Terms 1 to (dof - 3) / 2 or dof / 2 - 1, after the first one, which is 1.
+    last = F.when(odd, (dof - 3) / 2).otherwise(dof / 2 - 1).cast("int")
+    steps = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), more, lambda s: s["total"])
+    within = F.when(odd, 2 / F.pi() * (F.atan(x) + F.when(dof > 1, sine * F.sqrt(square) * total).otherwise(0.0))).otherwise(sine * total)
+    return F.when(t.isNotNull() & (dof > 0), F.greatest(1 - within, F.lit(0.0)))
+
+
+def normality(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """keys, n, ngp, ks, ad of x, standardised by the mean and sample deviation of its key: the non-Gaussian parameter, and the
+    statistics of Kolmogorov and Smirnov and of Anderson and Darling against a normal. Equal values are one row, and their
+    ranks come from running sums in ranges, so no task sorts all values of a key. Keys with a deviation of 0 have no row."""
+    there = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("x"))
+    about = there.groupBy(*keys).agg(F.avg("x").alias("_mean"), F.stddev_samp("x").alias("_std"), F.count(F.lit(1)).alias("n")).where("_std > 0")
+    values = there.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_m"))
+    ranked = running(values, keys, "x", {"_up": F.col("_m")}).join(about, list(keys))
+    z = (F.col("x") - F.col("_mean")) / F.col("_std")
+    ranked = ranked.withColumn("_z", z).withColumn("_p", normal_below(F.col("_z"))).withColumn("_q", normal_below(-F.col("_z")))
+    below = F.col("_up") - F.col("_m")
+    gap = F.greatest(F.abs(F.col("_up") / F.col("n") - F.col("_p")), F.abs(F.col("_p") - below / F.col("n")))
+    # Ranks i = below + 1 to _up: the sums of 2 i - 1 and of 2 (n - i) + 1 are differences of squares.
+    low = (F.col("_up") * F.col("_up") - below * below) * F.log(F.col("_p"))
+    high = ((F.col("n") - below) * (F.col("n") - below) - (F.col("n") - F.col("_up")) * (F.col("n") - F.col("_up"))) * F.log(F.col("_q"))
+    square = F.col("_z") * F.col("_z")
+    sums = ranked.groupBy(*keys, "n").agg(F.sum(square * F.col("_m")).alias("_two"), F.sum(square * square * F.col("_m")).alias("_four"), F.max(gap).alias("ks"), F.sum(low + high).alias("_ad"))
+    ngp = F.col("_four") * F.col("n") / (3 * F.col("_two") * F.col("_two")) - 1
+    return sums.select(*keys, "n", ngp.alias("ngp"), "ks", (-F.col("n") - F.col("_ad") / F.col("n")).alias("ad"))
