@@ -6,9 +6,10 @@ places, so a suffix that starts at an anchor, with the few words left of it, sta
 
 1. Anchors are counted by prefix. Those whose prefix occurs once can't lie in a repeat and go.
 2. The remaining suffixes are dealt out by prefix: PREFIX words long, or a whole window where so many suffixes share
-   the short prefix that they would fill a task. Each task grows the tree of its suffixes level by level, down to the
-   depth of a window, and one of the words to the left; windows that share a node in both are equal. All but the
-   first go. Tasks first do the same to their own suffixes before they send what is left, so a passage that a third
+   the short prefix that they would fill a task. There are as many groups of prefixes as the corpus is a multiple of
+   GROUP_CHARS, so a group fits in memory at any size. Each builds the tree of its suffixes, as their order and the words
+   that neighbours have in common, and one of the words to their left; windows below one deep internal node of both are
+   equal. All but the first go. Tasks first do the same to their own suffixes before they send what is left, so a passage that a third
    of all documents share is sent once by each task.
 3. The starts of repeated windows return to their documents, whose covered words are removed.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellspark.llm.common import WORD, partitions, short_batches, stored
-from dwellspark.llm.wordhash import grams, hashes, mixed, packed, refined, unpacked, words
+from dwellspark.llm.wordhash import grams, hashes, mixed, packed, unpacked, words
 
 WINDOW = 20
 #: Words of a short prefix.
@@ -35,6 +36,8 @@ PREFIX = 8
 LEFT = WINDOW - PREFIX
 #: Suffixes with one short prefix from which it is extended to a whole window.
 CROWDED = 20_000
+#: Characters of the corpus for which there is one group of prefixes.
+GROUP_CHARS = 16_000_000
 #: Rows that a task gathers before it looks for repeats among them and sends the rest.
 GATHERED_WORDS, GATHERED_SUFFIXES = 8_000_000, 100_000
 _ANCHOR = (("<u8", 1), ("<i8", 1), ("<i4", 1), ("<i4", 1), ("<u4", 1))
@@ -60,10 +63,37 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return at[first], g[at[first]], first, last
 
 
+def tree(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of suffixes, one a row: their order by words, and for each place of this order how many words it has in
+    common with the place before. A node of depth d is a run of places, all but the first of which have d words or more."""
+    order = np.lexsort(words.T[::-1])
+    rows = words[order]
+    same = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(axis=1)
+    return order, np.r_[0, same][: len(order)]
+
+
+def nodes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """The node of this depth that each suffix hangs from, numbered from the left; one that hangs from none alone has its own."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < depth) - 1
+    return out
+
+
+def deepest(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Depth of the deepest internal node above each suffix."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(common, np.r_[common[1:], 0][: len(order)])
+    return out
+
+
 def repeats(doc: np.ndarray, sub: np.ndarray, at: np.ndarray, mask: np.ndarray, context: np.ndarray) -> np.ndarray:
     """mask of the windows (bit d: the one that starts d words before the anchor) that occur earlier among the rows.
     context: words from LEFT before the anchor to WINDOW after its start. Rows need no order; rows of one place, of a
-    document that is there several times, are one."""
+    document that is there several times, are one.
+
+    A window d words before its anchor repeats where its suffix hangs from an internal node of depth WINDOW - d and, in
+    the tree of the words to the left, nearest first, from one of depth d, together with another suffix. Over all d,
+    the repeats of a pair of suffixes are the windows of the one maximal repeat around their anchors."""
     order = np.lexsort((at, sub, doc))
     new = np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in (doc, sub, at)], axis=0)][: len(at)]
     if not new.all():
@@ -73,24 +103,19 @@ def repeats(doc: np.ndarray, sub: np.ndarray, at: np.ndarray, mask: np.ndarray,
         out[order] = found[np.cumsum(new) - 1]
         return out & mask
     out = np.zeros(len(at), np.uint16)
-    node = np.zeros(len(at), np.uint64)
-    for depth in range(PREFIX):
-        node = refined(node, context[:, LEFT + depth])
-    rows = np.flatnonzero(np.bincount(node)[node] > 1) if len(at) else np.empty(0, np.int64)
+    known, n = np.unique(grams_at(context, LEFT, PREFIX), return_inverse=True, return_counts=True)[1:]
+    rows = order[n[known[order]] > 1]  # equal prefixes have equal hashes: others hang from the root alone
     if not len(rows):
         return out
-    rows = rows[np.lexsort((at[rows], sub[rows], doc[rows]))]
-    node, mask, context = node[rows], mask[rows], context[rows]
-    right = [node]
-    for depth in range(PREFIX, WINDOW):
-        right.append(refined(right[-1], context[:, LEFT + depth]))
-    left, found = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint16)
+    mask, context = mask[rows], context[rows]
+    right, left = tree(context[:, LEFT:]), tree(context[:, LEFT - 1 :: -1])
+    right_depth, left_depth = deepest(*right), deepest(*left)
+    found = np.zeros(len(rows), np.uint16)
     for d in range(LEFT + 1):
-        if d:
-            left = refined(left, context[:, LEFT - d])
-        there = np.flatnonzero(mask & np.uint16(1 << d))
+        there = np.flatnonzero((mask & np.uint16(1 << d) > 0) & (right_depth >= WINDOW - d) & (left_depth >= d))
         if len(there):
-            first = np.unique(refined(right[LEFT - d][there], left[there].astype(np.uint64)), return_index=True)[1]
+            both = nodes(*right, WINDOW - d)[there] * len(rows) + nodes(*left, d)[there]
+            first = np.unique(both, return_index=True)[1]
             later = np.ones(len(there), bool)
             later[first] = False
             found[there[later]] |= np.uint16(1 << d)
@@ -306,13 +331,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that repeat both are one document, seen several times."""
     spark = docs.sparkSession
     short_batches(spark)
-    buckets = partitions(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("sub"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     rest = ["carried"] if carry else []
     # Copies: all but the first id of each text. Hashes and ids alone are shuffled.
-    known = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("of"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("of_sub"), F.md5(text.cast("binary")).alias("md5"))
-    known = stored(known.groupBy("md5", "of", "of_sub").agg(F.lit(True).alias("copy")))
+    known = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("of"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("of_sub"), F.md5(text.cast("binary")).alias("md5"), F.length(text).cast("long").alias("chars"))
+    known = stored(known.groupBy("md5", "of", "of_sub").agg(F.lit(True).alias("copy"), F.max("chars").alias("chars")))
+    buckets = max(partitions(spark), (known.agg(F.sum("chars")).first()[0] or 0) // GROUP_CHARS)
     first = known.groupBy("md5").agg(F.min("of").alias("first"))
     copies = known.join(first, "md5").where(F.col("of") > F.col("first")).select("of", "of_sub", "copy")
 

@@ -56,11 +56,6 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def refined(classes: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Classes of rows that share a class and a value: one level further down a tree. Numbers are dense."""
-    return np.unique(mixed(classes.astype(np.uint64) + np.uint64(1)) + by, return_inverse=True)[1]
-
-
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of one length, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))

@@ -67,6 +67,32 @@ def test_substrings(spark, crowded, gathered):
         assert found[doc].kept == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_tree_of_suffixes():
+    """Nodes and repeats of suffixes over few words, which have many prefixes in common, against each pair of windows."""
+    rng = np.random.default_rng(5)
+    n, width = 300, substrings.LEFT + substrings.WINDOW
+    context = rng.integers(0, 2, (12, width)).astype(np.uint64)[rng.integers(0, 12, n)]
+    context[np.arange(n), rng.integers(0, width, n)] = 2
+    order, common = substrings.tree(context)
+    ranked = [tuple(r) for r in context[order].tolist()]
+    assert ranked == sorted(ranked)
+    assert common.tolist() == [0] + [next((i for i in range(width) if a[i] != b[i]), width) for a, b in zip(ranked, ranked[1:])]
+    for depth in (1, 8, width):
+        found = substrings.nodes(order, common, depth)
+        assert len(set(found)) == len({r[:depth] for r in ranked}) == len(set(zip(found, map(tuple, context[:, :depth].tolist()))))
+    doc, at = rng.integers(0, 40, n), rng.integers(0, 10**6, n).astype("<i4")
+    mask = rng.integers(1, 1 << substrings.LEFT + 1, n).astype(np.uint16)
+    got = substrings.repeats(doc, np.zeros(n, "<i4"), at, mask, context)
+    seen, want = set(), np.zeros(n, np.uint16)
+    for i in np.lexsort((at, doc)):
+        for d in range(substrings.LEFT + 1):
+            if mask[i] >> d & 1:
+                window = (d, *context[i, substrings.LEFT - d : substrings.LEFT - d + substrings.WINDOW].tolist())
+                want[i] |= np.uint16((window in seen) << d)
+                seen.add(window)
+    assert want.any() and (got == want).all()
+
+
 def test_substrings_of_odd_rows(spark):
     docs = edge.documents(spark)
     found = substrings.remove_repeats(docs, carry=["key", "slot"]).collect()
