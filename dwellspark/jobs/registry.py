@@ -430,10 +430,16 @@ def rouse_msd_whole(spark, sf_dir):
     return rounded(times.select("t", theory.rouse_middle_msd(F.col("t").cast("double"), 1.0, 100.0).alias("msd")))
 
 
-@query()
+# An edge of a hull has no point to its right, and those in line with it lie within it.
+@query(f"""WITH {TRACK}, p AS (SELECT DISTINCT traj, x::DOUBLE AS x, y::DOUBLE AS y FROM track WHERE x IS NOT NULL AND y IS NOT NULL),
+e AS (SELECT a.traj, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.traj = b.traj AND (a.x <> b.x OR a.y <> b.y)),
+s AS (SELECT e.*, (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) AS side, (x - x1) * (x - x2) + (y - y1) * (y - y2) AS past FROM e JOIN p USING (traj)),
+h AS (SELECT traj, x1, y1, x2, y2 FROM s GROUP BY traj, x1, y1, x2, y2 HAVING bool_and(side > 0 OR side = 0 AND past <= 0)),
+m AS (SELECT traj, count(*) AS n, sum(x1 * y2 - x2 * y1) / 2 AS area, sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS perimeter FROM h GROUP BY traj)
+SELECT traj, {r('CASE WHEN n > 2 THEN area END AS area', 'CASE WHEN n > 2 THEN perimeter END AS perimeter')} FROM (SELECT DISTINCT traj FROM p) t LEFT JOIN m USING (traj)""")
 def convex_hull_area(spark, sf_dir):
     """Area and perimeter of the hull of each customer's track."""
-    return rounded(geometry.hull_area(tables.track(spark, sf_dir), KEY), 4)
+    return rounded(geometry.hull_area(tables.track(spark, sf_dir), KEY))
 
 
 def uniform_sql(seed: int, *columns: str) -> str:
