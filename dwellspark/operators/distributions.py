@@ -224,3 +224,22 @@ def blended(exterior: DataFrame, interior_cdf: DataFrame, fit: DataFrame, interi
     inner_weight = 2 * F.col("n") / F.log(F.lit(2 / 0.32))
     found = F.try_divide(F.col("_inner") * F.col("end_share") * inner_weight + outer * outer_weight, inner_weight + outer_weight)
     return both.select(*keys, "x", found.alias("cdf"))
+
+
+def interior_density(interior: DataFrame, keys: Sequence[str], waits: DataFrame, trajectory: Sequence[str], fit: DataFrame, low: float, high: float, bins: int) -> DataFrame:
+    """keys, x (the middle of a bin), pdf: the density of waits, corrected for the window and brought to its true height at the window's end
+    by end_share of the fit. Waits without a weight don't count; bins without a wait have no row."""
+    width = (high - low) / bins
+    hist = histogram(windowed_weights(interior, keys, waits, trajectory), keys, "x", low, high, bins, "w").join(fit, list(keys))
+    return hist.select(*keys, (low + (F.col("bin") - 0.5) * width).alias("x"), (F.col("density") * F.col("end_share")).alias("pdf"))
+
+
+def exterior_estimate(exterior: DataFrame, keys: Sequence[str], fit: DataFrame, low: float, high: float, bins: int, deviations: float = 2.0) -> DataFrame:
+    """keys, x (the middle of a bin), cdf, low, high: the true cdf as a histogram of exterior waits gives it, since their density is the
+    survival over the mean wait (1 / a of the fit), and so many standard errors around it, by the normal approximation of
+    counts. Null where the fit has no a; bins without a wait have no row."""
+    width = (high - low) / bins
+    hist = histogram(exterior, keys, "wait_time", low, high, bins).withColumn("_z", F.sum("weight").over(Window.partitionBy(*keys)) * width).join(fit, list(keys))
+    scale = F.col("_z") * F.col("a")
+    value, error = 1 - F.try_divide("weight", scale), deviations * F.try_divide(F.sqrt("weight"), scale)
+    return hist.select(*keys, (low + (F.col("bin") - 0.5) * width).alias("x"), value.alias("cdf"), (value - error).alias("low"), (value + error).alias("high"))

@@ -1,6 +1,7 @@
 """Hulls, bootstraps, simulated processes, fits and the stream."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -151,3 +152,24 @@ def test_running_sums_in_ranges(spark):
         for k in range(3):
             own = sorted((r for r in found if r.k == k), key=lambda r: -r.x if after else r.x)
             assert [r.n for r in own] == list(range(1, len(own) + 1)) and {r.n_total for r in own} == {len(own)}
+
+
+def test_exterior_estimate_by_hand(spark):
+    """Counts of 3 and 1 in bins of width 2 and a mean wait of 4; a null wait and one beyond the bins don't count, nor does a state without a fit."""
+    rows = [("a", 0.5), ("a", 1.0), ("a", 1.5), ("a", 4.0), ("a", 9.0), ("a", None), ("b", 1.0)]
+    outer = spark.createDataFrame(rows, "state string, wait_time double")
+    fit = spark.createDataFrame([("a", 0.25, -0.2, 0.8)], "state string, a double, b double, end_share double")
+    found = {r.x: (r.cdf, r.low, r.high) for r in dist.exterior_estimate(outer, ["state"], fit, 0.0, 4.0, 2).collect()}
+    assert found == {1.0: pytest.approx((-0.5, -0.5 - math.sqrt(3), -0.5 + math.sqrt(3))), 3.0: pytest.approx((0.5, -0.5, 1.5))}
+    flat = fit.withColumn("a", F.lit(0.0))
+    assert {r.cdf for r in dist.exterior_estimate(outer, ["state"], flat, 0.0, 4.0, 2).collect()} == {None}
+    assert dist.exterior_estimate(outer.limit(0), ["state"], fit, 0.0, 4.0, 2).count() == 0
+
+
+def test_interior_density_by_hand(spark):
+    """Waits of 1 and 3 in a window of 5 weigh 1/4 and 1/2; one as long as its window has no weight."""
+    seen = spark.createDataFrame([(1, "a", 1.0, 5.0), (1, "a", 3.0, 5.0), (1, "a", 5.0, 5.0)], "traj long, state string, wait_time double, window_size double")
+    fit = spark.createDataFrame([("a", 0.25, -0.2, 0.8)], "state string, a double, b double, end_share double")
+    found = {r.x: r.pdf for r in dist.interior_density(seen, ["state"], seen, ["traj"], fit, 0.0, 4.0, 2).collect()}
+    assert found == {1.0: pytest.approx(0.8 / 6), 3.0: pytest.approx(0.8 / 3)}
+    assert dist.interior_density(seen.limit(0), ["state"], seen, ["traj"], fit, 0.0, 4.0, 2).count() == 0
