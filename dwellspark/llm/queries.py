@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dwellspark.llm import jaccard, substrings, vectors
+from dwellspark.llm import filter_audit, infilling, jaccard, substrings, vectors
 from dwellspark.llm.bpe import op3_bpe
 from dwellspark.llm.media_ogg import op10_ogg
 from dwellspark.llm.packing import op5_packing
@@ -22,6 +22,14 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_ogg": op10_ogg,
+    "op11_filters": filter_audit.op11_filters,
+    "op12_infilling": infilling.op12_infilling,
 }
 
-ORACLES: dict[str, str] = {"op2_substrings": substrings.ORACLE, "op7_vectors": vectors.ORACLE, "op9_jaccard": jaccard.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_substrings": substrings.ORACLE,
+    "op7_vectors": vectors.ORACLE,
+    "op9_jaccard": jaccard.ORACLE,
+    "op11_filters": filter_audit.ORACLE,
+    "op12_infilling": infilling.ORACLE,
+}
