@@ -2,7 +2,8 @@
 
 Numbers, dates and addresses are found and validated (Luhn, mod 97, calendar, octets), then permuted within their
 format by a keyed Feistel network: a card number becomes another valid card number, a date another date. Equal
-values get equal pseudonyms in every document, whatever their spacing; different values of one format, different ones.
+values get equal pseudonyms in every document, whatever their spacing and, in mail addresses, their case; different
+values of one format, different ones. A telephone number with its country's code and one without it are different values.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,9 +75,13 @@ def _card(text: str, key: bytes) -> str | None:
     return _refill(text, body + str(luhn(body)))
 
 
+#: What a letter or digit counts in an IBAN.
+_BASE36 = {c: str(int(c, 36)) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
 def _iban(text: str, key: bytes) -> str | None:
     s = text.replace(" ", "")
-    value = lambda x: int("".join(str(int(c, 36)) for c in x))
+    value = lambda x: int("".join(map(_BASE36.__getitem__, x)))
     if not 15 <= len(s) <= 34 or value(s[4:] + s[:4]) % 97 != 1:
         return None
     body = _mixed(s[4:], key, "iban")
@@ -84,11 +90,24 @@ def _iban(text: str, key: bytes) -> str | None:
     return "".join(" " if c == " " else next(it) for c in text)
 
 
+#: Country codes of one and of two digits (ITU-T E.164). All others have three.
+_CODES = set(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
+
 def _phone(text: str, key: bytes) -> str | None:
-    """The country code stays; the digits after it are permuted."""
-    head = m[0] if (m := re.match(r"\+\d{1,3}(?=\D)", text)) else ""
-    d = re.sub(r"\D", "", text[len(head) :])
-    return None if not 7 <= len(d) <= 14 else head + _refill(text[len(head) :], _digits(d, key, "phone"))
+    """The digits are permuted; behind a plus sign, the country code and a zero in brackets stay."""
+    d = re.sub(r"\D", "", text.replace("(0)", ""))
+    kept = 0
+    if text[0] == "+":
+        kept = next((k for k in (1, 2) if d[:k] in _CODES), 3)
+    if not (8 <= len(d) <= 15 if kept else 7 <= len(d) <= 14) or len(d) - kept < 4:
+        return None
+    new = d[:kept] + _digits(d[kept:], key, "phone")
+    head, zero, tail = text.partition("(0)")
+    cut = sum(c.isdecimal() for c in head)
+    return _refill(head, new[:cut]) + zero + _refill(tail, new[cut:])
 
 
 def _ssn(text: str, key: bytes) -> str | None:
@@ -135,23 +154,40 @@ def _date(text: str, key: bytes) -> str | None:
     return f"{p:02d}{sep}{q:02d}{sep}{new.year:04d}"
 
 
+@lru_cache(maxsize=4096)
+def _both_cases(c: str) -> bool:
+    """Letters that are one character in either case, and the same again when put back."""
+    low, up = c.lower(), c.upper()
+    return len(low) == len(up) == 1 and low != up and low.upper() == up and up.lower() == low
+
+
 @lru_cache(maxsize=4096)
 def _class(c: str) -> str:
-    """The characters that may stand for a letter or digit: those of its category among the 256 codes around it."""
-    kind, first = unicodedata.category(c), ord(c) & ~255
-    return "".join(x for x in map(chr, range(first, first + 256)) if unicodedata.category(x) == kind) if c.isalnum() else c
+    """The characters that may stand for a letter or digit: of ASCII, 0-9, A-Z or a-z; else those of its category among the 256
+    codes around it that aren't ASCII, and that have two cases if it has."""
+    if not c.isalnum():
+        return c
+    kind, first = (unicodedata.category(c), c.isascii(), _both_cases(c)), ord(c) & ~255
+    return "".join(x for x in map(chr, range(first, first + 256)) if (unicodedata.category(x), x.isascii(), _both_cases(x)) == kind)
+
+
+#: Characters of the longest value that is permuted as one number.
+NUMBER = 64
 
 
 def _mixed(value: str, key: bytes, tweak: str) -> str:
-    """Each digit and letter becomes one of its class; other characters stay."""
+    """Each digit and letter becomes one of its class; other characters stay. Longer values are permuted by halves."""
+    if len(value) > NUMBER:
+        return _halves(value, key, tweak)
     classes = list(map(_class, value))
+    tweak += hashlib.blake2b("".join(own[0] for own in classes).encode(), digest_size=8).hexdigest()
     size = math.prod(map(len, classes))
     if size == 1:
         return value
     n = 0
     for c, own in zip(value, classes):
         n = n * len(own) + own.index(c)
-    n = permute(n, size, key, tweak + hashlib.blake2b("".join(own[0] for own in classes).encode(), digest_size=8).hexdigest())
+    n = permute(n, size, key, tweak)
     out = []
     for own in reversed(classes):
         n, k = divmod(n, len(own))
@@ -159,10 +195,33 @@ def _mixed(value: str, key: bytes, tweak: str) -> str:
     return "".join(reversed(out))
 
 
+def _halves(value: str, key: bytes, tweak: str) -> str:
+    """A Feistel network whose halves are those of the value: in each round the places of one half's characters in their classes
+    are moved on by numbers drawn from the other half, modulo the classes' sizes. Linear in the length."""
+    codes, own = np.unique(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+    classes = [_class(chr(c)) for c in codes]
+    lengths = np.array([len(x) for x in classes], np.uint64)
+    starts, sizes = (np.cumsum(lengths) - lengths)[own], lengths[own]
+    at = np.array([x.index(chr(c)) for c, x in zip(codes, classes)], np.uint64)[own]
+    letters = np.frombuffer("".join(classes).encode("utf-32-le", "surrogatepass"), "<u4")
+    salt = hashlib.blake2b(tweak.encode() + letters[starts].tobytes(), key=key[:64]).digest()
+    left, right = slice(0, len(value) // 2), slice(len(value) // 2, None)
+    for r in range(ROUNDS):
+        seed = hashlib.blake2b(salt + bytes([r]) + at[left].tobytes(), key=key[:64]).digest()
+        drawn = np.frombuffer(hashlib.shake_256(seed).digest(8 * len(at[right])), "<u8")
+        at[right] = (at[right] + drawn % sizes[right]) % sizes[right]
+        left, right = right, left
+    return letters[starts + at].tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _email(text: str, key: bytes) -> str:
-    """All but the last part of the domain."""
+    """All but the last part of the domain. Capitals are permuted as small letters and put back where they were."""
     head, _, last = text.rpartition(".")
-    return f"{_mixed(head, key, 'email')}.{last}"
+    low = "".join(c.lower() if _both_cases(c) else c for c in head)
+    new = _mixed(low, key, "email")
+    if low != head:
+        new = "".join(c.upper() if a != b else c for a, b, c in zip(head, low, new))
+    return f"{new}.{last}"
 
 
 #: Length by country, of the IBAN registry.
@@ -179,12 +238,16 @@ _LENGTHS = {
 _PRINTED = ({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}, {(4, 4, 4, 4, 3), (6, 13), (4, 5, 6)})
 
 _LOCAL, _DOMAIN = re.compile(r"[\w.+%\u0300-\u036f-]+"), re.compile(r"@[\w\u0300-\u036f-]+(?:\.[\w\u0300-\u036f-]+)+")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _IBAN_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
 _DATE = re.compile(r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}([/.-])\d{2}\1\d{4})(?!\d|[./-]\d)")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-_PHONE = re.compile(r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d|[.-]\d)|\+\d{8,15}(?!\d)")
+_PHONE = re.compile(
+    r"(?<![\d.])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d|[.-]\d)|\+\d{8,15}(?!\d)"
+    # with a country's code also pairs of digits, and an area's code and one group
+    r"|\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\d(?:[ .-]\d\d){4}|\d\d[ .-]\d{3}(?:[ .-]\d\d){2}|\(?\d{2,5}\)?[ .-]\d{4,8})(?!\d|[.-]\d)"
+)
 _RUN, _GROUP = re.compile(r"\d+(?:[ -]\d+)*"), re.compile(r"\d+")
 
 #: start, end and pseudonym
@@ -315,7 +378,10 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
 
 
 def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (with pseudonyms; null stays null), kinds, starts, ends for each row, repeated rows included."""
+    """doc_id, text (with pseudonyms; null stays null), kinds, starts, ends for each row, repeated rows included.
+
+    Rows are independent of each other, so repeated rows and ties get equal results, and an empty table gives an empty one. An empty
+    text stays empty. Texts are read whole, in time linear in their length. Other columns go, so none can clash."""
     rows = texts(docs, id_col, text_col)
 
     def run(batch: pa.RecordBatch):
@@ -328,7 +394,8 @@ def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, id_col: str = "doc_i
 
 
 def replaced(docs: DataFrame, key: bytes = EXAMPLE_KEY, text_col: str = "text") -> DataFrame:
-    """docs with pseudonyms in its texts; other columns stay as they are."""
+    """docs with pseudonyms in its texts; other columns, whatever their names, stay as they are. Nulls, empty and very long texts,
+    repeated rows and empty tables are as in pseudonymise()."""
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch):

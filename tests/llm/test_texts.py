@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,7 +129,8 @@ def test_pseudonyms_link_formats_and_scripts():
     assert len({pii.replace(f"{c}@почта.рф", b"k")[0] for c in "абвгд"}) == 5
 
 
-HOSTILE = ["eyJ" * 350_000, "a" * 1_000_000, "a.b" * 300_000, "@" * 1_000_000, "a@" * 500_000, "1984-02-29 " * 90_000, "1 " * 500_000, "1" * 1_000_000, "4111-" * 200_000, "password" * 120_000, "-----BEGIN " * 90_000, "AKIA" * 250_000, "ghp_" * 250_000, "DE89 " * 200_000, "+1 (017) 555-" * 70_000, "eyJa.eyJ" * 120_000]
+HOSTILE = ["eyJ" * 350_000, "a" * 1_000_000, "a.b" * 300_000, "@" * 1_000_000, "a@" * 500_000, "1984-02-29 " * 90_000, "1 " * 500_000, "1" * 1_000_000, "4111-" * 200_000, "password" * 120_000, "-----BEGIN " * 90_000, "AKIA" * 250_000, "ghp_" * 250_000, "DE89 " * 200_000, "+1 (017) 555-" * 70_000, "eyJa.eyJ" * 120_000,
+           "a" * 199_990 + "@b.com", "a@" + "b." * 99_990 + "com", "+49 30 " * 100_000]
 
 
 @pytest.mark.parametrize("text", HOSTILE, ids=lambda t: t[:8])
@@ -175,6 +177,87 @@ def test_pseudonyms_beside_neighbours():
     assert [k for k, _, _ in pii.replace(phones, b"k")[1]] == ["phone", "phone"]
 
 
+#: The IBAN registry's examples.
+IBANS = (
+    "AT611904300234573201 BE68539007547034 BR1800360305000010009795493C1 CH9300762011623852957 DE89370400440532013000 DK5000400440116243 ES9121000418450200051332 "
+    "FI2112345600000785 FR1420041010050500013M02606 GB82WEST12345698765432 GR1601101250000000012300695 IE29AIBK93115212345678 IT60X0542811101000000123456 "
+    "KW81CBKU0000000000001234560101 LC55HEMM000100010012001200023015 MT84MALT011000012345MTLCAST001S NL91ABNA0417164300 NO9386011117947 PL61109010140000071219812874 "
+    "PT50000201231234567890154 SA0380000000608010167519 SE4550000000058398257466"
+).split()
+
+
+def same_shape(old, new):
+    kind = lambda c: "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "0" if "0" <= c <= "9" else c if c.isascii() else unicodedata.category(c)
+    return [kind(c) for c in old] == [kind(c) for c in new]
+
+
+@pytest.mark.parametrize("iban", IBANS)
+def test_ibans_stay_ibans(iban):
+    printed = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+    new, spans = pii.replace(iban, b"k")
+    assert spans == [("iban", 0, len(iban))] and new != iban and same_shape(iban, new) and new[:2] == iban[:2]
+    assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    assert pii.replace(f"to {printed}.", b"k")[0].replace(" ", "") == f"to{new}."
+
+
+@pytest.mark.parametrize("forms", [
+    "+1 555 123 4567|+15551234567|+1-555-123-4567|+1 (555) 123-4567|+1.555.123.4567", "+44 20 7946 0958|+442079460958|+44 (0)20 7946 0958|+44 (20) 7946 0958|+44-20-7946-0958",
+    "+49 30 123456|+4930123456|+49 (0)30 123456", "+33 1 23 45 67 89|+33123456789|+33 (0)1 23 45 67 89", "+41 44 668 18 00|+41446681800", "555-123-4567|(555) 123-4567|555 123 4567",
+    "+352 26 123 456|+35226123456",
+])
+def test_spellings_of_a_number_are_one(forms):
+    digits = set()
+    for form in forms.split("|"):
+        text = f"call {form}, or write"
+        new, spans = pii.replace(text, b"k")
+        assert spans == [("phone", 5, 5 + len(form))] and same_shape(text, new), form
+        digits.add(re.sub(r"\D", "", new.replace("(0)", "")))
+    code = re.match(r"\+(1|44|49|33|41|352)|", forms)[0]
+    assert len(digits) == 1 and digits != {re.sub(r"\D", "", forms.split("|")[0])} and digits.pop().startswith(code[1:])
+
+
+def test_addresses_keep_case_and_length():
+    one, other = (pii.replace(x, b"k")[0] for x in ("Bob.Ab@Example.com", "bob.ab@example.COM"))
+    assert one.lower() == other.lower() and same_shape("Bob.Ab@Example.com", one) and other.endswith(".COM")
+    long, begin = "ab1" * 333_000 + "@b.com", time.process_time()
+    new = pii.replace(long, b"k")[0]
+    took = time.process_time() - begin
+    assert same_shape(long, new) and new != long and took < 1.5
+    ends = {pii.replace(x * 200 + y + "@b.com", b"k")[0] for x in "abc" for y in "xyz"}  # differ in the first or in the last character
+    assert len(ends) == len({x[:100] for x in ends}) == len({x[100:] for x in ends}) == 9
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abzAZ09éÉßİñж李.-+_%@ ", max_size=60), st.text(alphabet="abzAZ09éÉßİñж李.-+_%", min_size=1, max_size=300))
+def test_addresses_as_plain_search(around, local):
+    """Any text: spans are those of a plain search from each at sign, and no other character changes."""
+    text = f"{around}{local}@ex{local[:5]}.org {around}"
+    new, spans = pii.replace(text, b"k")
+    want, at = [], 0
+    for p in (i for i, c in enumerate(text) if c == "@"):
+        s, e = p, None
+        while s > at and (text[s - 1].isalnum() or text[s - 1] in "_.+%-"):
+            s -= 1
+        m = re.match(r"@[\w-]+(\.[\w-]+)+", text[p:])
+        if p >= at and m and s < p:
+            e = at = p + m.end()
+            want.append((s, e))
+    assert [(s, e) for k, s, e in spans if k == "email"] == want
+    inside = {i for k, s, e in spans for i in range(s, e)}
+    assert len(new) == len(text) and all(a == b for i, (a, b) in enumerate(zip(text, new)) if i not in inside)
+    for s, e in want:
+        assert same_shape(text[s:e], new[s:e]) and text[s:e].rpartition(".")[2] == new[s:e].rpartition(".")[2]
+
+
+@given(st.sets(st.text(alphabet="abAB1éÉß.", min_size=1, max_size=6), min_size=2, max_size=30), st.integers(0, 3))
+def test_addresses_stay_apart(names, longest):
+    old, pii.NUMBER = pii.NUMBER, longest
+    try:
+        assert len({pii._email(f"{n}@b.org", b"k") for n in names}) == len(names)
+    finally:
+        pii.NUMBER = old
+
+
 def test_pseudonyms_of_odd_rows(spark, docs):
     found = pii.pseudonymise(docs).collect()
     assert Counter((r.doc_id, r.text) for r in found) == Counter(edge.rows())  # none holds personal data
