@@ -25,7 +25,8 @@ from dwellspark.llm.common import by_batch, texts
 PIECE = (1024, 64)
 #: Labelled rows of each class that are read for fitting, at most, and their longest text in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
-#: Bytes of a dictionary, at most: what a compressor of this level looks back on. The sample above stays below it, about.
+#: Bytes of text that fill a dictionary, at most: what a compressor of this level looks back on. A bound on the sample, as SAMPLE_ROWS is:
+#: texts go in whole and in the hash's order, until the next one would exceed it.
 DICTIONARY_BYTES = 2 << 20
 LEVEL = 3
 #: Added to the sum of sizes, in bytes: a very short text says little either way.
@@ -95,6 +96,13 @@ def _sample(documents: DataFrame, known: DataFrame) -> list[tuple[str, int]]:
     return [(r.text, r.label) for r in sorted(rows.select("text", "label", at.alias("at")).collect(), key=lambda r: (r.at, r.text))]
 
 
+def _within(texts: list[bytes], size: int) -> list[bytes]:
+    """The first texts, whole, that together have at most so many bytes with a byte between; the first one in any case, for its start is
+    as good as a dictionary gets."""
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    return texts[: max(1, int(np.searchsorted(ends, size, "right")))]
+
+
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression by Newton's method, with Platt's smoothed targets. The ridge on the slopes holds back what a few
     rows seem to say; on hundreds it hardly shows."""
@@ -119,8 +127,8 @@ def fit(documents: DataFrame, known: DataFrame) -> Model:
     rows = _sample(documents, known)
     # Every other row of a class, in the hash's order: one part for the dictionaries, one for the calibration.
     taught, rest = [{c: [t for t, y in rows if y == c][part::2] for c in (0, 1)} for part in (0, 1)]
-    raw = {c: [t.encode("utf-8", "surrogatepass") for t in taught[c]] for c in (0, 1)}
-    content = {c: tuple(b"\n".join(view)[-DICTIONARY_BYTES:] for view in (raw[c], map(_shape, raw[c]))) for c in (0, 1)}
+    raw = {c: _within([t.encode("utf-8", "surrogatepass") for t in taught[c]], DICTIONARY_BYTES) for c in (0, 1)}
+    content = {c: tuple(b"\n".join(view) for view in (raw[c], map(_shape, raw[c]))) for c in (0, 1)}
     if min(map(len, content[0] + content[1])) < 8 or not (rest[0] and rest[1]):
         good, n = sum(y for _, y in rows), len(rows)
         return Model((), (), (0.0, 0.0, math.log((good + 1) / (n - good + 1))))

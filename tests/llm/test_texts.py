@@ -17,6 +17,7 @@ import pytest
 import pyarrow as pa
 import tiktoken
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -56,6 +57,45 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.accepted(docs, model, 0.0).schema == docs.schema
 
 
+def plain_score(model, text):
+    """Pieces compressed one by one by compressors made anew, and the shape by its description."""
+    raw = (text or "").encode()
+    kind = lambda b: "A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b > 127 else "9" if 48 <= b <= 57 else chr(b)
+    words = raw.split()
+    marked = ["=" if i and w == words[i - 1] else "".join(map(kind, w)) for i, w in enumerate(words)]
+    shape = ""
+    for c in " ".join(marked):
+        if not shape or shape[-1] != c:
+            shape += c
+    shape, logit = shape.replace(" =", "=").encode("latin-1"), model.weights[-1]
+    for view, size, good, bad, weight in zip((raw, shape), quality.PIECE, model.good, model.bad, model.weights):
+        sums = []
+        for content in (good, bad):
+            pressed = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+            sums.append(sum(len(pressed.compress(view[i : i + size])) for i in range(0, max(1, len(view)), size)))
+        logit += weight * (sums[1] - sums[0]) / (sum(sums) + quality.SMOOTH)
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_are_as_plain_code(spark):
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    model = quality.fit_on_tables(read("documents"), read("labels"))
+    docs = read("documents").unionByName(spark.createDataFrame([(-1, ""), (-2, None), (-3, "the the the the THE 12 12 %% é")], "doc_id long, text string"), allowMissingColumns=True)
+    found = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    want = {r.doc_id: plain_score(model, r.text) for r in docs.collect() if len(r.text or "") < 3000}
+    assert len(want) > 100 and all(abs(found[i] - w) < 1e-9 for i, w in want.items())
+
+
+def test_dictionaries_hold_whole_texts(monkeypatch, spark):
+    assert quality._within([b"aaa", b"bb", b"c"], 6) == [b"aaa", b"bb"] and quality._within([b"aaa"], 2) == [b"aaa"] and quality._within([], 2) == []
+    monkeypatch.setattr(quality, "DICTIONARY_BYTES", 3000)
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    model = quality.fit_on_tables(read("documents"), read("labels"))
+    given = {r.text.encode() for r in read("documents").collect() if r.text}
+    for content in (model.good[0], model.bad[0]):
+        assert len(content) <= 3000 and any(content.startswith(t) for t in given) and any(content.endswith(t) for t in given)
+
+
 # 3
 
 
