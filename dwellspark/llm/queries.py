@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dwellspark.llm import filter_audit, infilling, jaccard, substrings, vectors
+from dwellspark.llm import decontamination, filter_audit, infilling, jaccard, substrings, vectors
 from dwellspark.llm.bpe import op3_bpe
 from dwellspark.llm.media_ogg import op10_ogg
 from dwellspark.llm.packing import op5_packing
@@ -24,6 +24,7 @@ QUERIES = {
     "op10_ogg": op10_ogg,
     "op11_filters": filter_audit.op11_filters,
     "op12_infilling": infilling.op12_infilling,
+    "op13_decontamination": decontamination.op13_decontamination,
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op9_jaccard": jaccard.ORACLE,
     "op11_filters": filter_audit.ORACLE,
     "op12_infilling": infilling.ORACLE,
+    "op13_decontamination": decontamination.ORACLE,
 }
