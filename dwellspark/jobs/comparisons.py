@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellspark.jobs.registry import DAYS, FIT, KEY, obs, query, r, rounded
+from dwellspark.jobs.registry import DAYS, FIT, KEY, auto_bins_sql, obs, query, r, rounded
 from dwellspark.operators import distributions as dist
 from dwellspark.operators import waits
 from dwellspark.sources.tables import SIM
 
-#: Bins of exterior waits, and of waits seen whole: 64 over four days, 40 over the longest window.
-OUTER, INNER = (0.0, 345_600.0, 64), (0.0, 1_728_000.0, 40)
-OUTER_BINS = """h AS (SELECT state, least(floor(wait_time / 5400)::BIGINT + 1, 64) AS bin, count(*) AS w FROM outer_waits WHERE wait_time BETWEEN 0 AND 345600 GROUP BY ALL),
-z AS (SELECT h.state, (bin - 0.5)::DOUBLE * 5400 AS x, w, sum(w) OVER (PARTITION BY h.state) * 5400 * nullif(a, 0) AS z FROM h JOIN fit USING (state))"""
+#: Bins of waits seen whole: 40 over the longest window.
+INNER = (0.0, 1_728_000.0, 40)
+OUTER_BINS = f"""{auto_bins_sql('outer_waits', 'wait_time')}, h AS (SELECT state, least(floor((wait_time - low) / (high - low) * bins)::BIGINT + 1, bins) AS bin, count(*) AS w FROM outer_waits JOIN spans USING (state) GROUP BY ALL),
+z AS (SELECT state, low + (bin - 0.5)::DOUBLE * ((high - low) / bins) AS x, w, sum(w) OVER (PARTITION BY state) * ((high - low) / bins) * nullif(a, 0) AS z FROM h JOIN spans USING (state) JOIN fit USING (state))"""
 
 
 def _fitted(spark, sf_dir):
@@ -39,13 +39,13 @@ def interior_exterior_cdfs(spark, sf_dir):
     """Both estimates of each state's distribution: the curve of whole waits at its fitted height, and that of the waits cut off."""
     _, _, outer, curve, fit = _fitted(spark, sf_dir)
     inner = curve.join(fit, "state").select("state", F.lit("interior").alias("estimate"), "x", (F.col("cdf") * F.col("end_share")).alias("cdf"))
-    outer = dist.exterior_estimate(outer, ["state"], fit, *OUTER).select("state", F.lit("exterior").alias("estimate"), "x", "cdf")
+    outer = dist.exterior_estimate(outer, ["state"], fit).select("state", F.lit("exterior").alias("estimate"), "x", "cdf")
     found = inner.unionByName(outer)
     return found.select("state", "estimate", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 6) + F.lit(0.0)).alias("cdf"))
 
 
-@query(f"WITH {SIM}, {FIT}, {OUTER_BINS} SELECT state, {r('x', digits=3)}, {r('1 - w / z AS cdf', '1 - w / z - 2 * sqrt(w) / z AS low', '1 - w / z + 2 * sqrt(w) / z AS high')} FROM z")
+@query(f"WITH {SIM}, {FIT}, {OUTER_BINS} SELECT state, {r('x', '1 - w / z AS cdf', '1 - w / z - 2 * sqrt(w) / z AS low', '1 - w / z + 2 * sqrt(w) / z AS high')} FROM z")
 def exterior_cdf_bounds(spark, sf_dir):
     """The estimate of waits cut off with two standard errors on either side."""
     _, _, outer, _, fit = _fitted(spark, sf_dir)
-    return rounded(dist.exterior_estimate(outer, ["state"], fit, *OUTER))
+    return rounded(dist.exterior_estimate(outer, ["state"], fit))

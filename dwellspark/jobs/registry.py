@@ -48,6 +48,13 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.waits_of_changes(tables.state_changes(spark, sf_dir), KEY)
 
 
+def auto_bins_sql(rows: str, x: str) -> str:
+    """state, low, high, bins of a view's values, as spans."""
+    return f"""ends AS (SELECT state, count({x}) AS n, min({x}) AS low, max({x}) AS high, quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) AS iqr FROM {rows} GROUP BY state),
+spans AS (SELECT state, CASE WHEN low < high THEN low ELSE low - 0.5 END AS low, CASE WHEN low < high THEN high ELSE high + 0.5 END AS high,
+  CASE WHEN low < high THEN ceil((high - low) / CASE WHEN iqr > 0 THEN least((high - low) / (log2(n) + 1), 2 * iqr / n ** (1.0 / 3)) ELSE (high - low) / (log2(n) + 1) END)::BIGINT ELSE 1 END AS bins FROM ends)"""
+
+
 MOVIE_WAITS = f"""{MOVIE}, ends AS (SELECT *, lead(first_t) OVER w AS after, lag(last_t) OVER w AS before FROM runs WINDOW w AS (PARTITION BY traj ORDER BY island)),
 waits AS (SELECT traj, island::BIGINT AS rank_order, first_t AS start_time, coalesce(after, last_t) AS end_time, coalesce(after, last_t) - first_t AS wait_time, state,
   last_t - first_t AS min_waits, coalesce(after, last_t) - coalesce(before, first_t) AS max_waits,
@@ -514,8 +521,8 @@ def fast_waits(spark, sf_dir):
     return rounded(moments.fraction(inner, ["state"], F.col("wait_time") < 3600))
 
 
-@query(f"""WITH {SIM}, {FIT}, h AS (SELECT state, least(floor(wait_time / 21600)::BIGINT + 1, 16) AS bin, count(*) AS w FROM outer_waits WHERE wait_time BETWEEN 0 AND 345600 GROUP BY ALL),
-z AS (SELECT *, (bin - 0.5) * 21600 AS x, sum(w) OVER (PARTITION BY state) * 21600 AS z FROM h), n AS (SELECT state, count(*) AS n FROM inner_waits GROUP BY state),
+@query(f"""WITH {SIM}, {FIT}, {auto_bins_sql('outer_waits', 'wait_time')}, h AS (SELECT state, least(floor((wait_time - low) / (high - low) * bins)::BIGINT + 1, bins) AS bin, count(*) AS w FROM outer_waits JOIN spans USING (state) GROUP BY ALL),
+z AS (SELECT state, w, low + (bin - 0.5)::DOUBLE * ((high - low) / bins) AS x, sum(w) OVER (PARTITION BY state) * ((high - low) / bins) AS z FROM h JOIN spans USING (state)), n AS (SELECT state, count(*) AS n FROM inner_waits GROUP BY state),
 p0 AS (SELECT z.*, p.x AS x0, p.cdf AS y0 FROM z ASOF LEFT JOIN padded p ON z.state = p.state AND z.x >= p.x), p1 AS (SELECT p0.*, p.x AS x1, p.cdf AS y1 FROM p0 ASOF LEFT JOIN padded p ON p0.state = p.state AND p0.x <= p.x),
 e AS (SELECT state, x, CASE WHEN x0 = x THEN y0 ELSE coalesce(y0 + (y1 - y0) * (x - x0) / (x1 - x0), y0, y1) END * (-b / nullif(a, 0)) AS i, 1 - w / z / nullif(a, 0) AS o, (z * a) ** 2 / w AS ow, 2 * n / ln(2 / 0.32) AS iw FROM p1 JOIN fit USING (state) JOIN n USING (state))
 SELECT state, {r('x', digits=3)}, {r('(i * iw + o * ow) / (iw + ow) AS cdf')} FROM e""")
@@ -526,10 +533,19 @@ def ecdf_combined(spark, sf_dir):
     curve = dist.ecdf_windowed(inner, ["state"], found, KEY)
     fit = dist.exterior_fit(dist.ecdf(outer, ["state"], "wait_time", 0.0), curve, ["state"])
     counts = inner.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-    found = dist.blended(outer, curve, fit, counts, ["state"], 0.0, 345_600.0, 16)
+    found = dist.blended(outer, curve, fit, counts, ["state"])
     return found.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 6) + F.lit(0.0)).alias("cdf"))
 
 
+@query(f"""WITH {SIM}, {INTERIOR}, {auto_bins_sql('inner_waits', 'wait_time')},
+h AS (SELECT state, least(floor((wait_time - low) / (high - low) * bins)::BIGINT + 1, bins) AS bin, count(*)::DOUBLE AS weight FROM inner_waits JOIN spans USING (state) GROUP BY ALL)
+SELECT state, bin, {r('low + (bin - 0.5)::DOUBLE * ((high - low) / bins) AS x', '(high - low) / bins AS width', 'weight AS weight', digits=3)}, {r('weight / sum(weight) OVER (PARTITION BY state) / ((high - low) / bins) * 86400 AS density')} FROM h JOIN spans USING (state)""")
+def hist_auto(spark, sf_dir):
+    """Waits seen whole in bins that the waits themselves set: every one lies in a bin."""
+    found = dist.histogram_auto(waits.interior(obs(spark, sf_dir)), ["state"], "wait_time").withColumn("density", F.col("density") * DAYS)
+    return found.select("state", "bin", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("x", "width", "weight")), (F.round("density", 6) + F.lit(0.0)).alias("density"))
+
+
 @query()
 def polymer_theory(spark, sf_dir):
     """Closed forms that need special functions, at the frames that occur."""

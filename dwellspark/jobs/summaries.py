@@ -254,13 +254,12 @@ def discrete_theory(spark, sf_dir):
     return found.select("traj", "t", *((F.col(c) + F.lit(0.0)).alias(c) for c in ("cv", "rouse_time", "pair_time")))
 
 
-WIDE = 5
-
-
-@query(f"WITH {TRACK}, g AS (SELECT DISTINCT traj, unnest(range({WIDE}))::BIGINT AS t FROM track) SELECT g.traj, g.t, {r('x')} FROM g LEFT JOIN track USING (traj, t)")
+@query(f"WITH {TRACK}, g AS (SELECT DISTINCT traj, unnest(range((SELECT max(t) + 1 FROM track)))::BIGINT AS t FROM track) SELECT g.traj, g.t, {r('x')} FROM g LEFT JOIN track USING (traj, t)")
 def movie_long(spark, sf_dir):
-    """A column for each frame, and back to a row for each trajectory and frame."""
-    wide = tables.track(spark, sf_dir).groupBy("traj").pivot("t", list(range(WIDE))).agg(F.first("x"))
+    """A column for each frame that occurs, and back to a row for each trajectory and frame."""
+    track = tables.track(spark, sf_dir)
+    last = track.agg(F.max("t")).first()[0]  # a wide movie has as many columns as frames
+    wide = track.groupBy("traj").pivot("t", list(range((-1 if last is None else last) + 1))).agg(F.first("x"))
     return rounded(frames.long_movie(wide, KEY).select("traj", "t", F.col("value").alias("x")))
 
 

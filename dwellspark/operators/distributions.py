@@ -1,6 +1,7 @@
 """Empirical distributions, corrected for the window that cuts waits off.
 
-Running sums are over distinct values within a key, never over all rows of a table at once."""
+Running sums, neighbours and what lies around a point are taken along ranges of a key's values (ordered.along), so no task holds
+all values of a key."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along
+
 
 def ecdf(df: DataFrame, keys: Sequence[str], x: str, pad_at: float | None = None) -> DataFrame:
     """keys, x, cdf: the share of values up to each distinct one, after a row of cdf 0 at pad_at."""
@@ -16,28 +19,11 @@ def ecdf(df: DataFrame, keys: Sequence[str], x: str, pad_at: float | None = None
     return _stepped(counts, keys, "_n", pad_at)
 
 
-#: Ranges of values of a key, each of which a task sums up by itself.
-RANGES = 128
-
-
 def running(df: DataFrame, keys: Sequence[str], x: str, sums: dict[str, Column], after: bool = False, total: bool = False) -> DataFrame:
     """df with the running sum of each column in the order of x, from the last on if after; with total, also the whole sum as
-    <name>_total. Values of x are distinct within a key. A key's values are cut into ranges by their quantiles, each
-    range is summed by itself, and what the ranges before hold is added: no task sorts all values of a key."""
-    if not keys:
-        return running(df.withColumn("_one", F.lit(1)), ["_one"], x, sums, after, total).drop("_one")
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"))
-    # The range's number, by counting the cuts below: one row for each key travels to the others.
-    own = df.join(cuts, list(keys)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts").withColumns({f"_{n}": c for n, c in sums.items()})
-    parts = own.groupBy(*keys, "_range").agg(*(F.sum(f"_{n}").alias(f"_{n}_part") for n in sums))
-    order = F.desc("_range") if after else F.asc("_range")
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    held = [F.coalesce(F.sum(f"_{n}_part").over(before), F.lit(0)).alias(f"_{n}_before") for n in sums]
-    whole = [F.sum(f"_{n}_part").over(Window.partitionBy(*keys)).alias(f"{n}_total") for n in sums] if total else []
-    w = Window.partitionBy(*keys, "_range").orderBy(F.desc(x) if after else F.asc(x)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = own.join(parts.select(*keys, "_range", *held, *whole), [*keys, "_range"])
-    found = joined.withColumns({n: F.coalesce(F.sum(f"_{n}").over(w), F.lit(0)) + F.col(f"_{n}_before") for n in sums})
-    return found.drop("_range", *(f"_{n}" for n in sums), *(f"_{n}_before" for n in sums))
+    <name>_total. Values of x are distinct within a key."""
+    wholes = {f"{n}_total": Whole(c) for n, c in sums.items()} if total else {}
+    return along(df, keys, [x], **{n: Sum(c, after) for n, c in sums.items()}, **wholes)
 
 
 def _stepped(weights: DataFrame, keys: Sequence[str], weight: str, pad_at: float | None) -> DataFrame:
@@ -55,10 +41,8 @@ def ecdf_on(df: DataFrame, keys: Sequence[str], x: str, grid: Sequence[float]) -
     there = df.where(F.col(x).isNotNull())
     seen = there.groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("_n"), F.lit(0).alias("_g"))
     points = there.select(*keys).distinct().select(*keys, F.explode(F.array(*(F.lit(float(g)) for g in grid))).alias("x"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_g"))
-    both = seen.unionByName(points)
-    w = Window.partitionBy(*keys).orderBy("x", "_g").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_n").over(Window.partitionBy(*keys))
-    return both.select(*keys, "x", "_g", (F.sum("_n").over(w) / total).alias("cdf")).where("_g = 1").drop("_g")
+    both = along(seen.unionByName(points), keys, ["x", "_g"], _up=Sum(F.col("_n")), _all=Whole(F.col("_n")))
+    return both.where("_g = 1").select(*keys, "x", (F.col("_up") / F.col("_all")).alias("cdf"))
 
 
 def window_survival(waits: DataFrame, trajectory: Sequence[str], at: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,15 +74,14 @@ def windowed_weights(interior: DataFrame, keys: Sequence[str], waits: DataFrame
 def running_on(weights: DataFrame, at: DataFrame, keys: Sequence[str]) -> DataFrame:
     """at (keys, x; few points of a grid) with w: the sum of all weights up to each, null before the first."""
     both = weights.select(*keys, "x", "w", F.lit(0).alias("_q")).unionByName(at.select(*keys, "x", F.lit(None).cast("double").alias("w"), F.lit(1).alias("_q")))
-    w = Window.partitionBy(*keys).orderBy("x", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("w", F.sum("w").over(w)).where("_q = 1").drop("_q")
+    met = along(both, keys, ["x", "_q"], _sum=Sum(F.col("w")), _any=Last(F.col("w")))
+    return met.where("_q = 1").select(*keys, "x", F.when(F.col("_any").isNotNull(), F.col("_sum")).alias("w"))
 
 
 def integral(curve: DataFrame, keys: Sequence[str], y: str = "cdf") -> DataFrame:
     """Adds the running integral of a step curve, taken at right ends, as area."""
-    w = Window.partitionBy(*keys).orderBy("x")
-    step = F.col(y) * (F.col("x") - F.lag("x").over(w))
-    return curve.withColumn("_s", F.coalesce(step, F.lit(0.0))).withColumn("area", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    stepped = along(curve, keys, ["x"], _x=Before(F.col("x")))
+    return along(stepped, keys, ["x"], area=Sum(F.coalesce(F.col(y) * (F.col("x") - F.col("_x")), F.lit(0.0)))).drop("_x")
 
 
 def kaplan_meier(waits: DataFrame, keys: Sequence[str], observed: str = "interior") -> DataFrame:
@@ -129,8 +112,7 @@ def kaplan_meier_bounds(waits: DataFrame, keys: Sequence[str], z: float, observe
 
 def bars(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The density between neighbouring points of a cdf: keys, x, x_to, pmf."""
-    w = Window.partitionBy(*keys).orderBy("x")
-    after = curve.withColumn("x_to", F.lead("x").over(w)).withColumn("_c", F.lead("cdf").over(w)).where("x_to IS NOT NULL")
+    after = along(curve, keys, ["x"], x_to=After(F.col("x")), _c=After(F.col("cdf"))).where("x_to IS NOT NULL")
     return after.select(*keys, "x", "x_to", F.try_divide(F.col("_c") - F.col("cdf"), F.col("x_to") - F.col("x")).alias("pmf"))
 
 
@@ -141,6 +123,60 @@ def histogram(df: DataFrame, keys: Sequence[str], x: str, low: float, high: floa
     return found.withColumn("density", F.col("weight") / F.sum("weight").over(Window.partitionBy(*keys)) / ((high - low) / bins))
 
 
+def quartiles(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """keys, n, low, q1, q3, high: exact, with straight lines between the values of neighbouring ranks. Values are counted, and their ranks are
+    running sums by ranges, so no task holds all values of a key. Nulls don't count, and a key of nulls alone has no row."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counts, keys, "x", {"_up": F.col("_n")}, total=True)
+
+    def at(rank: Column) -> Column:
+        """The value of a rank, from 0; a row holds as many ranks as it has values."""
+        return F.max(F.when((F.col("_up") - F.col("_n") <= rank) & (rank < F.col("_up")), F.col("x")))
+
+    place = {q: (F.col("_up_total") - 1) * q / 4.0 for q in (1, 3)}
+    ends = [at(f(p)).alias(f"_{n}{q}") for q, p in place.items() for n, f in (("a", F.floor), ("b", F.ceil))]
+    found = ranked.groupBy(*keys).agg(F.max("_up_total").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), *ends)
+    between = lambda q: F.col(f"_a{q}") + (F.col(f"_b{q}") - F.col(f"_a{q}")) * F.pmod((F.col("n") - 1) * q / 4.0, F.lit(1.0))
+    return found.select(*keys, "n", "low", between(1).alias("q1"), between(3).alias("q3"), "high")
+
+
+def auto_bins(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """keys, low, high, bins: equal bins from each key's least to its greatest value, as wide as the narrower of Sturges' rule and that of
+    Freedman and Diaconis says, where that one has a width. A key of one value has one bin of width 1 around it."""
+    found = quartiles(df, keys, x)
+    extent = F.col("high") - F.col("low")
+    sturges, freedman = extent / (F.log2("n") + 1), 2 * (F.col("q3") - F.col("q1")) / F.pow("n", F.lit(1 / 3))
+    width = F.when(freedman > 0, F.least(sturges, freedman)).otherwise(sturges)
+    alone = extent <= 0
+    bins = F.when(alone, 1).otherwise(F.ceil(F.try_divide(extent, width))).cast("long")
+    return found.select(*keys, F.when(alone, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(alone, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"), bins.alias("bins"))
+
+
+def histogram_auto(df: DataFrame, keys: Sequence[str], x: str, weight: str | None = None) -> DataFrame:
+    """keys, bin (1 for the first), x (its middle), width, weight, density, of auto_bins: every value lies in a bin. Bins without a value
+    have no row. The bins are a row for each key, joined on."""
+    spans = auto_bins(df, keys, x)
+    own = df.where(F.col(x).isNotNull()).join(spans, list(keys))
+    place = F.floor((F.col(x) - F.col("low")) / (F.col("high") - F.col("low")) * F.col("bins")) + 1
+    own = own.withColumn("bin", F.least(place, F.col("bins")))
+    found = own.groupBy(*keys, "bin").agg(F.sum(F.lit(1.0) if weight is None else F.col(weight)).alias("weight"))
+    whole = found.groupBy(*keys).agg(F.sum("weight").alias("_all")).join(spans, list(keys))
+    width = (F.col("high") - F.col("low")) / F.col("bins")
+    found = found.join(whole.withColumn("width", width), list(keys))
+    return found.select(*keys, "bin", (F.col("low") + (F.col("bin") - 0.5) * F.col("width")).alias("x"), "width", "weight", (F.col("weight") / F.col("_all") / F.col("width")).alias("density"))
+
+
+def _outer_bins(exterior: DataFrame, keys: Sequence[str], spans: tuple[float, float, int] | None) -> DataFrame:
+    """keys, x (the middle), weight, _z: waits in bins, and their sum times the bins' width."""
+    if spans is None:
+        found = histogram_auto(exterior, keys, "wait_time")
+    else:
+        width = (spans[1] - spans[0]) / spans[2]
+        found = histogram(exterior, keys, "wait_time", *spans).withColumns({"x": spans[0] + (F.col("bin") - 0.5) * width, "width": F.lit(width)})
+    whole = found.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("width")).alias("_z"))
+    return found.select(*keys, "x", "weight").join(whole, list(keys))
+
+
 def histogram_between(df: DataFrame, keys: Sequence[str], x: str, edges: Sequence[float]) -> DataFrame:
     """keys, bin (1 for the first), n, density, for bins between the edges; the last one holds its right end."""
     marks = F.array(*(F.lit(float(e)) for e in edges))
@@ -158,13 +194,9 @@ def exterior_fit(exterior_cdf: DataFrame, interior_cdf: DataFrame, keys: Sequenc
     inner = integral(interior_cdf, keys).select(*keys, "x", F.lit(None).cast("double").alias("e"), F.col("area").alias("i"))
     outer = exterior_cdf.select(*keys, "x", F.col("cdf").alias("e"), F.lit(None).cast("double").alias("i"))
     grid = inner.unionByName(outer).groupBy(*keys, "x").agg(F.max("e").alias("e"), F.max("i").alias("i"), F.count(F.lit(1)).alias("_m"))
+    grid = _around(grid, keys, ["x"], ["e", "i"])
     for c in ("e", "i"):
-        back = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        on = Window.partitionBy(*keys).orderBy("x").rowsBetween(0, Window.unboundedFollowing)
-        x0, y0 = F.last(F.when(F.col(c).isNotNull(), F.col("x")), True).over(back), F.last(c, True).over(back)
-        x1, y1 = F.first(F.when(F.col(c).isNotNull(), F.col("x")), True).over(on), F.first(c, True).over(on)
-        between = y0 + (y1 - y0) * F.try_divide(F.col("x") - x0, x1 - x0)
-        grid = grid.withColumn(f"_{c}", F.coalesce(F.col(c), between, y0, y1))
+        grid = grid.withColumn(f"_{c}", F.coalesce(F.col(c), _straight(c)))
     t, i, e, m = F.col("x"), F.col("_i"), F.col("_e"), F.col("_m")
     s = grid.groupBy(*keys).agg(*(F.sum(v * m).alias(n) for n, v in (("tt", t * t), ("ti", t * i), ("ii", i * i), ("te", t * e), ("ie", i * e))))
     det = F.col("tt") * F.col("ii") - F.col("ti") * F.col("ti")
@@ -181,15 +213,27 @@ def exterior_fit(exterior_cdf: DataFrame, interior_cdf: DataFrame, keys: Sequenc
     return s.select(*keys, "a", "b", F.try_divide(-F.col("b"), F.col("a")).alias("end_share"))
 
 
+def _around(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """df with, for each column c, where it is known before and behind a row: _x0_c, _y0_c, _x1_c, _y1_c."""
+    steps = {}
+    for c in columns:
+        known = F.when(F.col(c).isNotNull(), F.struct(F.col("x").alias("x"), F.col(c).alias("y")))
+        steps |= {f"_p0_{c}": Last(known), f"_p1_{c}": First(known)}
+    found = along(df, keys, order, **steps)
+    ends = {f"_{v}{k}_{c}": F.col(f"_p{k}_{c}")[v] for c in columns for k in (0, 1) for v in "xy"}
+    return found.withColumns(ends).drop(*steps)
+
+
+def _straight(c: str) -> Column:
+    """On the straight line between the points around, flat beyond the ends."""
+    x0, y0, x1, y1 = (F.col(f"_{v}_{c}") for v in ("x0", "y0", "x1", "y1"))
+    return F.coalesce(y0 + (y1 - y0) * F.try_divide(F.col("x") - x0, x1 - x0), y0, y1)
+
+
 def interpolated(curve: DataFrame, at: DataFrame, keys: Sequence[str], y: str = "cdf") -> DataFrame:
     """at (keys, x) with y on straight lines between the curve's points, flat beyond its ends."""
     both = curve.select(*keys, "x", F.col(y).alias("_y"), F.lit(0).alias("_q")).unionByName(at.select(*keys, "x", F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_q")))
-    w = Window.partitionBy(*keys).orderBy("x", "_q")
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    x0, y0 = F.last(F.when(F.col("_y").isNotNull(), F.col("x")), True).over(back), F.last("_y", True).over(back)
-    x1, y1 = F.first(F.when(F.col("_y").isNotNull(), F.col("x")), True).over(on), F.first("_y", True).over(on)
-    found = both.select(*keys, "x", "_q", F.coalesce(y0 + (y1 - y0) * F.try_divide(F.col("x") - x0, x1 - x0), y0, y1).alias(y))
-    return found.where("_q = 1").drop("_q")
+    return _around(both, keys, ["x", "_q"], ["_y"]).where("_q = 1").select(*keys, "x", _straight("_y").alias(y))
 
 
 def ecdf_simple(df: DataFrame, keys: Sequence[str], x: str, window: float | str) -> DataFrame:
@@ -204,19 +248,17 @@ def ecdf_simple(df: DataFrame, keys: Sequence[str], x: str, window: float | str)
 def discrete_bars(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The density of a curve on a grid of frames: between the middles of neighbouring grid points, by the steps of the cdf
     at the points in between. keys, x, x_to, pmf."""
-    w = Window.partitionBy(*keys).orderBy("x")
-    middle = curve.select(*keys, "x", "cdf", ((F.col("x") + F.lead("x").over(w)) / 2).alias("_m")).where("_m IS NOT NULL")
+    middle = along(curve.select(*keys, "x", "cdf"), keys, ["x"], _to=After(F.col("x"))).withColumn("_m", (F.col("x") + F.col("_to")) / 2).where("_m IS NOT NULL")
     return bars(middle.select(*keys, F.col("_m").alias("x"), "cdf"), keys)
 
 
-def blended(exterior: DataFrame, interior_cdf: DataFrame, fit: DataFrame, interior_count: DataFrame, keys: Sequence[str], low: float, high: float, bins: int) -> DataFrame:
+def blended(exterior: DataFrame, interior_cdf: DataFrame, fit: DataFrame, interior_count: DataFrame, keys: Sequence[str], spans: tuple[float, float, int] | None = None) -> DataFrame:
     """keys, x, cdf: two estimates of the true cdf at the middles of a histogram of exterior waits, weighted by the inverse
     of their variances. One comes from the histogram, the other from the interior curve at its fitted height; the
     latter's variance is the bound of Dvoretzky, Kiefer and Wolfowitz at one sigma. fit: a and end_share by key.
-    interior_count: n by key. Bins without a wait have no estimate."""
-    width = (high - low) / bins
-    hist = histogram(exterior, keys, "wait_time", low, high, bins)
-    hist = hist.withColumn("x", low + (F.col("bin") - 0.5) * width).withColumn("_z", F.sum("weight").over(Window.partitionBy(*keys)) * width)
+    interior_count: n by key. Bins are auto_bins of the waits, or (low, high, bins) of spans; waits beyond these don't count. Bins
+    without a wait have no estimate."""
+    hist = _outer_bins(exterior, keys, spans)
     inner = interpolated(interior_cdf, hist.select(*keys, "x"), keys).withColumnRenamed("cdf", "_inner")
     both = hist.join(inner, [*keys, "x"]).join(fit, list(keys)).join(interior_count, list(keys))
     outer = 1 - F.try_divide(F.try_divide("weight", "_z"), F.col("a"))
@@ -234,12 +276,11 @@ def interior_density(interior: DataFrame, keys: Sequence[str], waits: DataFrame,
     return hist.select(*keys, (low + (F.col("bin") - 0.5) * width).alias("x"), (F.col("density") * F.col("end_share")).alias("pdf"))
 
 
-def exterior_estimate(exterior: DataFrame, keys: Sequence[str], fit: DataFrame, low: float, high: float, bins: int, deviations: float = 2.0) -> DataFrame:
+def exterior_estimate(exterior: DataFrame, keys: Sequence[str], fit: DataFrame, spans: tuple[float, float, int] | None = None, deviations: float = 2.0) -> DataFrame:
     """keys, x (the middle of a bin), cdf, low, high: the true cdf as a histogram of exterior waits gives it, since their density is the
     survival over the mean wait (1 / a of the fit), and so many standard errors around it, by the normal approximation of
-    counts. Null where the fit has no a; bins without a wait have no row."""
-    width = (high - low) / bins
-    hist = histogram(exterior, keys, "wait_time", low, high, bins).withColumn("_z", F.sum("weight").over(Window.partitionBy(*keys)) * width).join(fit, list(keys))
+    counts. Null where the fit has no a; bins without a wait have no row. Bins are as in blended()."""
+    hist = _outer_bins(exterior, keys, spans).join(fit, list(keys))
     scale = F.col("_z") * F.col("a")
     value, error = 1 - F.try_divide("weight", scale), deviations * F.try_divide(F.sqrt("weight"), scale)
-    return hist.select(*keys, (low + (F.col("bin") - 0.5) * width).alias("x"), value.alias("cdf"), (value - error).alias("low"), (value + error).alias("high"))
+    return hist.select(*keys, "x", value.alias("cdf"), (value - error).alias("low"), (value + error).alias("high"))

@@ -159,11 +159,11 @@ def test_exterior_estimate_by_hand(spark):
     rows = [("a", 0.5), ("a", 1.0), ("a", 1.5), ("a", 4.0), ("a", 9.0), ("a", None), ("b", 1.0)]
     outer = spark.createDataFrame(rows, "state string, wait_time double")
     fit = spark.createDataFrame([("a", 0.25, -0.2, 0.8)], "state string, a double, b double, end_share double")
-    found = {r.x: (r.cdf, r.low, r.high) for r in dist.exterior_estimate(outer, ["state"], fit, 0.0, 4.0, 2).collect()}
+    found = {r.x: (r.cdf, r.low, r.high) for r in dist.exterior_estimate(outer, ["state"], fit, (0.0, 4.0, 2)).collect()}
     assert found == {1.0: pytest.approx((-0.5, -0.5 - math.sqrt(3), -0.5 + math.sqrt(3))), 3.0: pytest.approx((0.5, -0.5, 1.5))}
     flat = fit.withColumn("a", F.lit(0.0))
-    assert {r.cdf for r in dist.exterior_estimate(outer, ["state"], flat, 0.0, 4.0, 2).collect()} == {None}
-    assert dist.exterior_estimate(outer.limit(0), ["state"], fit, 0.0, 4.0, 2).count() == 0
+    assert {r.cdf for r in dist.exterior_estimate(outer, ["state"], flat, (0.0, 4.0, 2)).collect()} == {None}
+    assert dist.exterior_estimate(outer.limit(0), ["state"], fit, (0.0, 4.0, 2)).count() == 0
 
 
 def test_interior_density_by_hand(spark):
