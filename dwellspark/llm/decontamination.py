@@ -136,11 +136,12 @@ def occurrences(runs: DataFrame, each: DataFrame, window: int = WINDOW) -> DataF
     places = F.sequence(F.lit(0), F.size("g") - 1)
     rarity = cut.select("k", "n", F.explode("g").alias("h")).groupBy("k", "h").agg(F.sum("n").alias("n"))
     rarity = rarity.select(F.col("k").alias("of"), F.col("h").alias("shingle"), "n")
-    known = each.join(rarity, (F.col("k") == F.col("of")) & (F.col("h") == F.col("shingle")), "left")
+    # Merged, not broadcast: Spark takes an exploded table to be as small as its file.
+    known = each.join(rarity.hint("merge"), (F.col("k") == F.col("of")) & (F.col("h") == F.col("shingle")), "left")
     prefix = known.groupBy("wid", "text", "length", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "o")).alias("first"))
     prefix = prefix.where("first.n > 0").select("wid", F.col("text").alias("window"), "length", F.col("k").alias("of"), F.col("first.h").alias("shingle"), F.col("first.o").alias("o"))
     tokens = cut.select("rid", "k", "size", F.explode(F.transform(places, at)).alias("t")).select("rid", "k", "size", "t.*")
-    met = tokens.join(prefix, (F.col("k") == F.col("of")) & (F.col("h") == F.col("shingle")))
+    met = tokens.join(prefix.hint("merge"), (F.col("k") == F.col("of")) & (F.col("h") == F.col("shingle")))
     met = met.withColumn("s", F.col("i") - F.col("o")).where("s >= 0 AND s + length <= size")
     begins = F.col("s") - F.greatest(F.col("i") - left, F.lit(0))
     verified = met.where(F.array_join(F.slice("around", begins + 1, F.col("length")), " ") == F.col("window"))
@@ -178,12 +179,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     runs = stored(of_docs.groupBy("rid", "k", "text").agg(F.count(F.lit(1)).alias("n")))
     met = stored(occurrences(runs, each, window))
     spans = met.groupBy("rid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    items = met.select("rid", "wid").distinct().join(found.select("wid", "item"), "wid").groupBy("rid").agg(F.collect_set("item").alias("items"))
-    known = spans.join(items, "rid").select(F.col("rid").alias("of"), "spans", "items")
+    items = met.select("rid", "wid").distinct().join(found.select("wid", "item").hint("merge"), "wid").groupBy("rid").agg(F.collect_set("item").alias("items"))
+    known = spans.join(items.hint("merge"), "rid").select(F.col("rid").alias("of"), "spans", "items")
     shifted = F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e")))
-    hits = of_docs.select("key", "start", "rid").join(known, F.col("rid") == F.col("of")).select("key", shifted.alias("spans"), "items")
+    hits = of_docs.select("key", "start", "rid").join(known.hint("merge"), F.col("rid") == F.col("of")).select("key", shifted.alias("spans"), "items")
     hits = hits.groupBy(F.col("key").alias("hit")).agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    checked = rows.where("size(runs) > 0").select("doc_id", "key", "n_words").join(hits, F.col("key") == F.col("hit"), "left")
+    checked = rows.where("size(runs) > 0").select("doc_id", "key", "n_words").join(hits.hint("merge"), F.col("key") == F.col("hit"), "left")
     checked = _result(checked, F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")), F.coalesce("items", nothing))
     return checked.unionByName(_result(rows.where("size(runs) = 0"), F.lit(0).cast("long"), nothing))
 
