@@ -4,22 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellspark.functions.theory import log_gamma
 
 
+#: Tiles are so many times as long as the largest lag: a frame is in two tiles for one in so many.
+TILE = 4
+
+
+def _met(a: DataFrame, b: DataFrame, keys: Sequence[str], ta: str, tb: str, most: Column | float, tile_by: Column | float) -> DataFrame:
+    """a and b joined where 0 <= tb - ta < most (or as most says, a condition). Time is cut into tiles of TILE times tile_by, a bound on tb - ta; a row of a is in its
+    own tile, one of b also in the tile before if it lies less than tile_by from its start. So each pair meets in one tile, and no task holds more of a
+    trajectory than a tile."""
+    reach = F.col("_reach")
+    size = F.lit(float(TILE)) * reach
+    place = lambda t: F.floor(F.try_divide(F.col(t), size))  # noqa: E731  of no length, no tile and no pair
+    bound = tile_by if isinstance(tile_by, Column) else F.lit(float(tile_by))
+    left = a.withColumn("_reach", bound).withColumn("_tile", place(ta)).drop("_reach")
+    right = b.withColumn("_reach", bound).withColumn("_own", place(tb))
+    halo = (F.col(tb) - F.col("_own") * size) <= reach
+    right = right.withColumn("_tile", F.explode(F.when(halo, F.array(F.col("_own"), F.col("_own") - 1)).otherwise(F.array(F.col("_own"))))).drop("_own", "_reach")
+    apart = F.col(tb) - F.col(ta)
+    limit = most if isinstance(most, Column) else apart < most
+    return left.join(right, [*keys, "_tile"]).where((apart >= 0) & limit).drop("_tile")
+
+
 def lag_pairs(df: DataFrame, keys: Sequence[str], t: str = "t", coords: Sequence[str] = ("x",), max_delta: float | None = None, independent: bool = False) -> DataFrame:
     """Each pair of frames of a trajectory, the later or same one second: keys, ti, tf, delta, and v<coord> for each
-    coordinate. max_delta bounds the lag strictly. independent keeps pairs that don't overlap others of their lag:
+    coordinate. max_delta bounds the lag strictly; pairs then meet in tiles of time, and the trajectory isn't joined with all of itself. independent keeps pairs that don't overlap others of their lag:
     those whose first frame's number is a multiple of the lag in frames."""
     numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(t)) - 1) if independent else df.withColumn("_i", F.lit(0))
     a = numbered.select(*keys, F.col(t).alias("ti"), F.col("_i").alias("_ia"), *(F.col(c).alias(f"_a{c}") for c in coords))
     b = numbered.select(*keys, F.col(t).alias("tf"), F.col("_i").alias("_ib"), *(F.col(c).alias(f"_b{c}") for c in coords))
-    pairs = a.join(b, list(keys)).where(F.col("tf") >= F.col("ti"))
-    if max_delta is not None:
-        pairs = pairs.where(F.col("tf") - F.col("ti") < max_delta)
+    pairs = a.join(b, list(keys)).where(F.col("tf") >= F.col("ti")) if max_delta is None else _met(a, b, keys, "ti", "tf", max_delta, max_delta)
     if independent:
         pairs = pairs.where((F.col("_ia") == F.col("_ib")) | (F.try_mod("_ia", F.col("_ib") - F.col("_ia")) == 0))
     return pairs.select(*keys, "ti", (F.col("tf") - F.col("ti")).alias("delta"), "tf", *((F.col(f"_b{c}") - F.col(f"_a{c}")).alias(f"v{c}") for c in coords))
@@ -58,9 +77,7 @@ def products(df: DataFrame, keys: Sequence[str], t: str = "t", x: str = "x", max
     """x at two frames of a trajectory, multiplied: keys, t (the lag), tau (the later time), xx."""
     a = df.select(*keys, F.col(t).alias("_ta"), F.col(x).alias("_xa"))
     b = df.select(*keys, F.col(t).alias("tau"), F.col(x).alias("_xb"))
-    pairs = a.join(b, list(keys)).where(F.col("tau") >= F.col("_ta"))
-    if max_dt is not None:
-        pairs = pairs.where(F.col("tau") - F.col("_ta") < max_dt)
+    pairs = a.join(b, list(keys)).where(F.col("tau") >= F.col("_ta")) if max_dt is None else _met(a, b, keys, "_ta", "tau", max_dt, max_dt)
     return pairs.select(*keys, (F.col("tau") - F.col("_ta")).alias("t"), "tau", (F.col("_xa") * F.col("_xb")).alias("xx"))
 
 
@@ -74,9 +91,11 @@ def velocity_products(pairs: DataFrame, keys: Sequence[str], coords: Sequence[st
     moving = pairs.where(F.col("delta") > 0)
     a = moving.select(*keys, "delta", F.col("ti").alias("_ta"), *(F.col(f"v{c}").alias(f"_a{c}") for c in coords))
     b = moving.select(*keys, "delta", F.col("ti").alias("tau"), *(F.col(f"v{c}").alias(f"_b{c}") for c in coords))
-    found = a.join(b, [*keys, "delta"]).where(F.col("tau") >= F.col("_ta"))
-    if max_t_over_delta is not None:
-        found = found.where((F.col("tau") - F.col("_ta")) <= max_t_over_delta * F.col("delta"))
+    if max_t_over_delta is None:
+        found = a.join(b, [*keys, "delta"]).where(F.col("tau") >= F.col("_ta"))
+    else:  # in tiles that are as long as the lag asks for
+        reach = F.lit(float(max_t_over_delta)) * F.col("delta")
+        found = _met(a, b, [*keys, "delta"], "_ta", "tau", (F.col("tau") - F.col("_ta")) <= reach, reach)
     dot = F.lit(0.0)
     for c in coords:
         dot = dot + F.col(f"_a{c}") * F.col(f"_b{c}")

@@ -26,9 +26,13 @@ class Sum:
 
 @dataclass(frozen=True)
 class Whole:
-    """The sum over all rows of the key."""
+    """The sum over all rows of the key, or their greatest value."""
 
     of: Column
+    most: bool = False
+
+    def over(self, c: Column) -> Column:
+        return F.max(c) if self.most else F.sum(c)
 
 
 @dataclass(frozen=True)
@@ -74,7 +78,7 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
     for name, step in steps.items():
         v = F.col(value[name])
         if isinstance(step, Sum | Whole):
-            edges.append(F.sum(v).alias(f"_c_{name}"))
+            edges.append((step.over(v) if isinstance(step, Whole) else F.sum(v)).alias(f"_c_{name}"))
         elif isinstance(step, Last | First):
             pick = F.max_by if isinstance(step, Last) else F.min_by
             edges.append(pick(v, F.when(v.isNotNull(), place)).alias(f"_c_{name}"))
@@ -88,7 +92,7 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
     for name, step in steps.items():
         c = F.col(f"_c_{name}")
         if isinstance(step, Whole):
-            carried.append(F.sum(c).over(Window.partitionBy(*keys)).alias(f"_c_{name}"))
+            carried.append(step.over(c).over(Window.partitionBy(*keys)).alias(f"_c_{name}"))
         elif isinstance(step, Sum):
             carried.append(F.sum(c).over(after if step.back else before).alias(f"_c_{name}"))
         elif isinstance(step, Last):

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from dwellspark.jobs import comparisons, intervals, registry, summaries  # noqa: F401
+from dwellspark.jobs import comparisons, intervals, registry, spread, summaries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
