@@ -177,10 +177,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     rows = stored(candidates(docs, seen, ids[0], text_col))
     of_docs = rows.where("size(runs) > 0").select("key", F.explode("runs").alias("run")).select("key", "run.*").withColumn("rid", _rid(""))
     runs = stored(of_docs.groupBy("rid", "k", "text").agg(F.count(F.lit(1)).alias("n")))
-    met = stored(occurrences(runs, each, window))
-    spans = met.groupBy("rid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    items = met.select("rid", "wid").distinct().join(found.select("wid", "item").hint("merge"), "wid").groupBy("rid").agg(F.collect_set("item").alias("items"))
-    known = spans.join(items.hint("merge"), "rid").select(F.col("rid").alias("of"), "spans", "items")
+    met = occurrences(runs, each, window).join(found.select("wid", "item").hint("merge"), "wid")
+    known = met.groupBy(F.col("rid").alias("of")).agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.collect_set("item").alias("items"))
     shifted = F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e")))
     hits = of_docs.select("key", "start", "rid").join(known.hint("merge"), F.col("rid") == F.col("of")).select("key", shifted.alias("spans"), "items")
     hits = hits.groupBy(F.col("key").alias("hit")).agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
