@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -112,6 +113,17 @@ def normal_below(z: Column) -> Column:
     return f(z.cast("double"))
 
 
+def normal_quantile(p: Column) -> Column:
+    """The value that a standard normal is below with chance p; null unless p lies between 0 and 1."""
+
+    @pandas_udf("double")
+    def f(p: pd.Series) -> pd.Series:
+        unit = NormalDist()
+        return pd.Series([unit.inv_cdf(x) if 0 < x < 1 else None for x in p], dtype=float)
+
+    return f(p)
+
+
 def curvature(x: np.ndarray, alpha: float) -> np.ndarray:
     """E_{alpha, alpha - 1}(-x), the Mittag-Leffler function of two parameters, for x > 0 and 0 < alpha < 1. It is minus
     t**(2 - alpha) times the second derivative of relaxation(t**alpha) in t."""
@@ -150,3 +162,46 @@ def separation_correlation(t: np.ndarray, delta: np.ndarray, relaxed: float) ->
         return np.sqrt(s) * (1 - cross)
 
     return (part(t - delta) + part(t + delta) - 2 * part(t)) / (2 * np.sqrt(delta))
+
+
+def _shared(z: np.ndarray) -> np.ndarray:
+    """The part of their motion that two loci of an ideal chain have in common, where z is their relaxation time over the lag: 1 at 0."""
+    return np.exp(-z) - np.sqrt(math.pi * z) * _erfc(np.sqrt(z))
+
+
+@lru_cache(maxsize=64)
+def shared_motion(exponent: float, low: float = -9.0, high: float = 9.0, points: int = 1441) -> tuple[np.ndarray, np.ndarray]:
+    """A table of the part of their motion that two loci of a Rouse chain have in common, in a medium in which a locus moves with this
+    exponent (up to 1/2, that of a viscous one): logarithms (to the base 10) of the lag over their relaxation time, and the part.
+
+    In a fractional medium the modes' relaxation E_a(-k t^a), with a twice the exponent, is a mixture of exp(-k t^a u), where u is the power -a of a
+    one-sided stable number. By Kanter's form that number comes of an angle and an exponential number; both are integrated over, by Gauss's and by the trapezoid rule."""
+    alpha, at = 2.0 * exponent, np.linspace(low, high, points)
+    if not 0 < alpha <= 1:
+        raise ValueError("the exponent lies between 0 and 1/2")
+    z = 10.0 ** (-alpha * at)
+    if alpha == 1:
+        return at, _shared(z)
+    nodes, weights = np.polynomial.legendre.leggauss(48)
+    angle = (nodes + 1) * math.pi / 2
+    # The number's logarithm is (v - a) (1 - alpha) / alpha less; v is that of the exponential number.
+    a = (1 - alpha) * np.log(np.sin((1 - alpha) * angle)) + alpha * np.log(np.sin(alpha * angle)) - np.log(np.sin(angle))
+    v = np.linspace(-36.0, 4.5, 271)
+    u = np.exp((1 - alpha) * v[None, :] - a[:, None])
+    # Squared displacements grow with the root of the effective time t^a u.
+    share = weights[:, None] * np.exp(v - np.exp(v))[None, :] * np.sqrt(u)
+    u, share = u.ravel(), (share / share.sum()).ravel()
+    kept = share > 1e-14
+    return at, np.array([share[kept] @ _shared(x / u[kept]) for x in z])
+
+
+def separation_correlation_at(t: np.ndarray, delta: np.ndarray, relaxed: float, exponent: float) -> np.ndarray:
+    """separation_correlation for any exponent up to 1/2, by straight lines in the table of shared_motion."""
+    at, shared = shared_motion(exponent)
+
+    def part(s: np.ndarray) -> np.ndarray:
+        s = np.abs(s)
+        where = np.log10(np.divide(s, relaxed, out=np.full_like(s, 1.0), where=s > 0))
+        return s**exponent * (1 - np.interp(where, at, shared))
+
+    return (part(t - delta) + part(t + delta) - 2 * part(t)) / (2 * delta**exponent)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellspark.jobs.registry import KEY, ORACLES, PAIRS, query, r, rounded
-from dwellspark.operators import frames, lags, least_squares, long
+from dwellspark.jobs.intervals import BINS, STEP
+from dwellspark.jobs.registry import CVV, INTERIOR, KEY, ORACLES, PAIRS, obs, query, r, rounded, uniform_sql
+from dwellspark.jobs.registry import _velocities as velocities
+from dwellspark.operators import bootstrap, curves, fits, frames, lags, least_squares, long, moments, waits
 from dwellspark.sources import tables
-from dwellspark.sources.tables import MOVIE, TRACK
+from dwellspark.sources.tables import MOVIE, SIM, TRACK
 
 NEAR = 4
 
@@ -59,3 +61,64 @@ def msd_fits(spark, sf_dir):
     found = least_squares.fit(msds, ["label"], "x", "y", least_squares.SEPARATION, START, LOW, HIGH, bounds, STEPS)
     error, scale = F.sqrt("p1_var") / F.col("p1"), F.col("points") * F.col("p1") * F.col("p1")
     return rounded(found.select("label", F.col("p1").alias("amplitude"), F.col("p2").alias("relaxed"), error.alias("amplitude_ste"), (F.col("rest") / scale).alias("rest"), "points"), 4)
+
+
+@query()
+def fit_two_loci_exponents(spark, sf_dir):
+    """Amplitude and relaxation time of two linked loci at three exponents of the medium, fitted to each lag's curve."""
+    curves = lags.correlation_curves(lags.correlation_sums(velocities(spark, sf_dir), []), []).withColumn("lag", F.col("delta"))
+    out = None
+    for exponent in (0.3, 0.4, 0.5):
+        found = fits.fit_two_loci(curves, ["delta"], delta="lag", exponent=exponent).withColumn("exponent", F.lit(exponent))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"WITH {TRACK}, p AS (SELECT b.t - a.t AS t, a.x * b.x AS xx FROM track a JOIN track b ON a.traj = b.traj AND b.t >= a.t) SELECT t, {r('avg(xx) / 1000 AS mean', 'stddev_samp(xx) / 1000 AS std')}, count(*) AS count FROM p GROUP BY t")
+def autocorr_fft(spark, sf_dir):
+    """autocorr by Fourier transforms: no pair is made."""
+    found = lags.autocorrelation_by_transform(tables.track(spark, sf_dir), KEY)
+    return rounded(found.withColumns({"mean": F.col("mean") / 1000, "std": F.when(F.col("count") > 1, F.col("std") / 1000)}))
+
+
+@query(f"WITH {CVV} SELECT delta, t, {r('sqs / cnt / 1e9 AS sqs', 'sum / cnt / 1e3 AS sum')}, cnt FROM sums")
+def cvv_stats_fft(spark, sf_dir):
+    """cvv_stats by Fourier transforms, as means of a product and its square."""
+    pairs = lags.lag_pairs_at(tables.track(spark, sf_dir), KEY, [1, 2, 4], coords=("x", "y")).withColumn("delta", F.col("delta").cast("long"))
+    found = lags.correlation_sums_by_transform(pairs, KEY, ("x", "y"))
+    return rounded(found.select("delta", "t", (F.col("sqs") / F.col("cnt") / 1e9).alias("sqs"), (F.col("sum") / F.col("cnt") / 1e3).alias("sum"), "cnt"))
+
+
+@query(f"""WITH {SIM}, {INTERIOR}, v AS (SELECT state, wait_time / 86400 AS x FROM inner_waits), m AS (SELECT state, count(*)::DOUBLE AS s, sum(x) / count(*) AS m, sum(x * x) / count(*) AS q, min(x) AS low FROM v GROUP BY state),
+h AS (SELECT state, s, low, s ** -0.2 * sqrt((q - m * m) / nullif(1 - 1 / s, 0)) AS h FROM m), a AS (SELECT state, (x - low) / (h / {curves.NODES}) AS p FROM v JOIN h USING (state) WHERE h > 0),
+e AS (SELECT state, floor(p) + i AS k, CASE i WHEN 0 THEN 1 - (p - floor(p)) ELSE p - floor(p) END AS w FROM a, (SELECT unnest([0, 1]) AS i)), n AS (SELECT state, k, sum(w) AS w FROM e GROUP BY state, k),
+p AS (SELECT unnest(range(-{curves.NODES * curves.REACH}, {curves.NODES * curves.REACH + 1})) AS j), d AS (SELECT state, k + j AS k, sum(w * exp(-0.5 * (j / {curves.NODES}) ** 2) / sqrt(2 * pi())) AS d FROM n, p GROUP BY ALL)
+SELECT state, {r(f'low + k * (h / {curves.NODES}) AS x', 'd / s / h AS density')} FROM d JOIN h USING (state)""")
+def wait_density_binned(spark, sf_dir):
+    """The density of waits seen whole, in days, at nodes a sixteenth of a bandwidth apart."""
+    days = waits.interior(obs(spark, sf_dir)).select("state", (F.col("wait_time") / 86_400).alias("x"))
+    return rounded(curves.binned_density(days, ["state"], "x"))
+
+
+DRAWS = 20
+
+
+@query(f"""WITH {SIM}, ids AS (SELECT traj, row_number() OVER (ORDER BY traj) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT traj FROM obs)),
+d AS (SELECT b AS boot_id, least(floor({uniform_sql(5, 'b', 'n')} * total)::BIGINT + 1, total) AS n FROM ids, range({DRAWS}) r(b)),
+t AS (SELECT boot_id, traj, count(*) AS times FROM d JOIN ids USING (n) GROUP BY ALL), z AS (SELECT boot_id, traj, max(window_size) AS x, max(times) AS times FROM obs JOIN t USING (traj) GROUP BY ALL),
+w AS (SELECT boot_id, state, wait_time, window_size, times, ceil(wait_time / {STEP})::BIGINT AS bin FROM obs JOIN t USING (traj) WHERE wait_type = 'interior' AND window_size > wait_time),
+u AS (SELECT DISTINCT boot_id, wait_time FROM w), s AS (SELECT u.boot_id, wait_time, sum(times) FILTER (z.x >= wait_time) / sum(times) AS sf FROM u JOIN z ON u.boot_id = z.boot_id GROUP BY ALL),
+k AS (SELECT state, boot_id, bin, sum(times / (window_size - wait_time) / nullif(sf, 0)) AS k FROM w JOIN s USING (boot_id, wait_time) WHERE bin BETWEEN 1 AND {BINS} GROUP BY ALL)
+SELECT state, boot_id::INT AS boot_id, bin, {r('k / sum(k) OVER (PARTITION BY state, boot_id) AS pmf')} FROM k""")
+def boot_windows(spark, sf_dir):
+    """The corrected share of waits in each half day where as many trajectories are drawn as there are, and each replicate corrects for the windows that it drew."""
+    drawn = bootstrap.drawn(obs(spark, sf_dir), KEY, DRAWS, 5)
+    inner = waits.interior(drawn).withColumn("bin", F.ceil(F.col("wait_time") / STEP)).where(F.col("bin").between(1, BINS))
+    return rounded(bootstrap.windowed_shares(inner, drawn, ["state"], KEY))
+
+
+@query()
+def displacement_shapiro(spark, sf_dir):
+    """Shapiro's and Wilk's test of displacements, by lag."""
+    pairs = lags.lag_pairs_at(tables.track(spark, sf_dir), KEY, [1, 2, 4])
+    return rounded(moments.shapiro_wilk(pairs.select(F.col("delta").cast("long").alias("delta"), "vx"), ["delta"], "vx"))

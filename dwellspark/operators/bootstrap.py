@@ -9,6 +9,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dwellspark.operators.ordered import Sum, Whole, along
+from dwellspark.operators.scratch import written
+
 #: Draws above this have a chance below 1e-7 (for a mean of at most 1) and count as it.
 MOST = 9
 
@@ -47,6 +50,33 @@ def resampled(df: DataFrame, identity: Sequence[str], replicates: int, seed: int
     return spread.withColumn("times", poisson(uniform(seed, "boot_id", *identity), mean)).where("times > 0")
 
 
+def drawn(df: DataFrame, identity: Sequence[str], replicates: int, seed: int = 0) -> DataFrame:
+    """df with boot_id and times: in each replicate exactly as many identities, such as trajectories, are drawn as there are, with replacement. Identities are numbered along
+    their order; the draw of a number is that of a hash of replicate and number, so a lost task draws the same again. Rows that a replicate
+    doesn't draw are left out; null identities are not drawn."""
+    there = df.select(*identity).dropna().distinct()
+    numbered = along(there, [], list(identity), _place=Sum(F.lit(1).cast("long")), _all=Whole(F.lit(1).cast("long")))
+    numbered = written(numbered)
+    spread = numbered.withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    hit = F.least(F.floor(uniform(seed, "boot_id", "_place") * F.col("_all")) + 1, F.col("_all")).alias("_place")
+    times = spread.select("boot_id", hit).groupBy("boot_id", "_place").agg(F.count(F.lit(1)).alias("times"))
+    return df.join(times.join(numbered.drop("_all"), "_place").drop("_place"), list(identity))
+
+
+def windowed_shares(rows: DataFrame, waits: DataFrame, keys: Sequence[str], trajectory: Sequence[str]) -> DataFrame:
+    """keys, boot_id, bin, pmf: the share of each bin in each replicate, where windows of several sizes are corrected for by the survival that the replicate's own
+    trajectories have. rows: trajectory, keys, boot_id, times, wait_time, window_size, bin, of waits seen whole. waits: trajectory, boot_id, times, window_size of all."""
+    sizes = waits.groupBy("boot_id", *trajectory).agg(F.max("window_size").alias("x"), F.max("times").alias("_t"))
+    sizes = sizes.groupBy("boot_id", "x").agg(F.sum("_t").alias("_n"))
+    asked = rows.select("boot_id", F.col("wait_time").alias("x"), F.lit(0).cast("long").alias("_n")).distinct()
+    points = asked.unionByName(sizes).groupBy("boot_id", "x").agg(F.sum("_n").alias("_n"))
+    survived = along(points, ["boot_id"], ["x"], _up=Sum(F.col("_n"), back=True), _all=Whole(F.col("_n")))
+    survived = survived.select("boot_id", F.col("x").alias("wait_time"), (F.col("_up") / F.col("_all")).alias("sf"))
+    weight = F.try_divide(F.col("times") / (F.col("window_size") - F.col("wait_time")), F.col("sf"))
+    found = rows.where("window_size > wait_time").join(survived, ["boot_id", "wait_time"]).groupBy(*keys, "boot_id", "bin").agg(F.sum(weight).alias("k"))
+    return shares(found, keys, "k")
+
+
 def interval(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05) -> DataFrame:
     """keys, low, high: percentiles over replicates."""
     return df.groupBy(*keys).agg(F.percentile(value, F.lit(alpha / 2)).alias("low"), F.percentile(value, F.lit(1 - alpha / 2)).alias("high"))

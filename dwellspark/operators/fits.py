@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellspark.functions.special import separation_correlation
+from dwellspark.functions.special import separation_correlation, separation_correlation_at
 
 _FIXED = "alpha double, amplitude double, rest double, points long"
 
@@ -59,18 +59,19 @@ def _golden(rest, a: float, b: float, steps: int = 60) -> float:
     return float((a + b) / 2)
 
 
-def fit_two_loci(df: DataFrame, keys: Sequence[str], t: str = "t", delta: str = "delta", y: str = "cvv_normed", amplitudes: tuple[float, float] = (0.0, 10.0), times: tuple[float, float] = (1.5, 1000.0), most: float = 4.0) -> DataFrame:
+def fit_two_loci(df: DataFrame, keys: Sequence[str], t: str = "t", delta: str = "delta", y: str = "cvv_normed", amplitudes: tuple[float, float] = (0.0, 10.0), times: tuple[float, float] = (1.5, 1000.0), most: float = 4.0, exponent: float = 0.5) -> DataFrame:
     """keys, amplitude, relaxed, their covariance, rest, points: least squares of the velocity correlation of two linked loci that relax as
-    Rouse chains do, over finite points of at most `most` lags. Both are held between bounds. The amplitude follows from the relaxation time, which
+    Rouse chains do where a locus moves with the given exponent, over finite points of at most `most` lags. Both are held between bounds. The amplitude follows from the relaxation time, which
     is searched on a logarithmic grid, then by golden sections. The covariance is that of the linearised model, as curve fits give it; null
     with fewer than three points or at a bound. A group is a curve, one row for each time and lag."""
 
     def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         at, lag, want = (own[c].to_numpy(float) for c in (t, delta, y))
         found: list = [None] * 6 + [len(own)]
+        form = separation_correlation if exponent == 0.5 else lambda a, b, c: separation_correlation_at(a, b, c, exponent)
 
         def best(log_time: float) -> tuple[float, float]:
-            f = separation_correlation(at, lag, float(np.exp(log_time)))
+            f = form(at, lag, float(np.exp(log_time)))
             a = float(np.clip((f @ want) / max(float(f @ f), 1e-300), *amplitudes))
             return float(((a * f - want) ** 2).sum()), a
 
@@ -81,8 +82,8 @@ def fit_two_loci(df: DataFrame, keys: Sequence[str], t: str = "t", delta: str =
             rest, a = best(where)
             found[:2], found[5] = (a, float(np.exp(where))), rest
             h = 1e-4 * np.exp(where)
-            slope = a * (separation_correlation(at, lag, np.exp(where) + h) - separation_correlation(at, lag, np.exp(where) - h)) / (2 * h)
-            j = np.c_[separation_correlation(at, lag, float(np.exp(where))), slope]
+            slope = a * (form(at, lag, np.exp(where) + h) - form(at, lag, np.exp(where) - h)) / (2 * h)
+            j = np.c_[form(at, lag, float(np.exp(where))), slope]
             inside = amplitudes[0] < a < amplitudes[1] and times[0] * 1.001 < np.exp(where) < times[1] / 1.001
             if len(own) > 2 and inside and np.linalg.cond(j) < 1e8:
                 cov = np.linalg.inv(j.T @ j) * rest / (len(own) - 2)

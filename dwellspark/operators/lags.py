@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,49 @@ def with_normed_error(found: DataFrame) -> DataFrame:
     n = F.col("count").cast("double")
     ratio = F.exp(log_gamma(n / 2) - log_gamma((n - 1) / 2))
     return found.withColumn("ste_norm", F.when(F.col("count") > 1, F.col("ste") * F.sqrt(F.try_divide(F.lit(2.0), n - 1)) * ratio))
+
+
+_FFT = "t long, n long, total double, squares double"
+
+
+def lagged_sums(df: DataFrame, keys: Sequence[str], t: str = "t", coords: Sequence[str] = ("x",)) -> DataFrame:
+    """keys, t (the lag, a whole number of frames), n, total, squares: of the dot products of all pairs of frames of a trajectory that lie so far apart, how many there are, their
+    sum and the sum of their squares. No pair is made: values and the mask of present frames are padded with zeros and
+    correlated by Fourier transforms, in n log n of the frames between a trajectory's ends. Rows with a null don't count; of repeated frames, the values and counts add up."""
+
+    def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        at = own[t].to_numpy(np.int64)
+        at = at - at.min()
+        size = int(at.max()) + 1
+        padded = 1 << (2 * size - 1).bit_length()
+        values = own[list(coords)].to_numpy(float)
+
+        def correlated(v: np.ndarray) -> np.ndarray:
+            """Sums of v at a frame times v at a later one, by lag."""
+            f = np.fft.rfft(np.bincount(at, v, size), padded)
+            return np.fft.irfft(f * np.conj(f), padded)[:size]
+
+        n = np.rint(correlated(np.ones(len(at)))).astype(np.int64)
+        total = sum(correlated(values[:, i]) for i in range(len(coords)))
+        squares = sum((2 if i < j else 1) * correlated(values[:, i] * values[:, j]) for i in range(len(coords)) for j in range(i, len(coords)))
+        held = np.flatnonzero(n)
+        made = pd.DataFrame({"t": held, "n": n[held], "total": total[held], "squares": np.maximum(squares[held], 0.0)})
+        return made.assign(**dict(zip(keys, key)))[[*keys, "t", "n", "total", "squares"]]
+
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + f", {_FFT}"
+    return df.select(*keys, t, *coords).dropna(subset=[t, *coords]).groupBy(*keys).applyInPandas(one, schema)
+
+
+def autocorrelation_by_transform(df: DataFrame, keys: Sequence[str], t: str = "t", x: str = "x") -> DataFrame:
+    """autocorrelation, of whole-numbered times, without pairs."""
+    sums = lagged_sums(df, keys, t, [x]).groupBy("t").agg(F.sum("n").alias("count"), F.sum("total").alias("_s"), F.sum("squares").alias("_q"))
+    mean = F.col("_s") / F.col("count")
+    spread = F.greatest(F.col("_q") - F.col("_s") * mean, F.lit(0.0))
+    return sums.select("t", mean.alias("mean"), F.sqrt(F.try_divide(spread, F.col("count") - 1)).alias("std"), "count")
+
+
+def correlation_sums_by_transform(pairs: DataFrame, keys: Sequence[str], coords: Sequence[str] = ("x",), max_t_over_delta: float = 4.0) -> DataFrame:
+    """correlation_sums of velocity_products over all trajectories, without the products: delta, t, sqs, sum, cnt. The lag is a whole number of frames."""
+    moving = pairs.where(F.col("delta") > 0).select(*keys, "delta", "ti", *(f"v{c}" for c in coords))
+    sums = lagged_sums(moving, [*keys, "delta"], "ti", [f"v{c}" for c in coords]).where(F.col("t") <= max_t_over_delta * F.col("delta"))
+    return sums.groupBy("delta", "t").agg(F.sum("squares").alias("sqs"), F.sum("total").alias("sum"), F.sum("n").alias("cnt"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellspark.functions.special import normal_below
+from dwellspark.functions.special import normal_below, normal_quantile
 from dwellspark.operators.distributions import running
+from dwellspark.operators.ordered import Sum, Whole, along
 
 
 def moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ns: Sequence[int] = (0, 1, 2)) -> DataFrame:
@@ -123,3 +125,56 @@ def normality(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     sums = ranked.groupBy(*keys, "n").agg(F.sum(square * F.col("_m")).alias("_two"), F.sum(square * square * F.col("_m")).alias("_four"), F.max(gap).alias("ks"), F.sum(low + high).alias("_ad"))
     ngp = F.col("_four") * F.col("n") / (3 * F.col("_two") * F.col("_two")) - 1
     return sums.select(*keys, "n", ngp.alias("ngp"), "ks", (-F.col("n") - F.col("_ad") / F.col("n")).alias("ad"))
+
+
+#: Royston's polynomials (1992, 1995) for the two outermost weights, in the inverse root of n, lowest power first.
+_OUTER, _NEXT = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+#: Mean and logarithm of the deviation of the normalised statistic, in n from 4 to 11, and in the logarithm of n above.
+_FEW = ((0.5440, -0.39978, 0.025054, -0.0006714), (1.3822, -0.77857, 0.062767, -0.0020322))
+_MANY = ((-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302))
+
+
+def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
+    total = F.lit(0.0)
+    for c in reversed(coefficients):
+        total = total * x + F.lit(c)
+    return total
+
+
+def shapiro_wilk(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """keys, n, w, p: Shapiro's and Wilk's statistic of normality and its chance by Royston's approximation. The weights are those of expected normal order statistics at the
+    values' ranks within their key, which are running counts along ranges, so no task sorts all values of a key. Nulls don't count; keys of fewer than three values, or of equal ones, have no
+    row. The approximation was fitted up to n = 5000."""
+    values = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("x")).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_m"))
+    ranked = along(values, keys, ["x"], _up=Sum(F.col("_m")), n=Whole(F.col("_m"))).where("n >= 3")
+    # A row for each rank: equal values hold several.
+    ranked = ranked.withColumn("_i", F.explode(F.sequence(F.col("_up") - F.col("_m") + 1, F.col("_up"))))
+    ranked = ranked.withColumn("_e", normal_quantile((F.col("_i") - 0.375) / (F.col("n") + 0.25)))
+    own = {"_ee": F.col("_e") * F.col("_e"), "_ex": F.col("_e") * F.col("x"), "_x": F.col("x"), "_xx": F.col("x") * F.col("x")}
+    # Values about their middle one lose fewer digits.
+    middle = values.groupBy(*keys).agg((F.sum(F.col("x") * F.col("_m")) / F.sum("_m")).alias("_mean"))
+    ranked = ranked.join(middle, list(keys)).withColumn("x", F.col("x") - F.col("_mean"))
+    at = lambda i: F.col("_i") == i
+    ends = {"_e1": F.max(F.when(at(F.col("n")), F.col("_e"))), "_e2": F.max(F.when(at(F.col("n") - 1), F.col("_e"))), "_r1": F.max(F.when(at(F.col("n")), F.col("x"))) - F.max(F.when(at(F.lit(1)), F.col("x"))),
+            "_r2": F.max(F.when(at(F.col("n") - 1), F.col("x"))) - F.max(F.when(at(F.lit(2)), F.col("x")))}
+    s = ranked.groupBy(*keys, "n").agg(*(F.sum(c).alias(k) for k, c in own.items()), *(c.alias(k) for k, c in ends.items()))
+    s = s.withColumn("_ss", F.col("_xx") - F.col("_x") * F.col("_x") / F.col("n")).where("_ss > 0")
+    u, norm = 1 / F.sqrt("n"), F.sqrt("_ee")
+    a1 = F.when(F.col("n") == 3, math.sqrt(0.5)).otherwise(_polynomial(_OUTER, u) + F.col("_e1") / norm)
+    s = s.withColumns({"_a1": a1, "_a2": F.when(F.col("n") > 5, _polynomial(_NEXT, u) + F.col("_e2") / norm)})
+    wide = F.col("n") > 5
+    rest = F.col("_ee") - 2 * F.col("_e1") * F.col("_e1") - F.when(wide, 2 * F.col("_e2") * F.col("_e2")).otherwise(0.0)
+    left = 1 - 2 * F.col("_a1") * F.col("_a1") - F.when(wide, 2 * F.col("_a2") * F.col("_a2")).otherwise(0.0)
+    # The weights of all ranks but the outer ones are expected values over one number.
+    inner = F.col("_ex") - F.col("_e1") * F.col("_r1") - F.when(wide, F.col("_e2") * F.col("_r2")).otherwise(0.0)
+    line = F.col("_a1") * F.col("_r1") + F.when(wide, F.col("_a2") * F.col("_r2")).otherwise(0.0) + F.when(F.col("n") > 3, inner / F.sqrt(F.try_divide(rest, left))).otherwise(0.0)
+    s = s.withColumn("w", F.least(line * line / F.col("_ss"), F.lit(1.0)))
+    n, size = F.col("n").cast("double"), F.log("n")
+    gap = F.log(1 - F.col("w"))
+    few = (-F.log(-2.273 + 0.459 * n - gap) - _polynomial(_FEW[0], n)) / F.exp(_polynomial(_FEW[1], n))
+    many = (gap - _polynomial(_MANY[0], size)) / F.exp(_polynomial(_MANY[1], size))
+    three = 6 / math.pi * (F.asin(F.sqrt(F.least("w", F.lit(1.0)))) - math.asin(math.sqrt(0.75)))
+    z = F.when(F.col("w") >= 1, F.lit(None).cast("double")).when(F.col("n") > 11, many).otherwise(few)
+    # Where the gap is beyond what the approximation for few values knows, the chance is nought.
+    p = F.when(F.col("n") == 3, F.greatest(three, F.lit(0.0))).when(F.col("w") >= 1, 1.0).when((F.col("n") < 12) & (gap >= -2.273 + 0.459 * n), 0.0).otherwise(normal_below(-z))
+    return s.select(*keys, "n", "w", p.alias("p"))
