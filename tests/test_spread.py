@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dwellspark.functions import special
+from dwellspark.operators import bootstrap, curves
 from dwellspark.operators import distributions as dist
-from dwellspark.operators import frames, lags, least_squares, long, waits
+from dwellspark.operators import fits, frames, lags, least_squares, long, moments, waits
 from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along
 
 
@@ -170,3 +172,114 @@ def test_fits_by_label(spark):
             cov = np.linalg.inv(j.T @ j) * r.rest / (len(x) - 2)
             assert (r.p1_var, r.p2_var, r.covariance) == pytest.approx((cov[0, 0], cov[1, 1], cov[0, 1]), rel=1e-2)
     assert least_squares.fit(points.limit(0), ["label"], "lag", "msd", least_squares.SEPARATION, (1.0, 100.0), low, high).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 11, 12, 40])
+def test_shapiro_weights_are_normed(spark, n):
+    """The statistic is that of plain code, and 1 for the weights themselves."""
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=n) ** 3, 2 if n == 40 else 6)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("a", None), ("few", 1.0), ("few", 2.0)] + [("same", 3.0)] * 5, "k string, v double").repartition(3)
+    found = moments.shapiro_wilk(df, ["k"], "v").collect()
+    from statistics import NormalDist
+
+    e = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    poly = lambda c, u: sum(a * u**k for k, a in enumerate(c))
+    a, u = e / np.sqrt(e @ e), 1 / math.sqrt(n)
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0, math.sqrt(0.5)])
+    else:
+        outer = [poly(moments._OUTER, u) + a[-1]] + ([poly(moments._NEXT, u) + a[-2]] if n > 5 else [])
+        k = len(outer)
+        inner = e[k:-k] / math.sqrt((e @ e - 2 * sum(e[-k:] ** 2)) / (1 - 2 * sum(v * v for v in outer)))
+        a = np.concatenate([[-v for v in outer], inner, outer[::-1]])
+    assert a @ a == pytest.approx(1)
+    s = np.sort(x)
+    want = float((a @ s) ** 2 / ((s - s.mean()) ** 2).sum())
+    assert [r.k for r in found] == ["a"] and found[0].n == n and found[0].w == pytest.approx(want, abs=1e-9) and 0 <= found[0].p <= 1
+
+
+def test_shapiro_of_a_published_sample(spark):
+    """Weights of eleven men: W = 0.79, p = 0.0067."""
+    df = spark.createDataFrame([(float(v),) for v in (148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236)], "v double")
+    r = moments.shapiro_wilk(df.withColumn("k", F.lit(1)), ["k"], "v").first()
+    assert r.w == pytest.approx(0.7888, abs=2e-4) and r.p == pytest.approx(0.0067, abs=2e-4)
+
+
+def test_binned_density_is_the_direct_sum(spark):
+    rng = np.random.default_rng(1)
+    values = {"a": rng.gamma(2, 3, 900), "b": rng.normal(size=30), "one": np.array([4.0])}
+    df = spark.createDataFrame([(k, float(x), float(w)) for k, v in values.items() for x, w in zip(v, rng.uniform(0.5, 2, len(v)))] + [("a", None, 1.0)], "k string, v double, w double").repartition(3)
+    for weight in (None, "w"):
+        rows = [r for r in df.collect() if r.v is not None]
+        found = curves.binned_density(df, ["k"], "v", weight).collect()
+        assert {r.k for r in found} == {"a", "b"}
+        for k in "ab":
+            x, w = np.array([(r.v, r.w if weight else 1.0) for r in rows if r.k == k]).T
+            n, mean = w.sum() ** 2 / (w @ w), w @ x / w.sum()
+            h = n**-0.2 * math.sqrt((w @ (x * x) / w.sum() - mean**2) / (1 - 1 / n))
+            at, got = np.array(sorted((r.x, r.density) for r in found if r.k == k)).T
+            want = np.array([(w * np.exp(-0.5 * ((g - x) / h) ** 2)).sum() / w.sum() / h / math.sqrt(2 * math.pi) for g in at])
+            assert np.abs(got - want).max() < 1e-3 * want.max() and got.sum() * (at[1] - at[0]) == pytest.approx(1, abs=1e-4)
+    assert curves.binned_density(df.limit(0), ["k"], "v").count() == 0
+
+
+def test_transforms_are_sums_over_pairs(spark):
+    rng = random.Random(9)
+    rows = [(k, t, rng.uniform(-3, 9), rng.uniform(0, 4)) for k in "ab" for t in sorted(rng.sample(range(70), 40))] + [("one", 5, 2.0, 1.0), ("a", 200, None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t long, x double, y double").repartition(3)
+    found = {(r.k, r.t): (r.n, r.total, r.squares) for r in lags.lagged_sums(df, ["k"], "t", ["x", "y"]).collect()}
+    want = {}
+    for k, a, xa, ya in rows:
+        for j, b, xb, yb in rows:
+            if k == j and b >= a and xa is not None and xb is not None:
+                n, s, q = want.get((k, b - a), (0, 0.0, 0.0))
+                p = xa * xb + ya * yb
+                want[k, b - a] = n + 1, s + p, q + p * p
+    assert set(found) == set(want) and all(found[i] == pytest.approx(want[i], rel=1e-9, abs=1e-7) for i in want)
+    assert lags.lagged_sums(df.limit(0), ["k"]).count() == 0
+    one, other = ({r.t: r for r in f(df.dropna(), ["k"]).collect()} for f in (lags.autocorrelation_by_transform, lags.autocorrelation))
+    assert set(one) == set(other) and all((one[t]["count"], one[t]["mean"]) == pytest.approx((other[t]["count"], other[t]["mean"])) for t in one)
+
+
+def test_draws_are_as_many_as_there_are(spark):
+    df = spark.createDataFrame([(f"t{i}", j) for i in range(90) for j in range(i % 3 + 1)] + [(None, 1)], "traj string, rank int").repartition(4)
+    found = bootstrap.drawn(df, ["traj"], 7, seed=3)
+    per = found.select("boot_id", "traj", "times").distinct().groupBy("boot_id").agg(F.sum("times").alias("n"), F.countDistinct("traj").alias("k")).collect()
+    assert len(per) == 7 and all(r.n == 90 and 40 < r.k < 75 for r in per)
+    whole = lambda d: sorted(map(tuple, d.collect()))
+    assert whole(found) == whole(bootstrap.drawn(df.repartition(2), ["traj"], 7, seed=3)) != whole(bootstrap.drawn(df, ["traj"], 7, seed=4))
+    rows = found.groupBy("boot_id", "traj", "times").count().collect()
+    assert all(r["count"] == int(r.traj[1:]) % 3 + 1 for r in rows)
+    assert bootstrap.drawn(df.limit(0), ["traj"], 7).count() == 0
+
+
+def test_shared_motion_of_any_exponent():
+    at, closed = special.shared_motion(0.5)
+    z = 10.0**-at
+    assert closed == pytest.approx([math.exp(-v) - math.sqrt(math.pi * v) * math.erfc(math.sqrt(v)) for v in z], abs=1e-7)
+    assert np.abs(special.shared_motion(0.4999)[1] - closed).max() < 2e-4
+    q = np.linspace(1e-4, 300.0, 600_001)
+    for exponent in (0.25, 0.3, 0.4):  # the modes of a chain, one by one
+        at, shared = special.shared_motion(exponent)
+        assert (np.diff(shared) >= -1e-12).all() and shared[0] < 1e-9
+        for x in (-1.0, 0.0, 1.0):
+            moved = (1 - special.relaxation(q * q * 10 ** (2 * exponent * x), 2 * exponent)) / q**2
+            area = lambda y: float(((y[1:] + y[:-1]) / 2 * np.diff(q)).sum())
+            assert np.interp(x, at, shared) == pytest.approx(area(np.cos(2 * q) * moved) / (area(moved) + 1 / q[-1]), abs=3e-4)
+    t = np.linspace(0, 20, 41)
+    lag = np.full_like(t, 5.0)
+    assert special.separation_correlation_at(t, lag, 7.0, 0.5) == pytest.approx(special.separation_correlation(t, lag, 7.0), abs=1e-4)
+
+
+@pytest.mark.parametrize("exponent", [0.25, 0.35, 0.5])
+def test_two_loci_of_any_exponent(spark, exponent):
+    planted = {"a": (0.8, 20.0), "b": (1.3, 150.0)}
+    rows = []
+    for k, (a, relaxed) in planted.items():
+        for d in (2.0, 5.0, 11.0):
+            t = np.arange(0.0, 4 * d)
+            rows += [(k, float(u), d, float(a * v)) for u, v in zip(t, special.separation_correlation_at(t, np.full_like(t, d), relaxed, exponent))]
+    df = spark.createDataFrame(rows, "k string, t double, delta double, cvv_normed double")
+    found = {r.k: (r.amplitude, r.relaxed) for r in fits.fit_two_loci(df, ["k"], exponent=exponent).collect()}
+    assert all(found[k] == pytest.approx(planted[k], rel=1e-2) for k in planted)
