@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from dwellspark.jobs.intervals import BINS, STEP
 from dwellspark.jobs.registry import CVV, INTERIOR, KEY, ORACLES, PAIRS, obs, query, r, rounded, uniform_sql
 from dwellspark.jobs.registry import _velocities as velocities
-from dwellspark.operators import bootstrap, curves, fits, frames, lags, least_squares, long, moments, waits
-from dwellspark.sources import tables
+from dwellspark.jobs.summaries import MUNGED
+from dwellspark.operators import bootstrap, curves, fits, frames, geometry, lags, least_squares, loci, long, moments, waits
+from dwellspark.operators.scratch import shared_folder
+from dwellspark.sources import cache, runs, tables
 from dwellspark.sources.tables import MOVIE, SIM, TRACK
 
 NEAR = 4
@@ -122,3 +124,34 @@ def displacement_shapiro(spark, sf_dir):
     """Shapiro's and Wilk's test of displacements, by lag."""
     pairs = lags.lag_pairs_at(tables.track(spark, sf_dir), KEY, [1, 2, 4])
     return rounded(moments.shapiro_wilk(pairs.select(F.col("delta").cast("long").alias("delta"), "vx"), ["delta"], "vx"))
+
+
+@query(ORACLES["munge_flat"])
+def munge_flat_cached(spark, sf_dir):
+    """munge_flat, kept in the shared folder until its table of orders changes."""
+    orders = tables.table(spark, sf_dir, "orders")
+    made = lambda: loci.flat_table(tables.two_loci(spark, sf_dir), KEY)
+    return rounded(cache.derived(spark, shared_folder(spark), "flat", [orders], made, "munge_flat 1"))
+
+
+@query(f"""WITH {MUNGED}, named AS (SELECT m.*, o_orderpriority AS sim_name FROM munged m JOIN (SELECT o_custkey AS traj, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS t, o_orderpriority FROM orders) USING (traj, t)),
+params AS (SELECT sim_name, count(*)::DOUBLE AS frames, length(sim_name)::DOUBLE AS fp FROM named GROUP BY sim_name)
+SELECT sim_name, traj, t, {r('dX', 'dY', 'dZ', digits=3)}, frames, fp FROM named JOIN params USING (sim_name) WHERE fp >= 6""")
+def runs_with_params(spark, sf_dir):
+    """Runs written to folders of their own, each with its parameters, and those read whose parameters meet a condition."""
+    flat = loci.flat_table(tables.two_loci(spark, sf_dir), KEY).select("traj", "t", "dX", "dY", "dZ")
+    named = flat.join(tables.track(spark, sf_dir).select("traj", "t", F.col("condition").alias("sim_name")), ["traj", "t"])
+    counts = named.groupBy("sim_name").agg(F.count(F.lit(1)).alias("frames"))
+    entries = F.array(F.struct(F.lit("frames").alias("key"), F.col("frames").cast("string").alias("value")), F.struct(F.lit("fp").alias("key"), F.length("sim_name").cast("string").alias("value")))
+    folder = runs.claimed(spark, shared_folder(spark))
+    runs.write_runs(named, counts.select("sim_name", F.explode(entries).alias("e")).select("sim_name", "e.*"), folder)
+    found = runs.read_runs_with(spark, folder, "traj long, t long, dX double, dY double, dZ double", ["frames", "fp"], "fp >= 6")
+    return found.select("sim_name", "traj", "t", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("dX", "dY", "dZ")), "frames", "fp")
+
+
+@query(ORACLES["convex_hull_area"].replace("FROM track WHERE x IS NOT NULL", "FROM track WHERE t <= 9 AND t % 3 <> 1 AND x IS NOT NULL"))
+def convex_hull_until(spark, sf_dir):
+    """The hull of two of three frames up to the ninth."""
+    track = tables.track(spark, sf_dir)
+    allowed = track.select("t").distinct().where("t % 3 <> 1")
+    return rounded(geometry.hull_area(geometry.at_times(track, "t", allowed, 9), KEY))

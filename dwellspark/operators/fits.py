@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 
 from dwellspark.functions.special import separation_correlation, separation_correlation_at
 
+def usable(df: DataFrame, t: str = "t", delta: str = "delta", y: str = "cvv_normed", ste: str | None = None, counts: str | None = None, most: float = 4.0, least: int = 3) -> DataFrame:
+    """Rows that a curve can be fitted to: finite times, lags above 0, finite values and errors, at most `most` lags, and more than
+    `least` counts."""
+    for c in (t, delta, y, *([ste] if ste else [])):
+        df = df.where(F.abs(F.col(c).cast("double")) < float("inf"))
+    df = df.where((F.col(delta) > 0) & (F.col(t) <= most * F.col(delta)))
+    return df.where(F.col(counts) > least) if counts else df
+
+
 _FIXED = "alpha double, amplitude double, rest double, points long"
 
 
@@ -43,7 +52,7 @@ def fit_alpha(df: DataFrame, keys: Sequence[str], t: str = "t", delta: str = "de
             found[:3] = alpha, rest(alpha, own)[1], rest(alpha, own)[0]
         return pd.DataFrame([[*key, *found]], columns=[*keys, "alpha", "amplitude", "rest", "points"])
 
-    good = df.where((F.col(delta) > 0) & F.col(y).isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")) & (F.col(t) <= most * F.col(delta)))
+    good = usable(df, t, delta, y, most=most)
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + f", {_FIXED}"
     return good.select(*keys, t, delta, y).groupBy(*keys).applyInPandas(one, schema)
 
@@ -90,6 +99,6 @@ def fit_two_loci(df: DataFrame, keys: Sequence[str], t: str = "t", delta: str =
                 found[2:5] = float(cov[0, 0]), float(cov[1, 1]), float(cov[0, 1])
         return pd.DataFrame([[*key, *found]], columns=[*keys, *(c.split()[0] for c in _TWO.split(", "))])
 
-    good = df.where((F.col(delta) > 0) & F.col(y).isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")) & (F.col(t) <= most * F.col(delta)))
+    good = usable(df, t, delta, y, most=most)
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + f", {_TWO}"
     return good.select(*keys, t, delta, y).groupBy(*keys).applyInPandas(one, schema)

@@ -61,9 +61,13 @@ def nearest_times(df: DataFrame, keys: Sequence[str], t: str, wanted: Sequence[f
     return found.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.wanted", "r.t")
 
 
-def selected(df: DataFrame, keys: Sequence[str], t: str, wanted: Sequence[float]) -> DataFrame:
-    """Rows at the times, from each trajectory's first on, that are nearest to the wanted ones; of a uniform grid the step as ti."""
+def selected(df: DataFrame, keys: Sequence[str], t: str, wanted: Sequence[float], off: float | None = None) -> DataFrame:
+    """Rows at the times, from each trajectory's first on, that are nearest to the wanted ones; of a uniform grid the step as ti. off: fail if a time
+    is farther than this share of it from a whole number, 0.01 for one percent, for then no frame is near enough to those of a movie."""
     chosen = nearest_times(df, keys, t, wanted).select(*keys, "t").distinct()
+    if off is not None:
+        far = F.abs(1 - F.try_divide(F.col("t"), F.round("t"))) > off
+        chosen = chosen.withColumn("t", F.when(far | (F.round("t") == 0) & (F.col("t") != 0), F.raise_error(F.lit("no times are near enough to those wanted"))).otherwise(F.col("t")))
     first = df.groupBy(*keys).agg(F.min(t).alias("_first"))
     moved = df.join(first, list(keys)).withColumn(t, F.col(t) - F.col("_first")).drop("_first")
     found = moved.join(chosen.withColumnRenamed("t", t), [*keys, t], "left_semi")

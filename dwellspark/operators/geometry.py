@@ -99,6 +99,15 @@ def _measured(df: DataFrame, keys: Sequence[str], names: Sequence[str], out: Seq
     return left.groupBy(*keys).applyInPandas(whole, own + "".join(f", {o} double" for o in out))
 
 
+def at_times(df: DataFrame, t: str = "t", allowed: DataFrame | Sequence | None = None, last: float | None = None) -> DataFrame:
+    """Rows at allowed times (a list, or a table of a column t) and up to a last one, for the hull of a part of a trajectory."""
+    if last is not None:
+        df = df.where(F.col(t) <= last)
+    if isinstance(allowed, DataFrame):
+        return df.join(allowed.select(F.col("t").alias(t)).distinct(), t, "left_semi").select(*df.columns)
+    return df if allowed is None else df.where(F.col(t).isin(list(allowed)))
+
+
 def hull_area(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """keys, area, perimeter of the hull of each trajectory's points; null with fewer than three corners. Repeated points
     are dropped before a trajectory meets in a task."""

@@ -87,10 +87,14 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], t: str = "t", x: str = "
     return products(df, keys, t, x, max_dt).groupBy("t").agg(F.avg("xx").alias("mean"), F.stddev_samp("xx").alias("std"), F.count("xx").alias("count"))
 
 
-def velocity_products(pairs: DataFrame, keys: Sequence[str], coords: Sequence[str] = ("x",), max_t_over_delta: float | None = 4.0) -> DataFrame:
-    """Dot products of velocities of one lag and trajectory: keys, delta, t, tau, cvv, for lags above 0. The number of
+def velocity_products(pairs: DataFrame, keys: Sequence[str], coords: Sequence[str] = ("x",), max_t_over_delta: float | None = 4.0, deltas: Sequence[float] | None = None) -> DataFrame:
+    """Dot products of velocities of one lag and trajectory: keys, delta, t, tau, cvv, for lags above 0, or for the given ones only. Velocities with a null have none. The number of
     products is cubic in a trajectory's frames unless pairs hold few lags."""
     moving = pairs.where(F.col("delta") > 0)
+    if deltas is not None:
+        moving = moving.where(F.col("delta").isin(list(deltas)))
+    for c in coords:
+        moving = moving.where(F.col(f"v{c}").isNotNull())
     a = moving.select(*keys, "delta", F.col("ti").alias("_ta"), *(F.col(f"v{c}").alias(f"_a{c}") for c in coords))
     b = moving.select(*keys, "delta", F.col("ti").alias("tau"), *(F.col(f"v{c}").alias(f"_b{c}") for c in coords))
     if max_t_over_delta is None:

@@ -39,13 +39,18 @@ def separation(df: DataFrame, within: Sequence[float] = (0.25,)) -> DataFrame:
     return out.withColumns({f"pair{x}": F.col("distance") < x for x in within})
 
 
-def number_gaps(df: DataFrame, keys: Sequence[str], columns: Sequence[str], t: str = "t") -> DataFrame:
-    """na_id: frames so far, this one included, in which a column is missing."""
+def number_gaps(df: DataFrame, keys: Sequence[str], columns: Sequence[str], t: str = "t", contiguous: bool = False) -> DataFrame:
+    """na_id: frames so far, this one included, in which a column is missing. contiguous: fail if a trajectory leaves a frame out, which would
+    be a gap that no row shows."""
     missing = F.lit(False)
     for c in columns:
         missing = missing | F.col(c).isNull()
     w = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("na_id", F.sum(missing.cast("long")).over(w))
+    count = F.sum(missing.cast("long")).over(w)
+    if contiguous:
+        step = F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(t))
+        count = F.when(step != 1, F.raise_error(F.lit("a trajectory leaves frames out"))).otherwise(count)
+    return df.withColumn("na_id", count)
 
 
 def number_waits(df: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
@@ -116,3 +121,11 @@ def preset(flat: DataFrame, name: str) -> tuple[DataFrame, list[str], tuple[str,
         return rows, more, tuple(f"d{a}" for a in AXES)
     rows = long_form(rows)
     return rows if spot is None else rows.where(F.col("spot") == spot), more, AXES
+
+
+def named_by_position(df: DataFrame, names: dict[int, str], without: Sequence[str] = ()) -> DataFrame:
+    """df without some columns, and then with new names for those at some places, counted from 0."""
+    kept = df.drop(*without)
+    if missing := [i for i in names if not 0 <= i < len(kept.columns)]:
+        raise ValueError(f"no columns at {missing}")
+    return kept.toDF(*(names.get(i, c) for i, c in enumerate(kept.columns)))

@@ -36,3 +36,41 @@ def nearest_links(beads: DataFrame, keys: Sequence[str], bead: str = "bead", lin
 def write_sorted(df: DataFrame, path: str, keys: Sequence[str], by: Sequence[str] = ()) -> None:
     """Parquet sorted by keys within files, in folders by some columns."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(*by).mode("overwrite").parquet(path)
+
+
+def claimed(spark: SparkSession, folder: str, prefix: str = "run") -> str:
+    """A folder for a new run, numbered, that no other run has: the file that claims it can be created only once."""
+    number = 0
+    while True:
+        path = f"{folder.rstrip('/')}/{prefix}.{number}"
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claimed")
+        if marker.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(marker):
+            return path
+        number += 1
+
+
+def write_runs(df: DataFrame, params: DataFrame, folder: str, run: str = "sim_name") -> None:
+    """CSV tables of runs, and of their parameters (run, key, value), in a folder for each run: what is written is what read_runs_with reads. Each run's rows
+    lie together, and a run of many rows in several files. Rows without a run can't be told from others and aren't written."""
+    df.where(F.col(run).isNotNull()).repartition(run).write.partitionBy(run).option("header", True).csv(f"{folder}/rows")
+    params.where(F.col(run).isNotNull()).select(run, "key", "value").repartition(run).write.partitionBy(run).csv(f"{folder}/params")
+
+
+def read_params(spark: SparkSession, folder: str, names: Sequence[str], run: str = "sim_name") -> DataFrame:
+    """run, and a double for each named parameter: null where a run's file doesn't have it or its value is no number. Of a repeated key the largest text counts."""
+    found = spark.read.csv(f"{folder}/params", schema=f"key string, value string, {run} string")
+    return found.groupBy(run).agg(*(F.max(F.when(F.col("key") == n, F.col("value"))).try_cast("double").alias(n) for n in names))
+
+
+def shared_params(spark: SparkSession, folder: str, run: str = "sim_name") -> DataFrame:
+    """key, values, runs: of each parameter, how many values it has and in how many runs; one of more than one value is not shared."""
+    found = spark.read.csv(f"{folder}/params", schema=f"key string, value string, {run} string")
+    return found.groupBy("key").agg(F.countDistinct("value").alias("values"), F.countDistinct(run).alias("runs"))
+
+
+def read_runs_with(spark: SparkSession, folder: str, schema: str, names: Sequence[str], where: str | None = None, run: str = "sim_name") -> DataFrame:
+    """The rows of runs with their run and parameters as columns. where: a condition on the parameters. Runs are folders that Spark
+    knows as partitions, so a condition on runs, or one on parameters by way of the join, keeps it from reading the others. Runs without parameters aren't there."""
+    rows = spark.read.csv(f"{folder}/rows", schema=f"{schema}, {run} string", header=True)
+    params = read_params(spark, folder, names, run)
+    return rows.join(params if where is None else params.where(where), run)

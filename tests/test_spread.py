@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from dwellspark.functions import special
 from dwellspark.operators import bootstrap, curves
 from dwellspark.operators import distributions as dist
-from dwellspark.operators import fits, frames, lags, least_squares, long, moments, waits
+from dwellspark.operators import fits, frames, geometry, lags, least_squares, loci, long, moments, waits
 from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along
+from dwellspark.sources import cache, runs
 
 
 def test_steps_along_ranges(spark):
@@ -283,3 +284,69 @@ def test_two_loci_of_any_exponent(spark, exponent):
     df = spark.createDataFrame(rows, "k string, t double, delta double, cvv_normed double")
     found = {r.k: (r.amplitude, r.relaxed) for r in fits.fit_two_loci(df, ["k"], exponent=exponent).collect()}
     assert all(found[k] == pytest.approx(planted[k], rel=1e-2) for k in planted)
+
+
+def test_cached_tables_follow_their_inputs(spark, tmp_path):
+    made = []
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(5).write.parquet(source)
+
+    def get(version=""):
+        rows = spark.read.parquet(source)
+        return sorted(r[0] for r in cache.derived(spark, folder, "double", [rows], lambda: made.append(1) or rows.select(F.col("id") * 2), version).collect())
+
+    assert get() == get() == [0, 2, 4, 6, 8] and len(made) == 1
+    spark.range(5, 7).write.mode("append").parquet(source)
+    assert get() == [0, 2, 4, 6, 8, 10, 12] and len(made) == 2
+    assert get("new") == get("new") and len(made) == 3
+    assert all("." not in p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+
+    def fails():
+        raise RuntimeError("no table")
+
+    with pytest.raises(RuntimeError):
+        cache.derived(spark, folder, "other", [spark.read.parquet(source)], fails)
+    # Another maker was faster: its table stays.
+    rows, path = spark.read.parquet(source), f"{folder}/third-{cache.fingerprint([spark.read.parquet(source)])[:24]}"
+
+    def late():
+        spark.range(1).write.parquet(path)
+        return spark.range(3)
+
+    assert cache.derived(spark, folder, "third", [rows], late).count() == 1
+
+
+def test_runs_with_parameters(spark, tmp_path):
+    folders = {runs.claimed(spark, str(tmp_path), "sim") for _ in range(3)}
+    assert {f.rsplit("/", 1)[1] for f in folders} == {"sim.0", "sim.1", "sim.2"}
+    folder = folders.pop()
+    rows = [("a b", 1, 0.5), ("a b", 2, None), ("c/d", 1, 2.0), ("e", 3, 4.0), (None, 9, 9.0)]
+    params = [("a b", "fp", "0.1"), ("a b", "n", "7"), ("c/d", "fp", "0.5"), ("c/d", "n", "x"), ("none", "fp", "1"), ("c/d", "extra", "7")]
+    runs.write_runs(spark.createDataFrame(rows, "sim_name string, t int, x double"), spark.createDataFrame(params, "sim_name string, key string, value string"), folder)
+    found = runs.read_runs_with(spark, folder, "t int, x double", ["fp", "n"])
+    assert sorted(map(str, (tuple(r[c] for c in ("sim_name", "t", "x", "fp", "n")) for r in found.collect()))) == sorted(map(str, [("a b", 1, 0.5, 0.1, 7.0), ("a b", 2, None, 0.1, 7.0), ("c/d", 1, 2.0, 0.5, None)]))
+    some = runs.read_runs_with(spark, folder, "t int, x double", ["fp"], "fp > 0.2")
+    assert [r.sim_name for r in some.collect()] == ["c/d"]
+    assert {(r.key, r["values"], r.runs) for r in runs.shared_params(spark, folder).collect()} == {("fp", 3, 3), ("n", 2, 2), ("extra", 1, 1)}
+
+
+def test_small_checks(spark):
+    df = spark.createDataFrame([("a", t, None if t == 2 else 1.0) for t in (0, 1, 2, 3)], "k string, t long, x double")
+    assert [r.na_id for r in loci.number_gaps(df, ["k"], ["x"], contiguous=True).orderBy("t").collect()] == [0, 0, 1, 1]
+    with pytest.raises(Exception, match="leaves frames out"):
+        loci.number_gaps(df.where("t <> 1"), ["k"], ["x"], contiguous=True).collect()
+    assert loci.named_by_position(df, {1: "frame", 0: "x"}, ["k"]).columns == ["x", "frame"]
+    with pytest.raises(ValueError):
+        loci.named_by_position(df, {7: "y"})
+    times = spark.createDataFrame([("a", t) for t in (0.0, 30.1, 59.9, 91.5)], "k string, t double")
+    assert frames.selected(times, ["k"], "t", [0.0, 30.0, 60.0], 0.01).count() == 3
+    with pytest.raises(Exception, match="near enough"):
+        frames.selected(times.withColumn("t", F.col("t") / 10), ["k"], "t", [0.0, 3.0, 9.0], 0.01).collect()
+    points = spark.createDataFrame([(1.0, 2.0, 1.0, 0.1, 5), (9.0, 2.0, 1.0, 0.1, 5), (1.0, 0.0, 1.0, 0.1, 5), (1.0, 2.0, float("nan"), 0.1, 5), (1.0, 2.0, 1.0, None, 5), (1.0, 2.0, 1.0, 0.1, 3)], "t double, delta double, cvv_normed double, ste double, n int")
+    assert fits.usable(points).count() == 3 and fits.usable(points, ste="ste", counts="n").count() == 1
+    square = spark.createDataFrame([("a", t, x, y) for t, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (3.0, 3.0)])], "k string, t long, x double, y double")
+    area = lambda **how: geometry.hull_area(geometry.at_times(square, **how), ["k"]).first()
+    assert area(last=2).area == 0.5 and area(allowed=[0, 1, 3]).area == 1.5 and area(allowed=spark.createDataFrame([(0,), (1,)], "t long")).area is None
+    three = spark.createDataFrame([("a", d, t, 1.0, 2.0, None if t == 3 else 3.0) for d in (1, 2) for t in range(5)], "k string, delta int, ti long, vx double, vy double, vz double")
+    found = lags.velocity_products(three, ["k"], ("x", "y", "z"), None, deltas=[2]).collect()
+    assert len(found) == 10 and {(r.delta, r.cvv) for r in found} == {(2, 14.0)}
