@@ -17,6 +17,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,8 @@ from dwellspark.llm.common import partitions, short_batches, texts
 
 #: Text of a block in characters, at most, but for a single longer document.
 BLOCK_CHARS = 12_000_000
+#: Characters of the corpus to a bucket of words, at most.
+BUCKET_CHARS = 32_000_000
 #: Bytes of a window of a long word, and from the start of one to that of the next. Longer windows than the longest token.
 WINDOW, STRIDE = 192, 64
 #: A pair of ids is one number: PAIR * left + right. An entry of the table is PAIR * pair + rank.
@@ -310,14 +313,13 @@ def split(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str =
                     counts.append(len(own))
                     flat.extend(map(known.__getitem__, own))
             yield row(at=name, chunk_sizes=_numbers(np.array(counts)), chunk_codes=_numbers(np.array(flat)))
-            dealt: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
+            dealt: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
             for word, c in known.items():
                 raw = word.encode("utf-8", "surrogatepass")
                 dealt[zlib.crc32(raw) % buckets].append((raw, c))
-            for b, own in enumerate(dealt):
-                if own:
-                    own.sort()
-                    yield row(at=str(b), block=name, words=_listed([w for w, _ in own]), word_codes=_numbers(np.array([c for _, c in own])))
+            for b, own in sorted(dealt.items()):
+                own.sort()
+                yield row(at=str(b), block=name, words=_listed([w for w, _ in own]), word_codes=_numbers(np.array([c for _, c in own])))
             pa.default_memory_pool().release_unused()
 
         held, chars = [], 0
@@ -402,9 +404,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_tokens, ids (decimal, joined by a space), decoded (the ids' bytes) for each row, repeated rows
     included. digests: the SHA-256 of the latter two instead, as lower-case hexadecimal digits."""
     # All kinds of rows go to their places in one exchange, which is written once and read three times. It has as many
-    # tasks as partitions, however few the bytes: the fold is long in work.
+    # tasks as partitions, however few the bytes: the fold is long in work. Words have a bucket for each BUCKET_CHARS of the corpus, if
+    # that is more: what one holds doesn't grow with the corpus.
     n = partitions(docs.sparkSession)
-    rows = split(docs, n, id_col, text_col, block_chars).repartition(n, "at")
+    total = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
+    buckets = max(n, -(-total // BUCKET_CHARS))
+    rows = split(docs, buckets, id_col, text_col, block_chars).repartition(n, "at")
     known = encode_words(rows, path)
 
     def tell(asked: pa.Table, told: pa.Table) -> pa.Table:

@@ -110,6 +110,15 @@ def test_bpe_is_as_tiktoken(spark, docs):
     assert own == want
     assert bpe.encode(docs.limit(0), TIKTOKEN).count() == 0
 
+def test_buckets_follow_the_corpus(spark, docs, monkeypatch):
+    seen, own = [], bpe.split
+    monkeypatch.setattr(bpe, "split", lambda rows, buckets, *rest: seen.append(buckets) or own(rows, buckets, *rest))
+    few = {(r.doc_id, r.ids) for r in bpe.encode(docs, TIKTOKEN).collect()}
+    monkeypatch.setattr(bpe, "BUCKET_CHARS", 1000)
+    assert {(r.doc_id, r.ids) for r in bpe.encode(docs, TIKTOKEN).collect()} == few and seen[0] == 4 and seen[1] > 30
+    assert bpe.encode(docs.limit(0), TIKTOKEN).count() == 0
+
+
 def test_bpe_of_long_words(spark):
     """Words of many windows: mixed, with runs of one byte at any place, periodic ones that only a whole fold can do."""
     rng = random.Random(8)
