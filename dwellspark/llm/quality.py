@@ -71,18 +71,14 @@ class Scorer:
         made.precompute_compress(level=LEVEL)
         return made
 
-    def features(self, text: str) -> list[float]:
-        """Above 0: the good dictionary serves better."""
-        raw, out = text.encode("utf-8", "surrogatepass"), []
-        for view, (for_good, for_bad) in zip((raw, _shape(raw)), self.pairs):
-            good = bad = 0
-            size = PIECE[len(out)]
-            for at in range(0, max(1, len(view)), size):
-                piece = view[at : at + size]
-                good += len(for_good.compress(piece))
-                bad += len(for_bad.compress(piece))
-            out.append((bad - good) / (bad + good + SMOOTH))
-        return out
+    def features(self, texts: list[str]) -> list[tuple[float, ...]]:
+        """Of each text; above 0: the good dictionary serves better. One compressor after the other goes through all texts, for a dictionary and its tables are all
+        that a processor's cache holds."""
+        raw, out = [t.encode("utf-8", "surrogatepass") for t in texts], []
+        for views, (for_good, for_bad), size in zip((raw, list(map(_shape, raw))), self.pairs, PIECE):
+            good, bad = ([sum(len(c.compress(v[at : at + size])) for at in range(0, max(1, len(v)), size)) for v in views] for c in (for_good, for_bad))
+            out.append([(b - g) / (b + g + SMOOTH) for g, b in zip(good, bad)])
+        return list(zip(*out))
 
 
 def _sample(documents: DataFrame, known: DataFrame) -> list[tuple[str, int]]:
@@ -133,22 +129,23 @@ def fit(documents: DataFrame, known: DataFrame) -> Model:
         good, n = sum(y for _, y in rows), len(rows)
         return Model((), (), (0.0, 0.0, math.log((good + 1) / (n - good + 1))))
     scorer = Scorer(content[1], content[0])
-    x = np.array([scorer.features(t) for c in (0, 1) for t in rest[c]])
+    x = np.array(scorer.features([t for c in (0, 1) for t in rest[c]]))
     y = np.array([float(c) for c in (0, 1) for _ in rest[c]])
     return Model(content[1], content[0], _calibrated(x, y))
 
 
-def _score(model: Model, text: str | None) -> float:
+def _scores(model: Model, texts: list[str | None]) -> list[float]:
     scorer, (*slopes, offset) = _scorer(model), model.weights
-    logit = offset + (sum(w * f for w, f in zip(slopes, scorer.features(text or ""))) if scorer else 0.0)
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
+    seen = scorer.features([t or "" for t in texts]) if scorer else [()] * len(texts)
+    logits = [offset + sum(w * f for w, f in zip(slopes, x)) for x in seen]
+    return [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in logits]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for every row of docs, in any order. A null text is scored as an empty one."""
 
     def run(batch: pa.RecordBatch):
-        values = [_score(model, t) for t in batch.column(1).to_pylist()]
+        values = _scores(model, batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
 
     rows = texts(docs, id_col, text_col)
@@ -161,7 +158,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch):
-        yield batch.filter(pa.array([_score(model, t) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        yield batch.filter(pa.array([s >= threshold for s in _scores(model, batch.column(at).to_pylist())], pa.bool_()))
 
     return by_batch(docs, run, docs.schema)
 
