@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellspark.jobs.registry import DAYS, FIT, KEY, auto_bins_sql, obs, query, r, rounded
+from dwellspark.jobs.registry import DAYS, FIT, KEY, auto_bins_sql, obs_once, query, r, rounded
 from dwellspark.operators import distributions as dist
 from dwellspark.operators import waits
 from dwellspark.sources.tables import SIM
@@ -17,7 +17,7 @@ z AS (SELECT state, low + (bin - 0.5)::DOUBLE * ((high - low) / bins) AS x, w, s
 
 def _fitted(spark, sf_dir):
     """Waits, those seen whole, those cut off, the curve of the former, and the fit of both."""
-    found = obs(spark, sf_dir)
+    found = obs_once(spark, sf_dir)
     inner, outer = waits.interior(found), waits.exterior(found)
     curve = dist.ecdf_windowed(inner, ["state"], found, KEY)
     return found, inner, outer, curve, dist.exterior_fit(dist.ecdf(outer, ["state"], "wait_time", 0.0), curve, ["state"])

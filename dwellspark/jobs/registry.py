@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from dwellspark.functions import special, theory
 from dwellspark.operators import distributions as dist
 from dwellspark.operators import bootstrap, fits, frames, geometry, lags, loci, moments, waits
+from dwellspark.operators.scratch import written
 from dwellspark.sources import tables
 from dwellspark.sources.tables import FLAT, MOVIE, SIM, TRACK
 
@@ -48,6 +49,11 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.waits_of_changes(tables.state_changes(spark, sf_dir), KEY)
 
 
+def obs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table, for queries that read it many times."""
+    return written(obs(spark, sf_dir))
+
+
 def auto_bins_sql(rows: str, x: str) -> str:
     """state, low, high, bins of a view's values, as spans."""
     return f"""ends AS (SELECT state, count({x}) AS n, min({x}) AS low, max({x}) AS high, quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) AS iqr FROM {rows} GROUP BY state),
@@ -133,7 +139,7 @@ both_w AS (SELECT state, x, w / sf AS w FROM weights JOIN survived USING (x)), {
 
 @query(f"WITH {SIM}, {INTERIOR}, {MULTI} SELECT state, {r('x', digits=3)}, {r('cdf', digits=9)} FROM padded")
 def ecdf_windowed_multi(spark, sf_dir):
-    found = obs(spark, sf_dir)
+    found = obs_once(spark, sf_dir)
     return _curve(dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY))
 
 
@@ -182,7 +188,7 @@ fit AS (SELECT state, CASE WHEN a0 >= 0 AND b0 <= 0 THEN a0 WHEN first THEN alon
 @query(f"WITH {SIM}, {FIT} SELECT state, {r('a * 86400 AS a', 'b * 86400 AS b', '-b / nullif(a, 0) AS end_share')} FROM fit")
 def ext_int_fit(spark, sf_dir):
     """Rates are by day."""
-    found = obs(spark, sf_dir)
+    found = obs_once(spark, sf_dir)
     inner = dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY)
     fit = dist.exterior_fit(dist.ecdf(waits.exterior(found), ["state"], "wait_time", 0.0), inner, ["state"])
     return rounded(fit.withColumns({"a": F.col("a") * DAYS, "b": F.col("b") * DAYS}))
@@ -474,11 +480,30 @@ def bootstrap_quantiles(spark, sf_dir):
     return rounded(bootstrap.interval(bootstrap.estimates(inner, KEY, ["state"], REPLICATES, mean), ["state"], "value"), 3)
 
 
-@query()
+def _form(alpha: str) -> str:
+    return f"((abs(t - delta)::DOUBLE) ** ({alpha}) - 2 * (t::DOUBLE) ** ({alpha}) + ((t + delta)::DOUBLE) ** ({alpha})) / (2 * (delta::DOUBLE) ** ({alpha}))"
+
+
+#: The amplitude of a form's products with the curve and with itself, and the rest of squares.
+_AMPLITUDE = "greatest({0}y / greatest({0}f, 1e-300), 0)"
+_REST = f"({_AMPLITUDE} ** 2 * {{0}}f - 2 * {_AMPLITUDE} * {{0}}y + yy)"
+_GOLDEN = repr((math.sqrt(5) - 1) / 2)
+
+
+@query(f"""WITH RECURSIVE {CVV}, c AS (SELECT delta, t, sum / cnt AS cvv FROM sums), z AS (SELECT delta, t, cvv / max(CASE WHEN t = 0 THEN cvv END) OVER (PARTITION BY delta) AS y FROM c),
+p AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY delta) AS points, sum(y * y) OVER (PARTITION BY delta) AS yy FROM z WHERE y IS NOT NULL AND t <= 4 * delta) WHERE points >= 3),
+g AS (SELECT delta, k, sum(f * y) AS gy, sum(f * f) AS gf, any_value(yy) AS yy FROM (SELECT p.*, k, {_form('0.05 + k * (1.9::DOUBLE / 76)')} AS f FROM p, range(77) r(k)) GROUP BY delta, k),
+o AS (SELECT delta, arg_min(k, {_REST.format('g')} ORDER BY k) AS k FROM g GROUP BY delta),
+s AS (SELECT delta, 0 AS i, 0.05 + greatest(k - 1, 0) * (1.9::DOUBLE / 76) AS a, 0.05 + least(k + 1, 76) * (1.9::DOUBLE / 76) AS b FROM o
+  UNION ALL SELECT delta, i + 1, CASE WHEN {_REST.format('c')} <= {_REST.format('d')} THEN a ELSE b - {_GOLDEN} * (b - a) END, CASE WHEN {_REST.format('c')} <= {_REST.format('d')} THEN a + {_GOLDEN} * (b - a) ELSE b END
+  FROM (SELECT delta, i, a, b, sum(c * y) AS cy, sum(c * c) AS cf, sum(d * y) AS dy, sum(d * d) AS df, any_value(yy) AS yy
+    FROM (SELECT s.*, y, yy, {_form(f'b - {_GOLDEN} * (b - a)')} AS c, {_form(f'a + {_GOLDEN} * (b - a)')} AS d FROM s JOIN p USING (delta) WHERE i < 60) GROUP BY delta, i, a, b)),
+e AS (SELECT delta, (a + b) / 2 AS alpha FROM s WHERE i = 60), m AS (SELECT delta, alpha, sum(f * y) AS ey, sum(f * f) AS ef, any_value(yy) AS yy, any_value(points) AS points FROM (SELECT p.*, alpha, {_form('alpha')} AS f FROM e JOIN p USING (delta)) GROUP BY delta, alpha)
+SELECT delta, {r('alpha', f"{_AMPLITUDE.format('e')} AS amplitude", f"{_REST.format('e')} AS rest", digits=5)}, points FROM m""")
 def fit_beta(spark, sf_dir):
     """A fractional velocity correlation fitted to each lag's curve."""
     curves = lags.correlation_curves(lags.correlation_sums(_velocities(spark, sf_dir), []), [])
-    return fits.fit_alpha(curves.withColumn("lag", F.col("delta")), ["delta"], delta="lag")
+    return rounded(fits.fit_alpha(curves.withColumn("lag", F.col("delta")), ["delta"], delta="lag"), 5)
 
 
 @query(f"""WITH {SIM}, {INTERIOR}, b AS (SELECT state, wait_time AS x, count(*) * 1728000 / (1728000 - wait_time) AS w FROM inner_waits WHERE window_size = 1728000 AND wait_time < 1728000 GROUP BY state, wait_time)
@@ -528,7 +553,7 @@ e AS (SELECT state, x, CASE WHEN x0 = x THEN y0 ELSE coalesce(y0 + (y1 - y0) * (
 SELECT state, {r('x', digits=3)}, {r('(i * iw + o * ow) / (iw + ow) AS cdf')} FROM e""")
 def ecdf_combined(spark, sf_dir):
     """The wait distribution of each state from waits seen whole and waits cut off together."""
-    found = obs(spark, sf_dir)
+    found = obs_once(spark, sf_dir)
     inner, outer = waits.interior(found), waits.exterior(found)
     curve = dist.ecdf_windowed(inner, ["state"], found, KEY)
     fit = dist.exterior_fit(dist.ecdf(outer, ["state"], "wait_time", 0.0), curve, ["state"])

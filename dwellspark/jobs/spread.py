@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dwellspark.jobs.intervals import BINS, STEP
-from dwellspark.jobs.registry import CVV, INTERIOR, KEY, ORACLES, PAIRS, obs, query, r, rounded, uniform_sql
+from dwellspark.jobs.registry import CVV, EXTERIOR, FIT, INTERIOR, KEY, MULTI, ORACLES, PAIRS, obs, obs_once, query, r, rounded, uniform_sql
 from dwellspark.jobs.registry import _velocities as velocities
-from dwellspark.jobs.summaries import MUNGED
+from dwellspark.jobs.summaries import MUNGED, Z95
+from dwellspark.operators import distributions as dist
 from dwellspark.operators import bootstrap, curves, fits, frames, geometry, lags, least_squares, loci, long, moments, waits
-from dwellspark.operators.scratch import shared_folder
+from dwellspark.operators.scratch import shared_folder, written
 from dwellspark.sources import cache, runs, tables
 from dwellspark.sources.tables import MOVIE, SIM, TRACK
 
@@ -155,3 +156,69 @@ def convex_hull_until(spark, sf_dir):
     track = tables.track(spark, sf_dir)
     allowed = track.select("t").distinct().where("t % 3 <> 1")
     return rounded(geometry.hull_area(geometry.at_times(track, "t", allowed, 9), KEY))
+
+
+OWN = f"""{MOVIE}, sim AS (SELECT traj, state, first_t AS start_time, coalesce(lead(first_t) OVER (PARTITION BY traj ORDER BY island), last_t) AS end_time, min(first_t) OVER (PARTITION BY traj) AS window_start,
+  max(last_t) OVER (PARTITION BY traj) AS window_end FROM runs), {SIM[SIM.index("clipped AS"):]}"""
+
+
+def own_windows(spark, sf_dir):
+    """Waits of the movie's runs, each trajectory being watched from its first frame to its last."""
+    return written(waits.waits_of_changes(waits.changes_of_runs(waits.islands(tables.movie(spark, sf_dir), KEY), KEY), KEY))
+
+
+@query(f"WITH {OWN} SELECT traj, rank_order, state, wait_type, num_waits, {r('start_time', 'end_time', 'wait_time', 'window_size', digits=3)} FROM obs")
+def sim_to_obs_own(spark, sf_dir):
+    """Waits in windows that are the data's own span."""
+    found = own_windows(spark, sf_dir)
+    return rounded(found.select("traj", "rank_order", "state", "wait_type", "num_waits", "start_time", "end_time", "wait_time", "window_size"), 3)
+
+
+@query(f"WITH {OWN}, {INTERIOR}, {MULTI} SELECT state, {r('x', digits=3)}, {r('cdf', digits=9)} FROM padded")
+def ecdf_windowed_own(spark, sf_dir):
+    """The distribution of waits, corrected for as many sizes of windows as there are trajectories."""
+    found = own_windows(spark, sf_dir)
+    curve = dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY)
+    return curve.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 9) + F.lit(0.0)).alias("cdf"))
+
+
+def _fit(found):
+    curve = dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY)
+    return curve, dist.exterior_fit(dist.ecdf(waits.exterior(found), ["state"], "wait_time", 0.0), curve, ["state"])
+
+
+@query(f"""WITH {SIM}, {FIT}, b AS (SELECT state, wait_time AS x, count(*) FILTER (wait_type = 'interior') AS d, count(*) AS n FROM obs GROUP BY state, wait_time), k AS (SELECT *, sum(n) OVER (PARTITION BY state ORDER BY x DESC) AS risk FROM b),
+v AS (SELECT state, x, product(1 - d / risk) OVER w AS s, sum(CASE WHEN risk > d THEN d / (risk * (risk - d)) ELSE 0 END) OVER w AS v FROM k WINDOW w AS (PARTITION BY state ORDER BY x)),
+c AS (SELECT state, x, 1 - s AS cdf, 1 - s ** exp({Z95} * sqrt(v) / ln(s) * -1) AS high, 1 - s ** exp({Z95} * sqrt(v) / ln(s)) AS low FROM v WHERE s > 1e-9 AND s < 1 - 1e-9),
+z AS (SELECT state, max(cdf) AS top FROM c GROUP BY state), f AS (SELECT state, -b / nullif(a, 0) / nullif(top, 0) AS scale FROM z JOIN fit USING (state))
+SELECT state, {r('x', digits=3)}, {r('cdf * scale AS cdf', 'low * scale AS low', 'high * scale AS high', digits=5)} FROM c JOIN f USING (state)""")
+def kaplan_meier_rescaled(spark, sf_dir):
+    """Kaplan and Meier's curve and its interval at the height that the fit gives the distribution at the window's end."""
+    found = obs_once(spark, sf_dir)
+    curve = dist.kaplan_meier_bounds(found, ["state"], Z95).where("cdf > 1e-9 AND cdf < 1 - 1e-9")
+    scaled = dist.rescaled(curve, ["state"], _fit(found)[1].select("state", F.col("end_share").alias("height")), ("cdf", "low", "high"))
+    return scaled.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("cdf", "low", "high")))
+
+
+_COMBINED = ORACLES["ecdf_combined"].rpartition("\nSELECT ")[0]
+
+
+@query(f"""{_COMBINED}, q AS (SELECT state, x, (i * iw + o * ow) / (iw + ow) AS cdf FROM e), n2 AS (SELECT state, x, lead(x) OVER w AS x_to, (lead(cdf) OVER w - cdf) / (lead(x) OVER w - x) AS pdf FROM q WINDOW w AS (PARTITION BY state ORDER BY x))
+SELECT state, {r('x', 'x_to', digits=3)}, {r('pdf * 86400 AS pdf', digits=5)} FROM n2 WHERE x_to IS NOT NULL""")
+def combined_pdf(spark, sf_dir):
+    """The density between neighbouring points of the combined estimate, by day."""
+    found = obs_once(spark, sf_dir)
+    inner, outer = waits.interior(found), waits.exterior(found)
+    curve, fit = _fit(found)
+    counts = inner.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    bars = dist.bars(dist.blended(outer, curve, fit, counts, ["state"]), ["state"])
+    return bars.select("state", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("x", "x_to")), (F.round(F.col("pmf") * 86_400, 5) + F.lit(0.0)).alias("pdf"))
+
+
+@query(f"""WITH {CVV}, c AS (SELECT delta, t, sum / cnt AS cvv, sqrt(greatest(sqs / cnt - (sum / cnt) * (sum / cnt), 0)) / sqrt(cnt) AS ste FROM sums),
+z AS (SELECT *, max(CASE WHEN t = 0 THEN cvv END) OVER (PARTITION BY delta) AS zero FROM c)
+SELECT delta, t, {r('t / delta AS scaled_t', 'cvv / zero / 2 AS scaled', 'ste / zero / 2 AS scaled_ste', 'delta ** 1.5 * cvv / zero / 2 AS moved')} FROM z WHERE delta IN (2, 4) AND t <= 3 * delta""")
+def cvv_rescaled(spark, sf_dir):
+    """Correlation curves of two lags over an amplitude, on scaled axes."""
+    curves_of = lags.correlation_curves(lags.correlation_sums(velocities(spark, sf_dir), []), [])
+    return rounded(lags.rescaled_curves(curves_of, [2, 4], 3.0, 0.5, 2.0).select("delta", "t", "scaled_t", "scaled", "scaled_ste", "moved"))

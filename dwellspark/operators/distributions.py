@@ -110,6 +110,14 @@ def kaplan_meier_bounds(waits: DataFrame, keys: Sequence[str], z: float, observe
     return summed.withColumn("_s", s).select(*keys, "x", (1 - F.col("_s")).alias("cdf"), (1 - F.pow("_s", F.exp(spread))).alias("low"), (1 - F.pow("_s", F.exp(-spread))).alias("high"))
 
 
+def rescaled(curve: DataFrame, keys: Sequence[str], heights: DataFrame, columns: Sequence[str] = ("cdf",)) -> DataFrame:
+    """curve with some columns multiplied so that its cdf ends at each key's height (keys, height): a curve that the window cuts off, at
+    the part of the distribution that the window shows. Keys without a height have no row; a curve that ends at 0 has nulls."""
+    ends = curve.groupBy(*keys).agg(F.max("cdf").alias("_end")).join(heights.select(*keys, "height"), list(keys))
+    scale = F.try_divide(F.col("height"), F.col("_end"))
+    return curve.join(ends, list(keys)).withColumns({c: F.col(c) * scale for c in columns}).drop("_end", "height")
+
+
 def bars(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The density between neighbouring points of a cdf: keys, x, x_to, pmf."""
     after = along(curve, keys, ["x"], x_to=After(F.col("x")), _c=After(F.col("cdf"))).where("x_to IS NOT NULL")

@@ -121,6 +121,15 @@ def correlation_curves(sums: DataFrame, groups: Sequence[str]) -> DataFrame:
     return found.withColumn("cvv_normed", F.try_divide("cvv", zero)).withColumn("ste_normed", F.try_divide("ste", zero))
 
 
+def rescaled_curves(curves: DataFrame, deltas: Sequence[float] | None = None, max_t_over_delta: float = 4.0, exponent: float = 0.5, amplitude: float = 1.0) -> DataFrame:
+    """curves at some lags (all if none are given) with scaled_t, the time over the lag, up to a bound, and the correlation and its error over the amplitude, as scaled and scaled_ste, and
+    as moved: scaled times the lag to the power 2 - exponent, on which curves of all lags of a free locus fall together."""
+    kept = curves if deltas is None else curves.where(F.col("delta").isin(list(deltas)))
+    kept = kept.withColumn("scaled_t", F.try_divide(F.col("t"), F.col("delta"))).where(F.col("scaled_t") <= max_t_over_delta)
+    kept = kept.withColumns({"scaled": F.col("cvv_normed") / amplitude, "scaled_ste": F.col("ste_normed") / amplitude})
+    return kept.withColumn("moved", F.pow(F.col("delta").cast("double"), F.lit(2.0 - exponent)) * F.col("scaled"))
+
+
 def with_normed_error(found: DataFrame) -> DataFrame:
     """ste_norm: the standard error, corrected for the bias of a deviation estimated from few values of a normal."""
     n = F.col("count").cast("double")

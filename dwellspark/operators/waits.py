@@ -62,6 +62,15 @@ def waits_of_changes(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return clipped.withColumn("wait_time", F.col("end_time") - F.col("start_time")).withColumn("wait_type", _kind(first, last))
 
 
+def changes_of_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """State changes of islands (island, state, first_t, last_t), watched from each trajectory's first frame to its last: the window is the data's own span. A state
+    lasts until the next one's first frame, the last one until the last frame."""
+    w, whole = Window.partitionBy(*keys).orderBy("island"), Window.partitionBy(*keys)
+    end = F.coalesce(F.lead("first_t").over(w), F.col("last_t"))
+    ends = (F.min("first_t").over(whole).alias("window_start"), F.max("last_t").over(whole).alias("window_end"))
+    return runs.select(*keys, "state", F.col("first_t").alias("start_time"), end.alias("end_time"), *ends)
+
+
 def interior(waits: DataFrame) -> DataFrame:
     return waits.where(F.col("wait_type") == INTERIOR)
 

@@ -350,3 +350,26 @@ def test_small_checks(spark):
     three = spark.createDataFrame([("a", d, t, 1.0, 2.0, None if t == 3 else 3.0) for d in (1, 2) for t in range(5)], "k string, delta int, ti long, vx double, vy double, vz double")
     found = lags.velocity_products(three, ["k"], ("x", "y", "z"), None, deltas=[2]).collect()
     assert len(found) == 10 and {(r.delta, r.cvv) for r in found} == {(2, 14.0)}
+
+
+def test_windows_of_own_span(spark):
+    rows = [("a", 1.0, "x"), ("a", 2.0, "x"), ("a", 5.0, "y"), ("a", 9.0, "x"), ("b", 3.0, "y"), ("b", 4.0, "y"), ("c", 7.0, "x")]
+    movie = spark.createDataFrame(rows, "k string, t double, state string")
+    changes = waits.changes_of_runs(waits.islands(movie, ["k"]), ["k"])
+    found = {(r.k, r.rank_order): (r.state, r.wait_time, r.window_size, r.wait_type) for r in waits.waits_of_changes(changes, ["k"]).collect()}
+    assert found == {
+        ("a", 1): ("x", 4.0, 8.0, "left exterior"), ("a", 2): ("y", 4.0, 8.0, "interior"), ("a", 3): ("x", 0.0, 8.0, "right exterior"),
+        ("b", 1): ("y", 1.0, 1.0, "full exterior"), ("c", 1): ("x", 0.0, 0.0, "full exterior"),
+    }
+    assert waits.changes_of_runs(waits.islands(movie.limit(0), ["k"]), ["k"]).count() == 0
+
+
+def test_curves_at_their_heights(spark):
+    curve = spark.createDataFrame([("a", 1.0, 0.2, 0.1), ("a", 2.0, 0.5, 0.3), ("b", 1.0, 0.0, 0.0), ("c", 1.0, 1.0, 1.0)], "state string, x double, cdf double, low double")
+    heights = spark.createDataFrame([("a", 0.8), ("b", 0.8)], "state string, height double")
+    found = {(r.state, r.x): (r.cdf, r.low) for r in dist.rescaled(curve, ["state"], heights, ("cdf", "low")).collect()}
+    assert found == {("a", 1.0): pytest.approx((0.32, 0.16)), ("a", 2.0): pytest.approx((0.8, 0.48)), ("b", 1.0): (None, None)}
+    lag = spark.createDataFrame([(2, 4, 0.5, 0.1), (2, 9, 0.5, 0.1), (3, 3, 0.5, 0.1)], "delta int, t int, cvv_normed double, ste_normed double")
+    r = lags.rescaled_curves(lag, [2], 4.0, 0.5, 5.0).collect()
+    assert len(r) == 1 and (r[0].scaled_t, r[0].scaled, r[0].scaled_ste, r[0].moved) == pytest.approx((2.0, 0.1, 0.02, 2**1.5 * 0.1))
+    assert lags.rescaled_curves(lag).count() == 2
