@@ -268,10 +268,12 @@ def test_spellings_of_a_number_are_one(forms):
 def test_addresses_keep_case_and_length():
     one, other = (pii.replace(x, b"k")[0] for x in ("Bob.Ab@Example.com", "bob.ab@example.COM"))
     assert one.lower() == other.lower() and same_shape("Bob.Ab@Example.com", one) and other.endswith(".COM")
-    long, begin = "ab1" * 333_000 + "@b.com", time.process_time()
-    new = pii.replace(long, b"k")[0]
-    took = time.process_time() - begin
-    assert same_shape(long, new) and new != long and took < 1.5
+    taken = []
+    for long in ("ab1" * 83_000 + "@b.com", "ab1" * 333_000 + "@b.com"):
+        begin = time.process_time()
+        new = pii.replace(long, b"k")[0]
+        taken.append(time.process_time() - begin)
+    assert same_shape(long, new) and new != long and (taken[1] < 1.5 or taken[1] < 9 * taken[0])
     ends = {pii.replace(x * 200 + y + "@b.com", b"k")[0] for x in "abc" for y in "xyz"}  # differ in the first or in the last character
     assert len(ends) == len({x[:100] for x in ends}) == len({x[100:] for x in ends}) == 9
 
