@@ -86,8 +86,9 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
             # In a struct, so that a null value is kept.
             edges.append((F.max_by if isinstance(step, Before) else F.min_by)(F.struct(v.alias("v")), place).alias(f"_c_{name}"))
     # A row for each key and range: as few as there are tasks, and one for each key.
+    # What lies behind a row is summed up from the end: Spark goes over the whole rest anew at each row of a frame that ends with its last one.
     ranges = Window.partitionBy(*keys).orderBy("_range")
-    before, after = ranges.rowsBetween(Window.unboundedPreceding, -1), ranges.rowsBetween(1, Window.unboundedFollowing)
+    before, after = ranges.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     for name, step in steps.items():
         c = F.col(f"_c_{name}")
@@ -98,7 +99,7 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
         elif isinstance(step, Last):
             carried.append(F.last(c, True).over(before).alias(f"_c_{name}"))
         elif isinstance(step, First):
-            carried.append(F.first(c, True).over(after).alias(f"_c_{name}"))
+            carried.append(F.last(c, True).over(after).alias(f"_c_{name}"))
         else:
             carried.append((F.lag(c) if isinstance(step, Before) else F.lead(c)).over(ranges)["v"].alias(f"_c_{name}"))
     parts = rows.groupBy(*keys, "_range").agg(*edges)
@@ -108,7 +109,8 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
         same = same & F.col(k).eqNullSafe(F.col(f"_c_key{i}"))
     joined = rows.join(parts, same)
     own = Window.partitionBy(*keys, "_range").orderBy(*order)
-    up, on = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys, "_range").orderBy(*(F.desc(o) for o in order))
+    up, on = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (own, back))
     made = {}
     for name, step in steps.items():
         v, c = F.col(value[name]), F.col(f"_c_{name}")
@@ -119,7 +121,7 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
         elif isinstance(step, Last):
             made[name] = F.coalesce(F.last(v, True).over(up), c)
         elif isinstance(step, First):
-            made[name] = F.coalesce(F.first(v, True).over(on), c)
+            made[name] = F.coalesce(F.last(v, True).over(on), c)
         else:
             beside = F.lag(F.struct(v.alias("v"))) if isinstance(step, Before) else F.lead(F.struct(v.alias("v")))
             there = beside.over(own)

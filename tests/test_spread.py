@@ -52,6 +52,15 @@ def test_one_key_is_in_many_tasks(spark):
             spark.conf.set(c, value)
 
 
+def test_no_frame_ends_with_the_last_row(spark):
+    """Such frames take the square of their rows."""
+    df = spark.range(100).selectExpr("id % 2 AS k", "id AS x")
+    found = along(df, ["k"], ["x"], up=Sum(F.col("x")), down=Sum(F.col("x"), back=True), first=First(F.col("x")), last=Last(F.col("x")), before=Before(F.col("x")), after=After(F.col("x")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$()" in plan and "unboundedfollowing$()" not in plan.replace("unboundedpreceding$(), unboundedfollowing$()", "")
+    assert sorted((r.x, r.down, r.first) for r in found.where("k = 0").collect()) == [(x, sum(range(x, 100, 2)), x) for x in range(0, 100, 2)]
+
+
 def test_long_waits_are_those_of_windows(spark):
     rng = random.Random(4)
     rows = [(k, t, rng.choice(["a", "a", "b", None]), None) for k in ("x", "y") for t in sorted(rng.sample(range(900), 300))] + [("single", 5, "a", None), ("none", 1, None, None)]
