@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellspark.functions.theory import log_gamma
+from dwellspark.operators.streamed import by_key
 
 
 #: Tiles are so many times as long as the largest lag: a frame is in two tiles for one in so many.
@@ -137,35 +138,48 @@ def with_normed_error(found: DataFrame) -> DataFrame:
     return found.withColumn("ste_norm", F.when(F.col("count") > 1, F.col("ste") * F.sqrt(F.try_divide(F.lit(2.0), n - 1)) * ratio))
 
 
-_FFT = "t long, n long, total double, squares double"
+#: Numbers of a matrix whose rows are transformed at once.
+CELLS = 1 << 19
 
 
 def lagged_sums(df: DataFrame, keys: Sequence[str], t: str = "t", coords: Sequence[str] = ("x",)) -> DataFrame:
     """keys, t (the lag, a whole number of frames), n, total, squares: of the dot products of all pairs of frames of a trajectory that lie so far apart, how many there are, their
     sum and the sum of their squares. No pair is made: values and the mask of present frames are padded with zeros and
-    correlated by Fourier transforms, in n log n of the frames between a trajectory's ends. Rows with a null don't count; of repeated frames, the values and counts add up."""
-
-    def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        at = own[t].to_numpy(np.int64)
-        at = at - at.min()
-        size = int(at.max()) + 1
-        padded = 1 << (2 * size - 1).bit_length()
-        values = own[list(coords)].to_numpy(float)
-
-        def correlated(v: np.ndarray) -> np.ndarray:
-            """Sums of v at a frame times v at a later one, by lag."""
-            f = np.fft.rfft(np.bincount(at, v, size), padded)
-            return np.fft.irfft(f * np.conj(f), padded)[:size]
-
-        n = np.rint(correlated(np.ones(len(at)))).astype(np.int64)
-        total = sum(correlated(values[:, i]) for i in range(len(coords)))
-        squares = sum((2 if i < j else 1) * correlated(values[:, i] * values[:, j]) for i in range(len(coords)) for j in range(i, len(coords)))
-        held = np.flatnonzero(n)
-        made = pd.DataFrame({"t": held, "n": n[held], "total": total[held], "squares": np.maximum(squares[held], 0.0)})
-        return made.assign(**dict(zip(keys, key)))[[*keys, "t", "n", "total", "squares"]]
-
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + f", {_FFT}"
-    return df.select(*keys, t, *coords).dropna(subset=[t, *coords]).groupBy(*keys).applyInPandas(one, schema)
+    correlated by Fourier transforms, in n log n of the frames between a trajectory's ends, many trajectories of about one length at once.
+    Rows with a null don't count; of repeated frames, the values and counts add up."""
+    names = [f"_x{i}" for i in range(len(coords))]
+
+    def work(table: pa.Table, starts: np.ndarray) -> dict:
+        at = table.column("_t").to_numpy()
+        values = [table.column(c).to_numpy() for c in names]
+        key = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at))))
+        at = at - np.minimum.reduceat(at, starts)[key]
+        padded = 1 << np.frexp(2.0 * np.maximum.reduceat(at, starts) + 1)[1].astype(np.int64)
+        parts = []
+        for width in np.unique(padded):
+            width, of = int(width), np.flatnonzero(padded == width)
+            for few in np.split(of, range(step := max(1, CELLS // width), len(of), step)):
+                place = np.full(len(starts), -1)
+                place[few] = np.arange(len(few))
+                own = np.flatnonzero(place[key] >= 0)
+                cell = place[key[own]] * width + at[own]
+
+                def correlated(v: np.ndarray | None) -> np.ndarray:
+                    """Sums of v at a frame times v at a later one, by trajectory and lag."""
+                    f = np.fft.rfft(np.bincount(cell, v, len(few) * width).reshape(len(few), width))
+                    return np.fft.irfft(f * np.conj(f), width)[:, : width // 2]
+
+                n = np.rint(correlated(None)).astype(np.int64)
+                seen = [v[own] for v in values]
+                total = sum(correlated(v) for v in seen)
+                squares = sum((2 if i < j else 1) * correlated(seen[i] * seen[j]) for i in range(len(seen)) for j in range(i, len(seen)))
+                row, lag = np.nonzero(n)
+                parts.append((few[row], lag, n[row, lag], total[row, lag], np.maximum(squares[row, lag], 0.0)))
+        return dict(zip(("of", "t", "n", "total", "squares"), map(np.concatenate, zip(*parts))))
+
+    own = df.select(*keys, t, *coords).dropna(subset=[t, *coords])
+    own = own.select(*keys, F.col(t).cast("long").alias("_t"), *(F.col(c).cast("double").alias(n) for c, n in zip(coords, names)))
+    return by_key(own, keys, "t long, n long, total double, squares double", work)
 
 
 def autocorrelation_by_transform(df: DataFrame, keys: Sequence[str], t: str = "t", x: str = "x") -> DataFrame:

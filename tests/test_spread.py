@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dwellspark.functions import special
 from dwellspark.operators import bootstrap, curves
 from dwellspark.operators import distributions as dist
-from dwellspark.operators import fits, frames, geometry, lags, least_squares, loci, long, moments, waits
+from dwellspark.operators import fits, frames, geometry, lags, least_squares, loci, long, moments, streamed, waits
 from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along
 from dwellspark.sources import cache, runs
 
@@ -382,3 +382,25 @@ def test_curves_at_their_heights(spark):
     r = lags.rescaled_curves(lag, [2], 4.0, 0.5, 5.0).collect()
     assert len(r) == 1 and (r[0].scaled_t, r[0].scaled, r[0].scaled_ste, r[0].moved) == pytest.approx((2.0, 0.1, 0.02, 2**1.5 * 0.1))
     assert lags.rescaled_curves(lag).count() == 2
+
+
+def test_short_trajectories_are_transformed_together(spark, monkeypatch):
+    """Keys that batches cut through, null ones and one longer than a task gathers, each as if it were alone; no call for each key."""
+    monkeypatch.setattr(streamed, "ROWS", 8)
+    monkeypatch.setattr(lags, "CELLS", 64)
+    rng = random.Random(11)
+    rows = [(k, d, t, rng.gauss(0, 1)) for k, n in [(None, 5), ("long", 90), *((f"k{i}", i % 7 + 1) for i in range(40))] for d in (1, 2) for t in range(3, 3 + n)]
+    df = spark.createDataFrame(rows, "k string, d int, t long, x double").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = lags.lagged_sums(df, ["k", "d"])
+        assert "InPandas" not in made._jdf.queryExecution().toString()
+        found = {(r.k, r.d, r.t): (r.n, r.total) for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    values = {}
+    for k, d, t, x in rows:
+        values.setdefault((k, d), []).append(x)
+    want = {(*key, lag): (len(v) - lag, sum(v[i] * v[i + lag] for i in range(len(v) - lag))) for key, v in values.items() for lag in range(len(v))}
+    assert set(found) == set(want) and all(found[i] == pytest.approx(want[i], rel=1e-9, abs=1e-9) for i in want)
