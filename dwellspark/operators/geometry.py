@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwellspark.operators.streamed import by_key
+
 #: Points of a part of a trajectory, about: corners of parts are found apart, then those of the whole among them.
 PART = 50_000
 
 
 def _hull(points: np.ndarray) -> np.ndarray:
     """Corners of the hull of points in the plane, counter-clockwise: the lower and the upper chain."""
-    points = np.unique(points, axis=0)
+    # Plain numbers: most trajectories have few points, for which arrays are slow.
+    ordered = sorted(set(map(tuple, points.tolist())))
 
     def chain(ordered) -> list:
         kept: list = []
@@ -25,12 +29,70 @@ def _hull(points: np.ndarray) -> np.ndarray:
             kept.append(p)
         return kept[:-1]
 
-    return np.array(chain(points) + chain(points[::-1]))
+    return np.array(chain(ordered) + chain(ordered[::-1]))
+
+
+#: Up to so many points, their hull is taken in plain numbers.
+FEW = 64
+
+
+def _facets_of_few(points: np.ndarray) -> np.ndarray | None:
+    """_facets in plain numbers, step by step the same."""
+    p = points.tolist()
+    if len(p) < 4:
+        return None
+    mx, my, mz = (sum(c) / len(p) for c in zip(*p))
+    scale = max(max(abs(x - mx), abs(y - my), abs(z - mz)) for x, y, z in p)
+    if scale == 0:
+        return None
+
+    def across(u, v, w) -> tuple:
+        ax, ay, az, bx, by, bz = v[0] - u[0], v[1] - u[1], v[2] - u[2], w[0] - u[0], w[1] - u[1], w[2] - u[2]
+        return ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
+
+    def apart(u, v) -> float:
+        return (u[0] - v[0]) ** 2 + (u[1] - v[1]) ** 2 + (u[2] - v[2]) ** 2
+
+    every = range(len(p))
+    a = min(every, key=lambda i: p[i][0])
+    b = max(every, key=lambda i: apart(p[i], p[a]))
+
+    def off(i: int) -> float:
+        x, y, z = across(p[a], p[b], p[i])
+        return x * x + y * y + z * z
+
+    c = max(every, key=off)
+    nx, ny, nz = across(p[a], p[b], p[c])
+    height = [(x - p[a][0]) * nx + (y - p[a][1]) * ny + (z - p[a][2]) * nz for x, y, z in p]
+    d = max(every, key=lambda i: abs(height[i]))
+    if abs(height[d]) <= 1e-12 * scale**3:
+        return None
+    middle = tuple(sum(p[i][k] for i in (a, b, c, d)) / 4 for k in range(3))
+
+    def plane(u: int, v: int, w: int) -> tuple:
+        o = p[u]
+        x, y, z = across(o, p[v], p[w])
+        if (middle[0] - o[0]) * x + (middle[1] - o[1]) * y + (middle[2] - o[2]) * z > 0:
+            u, v, w, x, y, z = w, v, u, -x, -y, -z
+        return u, v, w, x, y, z, x * o[0] + y * o[1] + z * o[2], 1e-12 * scale * math.sqrt(x * x + y * y + z * z)
+
+    faces = [plane(a, b, c), plane(a, b, d), plane(a, c, d), plane(b, c, d)]
+    for i in sorted(every, key=lambda i: -apart(p[i], middle)):
+        x, y, z = p[i]
+        seen = [f for f in faces if f[3] * x + f[4] * y + f[5] * z - f[6] > f[7]]
+        if not seen:
+            continue
+        edges = {e for u, v, w, *_ in seen for e in ((u, v), (v, w), (w, u))}
+        faces = [f for f in faces if not f[3] * x + f[4] * y + f[5] * z - f[6] > f[7]]
+        faces += [plane(u, v, i) for u, v in edges if (v, u) not in edges]
+    return np.array([f[:3] for f in faces])
 
 
 def _facets(points: np.ndarray) -> np.ndarray | None:
     """Triangles of the hull of points in space, as rows of three indices, seen counter-clockwise from outside; None if all lie in
     a plane. Points come one by one: the triangles that see a new one give way to those from their rim to it."""
+    if len(points) <= FEW:
+        return _facets_of_few(points)
     scale = float(np.abs(points - points.mean(0)).max()) if len(points) else 0.0
     if len(points) < 4 or scale == 0:
         return None
@@ -76,27 +138,31 @@ def _corners(points: np.ndarray) -> np.ndarray:
 
 
 def _measured(df: DataFrame, keys: Sequence[str], names: Sequence[str], out: Sequence[str], measure) -> DataFrame:
-    """keys and what measure says of each key's distinct points; those of a long trajectory are thinned out to corners by parts."""
-    own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    """keys and what measure says of each key's points, many keys in a call; the distinct points of a long trajectory are thinned out to corners by parts."""
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return np.column_stack([table.column(n).to_numpy() for n in names])
 
-    def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(_corners(rows[list(names)].to_numpy(float)), columns=list(names))
-        for i, k in enumerate(keys):
-            found.insert(i, k, key[i])
-        return found
+    def thinned(table: pa.Table, starts: np.ndarray) -> dict:
+        corners = [_corners(part) for part in np.split(matrix(table), starts[1:])]
+        found = np.concatenate(corners)
+        return {"of": np.repeat(np.arange(len(corners)), [len(c) for c in corners]), **{n: found[:, i] for i, n in enumerate(names)}}
 
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *measure(rows[list(names)].to_numpy(float))]], columns=[*keys, *out])
+    def whole(table: pa.Table, starts: np.ndarray) -> dict:
+        found = [measure(own) for own in np.split(matrix(table), starts[1:])]
+        return {"of": np.arange(len(found)), **{o: pa.array([f[i] for f in found], pa.float64()) for i, o in enumerate(out)}}
 
     there = df
-    for n in names:
+    for n in (*keys, *names):
         there = there.where(F.col(n).isNotNull())
-    points = there.select(*keys, *(F.col(n).cast("double").alias(n) for n in names)).distinct()
-    sizes = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART).alias("_parts"))
-    cut = points.join(sizes, list(keys)).withColumn("_part", F.pmod(F.xxhash64(*names), F.col("_parts")))
-    long = cut.where("_parts > 1").groupBy(*keys, "_part").applyInPandas(lambda key, rows: part(key[:-1], rows), own + "".join(f", `{n}` double" for n in names))
-    left = cut.where("_parts = 1").select(*keys, *names).unionByName(long)
-    return left.groupBy(*keys).applyInPandas(whole, own + "".join(f", {o} double" for o in out))
+    points = there.select(*keys, *(F.col(n).cast("double").alias(n) for n in names))
+    # Only the few long trajectories have a row, at most one for each PART points.
+    sizes = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART).alias("_parts")).where("_parts > 1")
+    cut = points.join(sizes, list(keys), "left")
+    long = cut.where("_parts > 1").distinct().withColumn("_part", F.pmod(F.xxhash64(*names), F.col("_parts"))).drop("_parts")
+    corners = by_key(long, [*keys, "_part"], ", ".join(f"`{n}` double" for n in names), thinned).drop("_part")
+    left = cut.where("_parts IS NULL").select(*keys, *names).unionByName(corners)
+    return by_key(left, keys, ", ".join(f"{o} double" for o in out), whole)
 
 
 def at_times(df: DataFrame, t: str = "t", allowed: DataFrame | Sequence | None = None, last: float | None = None) -> DataFrame:
@@ -110,15 +176,15 @@ def at_times(df: DataFrame, t: str = "t", allowed: DataFrame | Sequence | None =
 
 def hull_area(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """keys, area, perimeter of the hull of each trajectory's points; null with fewer than three corners. Repeated points
-    are dropped before a trajectory meets in a task."""
+    of a long trajectory are dropped before it meets in a task."""
 
     def measure(points: np.ndarray) -> tuple:
         corners = _hull(points)
         if len(corners) < 3:
             return None, None
-        after = np.roll(corners, -1, axis=0)
-        area = float(np.sum(corners[:, 0] * after[:, 1] - after[:, 0] * corners[:, 1]) / 2)
-        return area, float(np.hypot(*(after - corners).T).sum())
+        ends = corners.tolist()
+        sides = list(zip(ends, ends[1:] + ends[:1]))
+        return sum(u[0] * v[1] - v[0] * u[1] for u, v in sides) / 2, sum(math.hypot(v[0] - u[0], v[1] - u[1]) for u, v in sides)
 
     return _measured(df, keys, [x, y], ["area", "perimeter"], measure)
 
@@ -130,7 +196,10 @@ def hull_volume(df: DataFrame, keys: Sequence[str], x: str = "X", y: str = "Y",
         faces = _facets(points)
         if faces is None:
             return None, None
-        a, b, c = (points[faces[:, i]] - points.mean(0) for i in range(3))
-        return float((a * np.cross(b, c)).sum() / 6), float(np.linalg.norm(np.cross(b - a, c - a), axis=1).sum() / 2)
+        # Of all triangles at once, written out: numpy's cross product is slow on few rows.
+        (ax, ay, az), (bx, by, bz), (cx, cy, cz) = ((points[faces[:, i]] - points.mean(0)).T for i in range(3))
+        ux, uy, uz, vx, vy, vz = bx - ax, by - ay, bz - az, cx - ax, cy - ay, cz - az
+        nx, ny, nz = uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx
+        return float((ax * nx + ay * ny + az * nz).sum() / 6), float(np.sqrt(nx * nx + ny * ny + nz * nz).sum() / 2)
 
     return _measured(df, keys, [x, y, z], ["volume", "area"], measure)

@@ -28,9 +28,9 @@ def _starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
-def by_key(df: DataFrame, keys: Sequence[str], schema: str, work: Callable[[pa.Table, np.ndarray], dict], shrink: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
+def by_key(df: DataFrame, keys: Sequence[str], schema: str, work: Callable[[pa.Table, np.ndarray], dict]) -> DataFrame:
     """keys and further columns (schema) of each key, null ones too. Rows are dealt out and sorted by key (of plain types), and read in that order; work has the rows of many whole keys
-    and where each starts, and returns of (the number of the key, for each row made) and the further columns. A task holds ROWS rows and those of one key, which shrink may thin out when it has more."""
+    and where each starts, and returns of (the number of the key, for each row made) and the further columns. A task holds ROWS rows and those of one key."""
     names = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,8 +52,6 @@ def by_key(df: DataFrame, keys: Sequence[str], schema: str, work: Callable[[pa.T
             if len(starts) > 1:
                 yield from made(table.slice(0, starts[-1]), starts[:-1])
             rest = table.slice(starts[-1])
-            if shrink is not None and len(rest) >= ROWS:
-                rest = shrink(rest)
             # A long key is gathered until it has doubled, not copied with each batch.
             held, n, limit = [rest], len(rest), max(ROWS, 2 * len(rest))
         if n:

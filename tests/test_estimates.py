@@ -65,6 +65,28 @@ def test_hull_volume(spark, monkeypatch, part):
     assert math.isclose(areas["cube"], 4) and areas["point"] is None
 
 
+def test_hulls_of_many_trajectories_in_one_call(spark):
+    """Points on a grid, many of them in one plane; few and many points have the same hull, and no key has a call of its own."""
+    rng = np.random.default_rng(6)
+    points = {k: np.column_stack([rng.integers(0, 90, 3 + k % 9) / 4, rng.integers(0, 5, 3 + k % 9) / 10, rng.integers(0, 3, 3 + k % 9) / 10]) for k in range(60)}
+    df = spark.createDataFrame([(k, *map(float, p)) for k, own in points.items() for p in own], "k long, X double, Y double, Z double").repartition(3)
+    volumes, areas = geometry.hull_volume(df, ["k"]), geometry.hull_area(df, ["k"], "X", "Y")
+    assert not any("InPandas" in d._jdf.queryExecution().toString() for d in (volumes, areas))
+    found = {r.k: (r.volume, r.area) for r in volumes.collect()}
+    assert set(found) == set(points) and areas.count() == len(points)
+    some = 0
+    for k, own in points.items():
+        again = np.concatenate([own] * geometry.FEW)  # repeated points change nothing
+        faces = geometry._facets(again)
+        assert (faces is None) == (found[k] == (None, None))
+        if faces is not None:
+            some += 1
+            a, b, c = (again[faces[:, i]] for i in range(3))
+            normal = np.cross(b - a, c - a)
+            assert np.allclose(found[k], (((a - own.mean(0)) * normal).sum() / 6, np.linalg.norm(normal, axis=1).sum() / 2))
+    assert 20 < some < 60
+
+
 def test_two_loci_are_found_again(spark):
     t, delta = (g.ravel().astype(float) for g in np.meshgrid(np.arange(0, 40), [2, 5, 10]))
     y = 0.7 * special.separation_correlation(t, delta, 25.0)
