@@ -14,6 +14,8 @@ from dwellspark.operators.scratch import written
 
 #: Draws above this have a chance below 1e-7 (for a mean of at most 1) and count as it.
 MOST = 9
+#: Draws that are made from one row.
+PART = 10_000
 
 
 def uniform(seed: int, *columns: str | Column) -> Column:
@@ -47,7 +49,10 @@ def resampled(df: DataFrame, identity: Sequence[str], replicates: int, seed: int
     """df with boot_id and times, how often a row counts there; rows that a replicate doesn't draw are left out. Rows
     of one identity, such as a trajectory, are drawn together. Sum rows up by identity first: each is repeated."""
     spread = df.withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return spread.withColumn("times", poisson(uniform(seed, "boot_id", *identity), mean)).where("times > 0")
+    # Rows that aren't drawn go by the number itself: a condition on times would hash each row again for each of its steps.
+    none = F.exp(-mean) if isinstance(mean, Column) else F.lit(math.exp(-mean))
+    spread = spread.withColumn("_u", uniform(seed, "boot_id", *identity)).where(F.col("_u") >= none)
+    return spread.withColumn("times", poisson(F.col("_u"), mean)).drop("_u")
 
 
 def drawn(df: DataFrame, identity: Sequence[str], replicates: int, seed: int = 0) -> DataFrame:
@@ -103,8 +108,12 @@ def drawn_shares(curve: DataFrame, keys: Sequence[str], n: str, replicates: int,
     """keys, boot_id, bin, pmf: in each replicate, n numbers drawn from a cdf on a short grid (keys, x, cdf, n), as the share of
     those within the grid that lie in each bin between its points. Bins without a draw have no row. Draws are rows, made from one row a key."""
     rows = curve.groupBy(*keys).agg(F.array_sort(F.collect_list("cdf")).alias("_c"), F.max(n).alias("_n"))
-    boots = rows.withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(*keys, "boot_id")
-    drawn = boots.where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"))))
+    boots = rows.where("_n > 0").withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # Draws are dealt out in parts, over a number of tasks that is given: the rows they are made from are too small for Spark to keep them apart.
+    parts = boots.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / PART).cast("long"))))
+    parts = parts.repartition(int(curve.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "boot_id", "_part")
+    last = F.least(F.col("_n").cast("long"), (F.col("_part") + 1) * PART)
+    drawn = parts.withColumn("_i", F.explode(F.sequence(F.col("_part") * PART + 1, last))).drop("_part")
     drawn = drawn.withColumn("_u", uniform(seed, "boot_id", *keys, "_i"))
     # The first point that isn't below the draw; what lies before the first point or after the last has no bin.
     at = F.size(F.filter("_c", lambda c: c < F.col("_u")))

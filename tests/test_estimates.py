@@ -145,6 +145,24 @@ def test_draws_follow_the_curve(spark):
     assert bootstrap.drawn_shares(curve.limit(0), ["k"], "n", 10).count() == 0
 
 
+def test_draws_are_dealt_out_in_parts(spark, monkeypatch):
+    curve = spark.createDataFrame([("a", float(x), x / 4, 1003) for x in range(5)], "k string, x double, cdf double, n long")
+    whole = lambda d: sorted(map(tuple, d.collect()))
+    one = whole(bootstrap.drawn_shares(curve, ["k"], "n", 3, 5))
+    monkeypatch.setattr(bootstrap, "PART", 10)
+    found = bootstrap.drawn_shares(curve, ["k"], "n", 3, 5)
+    assert whole(found) == one and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_row_is_hashed_once_to_leave_it_out(spark):
+    df = spark.range(2000).withColumn("traj", F.col("id"))
+    found = bootstrap.resampled(df, ["traj"], 3, 7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("md5(") for line in plan.splitlines() if "Filter" in line) == 1
+    every = df.withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("times", bootstrap.poisson(bootstrap.uniform(7, "boot_id", "traj")))
+    assert found.columns == every.columns and sorted(map(tuple, found.collect())) == sorted(tuple(r) for r in every.collect() if r.times > 0)
+
+
 def test_frames_at_any_times(spark):
     changes = spark.createDataFrame([(1, "A", 0.9, 1.5), (1, "B", 1.5, 1.7), (1, "A", 1.7, 2.5), (1, "B", 2.5, 3.1), (2, "A", 70.0, 80.0)], "traj int, state string, start_time double, end_time double")
     found = sorted(map(tuple, frames.quantised_on(changes, ["traj"], [0, 1, 2, 3, 4, 5, 6]).collect()))
