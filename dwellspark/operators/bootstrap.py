@@ -73,12 +73,12 @@ def windowed_shares(rows: DataFrame, waits: DataFrame, keys: Sequence[str], traj
     trajectories have. rows: trajectory, keys, boot_id, times, wait_time, window_size, bin, of waits seen whole. waits: trajectory, boot_id, times, window_size of all."""
     sizes = waits.groupBy("boot_id", *trajectory).agg(F.max("window_size").alias("x"), F.max("times").alias("_t"))
     sizes = sizes.groupBy("boot_id", "x").agg(F.sum("_t").alias("_n"))
-    asked = rows.select("boot_id", F.col("wait_time").alias("x"), F.lit(0).cast("long").alias("_n")).distinct()
-    points = asked.unionByName(sizes).groupBy("boot_id", "x").agg(F.sum("_n").alias("_n"))
-    survived = along(points, ["boot_id"], ["x"], _up=Sum(F.col("_n"), back=True), _all=Whole(F.col("_n")))
-    survived = survived.select("boot_id", F.col("x").alias("wait_time"), (F.col("_up") / F.col("_all")).alias("sf"))
-    weight = F.try_divide(F.col("times") / (F.col("window_size") - F.col("wait_time")), F.col("sf"))
-    found = rows.where("window_size > wait_time").join(survived, ["boot_id", "wait_time"]).groupBy(*keys, "boot_id", "bin").agg(F.sum(weight).alias("k"))
+    # Equal waits are one row; they and the sizes of windows go along the replicate's waits once, so that none has to be looked up.
+    counted = rows.where("window_size > wait_time").groupBy(*keys, "boot_id", "bin", F.col("wait_time").alias("x"), "window_size").agg(F.sum("times").alias("_t"))
+    both = counted.withColumns({"_n": F.lit(0).cast("long"), "_q": F.lit(0)}).unionByName(sizes.withColumn("_q", F.lit(1)), allowMissingColumns=True)
+    met = along(both, ["boot_id"], ["x", "_q"], _up=Sum(F.col("_n"), back=True), _all=Whole(F.col("_n"))).where("_q = 0")
+    weight = F.try_divide(F.col("_t") / (F.col("window_size") - F.col("x")), F.col("_up") / F.col("_all"))
+    found = met.groupBy(*keys, "boot_id", "bin").agg(F.sum(weight).alias("k"))
     return shares(found, keys, "k")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along
+from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along, dealt, over
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], x: str, pad_at: float | None = None) -> DataFrame:
@@ -28,12 +28,15 @@ def running(df: DataFrame, keys: Sequence[str], x: str, sums: dict[str, Column],
 
 def _stepped(weights: DataFrame, keys: Sequence[str], weight: str, pad_at: float | None) -> DataFrame:
     """Running sums of weights, divided by their total."""
-    summed = running(weights, keys, "x", {"_up": F.col(weight)}, total=True)
-    found = summed.select(*keys, "x", (F.col("_up") / F.col("_up_total")).alias("cdf"))
+    steps = {"_up": Sum(F.col(weight)), "_all": Whole(F.col(weight))}
+    share = (F.col("_up") / F.col("_all")).alias("cdf")
     if pad_at is None:
-        return found
-    padded = weights.select(*keys).distinct().select(*keys, F.lit(float(pad_at)).alias("x"), F.lit(0.0).alias("cdf"))
-    return found.where(F.col("x") != pad_at).unionByName(padded)
+        return along(weights, keys, ["x"], **steps).select(*keys, "x", share)
+    # A key's first row brings the padded one, so weights aren't made again for a list of keys.
+    summed = along(weights, keys, ["x"], **steps, _one=Before(F.lit(1)))
+    pad = F.when(F.col("_one").isNull(), F.struct(F.lit(float(pad_at)).alias("x"), F.lit(0.0).alias("cdf")))
+    own = F.when(F.col("x") != pad_at, F.struct(F.col("x").cast("double").alias("x"), share))
+    return summed.select(*keys, F.explode(F.array_compact(F.array(pad, own))).alias("_p")).select(*keys, "_p.*")
 
 
 def ecdf_on(df: DataFrame, keys: Sequence[str], x: str, grid: Sequence[float]) -> DataFrame:
@@ -47,11 +50,17 @@ def ecdf_on(df: DataFrame, keys: Sequence[str], x: str, grid: Sequence[float]) -
 
 def window_survival(waits: DataFrame, trajectory: Sequence[str], at: DataFrame, keys: Sequence[str]) -> DataFrame:
     """at (keys, x) with sf: the share of trajectories whose window is at least x."""
+    return survived(waits, trajectory, at.select(*keys, "x"))
+
+
+def survived(waits: DataFrame, trajectory: Sequence[str], at: DataFrame) -> DataFrame:
+    """at (x and any other columns) with sf, as in window_survival. Sizes of windows are counted among the rows themselves, which go through once and meet nothing."""
     sizes = waits.groupBy(*trajectory).agg(F.max("window_size").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("_n"))
-    # Windows are counted once for all keys, at the values that are asked for.
-    points = at.select("x").distinct().withColumn("_n", F.lit(0).cast("long")).unionByName(sizes).groupBy("x").agg(F.sum("_n").alias("_n"))
-    counted = running(points, [], "x", {"_up": F.col("_n")}, after=True, total=True)
-    return at.join(counted.select("x", (F.col("_up") / F.col("_up_total")).alias("sf")), "x").select(*keys, "x", "sf")
+    asked = at.where(F.col("x").isNotNull()).withColumns({"_n": F.lit(0).cast("long"), "_q": F.lit(0)})
+    # A window as long as a wait lies behind it.
+    both = asked.unionByName(sizes.withColumn("_q", F.lit(1)), allowMissingColumns=True)
+    counted = along(both, [], ["x", "_q"], _up=Sum(F.col("_n"), back=True), _all=Whole(F.col("_n"))).where("_q = 0")
+    return counted.select(*at.columns, (F.col("_up") / F.col("_all")).alias("sf"))
 
 
 def ecdf_windowed(interior: DataFrame, keys: Sequence[str], waits: DataFrame | None = None, trajectory: Sequence[str] = (), pad_at: float | None = 0.0) -> DataFrame:
@@ -67,7 +76,7 @@ def windowed_weights(interior: DataFrame, keys: Sequence[str], waits: DataFrame
     weight = F.try_divide(F.col("_n").cast("double"), F.col("window_size") - F.col("x"))
     by_time = by_time.where(F.col("window_size") > F.col("x")).withColumn("_w", weight).groupBy(*keys, "x").agg(F.sum("_w").alias("_w"))
     if waits is not None:
-        by_time = by_time.join(window_survival(waits, trajectory, by_time.select(*keys, "x"), keys), [*keys, "x"]).withColumn("_w", F.try_divide("_w", "sf")).drop("sf")
+        by_time = survived(waits, trajectory, by_time).withColumn("_w", F.try_divide("_w", "sf")).drop("sf")
     return by_time.where(F.col("_w").isNotNull()).withColumnRenamed("_w", "w")
 
 
@@ -80,19 +89,20 @@ def running_on(weights: DataFrame, at: DataFrame, keys: Sequence[str]) -> DataFr
 
 def integral(curve: DataFrame, keys: Sequence[str], y: str = "cdf") -> DataFrame:
     """Adds the running integral of a step curve, taken at right ends, as area."""
-    stepped = along(curve, keys, ["x"], _x=Before(F.col("x")))
-    return along(stepped, keys, ["x"], area=Sum(F.coalesce(F.col(y) * (F.col("x") - F.col("_x")), F.lit(0.0)))).drop("_x")
+    stepped = over(dealt(curve, keys, ["x"]), keys, ["x"], _x=Before(F.col("x")))
+    return over(stepped, keys, ["x"], area=Sum(F.coalesce(F.col(y) * (F.col("x") - F.col("_x")), F.lit(0.0)))).drop("_x", "_range")
 
 
 def kaplan_meier(waits: DataFrame, keys: Sequence[str], observed: str = "interior") -> DataFrame:
     """keys, x, cdf: 1 - the product-limit survival, waits not seen whole being censored."""
     event = (F.col("wait_type") == observed).cast("int")
     by_time = waits.groupBy(*keys, F.col("wait_time").alias("x")).agg(F.sum(event).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    risk = running(by_time, keys, "x", {"_r": F.col("_n")}, after=True)
+    # Values are dealt out once, for those at risk and for what is made of them.
+    risk = over(dealt(by_time, keys, ["x"]), keys, ["x"], _r=Sum(F.col("_n"), back=True))
     rest = F.col("_r") - F.col("_d")
     # Products as sums of logarithms; from a step to 0 on, all is 0.
     steps = risk.withColumns({"_l": F.when(rest > 0, F.log(rest / F.col("_r"))), "_z": (rest == 0).cast("int")})
-    summed = running(steps, keys, "x", {"_ls": F.col("_l"), "_zs": F.col("_z")})
+    summed = over(steps, keys, ["x"], _ls=Sum(F.col("_l")), _zs=Sum(F.col("_z")))
     return summed.select(*keys, "x", F.when(F.col("_zs") > 0, 1.0).otherwise(1 - F.exp("_ls")).alias("cdf"))
 
 
@@ -100,11 +110,13 @@ def kaplan_meier_bounds(waits: DataFrame, keys: Sequence[str], z: float, observe
     """kaplan_meier with low and high: Greenwood's variance on the scale of the survival's double logarithm."""
     event = (F.col("wait_type") == observed).cast("int")
     by_time = waits.groupBy(*keys, F.col("wait_time").alias("x")).agg(F.sum(event).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    risk = running(by_time, keys, "x", {"_r": F.col("_n")}, after=True)
+    # Values are dealt out once, for those at risk and for what is made of them.
+    risk = over(dealt(by_time, keys, ["x"]), keys, ["x"], _r=Sum(F.col("_n"), back=True))
     rest = F.col("_r") - F.col("_d")
     # Sums of logarithms: a survival of 0 stays 0, since its step has none.
     step = F.when(rest > 0, F.log(rest / F.col("_r")))
-    summed = running(risk.withColumns({"_l": step, "_v": F.when(rest > 0, F.col("_d") / (F.col("_r") * rest)), "_z": (rest == 0).cast("int")}), keys, "x", {"_ls": F.col("_l"), "_vs": F.col("_v"), "_zs": F.col("_z")})
+    steps = risk.withColumns({"_l": step, "_v": F.when(rest > 0, F.col("_d") / (F.col("_r") * rest)), "_z": (rest == 0).cast("int")})
+    summed = over(steps, keys, ["x"], _ls=Sum(F.col("_l")), _vs=Sum(F.col("_v")), _zs=Sum(F.col("_z")))
     s = F.when(F.col("_zs") > 0, 0.0).otherwise(F.exp(F.coalesce("_ls", F.lit(0.0))))
     spread = z * F.sqrt(F.coalesce("_vs", F.lit(0.0))) / F.log(F.col("_s"))
     return summed.withColumn("_s", s).select(*keys, "x", (1 - F.col("_s")).alias("cdf"), (1 - F.pow("_s", F.exp(spread))).alias("low"), (1 - F.pow("_s", F.exp(-spread))).alias("high"))

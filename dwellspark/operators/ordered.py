@@ -2,7 +2,7 @@
 
 Rows are dealt into ranges of (keys, order) once, and each range is worked on by itself. What it needs of the
 ranges beside it - their sums, their edge rows, their last values that aren't null - is a row for each key and range,
-summed up over the ranges and joined back. So a key that holds most of the rows is worked on by as many tasks as its rows ask for.
+summed up over the ranges and sent back to the ranges of keys that have several. So a key that holds most of the rows is worked on by as many tasks as its rows ask for.
 """
 
 from __future__ import annotations
@@ -70,9 +70,19 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
     """df with a column for each step, taken along the order within each key (all rows are one key if there is none). Rows of a key must differ in their
     order, else ties are in any order; nulls come first. Null keys are keys like any other. An empty table gives an empty one.
     Columns named _range, _v_... and _c_... are replaced."""
+    return over(dealt(df, keys, order), keys, order, **steps).drop("_range")
+
+
+def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df as a table, with the number of the range (_range) that each row was dealt into."""
+    return written(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def over(rows: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Step) -> DataFrame:
+    """along, of rows that were dealt by these keys and this order already. Rows keep their range, so what is made can be gone along again."""
     value = {name: f"_v_{name}" for name in steps}
-    rows = df.withColumns({value[n]: s.of for n, s in steps.items()})
-    rows = written(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    kept = [c for c in rows.columns if c not in steps]
+    rows = rows.withColumns({value[n]: s.of for n, s in steps.items()})
     place = F.struct(*order)
     edges = []
     for name, step in steps.items():
@@ -85,7 +95,7 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
         else:
             # In a struct, so that a null value is kept.
             edges.append((F.max_by if isinstance(step, Before) else F.min_by)(F.struct(v.alias("v")), place).alias(f"_c_{name}"))
-    # A row for each key and range: as few as there are tasks, and one for each key.
+    # A row for each key and range.
     # What lies behind a row is summed up from the end: Spark goes over the whole rest anew at each row of a frame that ends with its last one.
     ranges = Window.partitionBy(*keys).orderBy("_range")
     before, after = ranges.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -103,11 +113,13 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
         else:
             carried.append((F.lag(c) if isinstance(step, Before) else F.lead(c)).over(ranges)["v"].alias(f"_c_{name}"))
     parts = rows.groupBy(*keys, "_range").agg(*edges)
-    parts = parts.select(F.col("_range").alias("_c_range"), *(F.col(k).alias(f"_c_key{i}") for i, k in enumerate(keys)), *carried)
+    parts = parts.select(F.col("_range").alias("_c_range"), *(F.col(k).alias(f"_c_key{i}") for i, k in enumerate(keys)), *carried, F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_c_ranges"))
+    # Only a range's first and last key can go beyond it: what is sent to all tasks is two rows for each range at most, however many keys there are.
+    parts = parts.where("_c_ranges > 1").drop("_c_ranges")
     same = F.col("_range") == F.col("_c_range")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_c_key{i}"))
-    joined = rows.join(parts, same)
+    joined = rows.join(F.broadcast(parts), same, "left")
     own = Window.partitionBy(*keys, "_range").orderBy(*order)
     back = Window.partitionBy(*keys, "_range").orderBy(*(F.desc(o) for o in order))
     up, on = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (own, back))
@@ -115,7 +127,7 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
     for name, step in steps.items():
         v, c = F.col(value[name]), F.col(f"_c_{name}")
         if isinstance(step, Whole):
-            made[name] = c
+            made[name] = F.coalesce(c, step.over(v).over(Window.partitionBy(*keys, "_range")))
         elif isinstance(step, Sum):
             made[name] = F.coalesce(F.sum(v).over(on if step.back else up), F.lit(0)) + F.coalesce(c, F.lit(0))
         elif isinstance(step, Last):
@@ -126,5 +138,4 @@ def along(df: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: Ste
             beside = F.lag(F.struct(v.alias("v"))) if isinstance(step, Before) else F.lead(F.struct(v.alias("v")))
             there = beside.over(own)
             made[name] = F.when(there.isNotNull(), there["v"]).otherwise(c)
-    kept = [c for c in df.columns if c not in steps]
     return joined.select(*kept, *(c.alias(n) for n, c in made.items()))

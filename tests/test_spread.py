@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dwellspark.functions import special
 from dwellspark.operators import bootstrap, curves
 from dwellspark.operators import distributions as dist
-from dwellspark.operators import fits, frames, geometry, lags, least_squares, loci, long, moments, streamed, waits
+from dwellspark.operators import fits, frames, geometry, lags, least_squares, loci, long, moments, ordered, scratch, streamed, waits
 from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along
 from dwellspark.sources import cache, runs
 
@@ -52,6 +52,97 @@ def test_one_key_is_in_many_tasks(spark):
             spark.conf.set(c, value)
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables in several ranges, and no table small enough to be sent to all tasks unless the code says so."""
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {c: spark.conf.get(c) for c in own}
+    for c, value in own.items():
+        spark.conf.set(c, value)
+    yield spark
+    for c, value in old.items():
+        spark.conf.set(c, value)
+
+
+@pytest.fixture
+def tables_written(monkeypatch):
+    made = []
+    for module in (ordered, bootstrap):
+        monkeypatch.setattr(module, "written", lambda df: made.append(df) or scratch.written(df))
+    return made
+
+
+def test_rows_meet_their_carry_without_a_shuffle(many_ranges):
+    df = many_ranges.range(3_000).selectExpr("IF(id < 2000, 'hot', concat('k', id % 300)) AS k", "id AS x", "id % 7 AS v")
+    v = F.col("v")
+    found = along(df, ["k"], ["x"], up=Sum(v), all=Whole(v), most=Whole(v, most=True), before=Before(v), after=After(v))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert len(rows) == 3_000
+    for key in ("hot", "k299", "k0"):
+        own = sorted((r for r in rows if r.k == key), key=lambda r: r.x)
+        values = [r.v for r in own]
+        for i, r in enumerate(own):
+            assert (r.up, r.all, r.most) == (sum(values[: i + 1]), sum(values), max(values))
+            assert (r.before, r.after) == (values[i - 1] if i else None, values[i + 1] if i + 1 < len(own) else None)
+
+
+def _some_waits(spark, n=600):
+    rng = random.Random(12)
+    rows = [(i % 90, rng.choice("ab"), float(rng.randint(1, 150)), float((40, 100, 160)[i % 3]), rng.choice(["interior", "interior", "left exterior"])) for i in range(n)]
+    return [r for r in rows if r[2] <= r[3]], spark.createDataFrame([r for r in rows if r[2] <= r[3]], "traj long, state string, wait_time double, window_size double, wait_type string")
+
+
+def test_corrected_curve_deals_waits_out_twice(many_ranges, tables_written):
+    """Once among the windows, once for its sums: its weights aren't looked up, nor made again for its first rows."""
+    rows, df = _some_waits(many_ranges)
+    found = dist.ecdf_windowed(waits.interior(df), ["state"], df, ["traj"])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(tables_written) == 2 and "Join Inner" not in plan(tables_written[1]) and "Union" not in plan(found)
+    sizes = list({r[0]: r[3] for r in rows}.values())
+    got = {(r.state, r.x): r.cdf for r in found.collect()}
+    for state in "ab":
+        own = [(x, w) for _, s, x, w, kind in rows if s == state and kind == "interior" and w > x]
+        weight = lambda x, w: 1 / (w - x) / (sum(z >= x for z in sizes) / len(sizes))
+        whole = sum(weight(*o) for o in own)
+        want = {x: sum(weight(*o) for o in own if o[0] <= x) / whole for x in {o[0] for o in own}} | {0.0: 0.0}
+        assert {x: pytest.approx(y) for x, y in want.items()} == {x: y for (s, x), y in got.items() if s == state}
+
+
+def test_curves_deal_their_points_out_once(many_ranges, tables_written):
+    rows, df = _some_waits(many_ranges)
+    survival = dist.kaplan_meier(df, ["state"])
+    assert len(tables_written) == 1
+    dist.kaplan_meier_bounds(df, ["state"], 2.0)
+    assert len(tables_written) == 2
+    area = dist.integral(survival, ["state"])
+    assert len(tables_written) == 3
+    for state in "ab":
+        own = [(x, kind) for _, s, x, _, kind in rows if s == state]
+        s, total, last, want = 1.0, 0.0, None, {}
+        for x in sorted({o[0] for o in own}):
+            s *= 1 - sum(o == (x, "interior") for o in own) / sum(o[0] >= x for o in own)
+            total, last = total + (0.0 if last is None else (1 - s) * (x - last)), x
+            want[x] = (pytest.approx(1 - s), pytest.approx(total))
+        assert want == {r.x: (r.cdf, r.area) for r in area.where(F.col("state") == state).collect()}
+
+
+def test_replicates_windows_go_along_with_their_waits(many_ranges, tables_written):
+    rows, df = _some_waits(many_ranges)
+    boots = df.withColumns({"boot_id": F.lit(0), "times": F.lit(1).cast("long"), "bin": F.ceil(F.col("wait_time") / 20)})
+    found = bootstrap.windowed_shares(waits.interior(boots), boots, ["state"], ["traj"])
+    # The join that is left is that of a replicate's whole.
+    assert len(tables_written) == 1 and found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    found = found.collect()
+    sizes = list({r[0]: r[3] for r in rows}.values())
+    for state in "ab":
+        own = {}
+        for _, s, x, w, kind in rows:
+            if s == state and kind == "interior" and w > x:
+                own[math.ceil(x / 20)] = own.get(math.ceil(x / 20), 0) + 1 / (w - x) / (sum(z >= x for z in sizes) / len(sizes))
+        assert {r.bin: r.pmf for r in found if r.state == state} == {b: pytest.approx(k / sum(own.values())) for b, k in own.items()}
+
+
 def test_no_frame_ends_with_the_last_row(spark):
     """Such frames take the square of their rows."""
     df = spark.range(100).selectExpr("id % 2 AS k", "id AS x")
