@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dwellspark.functions import special
-from dwellspark.jobs.registry import EXTERIOR, GRID, INTERIOR, KEY, MOVIE_WAITS, PAIRS, _velocities, obs, poisson_sql, query, r, rounded, uniform_sql
-from dwellspark.jobs.summaries import EDGES, FITS, INNER_CURVE, _fits, _inner_curve
+from dwellspark.jobs.registry import EXTERIOR, GRID, INTERIOR, KEY, MOVIE_WAITS, PAIRS, _velocities, obs, obs_once, poisson_sql, query, r, rounded, uniform_sql
+from dwellspark.jobs.summaries import EDGES, FITS, INNER_CURVE, _fits
 from dwellspark.operators import bands, bootstrap, fits, frames, geometry, lags, moments, waits
 from dwellspark.operators import distributions as dist
 from dwellspark.sources import tables
@@ -93,8 +93,9 @@ b AS (SELECT a.*, c.cdf AS p1, c.x AS x1 FROM a ASOF LEFT JOIN curve c ON a.stat
 SELECT state, {r('p AS share')}, {r('CASE WHEN p0 = p THEN x0 ELSE coalesce(x0 + (x1 - x0) * (p - p0) / (p1 - p0), x0, x1) END AS wait_time', digits=3)} FROM b""")
 def inverse_lookup(spark, sf_dir):
     """Where a curve has a given height, on straight lines between its points, flat beyond them: curve and heights change places."""
-    curve = _inner_curve(spark, sf_dir).select("state", F.col("cdf").alias("x"), F.col("x").alias("wait_time"))
-    at = curve.select("state").distinct().withColumn("x", F.explode(F.array(*(F.lit(s) for s in SHARES))))
+    inner = waits.interior(obs_once(spark, sf_dir))
+    curve = dist.ecdf(inner, ["state"], "wait_time").select("state", F.col("cdf").alias("x"), F.col("x").alias("wait_time"))
+    at = inner.select("state").distinct().withColumn("x", F.explode(F.array(*(F.lit(s) for s in SHARES))))
     found = dist.interpolated(curve, at, ["state"], "wait_time")
     return rounded(found.select("state", F.col("x").alias("share"), "wait_time"), 3)
 
