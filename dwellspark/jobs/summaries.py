@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dwellspark.functions import theory
-from dwellspark.jobs.registry import EXTERIOR, INTERIOR, KEY, LAGGED, MOVIE_WAITS, PADDED, PAIRS, SURVIVAL, WEIGHTED, _curve, ecdf_sql, obs, query, r, rounded
+from dwellspark.jobs.registry import EXTERIOR, INTERIOR, KEY, LAGGED, MOVIE_WAITS, PADDED, PAIRS, SURVIVAL, WEIGHTED, _curve, ecdf_sql, obs, obs_once, query, r, rounded
 from dwellspark.operators import curves, frames, lags, loci, moments, waits
 from dwellspark.operators import distributions as dist
+from dwellspark.operators.scratch import written
 from dwellspark.sources import arrays, tables
 from dwellspark.sources.tables import FLAT, SIM, TRACK
 
@@ -172,9 +173,9 @@ UNNORMED = f"""{WEIGHTED.format(where='')}, {SURVIVAL}, survived AS (SELECT x, c
 @query(f"WITH {SIM}, {INTERIOR}, {UNNORMED}, g AS (SELECT unnest(range(41)) * 43200.0::DOUBLE AS x) SELECT state, {r('g.x AS x', digits=3)}, {r('sum(w / sf) FILTER (weights.x <= g.x) * 86400 AS cdf')} FROM weights JOIN survived USING (x), g GROUP BY state, g.x")
 def ecdf_unnormed_grid(spark, sf_dir):
     """Corrected weights summed up to each frame, not made to end at 1."""
-    found = obs(spark, sf_dir)
+    found = obs_once(spark, sf_dir)
     weights = dist.windowed_weights(waits.interior(found), ["state"], found, KEY)
-    bins = weights.groupBy("state", (F.ceil(F.greatest("x", F.lit(0.0)) / 43_200.0) * 43_200.0).alias("x")).agg(F.sum("w").alias("w"))
+    bins = written(weights.groupBy("state", (F.ceil(F.greatest("x", F.lit(0.0)) / 43_200.0) * 43_200.0).alias("x")).agg(F.sum("w").alias("w")))
     at = bins.select("state").distinct().withColumn("x", F.explode(F.array(*(F.lit(i * 43_200.0) for i in range(41)))))
     summed = dist.running_on(bins, at, ["state"])
     return summed.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round(F.col("w") * 86_400, 6) + F.lit(0.0)).alias("cdf"))
