@@ -115,7 +115,7 @@ k AS (SELECT state, boot_id, bin, sum(times / (window_size - wait_time) / nullif
 SELECT state, boot_id::INT AS boot_id, bin, {r('k / sum(k) OVER (PARTITION BY state, boot_id) AS pmf')} FROM k""")
 def boot_windows(spark, sf_dir):
     """The corrected share of waits in each half day where as many trajectories are drawn as there are, and each replicate corrects for the windows that it drew."""
-    drawn = bootstrap.drawn(obs(spark, sf_dir), KEY, DRAWS, 5)
+    drawn = bootstrap.drawn(obs_once(spark, sf_dir), KEY, DRAWS, 5)
     inner = waits.interior(drawn).withColumn("bin", F.ceil(F.col("wait_time") / STEP)).where(F.col("bin").between(1, BINS))
     return rounded(bootstrap.windowed_shares(inner, drawn, ["state"], KEY))
 
