@@ -9,7 +9,7 @@ from dwellspark.jobs.registry import CVV, EXTERIOR, FIT, INTERIOR, KEY, MULTI, O
 from dwellspark.jobs.registry import _velocities as velocities
 from dwellspark.jobs.summaries import MUNGED, Z95
 from dwellspark.operators import distributions as dist
-from dwellspark.operators import bootstrap, curves, fits, frames, geometry, lags, least_squares, loci, long, moments, waits
+from dwellspark.operators import bootstrap, curves, estimates, fits, frames, geometry, lags, least_squares, loci, long, moments, waits
 from dwellspark.operators.scratch import shared_folder, written
 from dwellspark.sources import cache, runs, tables
 from dwellspark.sources.tables import MOVIE, SIM, TRACK
@@ -182,11 +182,6 @@ def ecdf_windowed_own(spark, sf_dir):
     return curve.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 9) + F.lit(0.0)).alias("cdf"))
 
 
-def _fit(found):
-    curve = dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY)
-    return curve, dist.exterior_fit(dist.ecdf(waits.exterior(found), ["state"], "wait_time", 0.0), curve, ["state"])
-
-
 @query(f"""WITH {SIM}, {FIT}, b AS (SELECT state, wait_time AS x, count(*) FILTER (wait_type = 'interior') AS d, count(*) AS n FROM obs GROUP BY state, wait_time), k AS (SELECT *, sum(n) OVER (PARTITION BY state ORDER BY x DESC) AS risk FROM b),
 v AS (SELECT state, x, product(1 - d / risk) OVER w AS s, sum(CASE WHEN risk > d THEN d / (risk * (risk - d)) ELSE 0 END) OVER w AS v FROM k WINDOW w AS (PARTITION BY state ORDER BY x)),
 c AS (SELECT state, x, 1 - s AS cdf, 1 - s ** exp({Z95} * sqrt(v) / ln(s) * -1) AS high, 1 - s ** exp({Z95} * sqrt(v) / ln(s)) AS low FROM v WHERE s > 1e-9 AND s < 1 - 1e-9),
@@ -194,9 +189,9 @@ z AS (SELECT state, max(cdf) AS top FROM c GROUP BY state), f AS (SELECT state,
 SELECT state, {r('x', digits=3)}, {r('cdf * scale AS cdf', 'low * scale AS low', 'high * scale AS high', digits=5)} FROM c JOIN f USING (state)""")
 def kaplan_meier_rescaled(spark, sf_dir):
     """Kaplan and Meier's curve and its interval at the height that the fit gives the distribution at the window's end."""
-    found = obs_once(spark, sf_dir)
-    curve = dist.kaplan_meier_bounds(found, ["state"], Z95).where("cdf > 1e-9 AND cdf < 1 - 1e-9")
-    scaled = dist.rescaled(curve, ["state"], _fit(found)[1].select("state", F.col("end_share").alias("height")), ("cdf", "low", "high"))
+    curves = estimates.points(obs_once(spark, sf_dir), ["state"], KEY)
+    curve = estimates.kaplan_meier_bounds(curves, ["state"], Z95).where("cdf > 1e-9 AND cdf < 1 - 1e-9")
+    scaled = dist.rescaled(curve, ["state"], estimates.summary(curves, ["state"]).select("state", F.col("end_share").alias("height")), ("cdf", "low", "high"))
     return scaled.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("cdf", "low", "high")))
 
 
@@ -207,11 +202,8 @@ _COMBINED = ORACLES["ecdf_combined"].rpartition("\nSELECT ")[0]
 SELECT state, {r('x', 'x_to', digits=3)}, {r('pdf * 86400 AS pdf', digits=5)} FROM n2 WHERE x_to IS NOT NULL""")
 def combined_pdf(spark, sf_dir):
     """The density between neighbouring points of the combined estimate, by day."""
-    found = obs_once(spark, sf_dir)
-    inner, outer = waits.interior(found), waits.exterior(found)
-    curve, fit = _fit(found)
-    counts = inner.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-    bars = dist.bars(dist.blended(outer, curve, fit, counts, ["state"]), ["state"])
+    curves = estimates.points(obs_once(spark, sf_dir), ["state"], KEY)
+    bars = estimates.bars_of_bins(estimates.combined(curves, estimates.summary(curves, ["state"]), ["state"]), ["state"])
     return bars.select("state", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("x", "x_to")), (F.round(F.col("pmf") * 86_400, 5) + F.lit(0.0)).alias("pdf"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along, dealt, over
+from dwellspark.operators.scratch import written
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], x: str, pad_at: float | None = None) -> DataFrame:
@@ -72,9 +73,8 @@ def ecdf_windowed(interior: DataFrame, keys: Sequence[str], waits: DataFrame | N
 
 def windowed_weights(interior: DataFrame, keys: Sequence[str], waits: DataFrame | None = None, trajectory: Sequence[str] = ()) -> DataFrame:
     """keys, x, w: the weights of ecdf_windowed, which sums them up."""
-    by_time = interior.groupBy(*keys, F.col("wait_time").alias("x"), "window_size").agg(F.count(F.lit(1)).alias("_n"))
-    weight = F.try_divide(F.col("_n").cast("double"), F.col("window_size") - F.col("x"))
-    by_time = by_time.where(F.col("window_size") > F.col("x")).withColumn("_w", weight).groupBy(*keys, "x").agg(F.sum("_w").alias("_w"))
+    weight = F.try_divide(F.lit(1.0), F.col("window_size") - F.col("wait_time"))
+    by_time = interior.where(F.col("window_size") > F.col("wait_time")).groupBy(*keys, F.col("wait_time").alias("x")).agg(F.sum(weight).alias("_w"))
     if waits is not None:
         by_time = survived(waits, trajectory, by_time).withColumn("_w", F.try_divide("_w", "sf")).drop("sf")
     return by_time.where(F.col("_w").isNotNull()).withColumnRenamed("_w", "w")
@@ -111,21 +111,27 @@ def kaplan_meier_bounds(waits: DataFrame, keys: Sequence[str], z: float, observe
     event = (F.col("wait_type") == observed).cast("int")
     by_time = waits.groupBy(*keys, F.col("wait_time").alias("x")).agg(F.sum(event).alias("_d"), F.count(F.lit(1)).alias("_n"))
     # Values are dealt out once, for those at risk and for what is made of them.
-    risk = over(dealt(by_time, keys, ["x"]), keys, ["x"], _r=Sum(F.col("_n"), back=True))
+    return bounds_at_risk(over(dealt(by_time, keys, ["x"]), keys, ["x"], _r=Sum(F.col("_n"), back=True)), keys, z)
+
+
+def bounds_at_risk(risk: DataFrame, keys: Sequence[str], z: float) -> DataFrame:
+    """kaplan_meier_bounds of dealt rows (keys, x): _r waits at risk, of which _d end."""
     rest = F.col("_r") - F.col("_d")
     # Sums of logarithms: a survival of 0 stays 0, since its step has none.
     step = F.when(rest > 0, F.log(rest / F.col("_r")))
     steps = risk.withColumns({"_l": step, "_v": F.when(rest > 0, F.col("_d") / (F.col("_r") * rest)), "_z": (rest == 0).cast("int")})
     summed = over(steps, keys, ["x"], _ls=Sum(F.col("_l")), _vs=Sum(F.col("_v")), _zs=Sum(F.col("_z")))
     s = F.when(F.col("_zs") > 0, 0.0).otherwise(F.exp(F.coalesce("_ls", F.lit(0.0))))
-    spread = z * F.sqrt(F.coalesce("_vs", F.lit(0.0))) / F.log(F.col("_s"))
+    # Before the first event all survive, for certain.
+    spread = F.when(F.col("_s") < 1, F.try_divide(z * F.sqrt(F.coalesce("_vs", F.lit(0.0))), F.log(F.col("_s")))).otherwise(0.0)
     return summed.withColumn("_s", s).select(*keys, "x", (1 - F.col("_s")).alias("cdf"), (1 - F.pow("_s", F.exp(spread))).alias("low"), (1 - F.pow("_s", F.exp(-spread))).alias("high"))
 
 
 def rescaled(curve: DataFrame, keys: Sequence[str], heights: DataFrame, columns: Sequence[str] = ("cdf",)) -> DataFrame:
     """curve with some columns multiplied so that its cdf ends at each key's height (keys, height): a curve that the window cuts off, at
     the part of the distribution that the window shows. Keys without a height have no row; a curve that ends at 0 has nulls."""
-    ends = curve.groupBy(*keys).agg(F.max("cdf").alias("_end")).join(heights.select(*keys, "height"), list(keys))
+    # As a table, the few rows have a known size, and the curve isn't shuffled by key to meet them.
+    ends = written(curve.groupBy(*keys).agg(F.max("cdf").alias("_end")).join(heights.select(*keys, "height"), list(keys)))
     scale = F.try_divide(F.col("height"), F.col("_end"))
     return curve.join(ends, list(keys)).withColumns({c: F.col(c) * scale for c in columns}).drop("_end", "height")
 
@@ -148,28 +154,39 @@ def quartiles(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     running sums by ranges, so no task holds all values of a key. Nulls don't count, and a key of nulls alone has no row."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, keys, "x", {"_up": F.col("_n")}, total=True)
+    found = ranked.groupBy(*keys).agg(F.max("_up_total").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), *at_rank(F.col("_up"), F.col("_n"), F.col("_up_total"), F.col("x")))
+    return found.select(*keys, "n", "low", between_ranks(F.col("n"), 1).alias("q1"), between_ranks(F.col("n"), 3).alias("q3"), "high")
+
+
+#: Columns of the values below and above each quartile's rank.
+RANKS = ("_a1", "_b1", "_a3", "_b3")
 
-    def at(rank: Column) -> Column:
-        """The value of a rank, from 0; a row holds as many ranks as it has values."""
-        return F.max(F.when((F.col("_up") - F.col("_n") <= rank) & (rank < F.col("_up")), F.col("x")))
 
-    place = {q: (F.col("_up_total") - 1) * q / 4.0 for q in (1, 3)}
-    ends = [at(f(p)).alias(f"_{n}{q}") for q, p in place.items() for n, f in (("a", F.floor), ("b", F.ceil))]
-    found = ranked.groupBy(*keys).agg(F.max("_up_total").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), *ends)
-    between = lambda q: F.col(f"_a{q}") + (F.col(f"_b{q}") - F.col(f"_a{q}")) * F.pmod((F.col("n") - 1) * q / 4.0, F.lit(1.0))
-    return found.select(*keys, "n", "low", between(1).alias("q1"), between(3).alias("q3"), "high")
+def at_rank(up: Column, n: Column, total: Column, x: Column) -> list[Column]:
+    """Greatest values, as RANKS, of rows of n equal values x each, up being their running sum: of the ranks (from 0) that a quartile lies between."""
+    place = lambda name: (F.floor if name[1] == "a" else F.ceil)((total - 1) * int(name[2]) / 4.0)
+    return [F.max(F.when((up - n <= place(name)) & (place(name) < up), x)).alias(name) for name in RANKS]
+
+
+def between_ranks(n: Column, q: int) -> Column:
+    return F.col(f"_a{q}") + (F.col(f"_b{q}") - F.col(f"_a{q}")) * F.pmod((n - 1) * q / 4.0, F.lit(1.0))
 
 
 def auto_bins(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """keys, low, high, bins: equal bins from each key's least to its greatest value, as wide as the narrower of Sturges' rule and that of
     Freedman and Diaconis says, where that one has a width. A key of one value has one bin of width 1 around it."""
-    found = quartiles(df, keys, x)
+    return binned(quartiles(df, keys, x), ["low", "high", "bins"]).select(*keys, "low", "high", "bins")
+
+
+def binned(found: DataFrame, into: Sequence[str]) -> DataFrame:
+    """Rows of quartiles() with the bins of auto_bins, as the columns of these names."""
     extent = F.col("high") - F.col("low")
     sturges, freedman = extent / (F.log2("n") + 1), 2 * (F.col("q3") - F.col("q1")) / F.pow("n", F.lit(1 / 3))
     width = F.when(freedman > 0, F.least(sturges, freedman)).otherwise(sturges)
     alone = extent <= 0
     bins = F.when(alone, 1).otherwise(F.ceil(F.try_divide(extent, width))).cast("long")
-    return found.select(*keys, F.when(alone, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(alone, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"), bins.alias("bins"))
+    ends = F.when(alone, F.col("low") - 0.5).otherwise(F.col("low")), F.when(alone, F.col("high") + 0.5).otherwise(F.col("high"))
+    return found.withColumns(dict(zip(into, (*ends, bins))))
 
 
 def histogram_auto(df: DataFrame, keys: Sequence[str], x: str, weight: str | None = None) -> DataFrame:
@@ -219,6 +236,11 @@ def exterior_fit(exterior_cdf: DataFrame, interior_cdf: DataFrame, keys: Sequenc
         grid = grid.withColumn(f"_{c}", F.coalesce(F.col(c), _straight(c)))
     t, i, e, m = F.col("x"), F.col("_i"), F.col("_e"), F.col("_m")
     s = grid.groupBy(*keys).agg(*(F.sum(v * m).alias(n) for n, v in (("tt", t * t), ("ti", t * i), ("ii", i * i), ("te", t * e), ("ie", i * e))))
+    return solved(s).select(*keys, "a", "b", "end_share")
+
+
+def solved(s: DataFrame) -> DataFrame:
+    """Rows of sums of products (tt, ti, ii, te, ie) with a, b and end_share of exterior_fit."""
     det = F.col("tt") * F.col("ii") - F.col("ti") * F.col("ti")
     a = F.try_divide(F.col("te") * F.col("ii") - F.col("ie") * F.col("ti"), det)
     b = F.try_divide(F.col("ie") * F.col("tt") - F.col("te") * F.col("ti"), det)
@@ -230,7 +252,7 @@ def exterior_fit(exterior_cdf: DataFrame, interior_cdf: DataFrame, keys: Sequenc
     rest_a, rest_b = alone * alone * F.col("tt") - 2 * alone * F.col("te"), other * other * F.col("ii") - 2 * other * F.col("ie")
     s = s.withColumn("a", F.when(free, F.col("_a")).when(rest_a <= rest_b, alone).otherwise(0.0))
     s = s.withColumn("b", F.when(free, F.col("_b")).when(rest_a <= rest_b, F.lit(0.0)).otherwise(other))
-    return s.select(*keys, "a", "b", F.try_divide(-F.col("b"), F.col("a")).alias("end_share"))
+    return s.withColumn("end_share", F.try_divide(-F.col("b"), F.col("a"))).drop("_a", "_b")
 
 
 def _around(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -281,18 +303,26 @@ def blended(exterior: DataFrame, interior_cdf: DataFrame, fit: DataFrame, interi
     hist = _outer_bins(exterior, keys, spans)
     inner = interpolated(interior_cdf, hist.select(*keys, "x"), keys).withColumnRenamed("cdf", "_inner")
     both = hist.join(inner, [*keys, "x"]).join(fit, list(keys)).join(interior_count, list(keys))
-    outer = 1 - F.try_divide(F.try_divide("weight", "_z"), F.col("a"))
-    outer_weight = F.try_divide(F.col("_z") * F.col("a") * F.col("_z") * F.col("a"), F.col("weight"))
-    inner_weight = 2 * F.col("n") / F.log(F.lit(2 / 0.32))
-    found = F.try_divide(F.col("_inner") * F.col("end_share") * inner_weight + outer * outer_weight, inner_weight + outer_weight)
-    return both.select(*keys, "x", found.alias("cdf"))
+    return both.select(*keys, "x", weighed(F.col("_inner") * F.col("end_share"), F.col("n"), F.col("weight"), F.col("_z"), F.col("a")).alias("cdf"))
+
+
+def weighed(inner: Column, n: Column, weight: Column, z: Column, a: Column) -> Column:
+    """The mean of blended(): of the interior curve of n waits and of a bin of that weight, z being all weights times the bin's width."""
+    outer, outer_weight = 1 - F.try_divide(F.try_divide(weight, z), a), F.try_divide(z * a * z * a, weight)
+    inner_weight = 2 * n / F.log(F.lit(2 / 0.32))
+    return F.try_divide(inner * inner_weight + outer * outer_weight, inner_weight + outer_weight)
 
 
 def interior_density(interior: DataFrame, keys: Sequence[str], waits: DataFrame, trajectory: Sequence[str], fit: DataFrame, low: float, high: float, bins: int) -> DataFrame:
     """keys, x (the middle of a bin), pdf: the density of waits, corrected for the window and brought to its true height at the window's end
     by end_share of the fit. Waits without a weight don't count; bins without a wait have no row."""
+    return density_of_weights(windowed_weights(interior, keys, waits, trajectory), keys, fit, low, high, bins)
+
+
+def density_of_weights(weights: DataFrame, keys: Sequence[str], fit: DataFrame, low: float, high: float, bins: int) -> DataFrame:
+    """interior_density of weights (keys, x, w)."""
     width = (high - low) / bins
-    hist = histogram(windowed_weights(interior, keys, waits, trajectory), keys, "x", low, high, bins, "w").join(fit, list(keys))
+    hist = histogram(weights, keys, "x", low, high, bins, "w").join(fit, list(keys))
     return hist.select(*keys, (low + (F.col("bin") - 0.5) * width).alias("x"), (F.col("density") * F.col("end_share")).alias("pdf"))
 
 
@@ -300,7 +330,11 @@ def exterior_estimate(exterior: DataFrame, keys: Sequence[str], fit: DataFrame,
     """keys, x (the middle of a bin), cdf, low, high: the true cdf as a histogram of exterior waits gives it, since their density is the
     survival over the mean wait (1 / a of the fit), and so many standard errors around it, by the normal approximation of
     counts. Null where the fit has no a; bins without a wait have no row. Bins are as in blended()."""
-    hist = _outer_bins(exterior, keys, spans).join(fit, list(keys))
+    return estimate_of_bins(_outer_bins(exterior, keys, spans).join(fit, list(keys)), keys, deviations)
+
+
+def estimate_of_bins(hist: DataFrame, keys: Sequence[str], deviations: float = 2.0) -> DataFrame:
+    """exterior_estimate of bins: x, weight, _z and a of the fit."""
     scale = F.col("_z") * F.col("a")
     value, error = 1 - F.try_divide("weight", scale), deviations * F.try_divide(F.sqrt("weight"), scale)
     return hist.select(*keys, "x", value.alias("cdf"), (value - error).alias("low"), (value + error).alias("high"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dwellspark.functions import special
-from dwellspark.operators import bootstrap, curves
+from dwellspark.operators import bootstrap, curves, estimates
 from dwellspark.operators import distributions as dist
 from dwellspark.operators import fits, frames, geometry, lags, least_squares, loci, long, moments, ordered, scratch, streamed, waits
 from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along
@@ -495,3 +495,36 @@ def test_short_trajectories_are_transformed_together(spark, monkeypatch):
         values.setdefault((k, d), []).append(x)
     want = {(*key, lag): (len(v) - lag, sum(v[i] * v[i + lag] for i in range(len(v) - lag))) for key, v in values.items() for lag in range(len(v))}
     assert set(found) == set(want) and all(found[i] == pytest.approx(want[i], rel=1e-9, abs=1e-9) for i in want)
+
+
+def test_both_kinds_of_waits_are_dealt_out_together(many_ranges, tables_written):
+    """Two deals for all estimates of both; the same as each estimate on its own, also for states that have one kind only, waits as long as their window or none of any length."""
+    rows, _ = _some_waits(many_ranges)
+    rows += [(1, "a", 0.0, 100.0, "right exterior"), (1, "a", 0.0, 100.0, "interior"), (2, "cut", 3.0, 160.0, "left exterior"), (2, "cut", 9.0, 160.0, "right exterior"), (2, "seen", 4.0, 160.0, "interior")]
+    rows += [(2, "long", 160.0, 160.0, "interior"), (2, "long", 2.0, 160.0, "left exterior"), (2, "long", 7.0, 160.0, "left exterior"), (0, "full", 40.0, 40.0, "full exterior"), (2, "zero", 0.0, 160.0, "left exterior")]
+    df = many_ranges.createDataFrame(rows, "traj long, state string, wait_time double, window_size double, wait_type string")
+    key, close = ["state"], lambda r: tuple(pytest.approx(v, rel=1e-9, abs=1e-9) if isinstance(v, float) else v for v in r)
+    points = estimates.points(df, key, ["traj"])
+    found = estimates.summary(points, key)
+    got = {
+        "fit": found.select("state", "a", "b", "end_share"), "bins": found.where("cut > 0").select("state", "low", "high", "bins"), "curve": estimates.interior_curve(points, key), "blended": estimates.combined(points, found, key),
+        "bars": estimates.bars_of_bins(estimates.combined(points, found, key), key), "outer": dist.estimate_of_bins(estimates.exterior_bins(points, found, key), key),
+        "density": dist.density_of_weights(points.where("w IS NOT NULL").select("state", "x", "w"), key, found, 0.0, 160.0, 8), "kaplan": estimates.kaplan_meier_bounds(points, key, 2.0).where("cdf < 1"),
+    }
+    got = {n: sorted(map(tuple, d.collect()), key=str) for n, d in got.items()}
+    assert len(tables_written) == 2 and points.select("_range").distinct().count() > 2
+    inner, outer = waits.interior(df), waits.exterior(df)
+    curve = dist.ecdf_windowed(inner, key, df, ["traj"])
+    fit = dist.exterior_fit(dist.ecdf(outer, key, "wait_time", 0.0), curve, key)
+    blended = dist.blended(outer, curve, fit, inner.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key)
+    want = {
+        "fit": fit, "bins": dist.auto_bins(outer, key, "wait_time"), "curve": curve, "blended": blended, "bars": dist.bars(blended, key), "outer": dist.exterior_estimate(outer, key, fit),
+        "density": dist.interior_density(inner, key, df, ["traj"], fit, 0.0, 160.0, 8), "kaplan": dist.kaplan_meier_bounds(df, key, 2.0).where("cdf < 1"),
+    }
+    for name, d in want.items():
+        other = sorted(map(tuple, d.collect()), key=str)
+        own = {(r[0], round(r[1] or 0, 6)) if name not in ("fit", "bins") else r[0]: r for r in got[name]}
+        assert len(own) == len(got[name]) == len(other), name
+        for r in other:
+            assert own[(r[0], round(r[1] or 0, 6)) if name not in ("fit", "bins") else r[0]] == close(r), name
+    assert estimates.combined(estimates.points(df.limit(0), key, ["traj"]), found, key).count() == 0
