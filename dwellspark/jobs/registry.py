@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dwellspark.functions import special, theory
 from dwellspark.operators import distributions as dist
-from dwellspark.operators import bootstrap, fits, frames, geometry, lags, loci, moments, waits
+from dwellspark.operators import bootstrap, estimates, fits, frames, geometry, lags, loci, moments, waits
 from dwellspark.operators.scratch import written
 from dwellspark.sources import tables
 from dwellspark.sources.tables import FLAT, MOVIE, SIM, TRACK
@@ -188,9 +188,7 @@ fit AS (SELECT state, CASE WHEN a0 >= 0 AND b0 <= 0 THEN a0 WHEN first THEN alon
 @query(f"WITH {SIM}, {FIT} SELECT state, {r('a * 86400 AS a', 'b * 86400 AS b', '-b / nullif(a, 0) AS end_share')} FROM fit")
 def ext_int_fit(spark, sf_dir):
     """Rates are by day."""
-    found = obs_once(spark, sf_dir)
-    inner = dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY)
-    fit = dist.exterior_fit(dist.ecdf(waits.exterior(found), ["state"], "wait_time", 0.0), inner, ["state"])
+    fit = estimates.summary(estimates.points(obs_once(spark, sf_dir), ["state"], KEY), ["state"]).select("state", "a", "b", "end_share")
     return rounded(fit.withColumns({"a": F.col("a") * DAYS, "b": F.col("b") * DAYS}))
 
 
@@ -553,12 +551,8 @@ e AS (SELECT state, x, CASE WHEN x0 = x THEN y0 ELSE coalesce(y0 + (y1 - y0) * (
 SELECT state, {r('x', digits=3)}, {r('(i * iw + o * ow) / (iw + ow) AS cdf')} FROM e""")
 def ecdf_combined(spark, sf_dir):
     """The wait distribution of each state from waits seen whole and waits cut off together."""
-    found = obs_once(spark, sf_dir)
-    inner, outer = waits.interior(found), waits.exterior(found)
-    curve = dist.ecdf_windowed(inner, ["state"], found, KEY)
-    fit = dist.exterior_fit(dist.ecdf(outer, ["state"], "wait_time", 0.0), curve, ["state"])
-    counts = inner.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-    found = dist.blended(outer, curve, fit, counts, ["state"])
+    curves = estimates.points(obs_once(spark, sf_dir), ["state"], KEY)
+    found = estimates.combined(curves, estimates.summary(curves, ["state"]), ["state"])
     return found.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 6) + F.lit(0.0)).alias("cdf"))
 
 
