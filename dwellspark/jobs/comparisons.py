@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dwellspark.jobs.registry import DAYS, FIT, KEY, auto_bins_sql, obs_once, query, r, rounded
 from dwellspark.operators import distributions as dist
-from dwellspark.operators import waits
+from dwellspark.operators import estimates
 from dwellspark.sources.tables import SIM
 
 #: Bins of waits seen whole: 40 over the longest window.
@@ -16,11 +16,9 @@ z AS (SELECT state, low + (bin - 0.5)::DOUBLE * ((high - low) / bins) AS x, w, s
 
 
 def _fitted(spark, sf_dir):
-    """Waits, those seen whole, those cut off, the curve of the former, and the fit of both."""
-    found = obs_once(spark, sf_dir)
-    inner, outer = waits.interior(found), waits.exterior(found)
-    curve = dist.ecdf_windowed(inner, ["state"], found, KEY)
-    return found, inner, outer, curve, dist.exterior_fit(dist.ecdf(outer, ["state"], "wait_time", 0.0), curve, ["state"])
+    """Points of both kinds of waits, and a row for each state with the fit."""
+    curves = estimates.points(obs_once(spark, sf_dir), ["state"], KEY)
+    return curves, estimates.summary(curves, ["state"])
 
 
 @query(f"""WITH {SIM}, {FIT}, b AS (SELECT state, least(floor(x / 43200)::BIGINT + 1, 40) AS bin, sum(w) AS w FROM both_w WHERE x BETWEEN 0 AND 1728000 GROUP BY ALL),
@@ -28,8 +26,8 @@ d AS (SELECT state, bin, w / sum(w) OVER (PARTITION BY state) / 43200 AS density
 SELECT state, {r('(bin - 0.5)::DOUBLE * 43200 AS x', digits=3)}, {r('density * 86400 * (-b / nullif(a, 0)) AS pdf')} FROM d JOIN fit USING (state)""")
 def interior_pdf_corrected(spark, sf_dir):
     """The density of whole waits by day, corrected for windows and for its height at their end."""
-    found, inner, _, _, fit = _fitted(spark, sf_dir)
-    return rounded(dist.interior_density(inner, ["state"], found, KEY, fit, *INNER).withColumn("pdf", F.col("pdf") * DAYS))
+    curves, fit = _fitted(spark, sf_dir)
+    return rounded(dist.density_of_weights(curves.where("w IS NOT NULL").select("state", "x", "w"), ["state"], fit, *INNER).withColumn("pdf", F.col("pdf") * DAYS))
 
 
 @query(f"""WITH {SIM}, {FIT}, {OUTER_BINS}
@@ -37,9 +35,9 @@ SELECT state, 'interior' AS estimate, {r('x', digits=3)}, {r('cdf * (-b / nullif
 UNION ALL SELECT state, 'exterior', {r('x', digits=3)}, {r('1 - w / z AS cdf')} FROM z""")
 def interior_exterior_cdfs(spark, sf_dir):
     """Both estimates of each state's distribution: the curve of whole waits at its fitted height, and that of the waits cut off."""
-    _, _, outer, curve, fit = _fitted(spark, sf_dir)
-    inner = curve.join(fit, "state").select("state", F.lit("interior").alias("estimate"), "x", (F.col("cdf") * F.col("end_share")).alias("cdf"))
-    outer = dist.exterior_estimate(outer, ["state"], fit).select("state", F.lit("exterior").alias("estimate"), "x", "cdf")
+    curves, fit = _fitted(spark, sf_dir)
+    inner = estimates.interior_curve(curves, ["state"]).join(fit, "state").select("state", F.lit("interior").alias("estimate"), "x", (F.col("cdf") * F.col("end_share")).alias("cdf"))
+    outer = dist.estimate_of_bins(estimates.exterior_bins(curves, fit, ["state"]), ["state"]).select("state", F.lit("exterior").alias("estimate"), "x", "cdf")
     found = inner.unionByName(outer)
     return found.select("state", "estimate", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 6) + F.lit(0.0)).alias("cdf"))
 
@@ -47,5 +45,5 @@ def interior_exterior_cdfs(spark, sf_dir):
 @query(f"WITH {SIM}, {FIT}, {OUTER_BINS} SELECT state, {r('x', '1 - w / z AS cdf', '1 - w / z - 2 * sqrt(w) / z AS low', '1 - w / z + 2 * sqrt(w) / z AS high')} FROM z")
 def exterior_cdf_bounds(spark, sf_dir):
     """The estimate of waits cut off with two standard errors on either side."""
-    _, _, outer, _, fit = _fitted(spark, sf_dir)
-    return rounded(dist.exterior_estimate(outer, ["state"], fit))
+    curves, fit = _fitted(spark, sf_dir)
+    return rounded(dist.estimate_of_bins(estimates.exterior_bins(curves, fit, ["state"]), ["state"]))
