@@ -139,8 +139,7 @@ both_w AS (SELECT state, x, w / sf AS w FROM weights JOIN survived USING (x)), {
 
 @query(f"WITH {SIM}, {INTERIOR}, {MULTI} SELECT state, {r('x', digits=3)}, {r('cdf', digits=9)} FROM padded")
 def ecdf_windowed_multi(spark, sf_dir):
-    found = obs_once(spark, sf_dir)
-    return _curve(dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY))
+    return _curve(dist.ecdf_windowed_whole(obs(spark, sf_dir), ["state"]))
 
 
 @query(f"WITH {SIM}, {SURVIVAL}, q AS (SELECT DISTINCT state, wait_time AS x FROM obs) SELECT state, {r('x', digits=3)}, {r('(SELECT count(*) FROM sizes WHERE w >= x) / (SELECT n FROM total) AS sf', digits=9)} FROM q")

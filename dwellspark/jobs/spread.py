@@ -10,7 +10,7 @@ from dwellspark.jobs.registry import _velocities as velocities
 from dwellspark.jobs.summaries import MUNGED, Z95
 from dwellspark.operators import distributions as dist
 from dwellspark.operators import bootstrap, curves, estimates, fits, frames, geometry, lags, least_squares, loci, long, moments, waits
-from dwellspark.operators.scratch import shared_folder, written
+from dwellspark.operators.scratch import shared_folder
 from dwellspark.sources import cache, runs, tables
 from dwellspark.sources.tables import MOVIE, SIM, TRACK
 
@@ -164,7 +164,7 @@ OWN = f"""{MOVIE}, sim AS (SELECT traj, state, first_t AS start_time, coalesce(l
 
 def own_windows(spark, sf_dir):
     """Waits of the movie's runs, each trajectory being watched from its first frame to its last."""
-    return written(waits.waits_of_changes(waits.changes_of_runs(waits.islands(tables.movie(spark, sf_dir), KEY), KEY), KEY))
+    return waits.waits_in_own_windows(tables.movie(spark, sf_dir), KEY)
 
 
 @query(f"WITH {OWN} SELECT traj, rank_order, state, wait_type, num_waits, {r('start_time', 'end_time', 'wait_time', 'window_size', digits=3)} FROM obs")
@@ -177,8 +177,7 @@ def sim_to_obs_own(spark, sf_dir):
 @query(f"WITH {OWN}, {INTERIOR}, {MULTI} SELECT state, {r('x', digits=3)}, {r('cdf', digits=9)} FROM padded")
 def ecdf_windowed_own(spark, sf_dir):
     """The distribution of waits, corrected for as many sizes of windows as there are trajectories."""
-    found = own_windows(spark, sf_dir)
-    curve = dist.ecdf_windowed(waits.interior(found), ["state"], found, KEY)
+    curve = dist.ecdf_windowed_whole(own_windows(spark, sf_dir), ["state"])
     return curve.select("state", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("cdf", 9) + F.lit(0.0)).alias("cdf"))
 
 

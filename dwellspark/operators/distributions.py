@@ -10,8 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along, dealt, over
+from dwellspark.operators.ordered import After, Before, First, Last, Sum, Whole, along, dealt, over, ranged
 from dwellspark.operators.scratch import written
+from dwellspark.operators.waits import INTERIOR
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], x: str, pad_at: float | None = None) -> DataFrame:
@@ -56,7 +57,11 @@ def window_survival(waits: DataFrame, trajectory: Sequence[str], at: DataFrame,
 
 def survived(waits: DataFrame, trajectory: Sequence[str], at: DataFrame) -> DataFrame:
     """at (x and any other columns) with sf, as in window_survival. Sizes of windows are counted among the rows themselves, which go through once and meet nothing."""
-    sizes = waits.groupBy(*trajectory).agg(F.max("window_size").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("_n"))
+    return _among(waits.groupBy(*trajectory).agg(F.max("window_size").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("_n")), at)
+
+
+def _among(sizes: DataFrame, at: DataFrame) -> DataFrame:
+    """survived, of the number _n of windows of each size x."""
     asked = at.where(F.col("x").isNotNull()).withColumns({"_n": F.lit(0).cast("long"), "_q": F.lit(0)})
     # A window as long as a wait lies behind it.
     both = asked.unionByName(sizes.withColumn("_q", F.lit(1)), allowMissingColumns=True)
@@ -71,6 +76,49 @@ def ecdf_windowed(interior: DataFrame, keys: Sequence[str], waits: DataFrame | N
     return _stepped(windowed_weights(interior, keys, waits, trajectory), keys, "w", pad_at)
 
 
+#: Keys times ranges up to which what lies beside the ranges is sent to all tasks.
+BESIDE = 100_000
+
+
+def ecdf_windowed_whole(waits: DataFrame, keys: Sequence[str], pad_at: float | None = 0.0) -> DataFrame:
+    """ecdf_windowed of all waits of trajectories, as waits_of_changes makes them (wait_time, wait_type, window_size, and rank_order 1 once in each), each with one window.
+    They are gone through once: waits seen whole and windows are counted in one table, and both the windows' survival and the curve are taken along the same ranges of
+    lengths, whatever their keys. With many keys, for which a range would need many rows of the ones beside it, values are dealt out by key as in ecdf_windowed."""
+    size, x = F.col("window_size").cast("double"), F.col("wait_time").cast("double")
+    weight = F.when((F.col("wait_type") == INTERIOR) & (size > x), F.try_divide(F.lit(1.0), size - x))
+    none = [F.lit(None).cast(waits.schema[k].dataType).alias(k) for k in keys]
+    own = F.when(weight.isNotNull(), F.struct(*keys, x.alias("x"), weight.alias("_w"), F.lit(0).alias("_q")))
+    window = F.when(F.col("rank_order") == 1, F.struct(*none, size.alias("x"), F.lit(None).cast("double").alias("_w"), F.lit(1).alias("_q")))
+    marks = waits.select(F.explode(F.array_compact(F.array(own, window))).alias("_p")).select("_p.*")
+    counts = written(marks.groupBy(*keys, "x", "_q").agg(F.sum("_w").alias("_w"), F.sum(F.col("_q").cast("long")).alias("_n")))
+    rows, ranges, many = ranged(counts, keys, "x")
+    if ranges > 1 and ranges * many > BESIDE:
+        weights = _among(counts.where("_q = 1").select("x", "_n"), counts.where("_q = 0").select(*keys, "x", "_w"))
+        return _stepped(weights.select(*keys, "x", F.try_divide("_w", "sf").alias("w")).where("w IS NOT NULL"), keys, "w", pad_at)
+    # A window as long as a wait lies behind it. Every range has a row, whatever windows there are.
+    every = waits.sparkSession.range(0, ranges, 1, 1).select(F.col("id").cast("int").alias("_range"))
+    sizes = every.join(rows.where("_q = 1").groupBy("_range").agg(F.sum("_n").alias("_c")), "_range", "left")
+    behind = sizes.select("_range", F.sum("_c").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("_behind"), F.sum("_c").over(Window.partitionBy()).alias("_windows"))
+    back = Window.partitionBy("_range").orderBy(F.desc("x"), F.desc("_q")).rowsBetween(Window.unboundedPreceding, 0)
+    sf = (F.sum("_n").over(back) + F.coalesce("_behind", F.lit(0))) / F.col("_windows")
+    weights = rows.join(F.broadcast(behind), "_range").withColumn("_sf", sf).where("_q = 0").select("_range", *keys, "x", F.try_divide("_w", "_sf").alias("w")).where("w IS NOT NULL")
+    key = Window.partitionBy(*keys)
+    before = key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    beside = weights.groupBy("_range", *keys).agg(F.sum("w").alias("_c")).withColumns({"_before": F.sum("_c").over(before), "_all": F.sum("_c").over(key)})
+    # Names are changed for the join alone: what is shuffled stays the same as for the padded rows, and Spark makes it once.
+    sent = beside.select(F.col("_range").alias("_c_range"), *(F.col(k).alias(f"_c_key{i}") for i, k in enumerate(keys)), "_before", "_all")
+    same = F.col("_range").eqNullSafe(F.col("_c_range"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_c_key{i}"))
+    up = Window.partitionBy("_range", *keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    share = (F.sum("w").over(up) + F.coalesce("_before", F.lit(0.0))) / F.col("_all")
+    curve = weights.join(F.broadcast(sent), same).select(*keys, "x", share.alias("cdf"))
+    if pad_at is None:
+        return curve
+    pads = beside.where("_before IS NULL").select(*keys, F.lit(float(pad_at)).alias("x"), F.lit(0.0).alias("cdf"))
+    return curve.where(F.col("x") != pad_at).unionByName(pads)
+
+
 def windowed_weights(interior: DataFrame, keys: Sequence[str], waits: DataFrame | None = None, trajectory: Sequence[str] = ()) -> DataFrame:
     """keys, x, w: the weights of ecdf_windowed, which sums them up."""
     weight = F.try_divide(F.lit(1.0), F.col("window_size") - F.col("wait_time"))

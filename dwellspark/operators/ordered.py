@@ -7,6 +7,7 @@ summed up over the ranges and sent back to the ranges of keys that have several.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -139,3 +140,20 @@ def over(rows: DataFrame, keys: Sequence[str], order: Sequence[str], **steps: St
             there = beside.over(own)
             made[name] = F.when(there.isNotNull(), there["v"]).otherwise(c)
     return joined.select(*kept, *(c.alias(n) for n, c in made.items()))
+
+
+def ranged(table: DataFrame, keys: Sequence[str], x: str, rows: int = 20_000) -> tuple[DataFrame, int, int]:
+    """table with the number of the range that a row's x (a double) lies in as _range, how many ranges there are, and about how many different keys: so many rows a range,
+    about, and at most four ranges for each shuffle partition, or 256. Cuts are approximate quantiles, so rows in a range vary; equal values are in one range, nulls in
+    the first. The table is read once for the cuts, and isn't dealt out."""
+    most = max(4 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), 256)
+    found = table.agg(F.count(x).alias("n"), F.percentile_approx(x, [i / most for i in range(1, most)]).alias("cuts"), F.approx_count_distinct(F.struct(F.lit(0), *keys)).alias("keys")).first()
+    count = max(min(-(-found["n"] // rows), most), 1)
+    cuts = [float("-inf"), *sorted({found["cuts"][i * most // count - 1] for i in range(1, count)} - {float("-inf")})]
+    # How many cuts a value has reached: of every so manyth one, then of those up to the next of these. Nulls reach none.
+    step = math.isqrt(len(cuts) - 1) + 1
+    reached = lambda which: sum(F.coalesce((c <= F.col(x)).cast("int"), F.lit(0)) for c in which) + F.lit(0)
+    listed = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    placed = table.withColumn("_block", reached(F.lit(c) for c in cuts[step::step]) * step)
+    placed = placed.withColumn("_range", F.col("_block") + reached(F.get(listed, F.col("_block") + i) for i in range(1, step)))
+    return placed.drop("_block"), len(cuts), found["keys"]

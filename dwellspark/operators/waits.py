@@ -71,6 +71,27 @@ def changes_of_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return runs.select(*keys, "state", F.col("first_t").alias("start_time"), end.alias("end_time"), *ends)
 
 
+def waits_in_own_windows(movie: DataFrame, keys: Sequence[str], t: str = "t", state: str = "state") -> DataFrame:
+    """waits_of_changes of changes_of_runs of islands: runs of equal states, watched from each trajectory's first frame to its last. Frames are sorted once, and
+    no run is put together: a run starts with a frame of another state than the one before, and ends with the next run's start."""
+    w = Window.partitionBy(*keys).orderBy("_t")
+    # In the same order, so that Spark goes over a trajectory once for it and for neighbours.
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fresh = F.lag("state").over(w).isNull() | F.col("state").isNull() | (F.lag("state").over(w) != F.col("state"))
+    frames = movie.select(*keys, F.col(t).alias("_t"), F.col(state).alias("state"))
+    starts = frames.withColumns({"_fresh": fresh, "_start": F.min("_t").over(whole), "_end": F.max("_t").over(whole)}).where("_fresh")
+    after = {f"_next{i}": F.lead(F.struct("_t"), i).over(w) for i in (1, 2)}
+    ranked = starts.withColumns({"rank_order": F.row_number().over(w).cast("long"), "num_waits": F.count(F.lit(1)).over(whole)} | after)
+    # Frames without a time come first; a run of them that goes on starts with the first time there is.
+    begins = lambda at, behind: F.coalesce(at, F.when(behind.isNull() | (behind["_t"] > F.col("_start")), F.col("_start")))
+    one, two = F.col("_next1"), F.col("_next2")
+    timed = ranked.withColumns({"start_time": F.coalesce(begins(F.col("_t"), one), "_start"), "end_time": F.coalesce(F.when(one.isNotNull(), begins(one["_t"], two)), "_end")})
+    return timed.select(
+        *keys, "state", "start_time", "end_time", (F.col("_end") - F.col("_start")).alias("window_size"), "rank_order", "num_waits",
+        (F.col("end_time") - F.col("start_time")).alias("wait_time"), _kind(F.col("rank_order") == 1, one.isNull()).alias("wait_type"),
+    )
+
+
 def interior(waits: DataFrame) -> DataFrame:
     return waits.where(F.col("wait_type") == INTERIOR)
 

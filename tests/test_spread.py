@@ -528,3 +528,50 @@ def test_both_kinds_of_waits_are_dealt_out_together(many_ranges, tables_written)
         for r in other:
             assert own[(r[0], round(r[1] or 0, 6)) if name not in ("fit", "bins") else r[0]] == close(r), name
     assert estimates.combined(estimates.points(df.limit(0), key, ["traj"]), found, key).count() == 0
+
+
+def test_waits_in_own_windows_as_by_runs(spark):
+    rng = random.Random(6)
+    rows = [(k, None if t < k % 3 else float(t), rng.choice(["x", "y", None])) for k in range(12) for t in rng.sample(range(40), 1 + 2 * k) if k % 3 < 2 or t] + [(None, 1.0, "x"), (None, 4.0, "y"), (20, None, "x")]
+    movie = spark.createDataFrame(rows, "k int, t double, state string")
+    columns = ["k", "state", "start_time", "end_time", "window_size", "rank_order", "num_waits", "wait_time", "wait_type"]
+    own = waits.waits_in_own_windows(movie, ["k"]).select(*columns)
+    want = waits.waits_of_changes(waits.changes_of_runs(waits.islands(movie, ["k"]), ["k"]), ["k"]).select(*columns)
+    assert sorted(map(str, own.collect())) == sorted(map(str, want.collect())) and own.count() > 100
+    fresh = waits.waits_in_own_windows(movie, ["k"])
+    assert fresh._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1 and waits.waits_in_own_windows(movie.limit(0), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("beside", [100_000, 0])
+def test_corrected_curve_of_whole_waits_is_written_once(many_ranges, tables_written, monkeypatch, beside):
+    """Waits and windows are one table, and both sums are taken along its ranges; with many keys they are dealt out by key instead."""
+    rng = random.Random(13)
+    size = lambda i: float((40, 100, 160, 95)[i % 4] + i % 7)
+    rows = [(i, rng.choice(["a", "b", None]), float(rng.randint(0, 120)), size(i), kind, n + 1) for i in range(90) for n, kind in enumerate(["left exterior"] + ["interior"] * (i % 9) + ["right exterior"])] + [(99, "b", 7.0, None, "interior", 1)]
+    df = many_ranges.createDataFrame(rows, "traj int, state string, wait_time double, window_size double, wait_type string, rank_order int")
+    want = {(r.state, r.x): r.cdf for r in dist.ecdf_windowed(waits.interior(df), ["state"], df, ["traj"]).collect()}
+    tables_written.clear()
+    monkeypatch.setattr(dist, "BESIDE", beside)
+    monkeypatch.setattr(dist, "written", ordered.written)
+    ranged = ordered.ranged
+    monkeypatch.setattr(dist, "ranged", lambda *a: ranged(*a, rows=20))
+    found = dist.ecdf_windowed_whole(df, ["state"])
+    got = {(r.state, r.x): r.cdf for r in found.collect()}
+    assert len(tables_written) == (1 if beside else 3) and len(got) == found.count() and {s for s, _ in got} == {"a", "b", None}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    assert dist.ecdf_windowed_whole(df.limit(0), ["state"]).count() == 0
+    if beside:
+        other = dist.ecdf_windowed(waits.interior(df), [], df, ["traj"], None)
+        assert dict(dist.ecdf_windowed_whole(df, [], None).collect()) == {x: pytest.approx(c) for x, c in other.collect()}
+
+
+def test_ranges_without_dealing_out(many_ranges):
+    rng = random.Random(14)
+    values = [None, None, float("nan"), float("-inf"), float("inf"), -0.0, 0.0] + [5.0] * 300 + [rng.lognormvariate(0, 3) for _ in range(2000)]
+    df = many_ranges.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "x double, k int")
+    placed, ranges, keys = ordered.ranged(df, ["k"], "x", rows=50)
+    found = placed.groupBy("_range").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n")).orderBy("_range").collect()
+    assert keys == 3 and 30 < ranges <= 47 and all(0 <= r._range < ranges for r in found)
+    assert all(a.high < b.low or math.isnan(b.low) for a, b in zip(found, found[1:])) and max(r.n for r in found if not r.low <= 5.0 <= r.high) < 250
+    assert placed.where("x IS NULL").select("_range").distinct().collect() == [(0,)] and ordered.ranged(df, [], "x")[1] == 1
+    assert ordered.ranged(df.limit(0), [], "x")[0].count() == 0
