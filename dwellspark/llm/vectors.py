@@ -4,39 +4,47 @@ The filters' directions are a structured random product code: the dimensions are
 as many random unit vectors as the root of the number of filters, and each pair of them is a direction. A vector is
 list-decoded: from the sorted inner products of either half, the directions that it exceeds by most are found without
 looking at the others. The best is its home, the others are places that it visits. Two close vectors meet at the home
-of one of them; there the cosine is computed in double precision. A pair that doesn't meet is not found. How many
-directions a vector is decoded to follows from the cosine, the dimension and the number of directions: as many as
-let random pairs at the threshold itself meet with the wanted recall.
-
-Equal vectors are one point with a weight. A filter that many vectors fall into is dealt out in pairs of a block of its
-homes and a block of all its points, so that no group holds more than two blocks; one without homes is left out.
+of one of them; there the cosine is screened in single precision and, near the threshold, computed in double. A pair
+that doesn't meet is not found. How many directions a vector is decoded to follows from the cosine, the dimension and
+the number of directions: as many as let random pairs at the threshold itself meet with the wanted recall.
+
+Equal vectors are one point with a weight. Vectors are sent to their filters in rounds, each of which goes to a part of
+the filters and sends little more than the table holds; Spark drops what a round has shuffled when it ends. A filter
+that many vectors fall into is dealt out in pairs of a block of its homes and a block of all its points, so that no
+group holds more than two blocks; one without homes is left out. Its blocks are dealt to rounds of their own, if they are many.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dwellspark.llm.common import partitions, stored
+from dwellspark.llm.common import partitions, stored, swept
 from dwellspark.llm.components import components, forest
 
 COSINE = 0.95
 #: Directions to which a vector is decoded at least, home included, and points for each direction, about.
-DECODED, PER_FILTER = 32, 16
+DECODED, PER_FILTER = 8, 2_048
 #: Share of pairs at the threshold that meet, and pairs drawn to find out how many directions that takes.
 RECALL, DRAWN = 0.999, 10_000
 #: Rows that a task sends on at once, about.
 SENT = 8_192
-#: Points of a filter that come together, about: half of them homes, where it is crowded.
-LARGEST = 2_000
+#: Points of a filter that come together, about: half of them homes, where it is crowded; fewer if their vectors have
+#: more components than that in all.
+LARGEST, COMPONENTS = 100_000, 1 << 23
 #: Rows of a bucket, which holds several filters or blocks of them.
-BUCKET = 50_000
+BUCKET = 20_000
+#: Rows that a round sends for each point, about, and rows for which there is no second round.
+SHARE, ROUND = 1.5, 300_000
+#: Homes and points whose cosines are worked out at once, and pairs of them that are looked at again at once.
+TILE, AGAIN = (256, 2_048), 8_192
 SEED = 20_240_229
 #: Cosines this near to the threshold are summed again without rounding.
 CLOSE = 1e-9
@@ -98,103 +106,157 @@ def _ranks(dimension: int, size: int, cosine: float, drawn: int, seed: int) -> n
 def lists(dimension: int, size: int, cosine: float, recall: float, least: int) -> int:
     """Filters to which a vector is decoded, such that pairs at the cosine meet with the recall. Half of the misses that
     this allows are kept back for the drawn pairs' own scatter."""
+    if size * size <= least:
+        return size * size
     if dimension < 2 or cosine >= 1:
         return least
     ranks = np.sort(_ranks(dimension, size, max(cosine, -1.0), DRAWN, SEED + 1))
     return max(least, int(ranks[min(DRAWN - 1, math.ceil((1 + recall) / 2 * DRAWN))]))
 
 
-def _decoded(size: int, cosine: float, recall: float, least: int):
-    """Points to a row for each of their filters. The row at home has the list of all of them."""
+def _decoded(size: int, cosine: float, recall: float, least: int, rounds: int, known: dict[int, int]):
+    """Points with their home and, for each round, the filters that they are sent to in it. known: lengths of lists by
+    dimension, as far as they are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [np.array(v, np.float64) for v in batch.column(2).to_pylist()]
-            lengths = np.array([len(r) for r in rows])
-            for d in np.unique(lengths):
+            vectors = batch.column("vector")
+            lengths, values = vectors.value_lengths().to_numpy(), vectors.flatten().to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            for d in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == d)
-                raw = np.stack([rows[k] for k in own])
-                scale = np.abs(raw).max(1, keepdims=True)  # very long and very short vectors are brought near 1 first
-                unit = raw / scale
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                wanted = lists(int(d), size, cosine, recall, least)
+                wanted = known.get(d) or lists(d, size, cosine, recall, least)
                 step = max(1, SENT // wanted)
                 for s in range(0, len(own), step):
-                    places = decode(unit[s : s + step], size, wanted) + int(d) * size * size
+                    part = own[s : s + step]
+                    raw = values[starts[part][:, None] + np.arange(d)]
+                    places = decode(_unit(raw), size, wanted) + d * size * size
                     k = places.shape[1]
-                    name, weight = (np.repeat(batch.column(c).to_numpy()[own[s : s + step]], k) for c in (0, 1))
-                    listed = [p.tobytes() if i == 0 else None for p in places for i in range(k)]
-                    sent = [v for r, c in zip(raw[s : s + step], scale[s : s + step]) for v in [(r / c).tobytes()] * k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(places.ravel()), pa.array(name), pa.array(weight), pa.array(np.repeat(places[:, 0], k)), pa.array(listed, pa.binary()), pa.array(sent, pa.binary())],
-                        ["place", "name", "weight", "home", "places", "vector"],
-                    )
+                    turn = (places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % rounds
+                    order = np.argsort(turn, axis=1, kind="stable")
+                    cuts = np.r_[0, np.cumsum(np.bincount((np.arange(len(part))[:, None] * rounds + turn).ravel(), minlength=len(part) * rounds))]
+                    sent = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.take_along_axis(places, order, 1).ravel()))
+                    sent = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * rounds, pa.int32()), sent)
+                    bare = pa.array([r.tobytes() for r in raw], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(part)) for c in ("name", "weight", "least")), bare, pa.array(places[:, 0]), sent], ["name", "weight", "least", "vector", "home", "sent"])
 
     return run
 
 
-_PLACED = "place long, name long, weight long, home long, places binary, vector binary"
+_PLACED = "place long, name long, weight long, home long, places array<long>, vector binary"
+
+
+def _scaled(raw: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """Very long and very short vectors are brought near 1."""
+    raw = raw.astype(np.float64)
+    return (raw / np.abs(raw).max(1, keepdims=True)).astype(kind, copy=False)
+
+
+def _unit(raw: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    x = _scaled(raw, kind)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def _exactly(a: np.ndarray, b: np.ndarray) -> float:
     return math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
 
 
-def _linked(cosine: float):
-    """Of some blocks: weights that each point is linked with, and as few links as connect the same."""
+def _near(raw: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether rows i and j have the cosine, in double precision."""
+    out = []
+    for s in range(0, len(i), AGAIN):
+        a, b = _scaled(raw[i[s : s + AGAIN]]), _scaled(raw[j[s : s + AGAIN]])
+        cos = (a * b).sum(1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+        near = cos >= cosine
+        for k in np.flatnonzero(np.abs(cos - cosine) < CLOSE):
+            near[k] = _exactly(a[k], b[k]) >= cosine
+        out.append(near)
+    return np.concatenate([*out, np.empty(0, bool)])
+
+
+def _hooked(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, which has the least vertex of each vertex's component, after the links (a, b)."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _linked(cosine: float, kind: str):
+    """Of some blocks: weights that each point is linked with, and as few links as connect the same. kind: of the
+    vectors' components."""
 
     def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         name, weight, home, place, here, seen = (rows[c].to_numpy() for c in ("name", "weight", "home", "place", "here", "seen"))
-        raw = np.stack([np.frombuffer(v, np.float64) for v in rows["vector"].to_pylist()])
-        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
         own, others = np.flatnonzero(here), np.flatnonzero(seen)
-        listed = np.stack([np.frombuffer(p, np.int64) for p in rows["places"].take(pa.array(own)).to_pylist()]) if len(own) else None
-        counts, ends = np.zeros(len(name), np.int64), ([], [])
-        for s in range(0, len(own), 512):
-            part = own[s : s + 512]
-            cos = unit[part] @ unit[others].T
-            i, j = np.nonzero(cos >= cosine - CLOSE)
-            unsure = np.flatnonzero(cos[i, j] < cosine + CLOSE)
-            j = others[j]
-            sure = np.ones(len(i), bool)
-            sure[unsure] = [_exactly(raw[part[i[k]]], raw[j[k]]) >= cosine for k in unsure]
-            sure &= name[part[i]] != name[j]
-            i, j = i[sure], j[sure]
-            np.add.at(counts, part[i], weight[j])
-            # A visitor whose home the point visits counts the pair there; else it has no other place to do so.
-            alone = (home[j] != place[j]) & ~(listed[s + i] == home[j][:, None]).any(1)
-            np.add.at(counts, j[alone], weight[part[i[alone]]])
-            a, b = forest(name[part[i]], name[j])
-            ends[0].append(a)
-            ends[1].append(b)
-        return name, counts, np.concatenate([*ends[0], np.empty(0, np.int64)]), np.concatenate([*ends[1], np.empty(0, np.int64)])
+        counts, label = np.zeros(len(name), np.int64), np.arange(len(name))
+        if not len(own):
+            return label[:0], label[:0], label[:0], label[:0]
+        raw = np.frombuffer(b"".join(rows["vector"].to_pylist()), kind).reshape(len(name), -1)
+        single = np.concatenate([_unit(raw[s : s + AGAIN], np.float32) for s in range(0, len(raw), AGAIN)])
+        slack = (raw.shape[1] + 16) * 2.0**-22  # single precision is off by less than that
+        listed = rows["places"].take(pa.array(own)).combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+        points = single if len(others) == len(name) else single[others]
+        for s in range(0, len(own), TILE[0]):
+            homes = single[own[s : s + TILE[0]]]
+            for t in range(0, len(others), TILE[1]):
+                cos = (homes @ points[t : t + TILE[1]].T).ravel()
+                found = np.flatnonzero(cos >= cosine - slack)
+                at, j = np.divmod(found, min(TILE[1], len(others) - t))
+                at, j = at + s, others[j + t]
+                apart = own[at] != j
+                at, j, cos = at[apart], j[apart], cos[found[apart]]
+                near = cos >= cosine + slack
+                unsure = np.flatnonzero(~near)
+                near[unsure] = _near(raw, own[at[unsure]], j[unsure], cosine)
+                at, j = at[near], j[near]
+                if not len(at):
+                    continue
+                i = own[at]
+                counts += np.bincount(i, weight[j], len(counts)).astype(np.int64)
+                # A visitor whose home the point visits counts the pair there; else it has no other place to do so.
+                away = np.flatnonzero(home[j] != place[j])
+                for k in (away[c : c + AGAIN] for c in range(0, len(away), AGAIN)):
+                    k = k[~(listed[at[k]] == home[j[k]][:, None]).any(1)]
+                    counts += np.bincount(j[k], weight[i[k]], len(counts)).astype(np.int64)
+                label = _hooked(label, i, j)
+        some, below = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(label)))
+        return name[some], counts[some], name[below], name[label[below]]
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["block"].to_numpy(), table["place"].to_numpy()))
-        table = table.take(pa.array(order))
         place, part = table["place"].to_numpy(), table["block"].to_numpy()
+        if (place != place[0]).any() or (part != part[0]).any():
+            order = np.lexsort((part, place))
+            table, place, part = table.take(pa.array(order)), place[order], part[order]
         cuts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (part[1:] != part[:-1])])
         out = [block(table.slice(s, e - s)) for s, e in zip(cuts, [*cuts[1:], len(place)])]
         names, counts, a, b = (np.concatenate(x) for x in zip(*out))
         a, b = forest(a, b)
         names, at = np.unique(names, return_inverse=True)
-        total = np.bincount(at, counts).astype(np.int64)
-        some = total > 0
-        n = int(some.sum())
-        return pa.table([pa.array(np.r_[names[some], a]), pa.array(np.r_[total[some], np.zeros(len(a), np.int64)]), pa.array([None] * n + b.tolist(), pa.int64())], ["a", "links", "b"])
+        total = np.bincount(at, counts, len(names)).astype(np.int64)
+        return pa.table([pa.array(np.r_[names, a]), pa.array(np.r_[total, np.zeros(len(a), np.int64)]), pa.array([None] * len(names) + b.tolist(), pa.int64())], ["a", "links", "b"])
 
     return run
 
 
-def deal(placed: DataFrame, largest: int) -> DataFrame:
-    """Rows of a filter with their block: here, if the point is one of the block's homes, and seen, if it is one of the
-    points that these are held against. Each home meets each point in just one block."""
+def _crowded(held: DataFrame, largest: int) -> DataFrame:
+    """held: place, n, homes. Blocks of homes and of points that filters of over largest points are cut into."""
     half = max(1, largest // 2)
-    large = placed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("home") == F.col("place")).alias("homes")).where(F.col("n") > largest)
-    large = large.select(F.col("place").alias("crowded"), F.ceil(F.col("homes") / half).cast("int").alias("rows"), F.ceil(F.col("n") / half).cast("int").alias("columns"))
-    both = placed.join(large, F.col("place") == F.col("crowded"), "left").where(F.coalesce("rows", F.lit(1)) > 0)
+    return held.where(F.col("n") > largest).select(F.col("place").alias("crowded"), F.ceil(F.col("homes") / half).cast("int").alias("rows"), F.ceil(F.col("n") / half).cast("int").alias("columns"))
+
+
+def deal(placed: DataFrame, largest: int, large: DataFrame | None = None, turn: int = 0, turns: int = 1) -> DataFrame:
+    """Rows of a filter with their block: here, if the point is one of the block's homes, and seen, if it is one of the
+    points that these are held against. Each home meets each point in just one block. large: the crowded filters, at most
+    one for largest rows and so few. Of several turns only the blocks of one are dealt."""
+    if large is None:
+        large = _crowded(placed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("home") == F.col("place")).alias("homes")), largest)
+    both = placed.join(F.broadcast(large), F.col("place") == F.col("crowded"), "left").where(F.coalesce("rows", F.lit(1)) > 0)
     own = F.col("home") == F.col("place")
     row, column = (F.pmod(F.xxhash64("name", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("rows", "columns")))
     cell = lambda r, c, here, seen: F.struct((r.cast("long") * F.col("columns") + c).alias("block"), here.alias("here"), seen.alias("seen"))
@@ -202,37 +264,72 @@ def deal(placed: DataFrame, largest: int) -> DataFrame:
     as_point = F.transform(F.filter(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: ~own | (r != row)), lambda r: cell(r, column, F.lit(False), F.lit(True)))
     single = F.array(F.struct(F.lit(0).cast("long").alias("block"), own.alias("here"), F.lit(True).alias("seen")))
     cells = F.when(F.col("crowded").isNull(), single).when(own, F.concat(as_home, as_point)).otherwise(as_point)
+    if turns > 1:
+        cells = F.filter(cells, lambda c: F.pmod(F.xxhash64("place", c["block"]), F.lit(turns)) == turn)
     dealt = both.withColumn("cell", F.explode(cells)).select("place", "cell.block", "name", "weight", "home", "cell.here", "cell.seen", "places", "vector")
     return dealt.withColumn("places", F.when(F.col("here"), F.col("places")))
 
 
+def _met(coded: DataFrame, rounds: int, most: int, largest: int, cosine: float, kind: str) -> DataFrame:
+    """What _linked finds in all filters, round after round. most: rows that a round sends, about."""
+    spark = coded.sparkSession
+    listed = coded.select("home", F.posexplode("sent").alias("round", "places")).select("home", "round", F.explode("places").alias("place"))
+    held = stored(listed.groupBy("round", "place").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("home") == F.col("place")).alias("homes")))
+    large = stored(_crowded(held, largest).coalesce(1))
+    both = held.join(F.broadcast(large), F.col("place") == F.col("crowded"), "left")
+    rows = F.when(F.col("crowded").isNull(), F.col("n")).otherwise(F.col("homes") * (F.col("columns") + F.col("rows") - 1) + (F.col("n") - F.col("homes")) * F.col("rows"))
+    found = []
+    for sent, n in sorted(both.groupBy("round").agg(F.sum(rows)).collect()):
+        turns = max(1, math.ceil(n / (2 * most)))
+        placed = coded.select("name", "weight", "home", "vector", F.flatten("sent").alias("places"), F.explode(F.col("sent")[sent]).alias("place"))
+        for turn in range(turns):
+            dealt = deal(placed.withColumn("places", F.when(F.col("home") == F.col("place"), F.col("places"))), largest, large, turn, turns)
+            dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("place", "block"), F.lit(max(4 * partitions(spark), n // turns // BUCKET))))
+            found.append(stored(dealt.groupBy("bucket").applyInArrow(_linked(cosine, kind), _FOUND)))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _FOUND)
+
+
+_FOUND = "a long, links long, b long"
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, decoded: int = DECODED, largest: int = LARGEST, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row. Vectors that are null, empty, zero, or hold a null, a NaN or an
     infinity link with nothing; so do vectors of different lengths. Rows that repeat an id are vectors of their own;
     a null id is kept and is never a component's id but its own."""
-    spark = vectors.sparkSession
-    x = F.col(vector_col).cast("array<double>")
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
+    x = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
     good = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(good, x).alias("vector"))
-    points = rows.where(F.col("vector").isNotNull()).groupBy("vector").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
-    points = stored(points.select(F.xxhash64("vector").alias("name"), "weight", "vector", "least"))
-    size = max(2, math.isqrt(max(1, points.count() // PER_FILTER)) + 1)
-    placed = stored(points.select("name", "weight", "vector").mapInArrow(_decoded(size, cosine, recall, decoded), _PLACED))
-    dealt = deal(placed, largest)
-    n = dealt.select(F.count(F.lit(1))).first()[0]
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("place", "block"), F.lit(max(4 * partitions(spark), n // BUCKET))))
-    found = stored(dealt.groupBy("bucket").applyInArrow(_linked(cosine), "a long, links long, b long"))
-    counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("name")).agg(F.sum("links").alias("links"))
-    joined = components(found.where(F.col("b").isNotNull()).select("a", "b"))
-    told = points.join(counts, "name", "left").join(joined, F.col("name") == F.col("vertex"), "left").select("vector", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "name").alias("component"))
-    told = stored(told)
-    least = told.groupBy("component").agg(F.min("least").alias("component_id"))
-    told = told.join(least, "component").select(F.col("vector").alias("of"), (F.col("links") + F.col("weight") - 1).alias("links"), "component_id")
-    out = rows.join(told, F.col("vector") == F.col("of"), "left")
+    rows = rows.withColumn("name", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
+    with swept(vectors.sparkSession):
+        told = _told(rows, cosine, decoded, largest, recall, "f4" if single else "f8")
+    out = rows.select("vec_id", "name").join(told, "name", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+def _told(rows: DataFrame, cosine: float, decoded: int, largest: int, recall: float, kind: str) -> DataFrame:
+    """name, links, component_id of each vector's name."""
+    rows = rows.where(F.col("name").isNotNull())
+    lengths = rows.select("name", F.size("vector").alias("d")).distinct().groupBy("d").count()
+    n, d, longest = lengths.agg(*(F.coalesce(x, F.lit(1)) for x in (F.sum("count"), F.max_by("d", "count"), F.max("d")))).first()
+    largest = min(largest, max(2, COMPONENTS // longest))
+    size = max(1, math.isqrt(n // PER_FILTER))
+    wanted = lists(d, size, cosine, recall, decoded)
+    most = max(ROUND, int(SHARE * n))
+    rounds = max(1, math.ceil(wanted * n / most))
+    points = rows.groupBy("name").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
+    schema = T.StructType([*points.drop("vector").schema.fields, *T.StructType.fromDDL("vector binary, home long, sent array<array<long>>").fields])
+    coded = stored(points.mapInArrow(_decoded(size, cosine, recall, decoded, rounds, {d: wanted}), schema))
+    found = _met(coded, rounds, most, largest, cosine, kind)
+    counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("of")).agg(F.sum("links").alias("links"))
+    joined = components(found.where(F.col("b").isNotNull()).select("a", "b"))
+    told = coded.select("name", "weight", "least").join(counts, F.col("name") == F.col("of"), "left").join(joined, F.col("name") == F.col("vertex"), "left")
+    told = stored(told.select("name", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "least", F.coalesce("component", "name").alias("component")))
+    least = told.groupBy("component").agg(F.min("least").alias("component_id"))
+    return told.join(least, "component").select("name", "links", "component_id")
+
+
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 

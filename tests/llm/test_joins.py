@@ -1,6 +1,7 @@
 """Operators 2, 7 and 9, components and the pipeline against plain code."""
 
 import hashlib
+import pathlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from dwellspark.llm import jaccard, pii, quality, substrings, vectors
+from dwellspark.llm.common import shared_dir
 from dwellspark.llm.components import components, roots
 
 from . import edge
@@ -269,6 +271,48 @@ def test_vectors_of_a_crowded_filter(spark):
     assert set(pairs.values()) == {1} and len(pairs) == 750 * 1000 + 50 * 50
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_are_sent_in_rounds(spark, monkeypatch, tmp_path, kind):
+    """No round sends much more rows than there are vectors, what is written to the shared folder is not much larger
+    than the table either, and nothing is lost between rounds."""
+    monkeypatch.setattr(vectors, "PER_FILTER", 50)
+    monkeypatch.setattr(vectors, "ROUND", 1000, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2400, 64))
+    x = np.r_[x, np.repeat(x[:60], 10, 0) + 0.1 * rng.standard_normal((600, 64))]
+    x = x.astype(np.float32) if kind == "float" else x
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").write.parquet(f"{tmp_path}/in")
+    sent, deal = [], vectors.deal
+
+    def spied(*args):
+        sent.append((dealt := deal(*args)).count())
+        return dealt
+
+    monkeypatch.setattr(vectors, "deal", spied)
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    found = {r.vec_id: r for r in vectors.near_duplicates(spark.read.parquet(f"{tmp_path}/in")).collect()}
+    size = lambda *tables: sum(f.stat().st_size for t in tables for f in t.rglob("*.parquet"))
+    assert max(sent) < 3 * len(x) and size(*(set(shared.iterdir()) - before)) < 4 * size(tmp_path / "in")
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = least(zip(*np.nonzero(near)), range(len(x)))
+    assert near.sum() > 5000 and all(found[i].n_links <= near[i].sum() for i in range(len(x)))
+    assert sum(found[i].n_links for i in range(len(x))) >= 0.999 * near.sum()
+    assert np.mean([found[i].component_id == label[i] for i in range(len(x))]) > 0.999
+
+
+def test_vectors_of_a_crowd_over_several_rounds(spark, monkeypatch):
+    """Blocks of a crowded filter that are dealt to rounds of their own: each pair is counted once."""
+    monkeypatch.setattr(vectors, "ROUND", 500, raising=False)
+    x = swarm(300, 6, 0.25)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in vectors.near_duplicates(df, largest=60).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [found[i] for i in range(len(x))] == ((unit @ unit.T >= 0.95).sum(1) - 1).tolist()
+
+
 # pipeline
 
 
