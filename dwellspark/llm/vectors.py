@@ -39,6 +39,8 @@ SENT = 8_192
 #: Points of a filter that come together, about: half of them homes, where it is crowded; fewer if their vectors have
 #: more components than that in all.
 LARGEST, COMPONENTS = 100_000, 1 << 23
+#: Pairs of a home and a point that one block holds against each other, about.
+PAIRS = 1 << 28
 #: Rows of a bucket, which holds several filters or blocks of them.
 BUCKET = 20_000
 #: Rows that a round sends for each point, about, and rows for which there is no second round.
@@ -245,9 +247,11 @@ def _linked(cosine: float, kind: str):
 
 
 def _crowded(held: DataFrame, largest: int) -> DataFrame:
-    """held: place, n, homes. Blocks of homes and of points that filters of over largest points are cut into."""
-    half = max(1, largest // 2)
-    return held.where(F.col("n") > largest).select(F.col("place").alias("crowded"), F.ceil(F.col("homes") / half).cast("int").alias("rows"), F.ceil(F.col("n") / half).cast("int").alias("columns"))
+    """held: place, n, homes. Blocks of homes and of points that filters of over largest points, or of too many pairs, are
+    cut into."""
+    many = F.col("n") * F.col("homes") > PAIRS
+    half = F.when(many, F.lit(max(1, min(largest // 2, math.isqrt(PAIRS))))).otherwise(F.lit(max(1, largest // 2)))
+    return held.where((F.col("n") > largest) | many).select(F.col("place").alias("crowded"), F.ceil(F.col("homes") / half).cast("int").alias("rows"), F.ceil(F.col("n") / half).cast("int").alias("columns"))
 
 
 def deal(placed: DataFrame, largest: int, large: DataFrame | None = None, turn: int = 0, turns: int = 1) -> DataFrame:
@@ -298,7 +302,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     a null id is kept and is never a component's id but its own."""
     single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
     x = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
-    good = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
+    # Whether an array holds a value is null, not false, where it holds a null; NaN is the largest value.
+    low, high, infinite = F.array_min(x), F.array_max(x), F.lit(float("inf")).cast("float" if single else "double")
+    good = F.coalesce(~F.array_contains(x, infinite) & (low > -infinite) & ~F.isnan(high) & ((low != 0) | (high != 0)), F.lit(False))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(good, x).alias("vector"))
     rows = rows.withColumn("name", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
     with swept(vectors.sparkSession):
